@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from chatloom.llm import chat_format, mixing, secrets, topk, url_filter
+from chatloom.llm import chat_format, decontaminate, line_dedup, mixing, secrets, topk, url_filter
 
 QUERIES = {
     "op1_url_template_filter": url_filter.query,
+    "op2_line_winnowing": line_dedup.query,
     "op4_chat_prefix_target": chat_format.query,
+    "op5_fm_index_decontaminate": decontaminate.query,
     "op7_secret_linking": secrets.query,
     "op9_mix_sources": mixing.query,
     "op10_exact_topk": topk.query,
