@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own_dir: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all executors share; a local one where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="chatloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        _remove_at_exit(spark, base)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dir:
+            _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="chatloom-")
+            _remove_at_exit(spark, _own_dir[app])
+        base = _own_dir[app]
     return base.rstrip("/")
 
 
