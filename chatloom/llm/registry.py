@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from chatloom.llm import chat_format, decontaminate, line_dedup, mixing, secrets, topk, url_filter
+from chatloom.llm import chat_format, decontaminate, line_dedup, mixing, near_dedup, secrets, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_template_filter": url_filter.query,
     "op2_line_winnowing": line_dedup.query,
+    "op3_toxicity_knn": toxicity.query,
     "op4_chat_prefix_target": chat_format.query,
     "op5_fm_index_decontaminate": decontaminate.query,
+    "op6_minhash_components": near_dedup.query,
     "op7_secret_linking": secrets.query,
     "op9_mix_sources": mixing.query,
     "op10_exact_topk": topk.query,
