@@ -141,13 +141,20 @@ def per_row(planned: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, with all their columns and ``copies`` and ``taken`` (words)."""
-    planned = per_row(plan(docs, **options)).where(F.col("copies") > 0)
-    right = planned.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("copy_row").alias("__n"), F.col("copies").alias("__c"))
-    number = Window.partitionBy("__dk", "__sk", "__zk").orderBy(F.xxhash64("text"))
-    left = docs.withColumns({"__dk": F.col("doc_id").cast("long"), "__sk": F.col("source"), "__zk": word_count(F.col("text"))})
-    left = left.withColumn("__nk", F.row_number().over(number).cast("long"))
-    on = F.col("__dk").eqNullSafe(F.col("__d")) & F.col("__sk").eqNullSafe(F.col("__s")) & (F.col("__zk") == F.col("__z")) & (F.col("__nk") == F.col("__n"))
-    return left.join(right, on).withColumns({"copies": F.col("__c"), "taken": F.col("__c") * F.col("__z")}).drop("__dk", "__sk", "__zk", "__nk", "__d", "__s", "__z", "__n", "__c")
+    names = [f"__k{i}" for i in range(5)]
+
+    def keys(size: Column) -> dict[str, Column]:
+        id_, source = F.col("doc_id").cast("long"), F.col("source")
+        return dict(zip(names, [F.coalesce(id_, F.lit(0)), id_.isNull(), F.coalesce(source, F.lit("")), source.isNull(), size], strict=True))
+
+    planned = plan(docs, **options).where((F.col("whole") > 0) | (F.col("more") > 0))
+    planned = planned.withColumns(keys(F.col("size"))).select(*names, F.col("whole").alias("__w"), F.col("more").alias("__m"))
+    rows = docs.withColumns(keys(word_count(F.col("text")))).join(planned.hint("merge"), names)
+    # equal rows are numbered where the join has put them
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("text"))))
+    copies = F.col("__w") + (F.col("__n") <= F.col("__m")).cast("long")
+    out = rows.withColumns({"copies": copies, "taken": copies * F.col("__k4")})
+    return out.where(F.col("copies") > 0).drop(*names, "__w", "__m", "__n")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatloom.llm import chat_format, decontaminate, line_dedup, mixing, near_dedup, secrets, topk, toxicity, url_filter
+from chatloom.llm import chat_format, decontaminate, line_dedup, lm, mixing, near_dedup, secrets, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_url_template_filter": url_filter.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_fm_index_decontaminate": decontaminate.query,
     "op6_minhash_components": near_dedup.query,
     "op7_secret_linking": secrets.query,
+    "op8_pitman_yor_scores": lm.query,
     "op9_mix_sources": mixing.query,
     "op10_exact_topk": topk.query,
 }
