@@ -57,7 +57,8 @@ class Settings:
 
 PRODUCTION = Settings()
 _BLOB = "shard int, blob binary"
-_MARKS = "doc_id long, sig long, marks binary"
+_BUCKET = "bucket int, blob binary"
+_MARKS = "__d long, __s long, __marks binary"
 
 
 def _sig() -> Column:
@@ -114,7 +115,7 @@ def _emit(s: Settings, shards: int, around: bool):
             null_all = np.asarray(ids_all.is_null())
             ids_all = ids_all.fill_null(0).to_numpy(zero_copy_only=False)
             sig_all = b["sig"].to_numpy()
-            marks = b["marks"] if around else None
+            marks = b["__marks"] if around else None
             for block in kernel.blocks(b["text"], 4 << 20):
                 w = s.units(block)
                 part = slice(block.first, block.first + len(block))
@@ -127,7 +128,7 @@ def _emit(s: Settings, shards: int, around: bool):
                     first = np.searchsorted(doc, np.arange(len(block) + 1))
                     near = np.zeros(len(h) + 1, np.int64)
                     for i in range(len(block)):
-                        places = np.concatenate([np.frombuffer(m, np.uint32) for m in marks[block.first + i].as_py()]).astype(np.int64)
+                        places = np.frombuffer(marks[block.first + i].as_py(), np.uint32).astype(np.int64)
                         n = first[i + 1] - first[i]
                         np.add.at(near, first[i] + np.clip(places - s.window + 1, 0, n), 1)
                         np.add.at(near, first[i] + np.clip(places + 1, 0, n), -1)
@@ -150,33 +151,49 @@ def _gather(blobs: pa.ChunkedArray) -> dict[str, np.ndarray]:
         x["doc"] = x["doc"].astype(np.int64) + base
         base += len(x["ids"])
         parts.append(x)
-    out = {k: np.concatenate([p[k] for p in parts]) for k in ("h", "doc", "at", "ids", "null", "sig")}
+    out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
     # chunks name a document again only if its rows are repeated: these become one
     keys = np.empty(len(out["ids"]), [("null", bool), ("id", np.int64), ("sig", np.uint32)])
     keys["null"], keys["id"], keys["sig"] = out["null"], out["ids"], out["sig"]
     names, place = np.unique(keys, return_inverse=True)
-    return {"h": out["h"], "doc": place[out["doc"]], "at": out["at"], "names": names}
+    return {k: v for k, v in out.items() if k not in ("ids", "null", "sig")} | {"doc": place[out["doc"]], "names": names}
 
 
-def _by_document(doc: np.ndarray, marks: np.ndarray, names: np.ndarray) -> pa.Table:
-    order = np.argsort(doc, kind="stable")
+def _by_bucket(doc: np.ndarray, marks: np.ndarray, names: np.ndarray, buckets: int) -> pa.Table:
+    """A shard's marks in one blob for each bucket of documents."""
+    bucket = (kernel.mix64(names["id"].view(np.uint64) ^ (names["sig"].astype(np.uint64) << kernel.U64(32))) % kernel.U64(buckets)).astype(np.int64)
+    order = np.lexsort((doc, bucket[doc]))
     doc, marks = doc[order], marks[order]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    cuts = np.searchsorted(bucket[doc], np.arange(buckets + 1))
+    rows = []
+    for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if z > a:
+            named, place = np.unique(doc[a:z], return_inverse=True)
+            n = names[named]
+            rows.append((i, pack(doc=place.astype(np.uint32), marks=marks[a:z], ids=n["id"], null=n["null"], sig=n["sig"])))
+    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def _by_document(t: pa.Table) -> pa.Table:
+    """A bucket's blobs as one row for each document."""
+    x = _gather(t["blob"])
+    names, order = x["names"], np.argsort(x["doc"], kind="stable")
+    doc, marks = x["doc"][order], x["marks"][order]
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     name = names[doc[first]]
     ids = pa.array(name["id"], pa.int64(), mask=name["null"])
-    sig = pa.array(name["sig"].astype(np.int64))
-    return pa.table({"doc_id": ids, "sig": sig, "marks": pa.array([m.tobytes() for m in np.split(marks, first[1:])] if len(first) else [], pa.binary())})
+    return pa.table({"__d": ids, "__s": pa.array(name["sig"].astype(np.int64)), "__marks": pa.array([m.tobytes() for m in np.split(marks, first[1:])], pa.binary())})
 
 
-def _repeated(t: pa.Table) -> pa.Table:
+def _repeated(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the fingerprints of a shard that occur more than once."""
     x = _gather(t["blob"])
     _, inverse, count = np.unique(x["h"], return_inverse=True, return_counts=True)
     keep = count[inverse] > 1
-    return _by_document(x["doc"][keep], x["at"][keep].astype(np.uint32), x["names"])
+    return x["doc"][keep], x["at"][keep].astype(np.uint32), x["names"]
 
 
-def _later(t: pa.Table) -> pa.Table:
+def _later(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of a shard that have an earlier occurrence, as 2 * start + 1, and first ones that repeat in their own document, as 2 * start."""
     x = _gather(t["blob"])
     # several chunks can hold rows that are equal: such entries are one
@@ -190,12 +207,12 @@ def _later(t: pa.Table) -> pa.Table:
     own = ~same_h & np.concatenate([same_doc[1:], [False]]) if len(h) else same_h
     d = np.concatenate([doc[same_h], doc[own]])
     marks = np.concatenate([2 * at[same_h] + 1, 2 * at[own]]).astype(np.uint32)
-    return _by_document(d, marks, x["names"])
+    return d, marks, x["names"]
 
 
-def deleted_units(marks: list[bytes], units: int, run: int) -> np.ndarray:
+def deleted_units(marks: bytes, units: int, run: int) -> np.ndarray:
     """Which units the windows in ``marks`` delete."""
-    m = np.concatenate([np.frombuffer(b, np.uint32) for b in marks]).astype(np.int64)
+    m = np.frombuffer(marks, np.uint32).astype(np.int64)
     out = []
     for odd in (1, 0):
         start = m[m % 2 == odd] // 2
@@ -252,20 +269,24 @@ def dedup(docs: DataFrame, s: Settings = PRODUCTION) -> DataFrame:
     names = docs.columns
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _sig().alias("sig"))
 
+    buckets = max(4, shards // 4)
+
     def marked(blobs: DataFrame, reduce, tag: str) -> DataFrame:
-        marks = blobs.groupBy("shard").applyInArrow(reduce, _MARKS)
-        marks = marks.groupBy("doc_id", "sig").agg(F.collect_list("marks").alias("marks"))
-        return materialise(marks.select(F.col("doc_id").alias("__d"), F.col("sig").alias("__s"), "marks"), tag)
+        def by_bucket(t: pa.Table) -> pa.Table:
+            return _by_bucket(*reduce(t), buckets)
+
+        marks = blobs.groupBy("shard").applyInArrow(by_bucket, _BUCKET)
+        return materialise(marks.groupBy("bucket").applyInArrow(_by_document, _MARKS), tag)
 
     def joined(left: DataFrame, marks: DataFrame, how: str) -> DataFrame:
         on = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (_sig() == F.col("__s"))
-        return left.join(marks, on, how).drop("__d", "__s")
+        return left.join(marks.hint("merge"), on, how).drop("__d", "__s")
 
     found = marked(keyed.mapInArrow(_emit(s, shards, False), _BLOB), _repeated, "line-fingerprints")
     near = joined(keyed, found, "inner")
     later = marked(near.mapInArrow(_emit(s, shards, True), _BLOB), _later, "line-windows")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_units", T.LongType()), T.StructField("n_deleted", T.LongType())])
-    return joined(docs, later.withColumnRenamed("marks", "__marks"), "left").mapInArrow(_cut(s, names), schema)
+    return joined(docs, later, "left").mapInArrow(_cut(s, names), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
