@@ -67,7 +67,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     with tidy_shuffles(spark):
         df.write.parquet(path)
     _remove_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._chatloom_path = path
+    return out
+
+
+def discard(written: DataFrame) -> None:
+    """Delete what :func:`materialise` wrote, when nothing will read it again."""
+    delete(written.sparkSession, written._chatloom_path)
 
 
 def ship(spark: SparkSession) -> None:
