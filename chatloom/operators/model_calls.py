@@ -1,0 +1,52 @@
+"""Model calls as pluggable batch functions with retries; a stub answers offline."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from chatloom.runtime import ship
+
+Client = Callable[[list[str]], list[str | None]]
+
+
+def call(rows: DataFrame, prompt: str, answer: str, client: Callable[[], Client], attempts: int = 4, wait: float = 0.0) -> DataFrame:
+    """``rows`` with ``answer`` and ``status`` ("ok" or "failed"): one client per partition, a batch at a time.
+
+    Empty answers are asked for again, at most ``attempts`` times; an exception waits ``wait * 2**n`` first.
+    """
+    ship(rows.sparkSession)
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField(answer, T.StringType()), T.StructField("status", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = client()
+        for b in batches:
+            texts = b[prompt].to_pylist()
+            got: list[str | None] = [None] * len(texts)
+            for n in range(attempts):
+                left = [i for i, a in enumerate(got) if not a]
+                if not left:
+                    break
+                try:
+                    for i, a in zip(left, ask([texts[i] for i in left]), strict=True):
+                        got[i] = a
+                except Exception:  # noqa: BLE001  any client error is retried, then reported as failed
+                    time.sleep(wait * 2**n)
+            status = ["ok" if a else "failed" for a in got]
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in names], pa.array([a or None for a in got], pa.string()), pa.array(status)], [*names, answer, "status"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _stub() -> Client:
+    return lambda texts: [f"You are a user chatting with an assistant language model to {t[:40]}" for t in texts]
+
+
+def stub_intents(first_turns: DataFrame) -> DataFrame:
+    """conv_id, intent, status from the offline client."""
+    return call(first_turns, "text", "intent", _stub).select("conv_id", "intent", "status")

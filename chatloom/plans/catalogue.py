@@ -2,5 +2,404 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chatloom.functions.text import fix_spacing, words
+from chatloom.operators import corpus, evaluation, prompts, training
+from chatloom.operators.model_calls import stub_intents
+from chatloom.runtime import table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+WS_SQL = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _convs(spark: SparkSession, d: str) -> DataFrame:
+    return prompts.nested(table(spark, d, "conversations"))
+
+
+@_query("SELECT doc_id, lang FROM documents WHERE lang = 'en'")
+def language_filter(spark, d):
+    return corpus.by_language(table(spark, d, "documents"), "en", "lang").select("doc_id", "lang")
+
+
+@_query("SELECT doc_id, lang FROM documents WHERE lower(lang) = 'en'")
+def language_filter_ci(spark, d):
+    return corpus.by_language(table(spark, d, "documents"), "EN", "lang", ignore_case=True).select("doc_id", "lang")
+
+
+@_query("SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def first_user_turn(spark, d):
+    return corpus.first_user_turns(table(spark, d, "conversations"))
+
+
+_GRAMS = f"""
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '{WS_SQL}'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, array_to_string(ws[i:i + 6], ' ') AS ng FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 5)) AS i FROM w WHERE len(ws) >= 7))
+"""
+
+
+@_query(f"WITH {_GRAMS} SELECT ng, count(*) AS n FROM g GROUP BY ng HAVING count(*) > 5")
+def ngram_counts(spark, d):
+    return corpus.hot_ngrams(corpus.gram_rows(table(spark, d, "documents"), "doc_id", "text"), 5)
+
+
+@_query(f"WITH {_GRAMS}, hot AS (SELECT ng FROM g GROUP BY ng HAVING count(*) > 2) SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM g SEMI JOIN hot USING (ng)) AS kept FROM documents")
+def ngram_dedup(spark, d):
+    return corpus.mark_repetitive(table(spark, d, "documents"), "doc_id", "text", threshold=2).select("doc_id", "kept")
+
+
+_SPLIT = """
+users AS (SELECT DISTINCT {user} AS u, {stratum} AS s FROM {rows}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5(CAST(u AS VARCHAR) || ':42'), u) - 1 AS r, count(*) OVER (PARTITION BY s) AS n FROM users),
+assigned AS (SELECT u, s, CASE WHEN r < floor(n * CAST(0.89 AS DOUBLE)) THEN 'train' WHEN r < floor(n * CAST(0.89 AS DOUBLE)) + floor(n * CAST(0.05 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM ranked)
+"""
+
+
+def _orders(spark, d):
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    return o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "c_custkey", "c_nationkey")
+
+
+_ORDERS = "o AS (SELECT o_orderkey, c_custkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey),"
+
+
+@_query(f"WITH {_ORDERS} {_SPLIT.format(user='c_custkey', stratum='c_nationkey', rows='o')} SELECT o_orderkey, split FROM o JOIN assigned ON u = c_custkey AND s = c_nationkey")
+def user_split(spark, d):
+    return corpus.split_rows(_orders(spark, d), "c_custkey", "c_nationkey").select("o_orderkey", "split")
+
+
+@_query(f"WITH {_ORDERS} {_SPLIT.format(user='c_custkey', stratum='c_nationkey', rows='o')} SELECT split, count(*) AS n, 0 AS n_forced FROM o JOIN assigned ON u = c_custkey AND s = c_nationkey GROUP BY split")
+def split_stats(spark, d):
+    return corpus.split_stats(corpus.split_rows(_orders(spark, d), "c_custkey", "c_nationkey"))
+
+
+@_query(
+    f"""WITH f AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), free AS (SELECT * FROM documents ANTI JOIN f USING (doc_id)),
+{_SPLIT.format(user="source", stratum="lang", rows="free")}
+SELECT documents.doc_id, f.doc_id IS NOT NULL AS forced, CASE WHEN f.doc_id IS NOT NULL THEN 'test' ELSE split END AS split
+FROM documents LEFT JOIN f USING (doc_id) LEFT JOIN assigned ON u = source AND s = lang"""
+)
+def routed_split(spark, d):
+    forced = table(spark, d, "labels").where(F.col("quality") == 0)
+    return corpus.split_rows(table(spark, d, "documents"), "source", "lang", forced, "doc_id").select("doc_id", "forced", "split")
+
+
+@_query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def resume_antijoin(spark, d):
+    return corpus.not_done(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id").select("doc_id")
+
+
+@_query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def details_last_wins(spark, d):
+    return corpus.last_per_key(table(spark, d, "events"), "user_id", "event_id", ["event_id", "event_type"])
+
+
+@_query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, l.doc_id IS NULL AS missing FROM documents d LEFT JOIN labels l USING (doc_id)")
+def cache_left_join(spark, d):
+    tasks, cache = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id", "quality")
+    return corpus.with_cached(tasks, cache, "doc_id", {"quality": -1})
+
+
+@_query(
+    """SELECT conv_id, string_agg('<' || role || '>: ' || CASE WHEN role = 'assistant' AND length(text) > 200 THEN text[1:200] || ' ...' ELSE text END, chr(10) ORDER BY turn) AS formatted
+FROM conversations GROUP BY conv_id"""
+)
+def format_conversation(spark, d):
+    return _convs(spark, d).select("conv_id", prompts.formatted(F.col("turns"), 200).alias("formatted"))
+
+
+@_query(
+    """SELECT conv_id, 'h' || md5(string_agg('<' || role || '>: ' || CASE WHEN role = 'assistant' AND length(text) > 2048 THEN text[1:2048] || ' ...' ELSE text END, chr(10) ORDER BY turn)) AS digest, count(*) AS turns
+FROM conversations GROUP BY conv_id"""
+)
+def intent_prompt(spark, d):
+    rows = _convs(spark, d).withColumn("prompt", prompts.intent_prompt(F.col("turns")))
+    # the conversation's part of the prompt, between fixed texts
+    body = F.regexp_extract("prompt", rf"(?s){prompts.INTENT_ASK}\n\n(.*)\n\n{prompts.INTENT_TAIL}$", 1)
+    return rows.select("conv_id", F.concat(F.lit("h"), F.md5(body.cast("binary"))).alias("digest"), F.size("turns").cast("long").alias("turns"))
+
+
+_LAST = """l AS (SELECT conv_id, max(turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)"""
+
+
+@_query(f"WITH {_LAST} SELECT conv_id, (SELECT count(*) FROM conversations c WHERE c.conv_id = l.conv_id AND c.turn < l.t) AS n_history, text AS user_query FROM l JOIN conversations USING (conv_id) WHERE turn = t")
+def last_user_split(spark, d):
+    return prompts.history_and_query(_convs(spark, d)).select("conv_id", F.size("history").cast("long").alias("n_history"), "user_query")
+
+
+@_query(
+    f"""WITH {_LAST} SELECT l.conv_id, coalesce(string_agg(CASE WHEN role = 'user' THEN 'Human: ' ELSE 'AI: ' END || text, chr(10) || chr(10) ORDER BY turn), '(No prior conversation history.)') AS history
+FROM l LEFT JOIN conversations c ON c.conv_id = l.conv_id AND c.turn < l.t GROUP BY l.conv_id"""
+)
+def format_history(spark, d):
+    return prompts.history_and_query(_convs(spark, d)).select("conv_id", prompts.history_text(F.col("history")).alias("history"))
+
+
+_PLACED = "p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)"
+_WRONG = "role <> CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END"
+
+
+@_query(f"WITH {_PLACED} SELECT conv_id, NOT bool_or({_WRONG}) AS ok FROM p GROUP BY conv_id")
+def role_alternation(spark, d):
+    return _convs(spark, d).select("conv_id", prompts.alternates(F.col("turns")).alias("ok"))
+
+
+@_query(
+    f"""WITH {_PLACED}, r AS (SELECT conv_id, coalesce(arg_min(CASE WHEN {_WRONG} THEN -2 ELSE -1 END, i) FILTER ({_WRONG} OR regexp_replace(coalesce(text, ''), '^{WS_SQL}|{WS_SQL}$', '', 'g') = ''), 0) AS reason FROM p GROUP BY conv_id)
+SELECT reason, count(*) AS n FROM r GROUP BY reason"""
+)
+def reject_reasons(spark, d):
+    return _convs(spark, d).groupBy(prompts.reject_reason(F.col("turns")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT l_orderkey, string_agg(CAST(i AS VARCHAR) || '. ' || item, chr(10) ORDER BY i) AS checklist FROM (SELECT l_orderkey, 'part ' || CAST(l_partkey AS VARCHAR) AS item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'part ' || CAST(l_partkey AS VARCHAR)) AS i FROM lineitem) GROUP BY l_orderkey")
+def numbered_checklist(spark, d):
+    item = F.concat(F.lit("part "), F.col("l_partkey").cast("string"))
+    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", item.alias("item")))).alias("x"))
+    return lists.select("l_orderkey", prompts.numbered(F.col("x.item")).alias("checklist"))
+
+
+def _spacing_sql() -> str:
+    from chatloom.functions.text import SPACING
+
+    out = "text"
+    for a, b in SPACING:
+        quote = lambda s: "'" + s.replace("'", "''") + "'"
+        out = f"replace({out}, {quote(a)}, {quote(b)})"
+    return out
+
+
+@_query(f"SELECT doc_id, md5({_spacing_sql()}) AS digest, length({_spacing_sql()}) AS chars FROM documents")
+def spacing_fix(spark, d):
+    fixed = fix_spacing(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(fixed.cast("binary")).alias("digest"), F.length(fixed).cast("long").alias("chars"))
+
+
+@_query("SELECT a.conv_id, a.turn, md5(a.text) AS input, md5(b.text) AS target FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant' AND a.text <> '' AND b.text <> ''")
+def pair_explode(spark, d):
+    pairs = F.filter(F.transform("turns", lambda t, i: F.struct(t.alias("a"), F.get("turns", i + 1).alias("b"))), lambda p: (p["a"]["role"] == "user") & (p["b"]["role"] == "assistant") & (p["b"]["turn"] == p["a"]["turn"] + 1))
+    rows = _convs(spark, d).select("conv_id", F.explode(pairs).alias("p")).where((F.col("p.a.text") != "") & (F.col("p.b.text") != ""))
+    return rows.select("conv_id", F.col("p.a.turn").alias("turn"), F.md5(F.col("p.a.text").cast("binary")).alias("input"), F.md5(F.col("p.b.text").cast("binary")).alias("target"))
+
+
+@_query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= floor(count(*) OVER () / 20) THEN 'eval' ELSE 'train' END AS part FROM documents")
+def head_tail_split(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    n = docs.agg(F.count("*").alias("n"))
+    ranked = training.rank_all(docs, ["doc_id"]).crossJoin(F.broadcast(n))  # one row
+    return ranked.select("doc_id", F.when(F.col("rank") <= F.floor(F.col("n") / 20), "eval").otherwise("train").alias("part"))
+
+
+@_query("SELECT doc_id, CASE WHEN toxic = 0 THEN 'safe' ELSE 'unsafe' END AS label FROM labels")
+def label_recode(spark, d):
+    return table(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 0, "safe").otherwise("unsafe").alias("label"))
+
+
+@_query(
+    """WITH s AS (SELECT doc_id, unnest(['hate', 'sexual', 'violence']) AS name, unnest([length(text) % 7, length(text) % 5, length(text) % 3]) AS score, unnest([0, 1, 2]) AS i FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS k FROM s)
+SELECT doc_id, CASE name WHEN 'hate' THEN '010' WHEN 'sexual' THEN '012' ELSE '01' END AS code FROM r WHERE k = 1"""
+)
+def category_argmax(spark, d):
+    n = F.length("text")
+    scores = F.array(*[F.struct(F.lit(k).alias("name"), (n % m).alias("score")) for k, m in (("hate", 7), ("sexual", 5), ("violence", 3))])
+    return table(spark, d, "documents").select("doc_id", prompts.category_code(scores).alias("code"))
+
+
+@_query(f"WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{WS_SQL}'), lambda x: x <> '')) AS n FROM documents) SELECT doc_id, n, n AS mask_sum FROM w WHERE n <= 512")
+def length_filter_and_mask(spark, d):
+    ids = F.transform(words(F.col("text")), lambda w: F.length(w).cast("long"))
+    rows = table(spark, d, "documents").select("doc_id", ids.alias("input_ids")).where(F.size("input_ids") <= 512)
+    rows = rows.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
+    return rows.select("doc_id", F.size("input_ids").cast("long").alias("n"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("mask_sum"))
+
+
+@_query("SELECT doc_id, length(text) AS n FROM documents WHERE length(text) <= 300")
+def pad_bucket(spark, d):
+    ids = F.transform(F.split("text", ""), lambda c: F.length(c).cast("long"))
+    rows = table(spark, d, "documents").where(F.length("text") <= 300).select("doc_id", training.padded(F.when(F.length("text") > 0, ids).otherwise(F.array().cast("array<bigint>")), 300, -1).alias("ids"))
+    return rows.select("doc_id", F.size(F.filter("ids", lambda x: x >= 0)).cast("long").alias("n"))
+
+
+@_query()
+def verdict_parse(spark, d):
+    s = F.col("toxic")
+    answer = (
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit('```json\n[{"item": 1, "satisfied": '), F.when(s == 1, "true").otherwise("false"), F.lit("}]\n```")))
+        .when(F.col("doc_id") % 5 == 1, F.lit('so [{"satisfied": "TRUE", "reasoning": "a \\d b"}, {"satisfied": false}] it is'))
+        .when(F.col("doc_id") % 5 == 2, F.lit('[{"satisfied": 1}]')).when(F.col("doc_id") % 5 == 3, F.lit("no answer")).otherwise(F.lit("[]"))
+    )
+    rows = table(spark, d, "labels").select("doc_id", evaluation.verdicts(answer, F.lit(1)).alias("v"))
+    return rows.select("doc_id", F.size("v").alias("n"), F.size(F.filter("v", lambda x: x)).alias("n_satisfied"))
+
+
+def _details(spark, d, column, limit, skip):
+    l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    sat = l.groupBy("l_orderkey").agg(F.count_if(F.col(column) > limit).alias("s"), F.count("*").alias("n_items"))
+    rows = sat.join(o, sat["l_orderkey"] == o["o_orderkey"]).where(F.col("o_orderkey") % skip != 0)
+    failed = F.col("o_orderkey") % 13 == 0
+    return rows.select("o_orderkey", F.col("o_orderpriority").alias("tag"), F.when(~failed, F.col("s")).alias("n_satisfied"), "n_items")
+
+
+def _details_sql(column, limit, skip):
+    return f"""(SELECT o_orderkey, any_value(o_orderpriority) AS tag, CASE WHEN o_orderkey % 13 <> 0 THEN count(*) FILTER ({column} > {limit}) END AS n_satisfied, count(*) AS n_items
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % {skip} <> 0 GROUP BY o_orderkey)"""
+
+
+_ONE, _TWO = _details_sql("l_discount", 0.05, 7), _details_sql("l_tax", 0.04, 11)
+
+
+@_query(
+    f"""SELECT count(*) AS n_tasks, count(*) FILTER (n_satisfied IS NULL) AS n_failed, count(n_satisfied) AS n_valid, round(avg(n_satisfied / n_items) * 100, 2) AS macro_rate,
+round(sum(n_satisfied) / sum(n_items) FILTER (n_satisfied IS NOT NULL) * 100, 2) AS micro_rate FROM {_ONE}"""
+)
+def satisfaction_summary(spark, d):
+    return evaluation.summary(_details(spark, d, "l_discount", 0.05, 7))
+
+
+@_query(f"SELECT tag, round(avg(n_satisfied / n_items) * 100, 2) AS rate, count(*) AS n FROM {_ONE} WHERE n_satisfied IS NOT NULL GROUP BY tag")
+def satisfaction_by_tag(spark, d):
+    return evaluation.by_tag(_details(spark, d, "l_discount", 0.05, 7))
+
+
+@_query("SELECT CAST(coalesce(sum(nullif(l_quantity, 1)), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(l_suppkey), 0) AS BIGINT) AS completion_tokens FROM lineitem")
+def token_usage(spark, d):
+    rows = table(spark, d, "lineitem").select(F.nullif("l_quantity", F.lit(1.0)).alias("prompt_tokens"), F.col("l_suppkey").alias("completion_tokens"))
+    return evaluation.usage(rows, ["prompt_tokens", "completion_tokens"])
+
+
+_OUT = f"""x AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, coalesce(nullif(a.tag, ''), nullif(b.tag, ''), 'unknown') AS tag, a.n_satisfied AS n1, b.n_satisfied AS n2,
+CASE WHEN b.o_orderkey IS NULL THEN 'only1' WHEN a.o_orderkey IS NULL THEN 'only2' WHEN a.n_satisfied IS NULL OR b.n_satisfied IS NULL THEN 'failed' WHEN a.n_satisfied > b.n_satisfied THEN 'win' WHEN a.n_satisfied < b.n_satisfied THEN 'loss' ELSE 'tie' END AS outcome
+FROM {_ONE} a FULL JOIN {_TWO} b ON a.o_orderkey = b.o_orderkey)"""
+_WTL = "count(*) FILTER (outcome = 'win') AS wins, count(*) FILTER (outcome = 'tie') AS ties, count(*) FILTER (outcome = 'loss') AS losses"
+
+
+def _outcomes(spark, d):
+    return evaluation.outcomes(_details(spark, d, "l_discount", 0.05, 7), _details(spark, d, "l_tax", 0.04, 11), "o_orderkey")
+
+
+@_query(f"WITH {_OUT} SELECT * FROM x")
+def pairwise_outcomes(spark, d):
+    return _outcomes(spark, d)
+
+
+@_query(
+    f"""WITH {_OUT}, s AS (SELECT {_WTL}, count(*) FILTER (outcome = 'failed') AS n_failed, count(*) FILTER (outcome = 'only1') AS n_only1, count(*) FILTER (outcome = 'only2') AS n_only2 FROM x)
+SELECT *, wins + ties + losses AS n, round(wins / (wins + ties + losses) * 100, 2) AS win_rate, round(ties / (wins + ties + losses) * 100, 2) AS tie_rate, round(losses / (wins + ties + losses) * 100, 2) AS loss_rate,
+round((wins + CAST(0.5 AS DOUBLE) * ties) / (wins + ties + losses) * 100, 2) AS adjusted_rate FROM s"""
+)
+def pairwise_summary(spark, d):
+    return evaluation.pairwise_summary(_outcomes(spark, d))
+
+
+@_query(f"WITH {_OUT} SELECT tag, {_WTL}, count(*) AS n, round(count(*) FILTER (outcome = 'win') / count(*) * 100, 2) AS win_rate FROM x WHERE outcome IN ('win', 'tie', 'loss') GROUP BY tag")
+def pairwise_by_tag(spark, d):
+    return evaluation.pairwise_by_tag(_outcomes(spark, d))
+
+
+@_query(
+    """WITH RECURSIVE r AS (SELECT conv_id, sum(length(text)) AS n, row_number() OVER (ORDER BY conv_id) AS i FROM conversations GROUP BY conv_id),
+f AS (SELECT i, conv_id, CAST(n AS BIGINT) AS used, CASE WHEN n >= 4096 THEN 1 ELSE 0 END AS chunk FROM r WHERE i = 1
+  UNION ALL SELECT r.i, r.conv_id, CAST(CASE WHEN f.used + r.n >= 4096 THEN r.n ELSE f.used + r.n END AS BIGINT), f.chunk + CASE WHEN f.used + r.n >= 4096 THEN 1 ELSE 0 END FROM f JOIN r ON r.i = f.i + 1)
+SELECT 0 AS shard, conv_id, CAST(chunk AS BIGINT) AS chunk_id FROM f WHERE chunk < (SELECT max(chunk) FROM f)"""
+)
+def greedy_pack(spark, d):
+    sizes = table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("size"))
+    return training.greedy_pack(sizes, "conv_id", "size", 4096)
+
+
+_BATCH = "b AS (SELECT doc_id, (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 16 AS batch_no, count(*) OVER () AS n FROM documents), k AS (SELECT doc_id, batch_no, n // 16 AS batches FROM b WHERE batch_no < n // 16)"
+
+
+@_query(f"WITH {_BATCH} SELECT doc_id, batch_no FROM k")
+def length_batches(spark, d):
+    return training.length_batches(table(spark, d, "documents"), "doc_id", "n_chars", 16)
+
+
+@_query(f"WITH {_BATCH} SELECT doc_id, batch_no FROM k WHERE batch_no % 4 = 1 AND batch_no < batches // 4 * 4")
+def rank_stripe(spark, d):
+    docs = table(spark, d, "documents")
+    return training.stripe(training.length_batches(docs, "doc_id", "n_chars", 16), 4, 1, docs.count() // 16)
+
+
+@_query("SELECT round(sum(value * (event_id % 97)) / sum(event_id % 97), 6) AS loss, CAST(sum(event_id % 97) AS BIGINT) AS tokens FROM events")
+def weighted_loss(spark, d):
+    rows = table(spark, d, "events").withColumn("tokens", F.col("event_id") % 97)
+    return training.weighted_loss(rows, "value", "tokens").select(F.round("loss", 6).alias("loss"), "tokens")
+
+
+@_query("WITH b AS (SELECT event_id, value, min(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM events) SELECT event_id, best_before, best_before IS NULL OR value < best_before AS improved FROM b")
+def best_so_far(spark, d):
+    return training.best_so_far(table(spark, d, "events"), "event_type", "event_id", "value").select("event_id", "best_before", "improved")
+
+
+@_query("SELECT step, round(CASE WHEN step < 100 THEN 2e-5 * (step + 1) / 100 WHEN step < 1000 THEN 2e-6 + (2e-5 - 2e-6) * 0.5 * (1 + cos(pi() * (step - 100) / 900)) ELSE 2e-6 END, 12) AS lr FROM range(1002) t(step)")
+def lr_schedule(spark, d):
+    return training.learning_rates(spark, 1000, 100).select("step", F.round("lr", 12).alias("lr"))
+
+
+@_query("SELECT event_id, round(exp(value / 100), 6) AS perplexity FROM events WHERE event_id % 50 = 0 AND event_id <= 5000")
+def perplexity_every_k_steps(spark, d):
+    return table(spark, d, "events").where((F.col("event_id") % 50 == 0) & (F.col("event_id") <= 5000)).select("event_id", F.round(F.exp(F.col("value") / 100), 6).alias("perplexity"))
+
+
+@_query("SELECT l_partkey, round(max(abs(l_extendedprice - l_quantity)), 4) AS max_delta, round(avg(abs(l_quantity)), 6) AS mean_abs FROM lineitem GROUP BY l_partkey ORDER BY max_delta DESC, l_partkey LIMIT 10")
+def topk_delta(spark, d):
+    delta = F.round(F.max(F.abs(F.col("l_extendedprice") - F.col("l_quantity"))), 4)
+    rows = table(spark, d, "lineitem").groupBy("l_partkey").agg(delta.alias("max_delta"), F.round(F.avg(F.abs("l_quantity")), 6).alias("mean_abs"))
+    return rows.orderBy(F.col("max_delta").desc(), "l_partkey").limit(10)
+
+
+@_query(
+    f"""WITH {_PLACED}, s AS (SELECT conv_id, i, role, regexp_replace(coalesce(text, ''), '^{WS_SQL}|{WS_SQL}$', '', 'g') AS x, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM p),
+good AS (SELECT conv_id, any_value(i) FROM s GROUP BY conv_id HAVING NOT bool_or(role <> CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END OR x = '')),
+u AS (SELECT conv_id, sum(length(x) + 11) FILTER (role = 'user') AS user_chars, sum(length(x) + 61) FILTER (role = 'assistant') AS other_chars, arg_max(role, i) AS last FROM s SEMI JOIN good USING (conv_id) GROUP BY conv_id)
+SELECT conv_id, CAST(user_chars + 19 + 11 + CASE WHEN last = 'user' THEN 17 ELSE 0 END AS BIGINT) AS trainable FROM u"""
+)
+def flip_labels(spark, d):
+    convs = _convs(spark, d)
+    intent = F.concat(F.lit("You are a user chatting with an assistant language model to "), F.get("turns", F.lit(0))["text"])
+    segments = training.flip_segments(convs, intent)
+    return segments.select("conv_id", training.label_counts(F.col("segments"))[1].alias("trainable"))
+
+
+@_query("SELECT conv_id, CAST(sum(length(text) + CASE WHEN turn % 2 = 0 THEN 6 ELSE 7 END) + 2 * (count(*) - 1) AS BIGINT) AS body_chars FROM conversations GROUP BY conv_id")
+def safety_prompt(spark, d):
+    made = prompts.safety_prompt(F.col("turns"), [("Violent Crimes", "")])
+    fixed = prompts.safety_prompt(F.array().cast("array<struct<turn:bigint,role:string,text:string>>"), [("Violent Crimes", "")])
+    return _convs(spark, d).select("conv_id", (F.length(made) - F.length(fixed)).cast("long").alias("body_chars"))
+
+
+@_query("SELECT doc_id, array_to_string(list_sort(list_transform(list_distinct(list_filter([doc_id % 3, doc_id % 5, 9], lambda x: x IN (1, 2, 4))), lambda x: 'S' || CASE x WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END)), ',') AS codes FROM labels")
+def safety_target(spark, d):
+    codes = F.array(*[F.concat(F.lit("O"), x.cast("string")) for x in (F.col("doc_id") % 3, F.col("doc_id") % 5, F.lit(9))])
+    return table(spark, d, "labels").select("doc_id", prompts.violated_codes(codes, F.array(*[F.lit(x) for x in (1, 2, 4)])).alias("codes"))
+
+
+@_query("SELECT conv_id, 'ok' AS status, 'You are a user chatting with an assistant language model to ' || arg_min(text, turn)[1:40] AS intent FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def intent_stub(spark, d):
+    return stub_intents(corpus.first_user_turns(table(spark, d, "conversations")))
+
+
+@_query(
+    f"""WITH t AS (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id), w AS (SELECT conv_id, list_filter(regexp_split_to_array(lower(text), '{WS_SQL}'), lambda x: x <> '') AS ws FROM t),
+g AS (SELECT conv_id, array_to_string(ws[i:i + 6], ' ') AS ng FROM (SELECT conv_id, ws, unnest(range(1, len(ws) - 5)) AS i FROM w WHERE len(ws) >= 7)), hot AS (SELECT ng FROM g GROUP BY ng HAVING count(*) > 100),
+kept AS (SELECT conv_id, conv_id % 50 AS stratum FROM t WHERE conv_id NOT IN (SELECT conv_id FROM g SEMI JOIN hot USING (ng))), {_SPLIT.format(user="conv_id", stratum="stratum", rows="kept")}
+SELECT split, count(*) AS n, 0 AS n_forced FROM kept JOIN assigned ON u = conv_id AND s = stratum GROUP BY split"""
+)
+def corpus_preprocess(spark, d):
+    first = corpus.first_user_turns(table(spark, d, "conversations"))
+    kept = corpus.mark_repetitive(first, "conv_id", "text").where("kept").withColumn("stratum", F.col("conv_id") % 50)
+    return corpus.split_stats(corpus.split_rows(kept, "conv_id", "stratum"))
