@@ -38,8 +38,8 @@ def hot_ngrams(grams: DataFrame, threshold: int) -> DataFrame:
 def mark_repetitive(df: DataFrame, key: str, text: str, n: int = 7, threshold: int = 100) -> DataFrame:
     """``df`` with ``kept``: false if any n-gram of the text occurs more than ``threshold`` times in all texts, repeats counted."""
     grams = gram_rows(df, key, text, n)
-    gone = grams.join(hot_ngrams(grams, threshold), "ng", "left_semi").select("id").distinct().withColumn("hot", F.lit(True))
-    return df.join(gone, df[key] == gone["id"], "left").withColumn("kept", F.col("hot").isNull()).drop("id", "hot")
+    gone = grams.join(hot_ngrams(grams, threshold), "ng", "left_semi").select(F.col("id").alias("__id")).distinct()
+    return df.join(gone, df[key] == gone["__id"], "left").withColumn("kept", F.col("__id").isNull()).drop("__id")
 
 
 def user_key(ip: Column, country: Column) -> Column:
