@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.llm import kernel
@@ -106,7 +106,7 @@ def _signed(size: int):
                 digests = [_digest(h[a:z]) if z > a else None for a, z in zip(first[:-1], first[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(keys).ravel()))
                 nodes = pa.array([None if d is None else _node(d) for d in digests], pa.int64())
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(block.first, len(block)), pa.array(count.astype(np.int64)), pa.array(digests, pa.binary()), nodes, lists], ["doc_id", "n_shingles", "digest", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([*[b[c].slice(block.first, len(block)) for c in ("doc_id", "sig")], pa.array(count.astype(np.int64)), pa.array(digests, pa.binary()), nodes, lists], ["doc_id", "sig", "n_shingles", "digest", "node", "bands"])
 
     return run
 
@@ -173,11 +173,11 @@ def _solve(t: pa.Table) -> pa.Table:
 
 
 def link(docs: DataFrame, size: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
+    """doc_id, sig (a hash of the text), n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialise(docs.mapInArrow(_signed(size), "doc_id long, n_shingles long, digest binary, node long, bands array<long>"), "near-signed")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("sig"))
+    signed = materialise(docs.mapInArrow(_signed(size), "doc_id long, sig long, n_shingles long, digest binary, node long, bands array<long>"), "near-signed")
     classes = signed.where(F.col("n_shingles") > 0).groupBy("digest", "node", "n_shingles", "bands").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     classes = materialise(classes, "near-classes")
 
@@ -191,7 +191,8 @@ def link(docs: DataFrame, size: int = 4) -> DataFrame:
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     members = members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster").select("cluster", "blocks", "node", "rep")
-    rows = docs.join(members, docs["doc_id"] == F.col("rep")).select("cluster", "blocks", "node", "text")
+    # never a broadcast, however few the members: their number grows with the input
+    rows = docs.join(members.hint("merge"), docs["doc_id"] == F.col("rep")).select("cluster", "blocks", "node", "text")
     sets = rows.mapInArrow(_sets(size), "cluster long, blocks int, node long, shingles binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -202,8 +203,8 @@ def link(docs: DataFrame, size: int = 4) -> DataFrame:
     named = classes.select("digest", "node", "rep").join(linked, "node", "left")
     least = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("rep").alias("least"))
     named = materialise(named.join(least, "label", "left").select("digest", F.coalesce("least", "rep").alias("component_id")), "near-components")
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = signed.select("doc_id", "sig", "n_shingles", "digest").join(named, "digest", "left")
+    return out.select("doc_id", "sig", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def with_kept(linked: DataFrame) -> DataFrame:
@@ -211,14 +212,21 @@ def with_kept(linked: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the first row of its smallest id; rows without an id stay if no other row is like them."""
-    kept = with_kept(link(docs, size)).where("kept").select(F.col("doc_id").alias("__d")).distinct()
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__d"))).drop("__d")
-    return out.dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs`` that stay: of each component those of its smallest id, and of rows with equal id and text one.
+
+    Rows without an id stay if no row with an id is like them.
+    """
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull()]
+    names = ["__k0", "__k1", "__k2"]
+    kept = with_kept(link(docs, size)).where("kept").select(*[k.alias(n) for k, n in zip([*keys, F.col("sig")], names, strict=True)]).distinct()
+    rows = docs.withColumns(dict(zip(names, [*keys, F.xxhash64("text")], strict=True)))
+    # the window finds rows where the join has put them
+    first = F.row_number().over(Window.partitionBy(*names).orderBy(*names))
+    return rows.join(kept.hint("merge"), names).withColumn("__n", first).where(F.col("__n") == 1).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_kept(link(table(spark, sf_dir, "documents")))
+    return with_kept(link(table(spark, sf_dir, "documents"))).drop("sig")
 
 
 def brute_force(docs: list[tuple[int, str | None]], size: int = 4, percent: int = PERCENT) -> list[tuple]:

@@ -13,7 +13,7 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     """``big`` with ``small`` on ``keys`` (equal, or both null); each key's rows of ``big`` are dealt over ``salts`` tasks.
 
     ``small`` has at most one row for each key and is repeated ``salts`` times. Columns of ``small``
-    other than the keys are added. Empty inputs give the join's usual empty or unmatched rows.
+    other than the keys are added. It is a sort-merge join at every size. Empty inputs give the join's usual empty or unmatched rows.
     """
     names = {k: f"__key_{i}" for i, k in enumerate(keys)}
     right = small.withColumnsRenamed(names).withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -21,7 +21,7 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     on = F.col("__salt_l") == F.col("__salt_r")
     for k, other in names.items():
         on = on & left[k].eqNullSafe(F.col(other))
-    return left.join(right, on, how).drop("__salt_l", "__salt_r", *names.values())
+    return left.join(right.hint("merge"), on, how).drop("__salt_l", "__salt_r", *names.values())
 
 
 def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 16) -> DataFrame:
