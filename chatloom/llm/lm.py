@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm import kernel
 from chatloom.llm.blobs import pack, unpack
-from chatloom.runtime import materialise, ship, shuffle_partitions, table
+from chatloom.runtime import discard, materialise, ship, shuffle_partitions, table
 
 U64 = kernel.U64
 START, END = kernel.mix64(np.array([101, 102], np.uint64))
@@ -159,52 +159,74 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "shard", "unit", "blob"])
 
 
+#: Bytes of text in a chunk, whose pairs are named once for each shard.
+CHUNK = 4 << 20
+
+
 def _emit(shared, scoring: bool):
     """Blobs of pairs by shard. For training: counts of training text (0 for pairs of other text) and its words' counts.
-    For scoring: the documents of each pair, and the unit's documents."""
+    For scoring: the documents of each pair, and the chunk's documents."""
+
+    def prepared(b: pa.RecordBatch, held: np.ndarray) -> Iterator[tuple[slice, list, list, list]]:
+        """Per chunk: its rows; contexts and words of its blocks; and counts, or (pair, doc, times)."""
+        left, right, held_by, rows = [], [], [], None
+        size = 0
+        for block in kernel.blocks(b["text"], 1 << 20):
+            u, w, doc = tokens(block)
+            _, first, place = np.unique(kernel.mix64(u ^ kernel.mix64(w)), return_index=True, return_inverse=True)
+            left.append(u[first])
+            right.append(w[first])
+            start = block.first if rows is None else rows.start
+            rows = slice(start, block.first + len(block))
+            if scoring:
+                key, times = np.unique(place * len(block) + doc, return_counts=True)
+                held_by.append((key // len(block), (key % len(block) + block.first - start).astype(np.int32), times.astype(np.int32)))
+            else:
+                trained = ~held[block.first : block.first + len(block)][doc]
+                held_by.append(np.bincount(place[trained], minlength=len(first)))
+            size += len(block.data)
+            if size >= CHUNK:
+                yield rows, left, right, held_by
+                left, right, held_by, rows, size = [], [], [], None, 0
+        if rows is not None:
+            yield rows, left, right, held_by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: Totals = shared.value
         for b in batches:
             held = b["held_out"].to_numpy(zero_copy_only=False)
-            for block in kernel.blocks(b["text"], 4 << 20):
-                u, w, doc = tokens(block)
-                trained = ~held[block.first : block.first + len(block)][doc]
+            for part, left, right, held_by in prepared(b, held):
+                sizes = np.cumsum([0, *map(len, left)])
+                u, w = np.concatenate(left), np.concatenate(right)
                 _, first, place = np.unique(kernel.mix64(u ^ kernel.mix64(w)), return_index=True, return_inverse=True)
                 u, w = u[first], w[first]
                 shard = _shard(u, w, totals)
                 order = np.lexsort((w, u, shard))
                 cuts = np.searchsorted(shard[order], np.arange(totals.shards + 1))
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                u, w, rank = u[order], w[order], rank[place]
                 rows = []
                 if scoring:
-                    part = slice(block.first, block.first + len(block))
-                    ids = b["doc_id"].slice(block.first, len(block))
-                    null = np.asarray(ids.is_null())
-                    unit_docs = pack(id=ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null=null, held=held[part])
+                    ids = b["doc_id"].slice(part.start, part.stop - part.start)
                     sig = b["sig"].to_numpy()[part].view(np.uint64)
                     unit = int(kernel.mix64(sig ^ kernel.mix64(np.arange(len(sig), dtype=np.uint64))).view(np.int64).sum())
-                    rows.append((DOCS, unit % totals.shards, unit, unit_docs))
-                    # documents of each pair, pairs in order
-                    rank = np.empty(len(order), np.int64)
-                    rank[order] = np.arange(len(order))
-                    key, times = np.unique(rank[place] * len(block) + doc, return_counts=True)
-                    pair, of = key // len(block), key % len(block)
-                    at = np.searchsorted(pair, cuts)
-                    docs_of = np.bincount(pair, minlength=len(order))
-                    for s in range(totals.shards):
-                        a, z = cuts[s], cuts[s + 1]
+                    named = pack(id=ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null=np.asarray(ids.is_null()), held=held[part])
+                    rows.append((DOCS, unit % totals.shards, unit, named))
+                    pair = np.concatenate([rank[sizes[i] + p] for i, (p, _, _) in enumerate(held_by)])
+                    by = np.argsort(pair, kind="stable")
+                    of, times = (np.concatenate([h[j] for h in held_by])[by] for j in (1, 2))
+                    at = np.searchsorted(pair[by], cuts)
+                    docs_of = np.bincount(pair, minlength=len(u))
+                    for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                         if z > a:
-                            part = order[a:z]
-                            rows.append((SEEN, s, unit, pack(**_types(u[part], w[part], docs_of[a:z]), doc=_small(of[at[s] : at[s + 1]]), k=_small(times[at[s] : at[s + 1]]))))
+                            rows.append((SEEN, s, unit, pack(**_types(u[a:z], w[a:z], docs_of[a:z]), doc=_small(of[at[s] : at[s + 1]]), k=_small(times[at[s] : at[s + 1]]))))
                 else:
-                    count = np.bincount(place[trained], minlength=len(u))
-                    for s in range(totals.shards):
-                        part = order[cuts[s] : cuts[s + 1]]
-                        if len(part):
-                            rows.append((STATE, s, 0, pack(**_types(u[part], w[part], count[part]))))
-                    words, of = np.unique(w, return_inverse=True)
-                    c = np.bincount(of, weights=count, minlength=len(words)).astype(np.int64)
-                    words, c = words[c > 0], c[c > 0]
+                    count = np.bincount(rank, weights=np.concatenate(held_by), minlength=len(u)).astype(np.int64)
+                    for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                        if z > a:
+                            rows.append((STATE, s, 0, pack(**_types(u[a:z], w[a:z], count[a:z]))))
+                    words, c = _sum_by(w[count > 0], count[count > 0])
                     cuts = np.searchsorted(_range(words, totals.shards), np.arange(totals.shards + 1))
                     rows += [(WORDS, s, 0, pack(w=words[a:z], c=_small(c[a:z]))) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
                 if rows:
@@ -511,14 +533,14 @@ def score(docs: DataFrame, is_held_out: Column, s: Settings = PRODUCTION) -> Dat
     totals = Totals(shuffle_partitions(spark), _hot_words(docs), s)
 
     blobs = rows.mapInArrow(_emit(share(totals), False), _ROW)
-    state = materialise(blobs.groupBy("kind", "shard").applyInArrow(_merge(share(totals)), _STATE_ROW), "lm-state")
-    words = state.where(F.col("kind") == WORDS).select("kind", "shard", F.lit(0).cast("long").alias("unit"), "blob")
-    sums = {r.kind: r for r in state.groupBy("kind").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}
+    merged = materialise(blobs.groupBy("kind", "shard").applyInArrow(_merge(share(totals)), _STATE_ROW), "lm-state")
+    words = materialise(merged.where(F.col("kind") == WORDS).select("kind", "shard", F.lit(0).cast("long").alias("unit"), "blob"), "lm-words")
+    sums = {r.kind: r for r in merged.groupBy("kind").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}
     if WORDS in sums:
         totals.tokens, totals.vocab = sums[WORDS].x, sums[WORDS].y
     if STATE in sums and sums[STATE].x:
         totals.d = float(np.clip(sums[STATE].x / (sums[STATE].x + 2 * sums[STATE].y), 0.1, 0.9))
-    state = state.where(F.col("kind") == STATE)
+    state, old = merged.where(F.col("kind") == STATE), [merged]
     _add_hot(totals, state, 1)
 
     def parent(now: DataFrame, tag: str) -> DataFrame:
@@ -530,6 +552,7 @@ def score(docs: DataFrame, is_held_out: Column, s: Settings = PRODUCTION) -> Dat
         most = max([len(c) for c in got["c"].to_pylist()], default=1)
         c, t = (np.array([v if len(v) == most else [0] * most for v in got[k].to_pylist()] or [[0]]).sum(axis=0) for k in ("c", "t"))
         totals.customers, totals.tables = c.astype(float), t.astype(float)
+        old.append(seated)
         return seated.mapInArrow(_answer(share(totals)), _ROW)
 
     def rows_of(now: DataFrame) -> DataFrame:
@@ -538,6 +561,9 @@ def score(docs: DataFrame, is_held_out: Column, s: Settings = PRODUCTION) -> Dat
     for tag, sweeps, keep in (("burn", s.burn, 1), ("sample", s.samples, s.samples)):
         both = rows_of(state).unionByName(parent(state, tag))
         state = materialise(both.groupBy("shard").applyInArrow(_sweep(share(totals), sweeps, keep), _STATE_ROW), f"lm-{tag}")
+        for done in old:
+            discard(done)
+        old[:] = [state]
         _add_hot(totals, state, keep)
     seen = rows.mapInArrow(_emit(share(totals), True), _ROW)
     everything = rows_of(state).unionByName(parent(state, "final")).unionByName(seen)
