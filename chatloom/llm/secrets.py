@@ -19,6 +19,8 @@ Only DataFrame functions run here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,20 +47,28 @@ def _offsets(pairs: Column, start: Column) -> Column:
     return F.aggregate(pairs, F.struct(start.cast("long").alias("at"), F.array().cast(_SPANS).alias("out")), step)["out"]
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once: a lambda's body is worked out anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _long(pairs: Column) -> Column:
+    """Offsets of many matches: sums of chunks first, so that the work stays far below the square of their number."""
+    chunks = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _FEW).cast("int"))
+    cut = F.transform(chunks, lambda c: F.slice(pairs, c * _FEW + 1, _FEW))
+    sums = F.transform(cut, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, p: a + p["gap"] + p["len"]))
+    starts = F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+    return F.flatten(F.zip_with(cut, F.slice(starts, F.lit(1), F.size(chunks)), _offsets))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as (s, e, m): code points, end exclusive, and the match."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.transform(found, lambda m, i: F.struct(F.length(F.get(gaps, i)).cast("long").alias("gap"), F.length(m).cast("long").alias("len"), m.alias("m")))
-    few = _offsets(pairs, F.lit(0))
-    # many matches: sums of chunks first, so that the work stays far below the square of their number
-    chunks = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _FEW).cast("int"))
-    chunk = lambda c: F.slice(pairs, c * _FEW + 1, _FEW)
-    sums = F.transform(chunks, lambda c: F.aggregate(chunk(c), F.lit(0).cast("long"), lambda a, p: a + p["gap"] + p["len"]))
-    starts = F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-    many = F.flatten(F.transform(chunks, lambda c: _offsets(chunk(c), F.get(starts, c))))
-    none = F.array().cast(_SPANS)
-    return F.when(~text.rlike(pattern), none).when(F.size(found) <= _FEW, few).otherwise(many)
+    # the text between matches; what follows the last one has no match beside it
+    pairs = F.zip_with(found, F.split(text, pattern, -1), lambda m, g: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("len"), m.alias("m")))
+    pairs = F.filter(pairs, lambda p: p["m"].isNotNull())
+    made = _bound(pairs, lambda p: F.when(F.size(p) <= _FEW, _offsets(p, F.lit(0))).otherwise(_long(p)))
+    return F.when(~text.rlike(pattern), F.array().cast(_SPANS)).otherwise(made)
 
 
 def parts(docs: DataFrame) -> DataFrame:
