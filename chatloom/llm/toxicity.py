@@ -37,6 +37,9 @@ from chatloom.llm import kernel
 from chatloom.runtime import materialise, ship, table
 
 THRESHOLD = 0.3
+#: Queries searched together.
+GROUP = 256
+_NO_ID = np.iinfo(np.int64).max
 
 
 @dataclass(frozen=True)
@@ -139,6 +142,7 @@ class Model:
     block_terms: list[np.ndarray] = field(default_factory=list)
     block_weights: list[np.ndarray] = field(default_factory=list)
     block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    least_id: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  #: of each block
     rate: float = 0.0  #: of the examples with a term
     bare: float = 0.0  #: score without any term
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
@@ -149,34 +153,62 @@ class Model:
         w = (1 + np.log(tf)) * self.idf[term]
         return w / np.sqrt((w * w).sum())
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a positive cosine; ties go to the smaller id."""
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines (to nine digits) of the k nearest examples of each query (terms, weights).
+
+        Only positive cosines count: what is missing has place -1 and cosine 0.  Ties go to the
+        smaller id.  ``without``: a place for each query that is not to be found.
+        """
+        k = self.settings.k
+        places, cosines = np.full((len(queries), k), -1, np.int64), np.zeros((len(queries), k))
+        # alike queries side by side: they need the same blocks
+        order = np.argsort([t[w.argmax()] for t, w in queries], kind="stable") if queries else np.zeros(0, np.int64)
+        for lo in range(0, len(order), GROUP):
+            at = order[lo : lo + GROUP]
+            places[at], cosines[at] = self._search([queries[i] for i in at], None if without is None else without[at])
+        return places, cosines
+
+    def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         k, size = self.settings.k, self.settings.block
-        bound = weight @ self.block_max[term]
-        places, cosines, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(places) == k and bound[b] < kth - 1e-12):
-                break
-            terms = self.block_terms[b]
-            at = np.searchsorted(terms, term)
-            ok = terms[np.minimum(at, len(terms) - 1)] == term
-            got = weight[ok] @ self.block_weights[b][at[ok]]
-            here = np.flatnonzero(got > 0)
-            p, c = here + b * size, got[here]
+        cols = np.unique(np.concatenate([t for t, _ in queries]))
+        q = np.zeros((len(queries), len(cols)))
+        for i, (t, w) in enumerate(queries):
+            q[i, np.searchsorted(cols, t)] = w
+        bound = np.round(q @ self.block_max[cols] + 1e-12, 9)
+        places, cosines, ids = np.full((len(q), k), -1, np.int64), np.zeros((len(q), k)), np.full((len(q), k), _NO_ID)
+        for b in np.argsort(-bound.max(axis=0), kind="stable"):
+            top, kth = bound[:, b], cosines[:, -1]
+            # a block whose bound ties with the k-th best can only win by a smaller id
+            row = np.flatnonzero((top > kth) | ((top == kth) & (top > 0) & (self.least_id[b] < ids[:, -1])))
+            if not len(row):
+                continue
+            _, mine, theirs = np.intersect1d(cols, self.block_terms[b], assume_unique=True, return_indices=True)
+            got = np.round(q[np.ix_(row, mine)] @ self.block_weights[b][theirs], 9)
+            here = np.arange(got.shape[1]) + b * size
             if without is not None:
-                p, c = p[p != without], c[p != without]
-            places, cosines = np.concatenate([places, p]), np.concatenate([cosines, c])
-            best = np.lexsort((self.ids[places], -np.round(cosines, 12)))[:k]
-            places, cosines = places[best], cosines[best]
-            kth = cosines[-1] if len(cosines) else 0.0
+                got[without[row][:, None] == here] = 0.0
+            reach = got.max(axis=1) >= np.maximum(kth[row], 1e-9)
+            row, got = row[reach], got[reach]
+            if not len(row):
+                continue
+            p = np.hstack([places[row], np.where(got > 0, here, -1)])
+            c = np.hstack([cosines[row], np.maximum(got, 0.0)])
+            i = np.hstack([ids[row], np.where(got > 0, self.ids[here], _NO_ID)])
+            best = np.lexsort((i, -c), axis=-1)[:, :k]
+            places[row], cosines[row], ids[row] = (np.take_along_axis(x, best, axis=1) for x in (p, c, i))
         return places, cosines
 
-    def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
+    def nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What :meth:`search` finds for one query, without the missing."""
+        places, cosines = self.search([(term, weight)])
+        return places[places >= 0], cosines[places >= 0]
+
+    def vote(self, places: np.ndarray, cosines: np.ndarray) -> np.ndarray:
         a = self.settings.smooth
-        return float((cosines @ self.toxic[places] + a * self.rate) / (cosines.sum() + a))
+        return ((cosines * self.toxic[places]).sum(axis=1) + a * self.rate) / (cosines.sum(axis=1) + a)
 
-    def calibrated(self, vote: float) -> float:
-        return float(np.clip(np.interp(vote, self.knots, self.levels), 0.0, 1.0))
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
+        return np.clip(np.interp(votes, self.knots, self.levels), 0.0, 1.0)
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,7 +255,8 @@ def build(vocab: np.ndarray, base: np.ndarray, examples: list[tuple[int, int, np
         m.block_terms.append(terms)
         m.block_weights.append(dense)
         m.block_max[terms, b] = dense.max(axis=1)
-    votes = np.array([m.vote(*m.nearest(x[2], x[3], without=i)) for i, x in enumerate(made)])
+    m.least_id = np.minimum.reduceat(m.ids, np.arange(0, len(made), s.block))
+    votes = m.vote(*m.search([(x[2], x[3]) for x in made], without=np.arange(len(made))))
     m.knots, m.levels = _isotonic(votes, m.toxic)
     return m
 
@@ -284,14 +317,16 @@ def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
                 if not len(doc):
                     continue
                 cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                for d, t, f in zip(doc[cut], np.split(term, cut[1:]), np.split(tf, cut[1:]), strict=True):
-                    key = t.tobytes() + f.tobytes()
-                    if key not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        places, cosines = m.nearest(t, m.weights(t, f))
-                        top = [{"doc_id": int(m.ids[p]), "cosine": float(c), "toxic": int(m.toxic[p])} for p, c in zip(places[:evidence], cosines[:evidence], strict=True)]
-                        known[key] = (m.calibrated(m.vote(places, cosines)), top)
+                vectors = list(zip(np.split(term, cut[1:]), np.split(tf, cut[1:]), strict=True))
+                keys = [t.tobytes() + f.tobytes() for t, f in vectors]
+                if len(known) > 50_000:
+                    known.clear()
+                new = {key: v for key, v in zip(keys, vectors, strict=True) if key not in known}
+                if new:
+                    places, cosines = m.search([(t, m.weights(t, f)) for t, f in new.values()])
+                    for key, value, p, c in zip(new, m.calibrated(m.vote(places, cosines)), places, cosines, strict=True):
+                        known[key] = (float(value), [{"doc_id": int(m.ids[x]), "cosine": float(y), "toxic": int(m.toxic[x])} for x, y in zip(p[:evidence], c[:evidence], strict=True) if x >= 0])
+                for d, key in zip(doc[cut], keys, strict=True):
                     scores[first + d], shown[first + d] = known[key]
             yield pa.RecordBatch.from_arrays([*[b[c] for c in names], pa.array(scores), pa.array(shown, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))], [*names, "score", "evidence"])
 
