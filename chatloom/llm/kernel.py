@@ -126,15 +126,23 @@ def spans(block: Block, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; equal bytes have equal hashes wherever they stand."""
-    if not len(start):
-        return np.zeros(0, U64)
-    up, down = _powers_for(len(data))
+def running(data: np.ndarray) -> np.ndarray:
+    """Sums from which :func:`range_hashes` takes the hash of any range of ``data``."""
+    up, _ = _powers_for(len(data))
     with np.errstate(over="ignore"):
         sums = np.empty(len(data) + 1, dtype=U64)
         sums[0] = 0
         np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
+    return sums
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each byte range; equal bytes have equal hashes wherever they stand."""
+    if not len(start):
+        return np.zeros(0, U64)
+    _, down = _powers_for(len(data))
+    sums = running(data) if sums is None else sums
+    with np.errstate(over="ignore"):
         h = (sums[end] - sums[start]) * down[start]
     return mix64(h ^ (end - start).astype(U64))
 

@@ -39,6 +39,7 @@ from chatloom.runtime import materialise, ship, table
 THRESHOLD = 0.3
 #: Queries searched together.
 GROUP = 256
+_LAST_BITS = 1 << 18
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -69,11 +70,12 @@ def features(block: kernel.Block) -> tuple[np.ndarray, np.ndarray]:
     low = kernel.lowered(block.data)
     start, end = kernel.spans(block, kernel.ALNUM[low])
     doc = np.searchsorted(block.offsets, start, side="right") - 1
-    made = [kernel.range_hashes(low, start, end)]
+    sums = kernel.running(low)
+    made = [kernel.range_hashes(low, start, end, sums)]
     docs = [doc]
     for n in PREFIXES:
         longer = end - start > n
-        made.append(kernel.mix64(kernel.range_hashes(low, start[longer], start[longer] + n) + kernel.U64(n)))
+        made.append(kernel.mix64(kernel.range_hashes(low, start[longer], start[longer] + n, sums) + kernel.U64(n)))
         docs.append(doc[longer])
     return np.concatenate(made), np.concatenate(docs)
 
@@ -115,9 +117,14 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _known(table_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(table_):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.searchsorted(table_, x)
-    ok = np.flatnonzero(table_[np.minimum(at, len(table_) - 1)] == x)
-    return ok, at[ok]
+    # most hashes are told apart by their last bits
+    bits = kernel.U64(_LAST_BITS - 1)
+    some = np.zeros(_LAST_BITS, bool)
+    some[table_ & bits] = True
+    ok = np.flatnonzero(some[x & bits])
+    at = np.searchsorted(table_, x[ok])
+    same = table_[np.minimum(at, len(table_) - 1)] == x[ok]
+    return ok[same], at[same]
 
 
 def _vectors(texts, vocab: np.ndarray, base: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
