@@ -5,9 +5,9 @@ one parent, whose base is uniform over the vocabulary and one unknown token.  A
 context's customers are the words that followed it in training text; its tables
 are customers of the parent.  Seatings are sampled by Gibbs: given the rest, the
 number of tables of a word in a restaurant is drawn from its exact conditional,
-which sums over all seatings of its customers (generalised Stirling numbers); above
-``EXACT`` customers they are seated anew one after another (in blocks that double,
-each by one binomial draw).  A sweep takes each restaurant's words in two halves,
+which sums over all seatings of its customers (generalised Stirling numbers: a table of
+them up to ``EXACT`` customers, above it contour integrals over all numbers of tables
+within ``TAIL`` of the mode's log weight).  A sweep takes each restaurant's words in two halves,
 holding the other half and the parent's predictive fixed.  After ``burn`` sweeps the
 parent is seated anew from the sampled tables, and ``samples`` further sweeps each
 give a predictive; their average scores the text.
@@ -41,6 +41,7 @@ from chatloom.runtime import discard, materialise, ship, shuffle_partitions, tab
 U64 = kernel.U64
 START, END = kernel.mix64(np.array([101, 102], np.uint64))
 EXACT = 192
+TAIL, REACH, STEP, KNOTS = 32.0, 8.0, 0.25, 16
 HOT_SAMPLE, HOT_WORDS = 2_048, 256
 STATE, REPLY, SEEN, WORDS, DOCS = range(5)
 _ROW = "kind int, shard int, unit long, blob binary"
@@ -90,6 +91,126 @@ def stirling(d: float, most: int = EXACT) -> np.ndarray:
     return out
 
 
+def _log_complement(y: np.ndarray) -> np.ndarray:
+    """log(1 - exp(-y))."""
+    small = y.real < 0.7
+    out = np.empty_like(y)
+    out[small], out[~small] = np.log(-np.expm1(-y[small])), np.log1p(-np.exp(-y[~small]))
+    return out
+
+
+def _saddle(log_y: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tables for each customer at which y is the saddle point of ``log_sibuya``; log of its generating function there."""
+    y = np.exp(log_y)
+    log_w = _log_complement(y)
+    f = -np.expm1(d * log_w)
+    return f * np.exp((1 - d) * log_w + y) / d, np.log(f)
+
+
+def _bisect(low: np.ndarray, high: np.ndarray, is_below, times: int) -> np.ndarray:
+    for _ in range(times):
+        mid = (low + high) / 2
+        below = is_below(mid)
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    return (low + high) / 2
+
+
+def log_sibuya(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log of d^t t! S_d(c, t) / c!, which is the probability that t Sibuya(d) variables sum to c.
+
+    Cauchy's integral of their generating function (1 - (1 - z)^d)^t, z = exp(-y), on a parabola of y
+    through the saddle point, or on a full circle of z where nearly every customer has a table of its own.
+    """
+    # any point is right; nearer the branch point than 3 / c or off the saddle only costs digits
+    y0 = np.exp(_bisect(np.log(3.0 / c), np.full(len(c), 3.0), lambda m: _saddle(m, d)[0] * c < t, 20))
+    log_w = _log_complement(y0)
+    f = -np.expm1(d * log_w)
+    f1 = -d * np.exp((d - 1) * log_w - y0)
+    f2 = d * np.exp((d - 1) * log_w - y0) * (1 + (1 - d) * np.exp(-y0 - log_w))
+    bend = np.maximum(t * (f2 / f - (f1 / f) ** 2), 1e-300)
+    scale = np.minimum(1 / np.sqrt(bend), 2 * y0)
+    k = np.arange(round(REACH / STEP) + 1)
+    u = 1 + 1j * (scale / (2 * y0))[:, None] * STEP * k
+    y, dy = y0[:, None] * u**2, (STEP * scale)[:, None] * u
+    full = scale * REACH > np.pi
+    y[full], dy[full] = y0[full, None] + 1j * np.pi * k / k[-1], np.pi / k[-1]
+    top = c * y0 + t * np.log(f)
+    e = np.exp(c[:, None] * y + t[:, None] * np.log(-np.expm1(d * _log_complement(y))) - top[:, None]) * dy
+    # the lower half of the contour mirrors the upper; a circle's ends are the same two points for both
+    total = 2 * e.real.sum(axis=1) - e.real[:, 0] - np.where(full, e.real[:, -1], 0.0)
+    return top + np.log(total / (2 * np.pi))
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    shift = sum(np.log(x + k) for k in range(8))
+    x = x + 8
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 / 12 - (1 / 360 - 1 / (1260 * x * x)) / (x * x)) / x - shift
+
+
+def _by_number(c: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where each number of tables has an integral of its own: a parabola's is smooth in t, a circle's has a meaning for whole t only."""
+    return (high - low < KNOTS) | (high > c - 12) | ((2 * high > c) & (high > 8 * low))
+
+
+def _band(c: np.ndarray, low: np.ndarray, high: np.ndarray, a: np.ndarray, p: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tables from ``low`` to ``high`` (a row for each item, the last repeated) and their log weights."""
+    width = high - low + 1
+    t = np.minimum(low[:, None] + np.arange(width.max()), high[:, None])
+    weights = t * np.log(p)[:, None] + _log_gamma(a[:, None] + t) - _log_gamma(t + 1.0)
+    every = _by_number(c, low, high)
+    sums = np.empty(t.shape)
+    if every.any():
+        n = width[every].max()
+        sums[every, :n] = log_sibuya(np.repeat(c[every], n), t[every, :n].ravel().astype(float), d).reshape(-1, n)
+    if not every.all():
+        i = np.flatnonzero(~every)
+        x = np.cos(np.pi * (np.arange(KNOTS) + 0.5) / KNOTS)
+        mid, half = np.log(high[i] * low[i].astype(float)) / 2, np.log(high[i] / low[i]) / 2
+        knots = np.exp(mid[:, None] + half[:, None] * x)
+        values = log_sibuya(np.repeat(c[i], KNOTS), knots.ravel(), d).reshape(knots.shape) - np.log(knots)
+        series = values @ (np.cos(np.arange(KNOTS) * np.arccos(x)[:, None]) * np.where(np.arange(KNOTS), 2, 1) / KNOTS)
+        log_t = np.log(t[i])
+        sums[i] = np.polynomial.chebyshev.chebval((log_t - mid[:, None]) / half[:, None], series.T[:, :, None], tensor=False) + log_t
+    weights += sums
+    weights[np.arange(t.shape[1]) >= width[:, None]] = -np.inf
+    return t, weights
+
+
+def _resample_many(c: np.ndarray, rest: np.ndarray, p: np.ndarray, theta: float, d: float, rng: np.random.Generator) -> np.ndarray:
+    """As ``resample``, for numbers of customers without a row of Stirling numbers."""
+    out = np.ones(len(c), np.int64)
+    a = rest + theta / d
+
+    def slope(m: np.ndarray, i: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        share, log_f = _saddle(m, d)
+        return share * c[i], np.log(p[i] * (1 + a[i] / (share * c[i]))) + log_f
+
+    m = _bisect(np.full(len(c), -80.0), np.full(len(c), 3.0), lambda m: slope(m)[1] > 0, 40)
+    (t0, g0), (t1, g1) = slope(m - 1e-3), slope(m + 1e-3)
+    spread = 8 * np.sqrt(np.maximum(t1 - t0, 0.0) / np.maximum(g0 - g1, 1e-12)) + 16
+    mode = np.clip(slope(m)[0], 1, c)
+    low, high = np.maximum(1, mode - spread).astype(np.int64), np.minimum(c, mode + spread).astype(np.int64)
+    left = np.arange(len(c))
+    while len(left):
+        width = high[left] - low[left] + 1
+        cells = np.where(_by_number(c[left], low[left], high[left]), 50 * width, 50 * KNOTS + width)
+        order = np.argsort(cells, kind="stable")
+        left, cells = left[order], cells[order]
+        n = max(1, int(np.searchsorted(cells * np.arange(1, len(cells) + 1), 250_000)))
+        i, left = left[:n], left[n:]
+        t, weights = _band(c[i], low[i], high[i], a[i], p[i], d)
+        best, last = weights.max(axis=1), weights[np.arange(len(i)), high[i] - low[i]]
+        below, above = (low[i] > 1) & (weights[:, 0] > best - TAIL), (high[i] < c[i]) & (last > best - TAIL)
+        more = high[i] - low[i]
+        low[i], high[i] = np.where(below, np.maximum(1, low[i] - more), low[i]), np.where(above, np.minimum(c[i], high[i] + more), high[i])
+        wide = below | above
+        chance = np.cumsum(np.exp(weights - best[:, None]), axis=1)
+        draw = (chance <= (rng.random(len(i)) * chance[:, -1])[:, None]).sum(axis=1)
+        out[i[~wide]] = t[np.arange(len(i)), draw][~wide]
+        left = np.concatenate([i[wide], left])
+    return out
+
+
 def resample(c: np.ndarray, rest: np.ndarray, p: np.ndarray, theta: float, d: float, log_s: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Numbers of tables of words with ``c`` customers in restaurants with ``rest`` other tables; ``p``: the parent's predictive."""
     out = np.minimum(c, 1)
@@ -101,15 +222,7 @@ def resample(c: np.ndarray, rest: np.ndarray, p: np.ndarray, theta: float, d: fl
             logit = np.cumsum(step, axis=1) + log_s[cc, 1 : cc + 1]
             out[i] = (logit + rng.gumbel(size=logit.shape)).argmax(axis=1) + 1
     i = np.flatnonzero(c >= len(log_s))
-    t, seated = np.ones(len(i)), 1
-    while len(i):
-        size = np.minimum(seated, c[i] - seated)
-        a = (theta + d * (rest[i] + t)) * p[i]
-        t += rng.binomial(size, np.clip(a / (a + seated + size / 2 - d * t), 0.0, 1.0))
-        seated *= 2
-        done = c[i] <= seated
-        out[i[done]] = t[done]
-        i, t = i[~done], t[~done]
+    out[i] = _resample_many(c[i], rest[i], p[i], theta, d, rng)
     return out
 
 

@@ -42,6 +42,17 @@ def test_many_customers_stay_in_bounds():
     assert (t >= 1).all() and (t <= c).all()
 
 
+@pytest.mark.parametrize(("d", "c", "p", "rest"), [(0.8, 192, 0.2, 100.0), (0.8, 193, 0.2, 100.0), (0.8, 193, 0.02, 2000.0), (0.5, 193, 0.9, 100.0), (0.8, 1600, 0.2, 100.0), (0.5, 1600, 0.02, 2000.0), (0.1, 1600, 1e-6, 0.0)])
+def test_many_customers_follow_the_conditional(d, c, p, rest):
+    n, t = 1_500, np.arange(1, c + 1)
+    got = lm.resample(np.full(n, c), np.full(n, rest), np.full(n, p), 1.0, d, lm.stirling(d), np.random.default_rng(3))
+    log_w = lm.stirling(d, c)[c, 1:] + np.cumsum(np.log((1.0 + d * (rest + t - 1)) * p))
+    w = np.exp(log_w - log_w.max())
+    mean = (w * t).sum() / w.sum()
+    spread = math.sqrt((w * (t - mean) ** 2).sum() / w.sum())
+    assert abs(got.mean() - mean) <= 5 * spread / math.sqrt(n) + 1e-4 and got.std() == pytest.approx(spread, rel=0.1, abs=0.05)
+
+
 DOCS = [(i, " ".join(["a b A c", "b c d", "é a", "", "a a a"][i % 5] for _ in range(i % 4))) for i in range(60)]
 
 
