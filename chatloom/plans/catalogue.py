@@ -220,8 +220,17 @@ def category_argmax(spark, d):
 
 @_query(f"WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{WS_SQL}'), lambda x: x <> '')) AS n FROM documents) SELECT doc_id, n, n AS mask_sum FROM w WHERE n <= 512")
 def length_filter_and_mask(spark, d):
+    return _masked(spark, d, 512)
+
+
+@_query(f"WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{WS_SQL}'), lambda x: x <> '')) AS n FROM documents) SELECT doc_id, n, n AS mask_sum FROM w WHERE n <= 4096")
+def length_filter_and_mask_4096(spark, d):
+    return _masked(spark, d, 4096)
+
+
+def _masked(spark, d, most):
     ids = F.transform(words(F.col("text")), lambda w: F.length(w).cast("long"))
-    rows = table(spark, d, "documents").select("doc_id", ids.alias("input_ids")).where(F.size("input_ids") <= 512)
+    rows = table(spark, d, "documents").select("doc_id", ids.alias("input_ids")).where(F.size("input_ids") <= most)
     rows = rows.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
     return rows.select("doc_id", F.size("input_ids").cast("long").alias("n"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("mask_sum"))
 
@@ -233,6 +242,15 @@ def pad_bucket(spark, d):
     return rows.select("doc_id", F.size(F.filter("ids", lambda x: x >= 0)).cast("long").alias("n"))
 
 
+@_query("SELECT doc_id, CASE WHEN length(text) <= 4096 THEN length(text) END AS n, length(text) > 4096 AS too_long FROM documents")
+def pad_bucket_4096(spark, d):
+    fits = F.length("text") <= 4096
+    ids = F.transform(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)), lambda c: F.length(c).cast("long"))
+    rows = table(spark, d, "documents").select("doc_id", F.when(fits, training.padded(ids, 4096, -1)).alias("ids"), (~fits).alias("too_long"))
+    n = F.size(F.filter("ids", lambda x: x >= 0)).cast("long")
+    return rows.select("doc_id", F.when(F.col("ids").isNotNull(), n).alias("n"), "too_long")
+
+
 @_query()
 def verdict_parse(spark, d):
     s = F.col("toxic")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from chatloom.functions.text import fix_spacing, strip, words
 from chatloom.operators import corpus, evaluation, prompts, training
 from chatloom.operators.model_calls import call
+from chatloom.plans.catalogue import ORACLES, QUERIES
 
 
 def test_words_and_strip_know_all_whitespace(spark):
@@ -100,3 +101,12 @@ def test_padding_refuses_longer_rows(spark):
     assert df.select(training.padded(F.col("x"), 5, 0)).first()[0] == [1, 2, 3, 0, 0]
     with pytest.raises(Exception, match="longer than 2"):
         df.select(training.padded(F.col("x"), 2, 0)).collect()
+
+
+def test_every_document_has_a_padded_row(spark, tmp_path):
+    texts = {1: "a" * 300, 2: "b\n" * 200, 3: "c" * 4096, 4: "d" * 4097, 5: "", 6: None, 7: "😀é", 8: "w " * 4096, 9: "w " * 4097}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["pad_bucket_4096"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in rows) == [(i, len(t) if t is not None and len(t) <= 4096 else None, None if t is None else len(t) > 4096) for i, t in texts.items()]
+    masked = {r.doc_id: r.mask_sum for r in QUERIES["length_filter_and_mask_4096"](spark, str(tmp_path)).where("doc_id in (7, 8, 9)").collect()}
+    assert masked == {7: 1, 8: 4096}
