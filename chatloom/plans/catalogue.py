@@ -263,10 +263,12 @@ def verdict_parse(spark, d):
     return rows.select("doc_id", F.size("v").alias("n"), F.size(F.filter("v", lambda x: x)).alias("n_satisfied"))
 
 
-def _details(spark, d, column, limit, skip):
+def _details(spark, d, column, limit, skip=None):
+    """Judged orders; without every ``skip``-th key if that is given."""
     l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     sat = l.groupBy("l_orderkey").agg(F.count_if(F.col(column) > limit).alias("s"), F.count("*").alias("n_items"))
-    rows = sat.join(o, sat["l_orderkey"] == o["o_orderkey"]).where(F.col("o_orderkey") % skip != 0)
+    rows = sat.join(o, sat["l_orderkey"] == o["o_orderkey"])
+    rows = rows.where(F.col("o_orderkey") % skip != 0) if skip else rows
     failed = F.col("o_orderkey") % 13 == 0
     return rows.select("o_orderkey", F.col("o_orderpriority").alias("tag"), F.when(~failed, F.col("s")).alias("n_satisfied"), "n_items")
 
@@ -276,6 +278,10 @@ def _details_sql(column, limit, skip):
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % {skip} <> 0 GROUP BY o_orderkey)"""
 
 
+_ALL = """(SELECT o_orderkey, any_value(o_orderpriority) AS tag, CASE WHEN o_orderkey % 13 <> 0 THEN count(*) FILTER (l_discount > 0.05) END AS n_satisfied, count(*) AS n_items
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey)"""
+
+
 _ONE, _TWO = _details_sql("l_discount", 0.05, 7), _details_sql("l_tax", 0.04, 11)
 
 
@@ -292,6 +298,19 @@ def satisfaction_by_tag(spark, d):
     return evaluation.by_tag(_details(spark, d, "l_discount", 0.05, 7))
 
 
+@_query(
+    f"""SELECT count(*) AS n_tasks, count(*) FILTER (n_satisfied IS NULL) AS n_failed, count(n_satisfied) AS n_valid, round(avg(n_satisfied / n_items) * 100, 2) AS macro_rate,
+round(sum(n_satisfied) / sum(n_items) FILTER (n_satisfied IS NOT NULL) * 100, 2) AS micro_rate FROM {_ALL}"""
+)
+def satisfaction_summary_all(spark, d):
+    return evaluation.summary(_details(spark, d, "l_discount", 0.05))
+
+
+@_query(f"SELECT tag, round(avg(n_satisfied / n_items) * 100, 2) AS rate, count(*) AS n FROM {_ALL} WHERE n_satisfied IS NOT NULL GROUP BY tag")
+def satisfaction_by_tag_all(spark, d):
+    return evaluation.by_tag(_details(spark, d, "l_discount", 0.05))
+
+
 @_query("SELECT CAST(coalesce(sum(nullif(l_quantity, 1)), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(l_suppkey), 0) AS BIGINT) AS completion_tokens FROM lineitem")
 def token_usage(spark, d):
     rows = table(spark, d, "lineitem").select(F.nullif("l_quantity", F.lit(1.0)).alias("prompt_tokens"), F.col("l_suppkey").alias("completion_tokens"))
@@ -373,6 +392,11 @@ def perplexity_every_k_steps(spark, d):
     return table(spark, d, "events").where((F.col("event_id") % 50 == 0) & (F.col("event_id") <= 5000)).select("event_id", F.round(F.exp(F.col("value") / 100), 6).alias("perplexity"))
 
 
+@_query("SELECT event_id, round(exp(value / 100), 6) AS perplexity, event_id % 50 = 0 AS kth FROM events")
+def perplexity_by_step(spark, d):
+    return table(spark, d, "events").select("event_id", F.round(F.exp(F.col("value") / 100), 6).alias("perplexity"), (F.col("event_id") % 50 == 0).alias("kth"))
+
+
 @_query("SELECT l_partkey, round(max(abs(l_extendedprice - l_quantity)), 4) AS max_delta, round(avg(abs(l_quantity)), 6) AS mean_abs FROM lineitem GROUP BY l_partkey ORDER BY max_delta DESC, l_partkey LIMIT 10")
 def topk_delta(spark, d):
     delta = F.round(F.max(F.abs(F.col("l_extendedprice") - F.col("l_quantity"))), 4)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from chatloom.functions.text import fix_spacing, strip, words
 from chatloom.operators import corpus, evaluation, prompts, training
 from chatloom.operators.model_calls import call
-from chatloom.plans.catalogue import ORACLES, QUERIES
+from chatloom.plans.catalogue import QUERIES
 
 
 def test_words_and_strip_know_all_whitespace(spark):
@@ -110,3 +110,14 @@ def test_every_document_has_a_padded_row(spark, tmp_path):
     assert sorted(tuple(r) for r in rows) == [(i, len(t) if t is not None and len(t) <= 4096 else None, None if t is None else len(t) > 4096) for i, t in texts.items()]
     masked = {r.doc_id: r.mask_sum for r in QUERIES["length_filter_and_mask_4096"](spark, str(tmp_path)).where("doc_id in (7, 8, 9)").collect()}
     assert masked == {7: 1, 8: 4096}
+
+
+def test_every_event_and_order_counts(spark, tmp_path):
+    spark.createDataFrame([(i, float(i % 7)) for i in range(6000)], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    rows = QUERIES["perplexity_by_step"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in rows) == [(i, round(math.exp(i % 7 / 100), 6), i % 50 == 0) for i in range(6000)]
+    spark.createDataFrame([(i, 0.1, 0.0) for i in range(1, 27)], "l_orderkey long, l_discount double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, "x") for i in range(1, 27)], "o_orderkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    whole = QUERIES["satisfaction_summary_all"](spark, str(tmp_path)).first()
+    assert (whole.n_tasks, whole.n_failed, whole.n_valid) == (26, 2, 24)
+    assert [r.n for r in QUERIES["satisfaction_by_tag_all"](spark, str(tmp_path)).collect()] == [24]
