@@ -19,8 +19,8 @@ spanning forest, never all pairs.  Components of the forests' edges are the resu
 Cases: null and empty texts and texts without words have an empty set, link with
 nothing and are kept; texts of fewer words than a shingle are one shingle; rows
 with equal texts are one class, whatever their ids; rows without an id take part,
-but an id that is null never names a component (one of only such rows has none,
-and these are kept); rows with equal ids and different texts are judged each;
+but an id that is null never names a component (one of only such rows has none:
+the query keeps these, ``keep_one`` one of them); rows with equal ids and different texts are judged each;
 an empty table gives no row; extra columns do not matter.
 """
 
@@ -174,11 +174,16 @@ def _solve(t: pa.Table) -> pa.Table:
 
 def link(docs: DataFrame, size: int = 4) -> DataFrame:
     """doc_id, sig (a hash of the text), n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
+    return _linked(docs, size).drop("component")
+
+
+def _linked(docs: DataFrame, size: int) -> DataFrame:
+    """As ``link``, with a number for each component, whether it has an id or not; null for empty sets."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("sig"))
     signed = materialise(docs.mapInArrow(_signed(size), "doc_id long, sig long, n_shingles long, digest binary, node long, bands array<long>"), "near-signed")
-    classes = signed.where(F.col("n_shingles") > 0).groupBy("digest", "node", "n_shingles", "bands").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    classes = signed.where(F.col("n_shingles") > 0).groupBy("digest", "node", "n_shingles", "bands").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("text_of"), F.count("*").alias("rows"))
     classes = materialise(classes, "near-classes")
 
     entries = classes.select("node", F.explode("bands").alias("key"))
@@ -186,13 +191,17 @@ def link(docs: DataFrame, size: int = 4) -> DataFrame:
     stars = entries.join(hubs, "key").where(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     clusters = components(stars)
 
-    members = classes.where(F.col("rep").isNotNull()).join(clusters, "node").select("node", "rep", "n_shingles", F.col("label").alias("cluster"))
+    members = classes.join(clusters, "node").select("node", "rep", "text_of", "n_shingles", F.col("label").alias("cluster"))
     members = materialise(members, "near-members")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    members = members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster").select("cluster", "blocks", "node", "rep")
+    members = members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster").select("cluster", "blocks", "node", "rep", "text_of")
     # never a broadcast, however few the members: their number grows with the input
     rows = docs.join(members.hint("merge"), docs["doc_id"] == F.col("rep")).select("cluster", "blocks", "node", "text")
+    # classes without an id are found by text; one row of each text will do
+    lone = docs.where(F.col("doc_id").isNull()).groupBy("sig").agg(F.first("text").alias("text"))
+    lone = lone.join(members.where(F.col("rep").isNull()).hint("merge"), lone["sig"] == F.col("text_of"))
+    rows = rows.unionByName(lone.select("cluster", "blocks", "node", "text"))
     sets = rows.mapInArrow(_sets(size), "cluster long, blocks int, node long, shingles binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -202,9 +211,10 @@ def link(docs: DataFrame, size: int = 4) -> DataFrame:
 
     named = classes.select("digest", "node", "rep").join(linked, "node", "left")
     least = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("rep").alias("least"))
-    named = materialise(named.join(least, "label", "left").select("digest", F.coalesce("least", "rep").alias("component_id")), "near-components")
+    named = named.join(least, "label", "left").select("digest", F.coalesce("least", "rep").alias("component_id"), F.coalesce("label", "node").alias("component"))
+    named = materialise(named, "near-components")
     out = signed.select("doc_id", "sig", "n_shingles", "digest").join(named, "digest", "left")
-    return out.select("doc_id", "sig", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "sig", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def with_kept(linked: DataFrame) -> DataFrame:
@@ -212,13 +222,15 @@ def with_kept(linked: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component those of its smallest id, and of rows with equal id and text one.
+    """The rows of ``docs`` that stay: one of each component, of its smallest id (or of none, if no row has one) and then smallest text hash.
 
-    Rows without an id stay if no row with an id is like them.
+    Rows with an empty set are in no component; of those with equal id and text one stays.
     """
-    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull()]
+    keys = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))]
     names = ["__k0", "__k1", "__k2"]
-    kept = with_kept(link(docs, size)).where("kept").select(*[k.alias(n) for k, n in zip([*keys, F.col("sig")], names, strict=True)]).distinct()
+    linked = _linked(docs, size).select("component", *[k.alias(n) for k, n in zip([*keys, F.col("sig")], names, strict=True)])
+    kept = linked.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct(*names)).alias("least")).select("least.*")
+    kept = kept.unionByName(linked.where(F.col("component").isNull()).select(*names).distinct())
     rows = docs.withColumns(dict(zip(names, [*keys, F.xxhash64("text")], strict=True)))
     # the window finds rows where the join has put them
     first = F.row_number().over(Window.partitionBy(*names).orderBy(*names))

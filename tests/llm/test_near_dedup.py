@@ -59,6 +59,24 @@ def test_null_ids_and_empty(spark):
     assert N.with_kept(N.link(df.limit(0))).count() == 0
 
 
+def test_near_copies_without_ids(spark):
+    def text(name, *changed):
+        return " ".join(f"{name}{i}{'x' if i in changed else ''}" for i in range(60))
+
+    # the row without an id is like both others, which are not like each other
+    bridge = [(1, text("a")), (None, text("a", 10)), (2, text("a", 10, 40))]
+    nulls = [(None, text("b")), (None, text("b", 20)), (None, text("b", 20))]
+    twice = [(9, text("c")), (9, text("c", 30))]
+    other = [(9, text("d")), (None, "   "), (None, text("e"))]
+    rows = [*bridge, *nulls, *twice, *other]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.sig): r.component_id for r in N.link(df).collect()}
+    assert sorted(v for (d, _), v in got.items() if d in (1, 2)) == [1, 1] and sorted(v for (d, _), v in got.items() if d is None and v) == [1]
+    stay = [(r.doc_id, r.text) for r in N.keep_one(df).collect()]
+    assert len(stay) == 6 and {(1, text("a")), *other} <= set(stay)
+    assert sum(t.startswith("b0") for _, t in stay) == 1 and sum(t.startswith("c0") for _, t in stay) == 1
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(-5, 300)]
