@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,19 +44,24 @@ _P = U64(0xD6E8FEB86659FD93)
 _P_INV = U64(pow(int(_P), -1, 2**64))
 
 
-@lru_cache(maxsize=4)
+#: Powers that a process keeps; longer tables, for long texts, are made for one block.
+KEPT = (1 << 20) + 1
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up, down = np.full(size, _P, dtype=U64), np.full(size, _P_INV, dtype=U64)
         up[0] = down[0] = U64(1)
-        return np.cumprod(up), np.cumprod(down)
+        return np.cumprod(up, out=up), np.cumprod(down, out=down)
+
+
+@cache
+def _kept() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(KEPT)
 
 
 def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << 16
-    while size < n + 1:
-        size *= 2
-    return _powers(size)
+    return _kept() if n < KEPT else _powers(n + 1)
 
 
 @dataclass
@@ -74,7 +79,7 @@ class Block:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes().decode("utf-8", "replace")
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, limit: int = 2 << 20) -> Iterator[Block]:
+def blocks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[Block]:
     """The texts of a column in blocks of about ``limit`` bytes; one longer text is a block of its own. Null counts as empty."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     done = 0

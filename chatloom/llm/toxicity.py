@@ -1,25 +1,29 @@
 """Toxicity by nearest labelled examples.
 
-Texts are TF-IDF vectors over a vocabulary of terms (words, the first four to
-eight bytes of words, which catch inflected forms, and either of these twice or four
-times in a text) that stand significantly more often in toxic examples.  The ``k`` nearest examples by exact cosine come from a
-block-max inverted index: examples are sorted by their heaviest terms and kept in
-blocks; each block has the largest weight of each of its terms, so that the sum of
-query weight times largest weight bounds every cosine in the block; blocks are
-taken by falling bound until the next one is below the k-th best cosine.  Votes
-weighted by cosine, smoothed towards the examples' rate, are calibrated by
-isotonic regression over leave-one-out votes of the examples.  A text without any
-term of the vocabulary gets the smoothed rate of the examples without any.
+A text is a TF-IDF vector over all its terms: words, and their first four, five and
+six bytes, which catch inflected forms.  A term weighs (1 + log tf) * idf * strength;
+idf counts all documents, strength is ``floor`` plus the standard errors above ``z`` by which
+the term is more frequent in toxic examples, so a term of neither class still counts.  The ``k``
+nearest examples by exact cosine come from a block-max inverted index: examples are
+sorted by their heaviest terms and kept in blocks; frequent terms have the largest
+weight of each block, rare ones have postings.  What rare terms give is summed from
+postings, frequent terms' largest weights bound the rest, and blocks are taken by
+falling bound, unless it is below the k-th best cosine.  Components are whole
+multiples of 2^-26, so that a cosine is exact in whatever order it is summed.
+Votes weighted by cosine, smoothed towards the examples' rate, are calibrated by
+isotonic regression over leave-one-out votes of the examples.  A text without a
+term that any example has gets the smoothed rate of the examples without terms.
 
 The model is fitted on at most ``examples`` labelled rows (those of smallest hash of
-doc_id): that bounds what the driver collects and what is broadcast.  All rows and
-whole texts are scored.  Labels, language, source and id are no inputs of a score.
+doc_id): that bounds what the driver collects and what is broadcast; all terms of
+these rows are indexed.  All rows and whole texts are scored.  Labels, language,
+source and id are no inputs of a score.
 
 Cases: null and empty texts have no terms and get that rate; rows without an id are
 scored, and never learned from; a document with several labels is toxic if one says
-so; equal rows get equal scores; without any labels every score is 0.5 times the
-prior, which is 0; an empty table gives no row; other columns pass through, and those
-named ``score`` and ``evidence`` are replaced.
+so; ties of cosine go to the smaller id; equal rows get equal scores; without any
+labels every score is 0; an empty table gives no row; other columns pass through, and
+those named ``score`` and ``evidence`` are replaced.
 """
 
 from __future__ import annotations
@@ -38,20 +42,22 @@ from chatloom.runtime import materialise, ship, table
 
 THRESHOLD = 0.3
 #: Queries searched together.
-GROUP = 256
-_LAST_BITS = 1 << 18
+GROUP = 64
+SCALE = float(1 << 26)
+PREFIXES = (4, 5, 6)
+_LAST_BITS = 1 << 22
 _NO_ID = np.iinfo(np.int64).max
 
 
 @dataclass(frozen=True)
 class Settings:
-    examples: int = 20_000
-    terms: int = 4_096
-    least_df: int = 4
-    z: float = 4.5  #: standard errors by which a term must be more frequent in toxic examples
+    examples: int = 3_000
+    z: float = 4.5
+    floor: float = 0.1
     k: int = 25
     block: int = 64
     smooth: float = 0.5
+    frequent: int = 8  #: terms in more than one of so many examples have weights in blocks, not postings
 
 
 PRODUCTION = Settings()
@@ -61,18 +67,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-PREFIXES = (4, 5, 6, 7, 8)
-TIMES = (2, 4)
-
-
-def features(block: kernel.Block) -> tuple[np.ndarray, np.ndarray]:
-    """(feature hash, doc) of every word of a block and its beginnings."""
+def _features(block: kernel.Block) -> tuple[np.ndarray, np.ndarray]:
+    """(term hash, doc) of every word of a block and its beginnings."""
     low = kernel.lowered(block.data)
     start, end = kernel.spans(block, kernel.ALNUM[low])
     doc = np.searchsorted(block.offsets, start, side="right") - 1
     sums = kernel.running(low)
-    made = [kernel.range_hashes(low, start, end, sums)]
-    docs = [doc]
+    made, docs = [kernel.range_hashes(low, start, end, sums)], [doc]
     for n in PREFIXES:
         longer = end - start > n
         made.append(kernel.mix64(kernel.range_hashes(low, start[longer], start[longer] + n, sums) + kernel.U64(n)))
@@ -80,136 +81,107 @@ def features(block: kernel.Block) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(made), np.concatenate(docs)
 
 
-def _counted(f: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (feature, doc) and how often each stands, by feature and doc."""
-    order = np.lexsort((d, f))
-    f, d = f[order], d[order]
+def _counted(doc: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (doc, term) and how often each stands, by doc and term."""
+    order = np.lexsort((f, doc))
+    f, doc = f[order], doc[order]
     new = np.ones(len(f), bool)
-    new[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
+    new[1:] = (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
-    return f[first], d[first], np.diff(np.append(first, len(f)))
-
-
-def _with_times(f: np.ndarray, d: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Terms of counted features: (term, the feature it is made of, doc, tf)."""
-    out = [(f, f, d, tf)]
-    for n in TIMES:
-        often = tf >= n
-        out.append((kernel.mix64(f[often] ^ kernel.U64(n)), f[often], d[often], np.ones(int(often.sum()), np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    return doc[first], f[first], np.diff(np.append(first, len(f)))
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class that hold a term."""
-    for b in batches:
-        toxic = b["toxic"].to_numpy().astype(bool)
-        for block in kernel.blocks(b["text"], 1 << 20):
-            term, made_of, d, _ = _with_times(*_counted(*features(block)))
-            order = np.argsort(term, kind="stable")
-            term, made_of, d = term[order], made_of[order], d[order]
-            first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-            if len(first):
-                n = np.diff(np.append(first, len(term)))
-                t = np.add.reduceat(toxic[block.first + d].astype(np.int64), first)
-                yield pa.RecordBatch.from_arrays([pa.array(term[first].view(np.int64)), pa.array(made_of[first].view(np.int64)), pa.array(n), pa.array(t)], ["f", "made_of", "n", "t"])
-
-
-def _known(table_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table_):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # most hashes are told apart by their last bits
-    bits = kernel.U64(_LAST_BITS - 1)
-    some = np.zeros(_LAST_BITS, bool)
-    some[table_ & bits] = True
-    ok = np.flatnonzero(some[x & bits])
-    at = np.searchsorted(table_, x[ok])
-    same = table_[np.minimum(at, len(table_) - 1)] == x[ok]
-    return ok[same], at[same]
-
-
-def _vectors(texts, vocab: np.ndarray, base: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per block: first row, and (doc, term, tf) of terms in the sorted ``vocab``, by doc and term; ``base``: what they are made of."""
-    for block in kernel.blocks(texts, 1 << 20):
-        f, d = features(block)
-        ok, _ = _known(base, f)
-        term, _, d, tf = _with_times(*_counted(f[ok], d[ok]))
-        ok, at = _known(vocab, term)
-        d, tf = d[ok], tf[ok]
-        order = np.lexsort((at, d))
-        yield block.first, d[order], at[order], tf[order]
+@dataclass
+class Vocabulary:
+    hashes: np.ndarray  #: sorted
+    some: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        # most other hashes are told apart by their last bits
+        self.some = np.zeros(_LAST_BITS, bool)
+        self.some[self.hashes & kernel.U64(_LAST_BITS - 1)] = True
+
+    def vectors(self, texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per block: first row, rows, and (doc, place of a term, tf) by doc and place."""
+        for block in kernel.blocks(texts, 1 << 20):
+            f, doc = _features(block)
+            maybe = np.flatnonzero(self.some[f & kernel.U64(_LAST_BITS - 1)])
+            f, doc = f[maybe], doc[maybe]
+            at = np.searchsorted(self.hashes, f)
+            same = self.hashes[np.minimum(at, len(self.hashes) - 1)] == f
+            yield block.first, len(block), *_counted(doc[same], at[same])
 
 
 @dataclass
 class Model:
-    vocab: np.ndarray  #: sorted hashes of terms
-    base: np.ndarray  #: sorted hashes of the features that they are made of
-    idf: np.ndarray
+    hashes: np.ndarray  #: of all terms of the examples, sorted
+    weight: np.ndarray  #: idf times strength of each
     ids: np.ndarray  #: examples with a term, sorted into blocks
     toxic: np.ndarray
-    block_terms: list[np.ndarray] = field(default_factory=list)
-    block_weights: list[np.ndarray] = field(default_factory=list)
-    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    least_id: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  #: of each block
+    settings: Settings = PRODUCTION
+    place: np.ndarray = None  #: of a frequent term in ``dense``, else -1
+    dense: np.ndarray = None  #: weights of frequent terms by example, the last block padded
+    block_max: np.ndarray = None
+    first: np.ndarray = None  #: postings of term i are ``first[i]`` to ``first[i + 1]``
+    posted: np.ndarray = None
+    posted_weight: np.ndarray = None
+    least_id: np.ndarray = None  #: of each block
     rate: float = 0.0  #: of the examples with a term
     bare: float = 0.0  #: score without any term
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     levels: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
-    settings: Settings = PRODUCTION
 
-    def weights(self, term: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(tf)) * self.idf[term]
-        return w / np.sqrt((w * w).sum())
+    def weights(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
+        """Components of ``n`` unit vectors, in 2^-26."""
+        w = (1 + np.log(tf)) * self.weight[term]
+        return np.rint(w / np.sqrt(np.bincount(doc, weights=w * w, minlength=n))[doc] * SCALE)
 
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines (to nine digits) of the k nearest examples of each query (terms, weights).
+    def search(self, doc: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples of each of ``n`` queries, whose components are sorted by query.
 
         Only positive cosines count: what is missing has place -1 and cosine 0.  Ties go to the
         smaller id.  ``without``: a place for each query that is not to be found.
         """
         k = self.settings.k
-        places, cosines = np.full((len(queries), k), -1, np.int64), np.zeros((len(queries), k))
-        # alike queries side by side: they need the same blocks
-        order = np.argsort([t[w.argmax()] for t, w in queries], kind="stable") if queries else np.zeros(0, np.int64)
-        for lo in range(0, len(order), GROUP):
-            at = order[lo : lo + GROUP]
-            places[at], cosines[at] = self._search([queries[i] for i in at], None if without is None else without[at])
-        return places, cosines
-
-    def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        k, size = self.settings.k, self.settings.block
-        cols = np.unique(np.concatenate([t for t, _ in queries]))
-        q = np.zeros((len(queries), len(cols)))
-        for i, (t, w) in enumerate(queries):
-            q[i, np.searchsorted(cols, t)] = w
-        bound = np.round(q @ self.block_max[cols] + 1e-12, 9)
-        places, cosines, ids = np.full((len(q), k), -1, np.int64), np.zeros((len(q), k)), np.full((len(q), k), _NO_ID)
+        places, cosines = np.full((n, k), -1, np.int64), np.zeros((n, k))
+        for lo in range(0, n, GROUP):
+            hi = min(n, lo + GROUP)
+            a, z = np.searchsorted(doc, (lo, hi))
+            places[lo:hi], cosines[lo:hi] = self._search(doc[a:z] - lo, term[a:z], w[a:z], hi - lo, None if without is None else without[lo:hi])
+        return places, cosines / (SCALE * SCALE)
+
+    def _search(self, doc: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        k, size, blocks = self.settings.k, self.settings.block, self.block_max.shape[1]
+        place = self.place[term]
+        q = np.zeros((n, len(self.dense)))
+        q[doc[place >= 0], place[place >= 0]] = w[place >= 0]
+        long = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))
+        rare = np.bincount(np.repeat(doc * (blocks * size), long) + self.posted[at], weights=np.repeat(w, long) * self.posted_weight[at], minlength=n * blocks * size)
+        rare = rare.astype(float).reshape(n, blocks, size)
+        if without is not None:
+            rare[np.arange(n), without // size, without % size] = -np.inf
+        bound = q @ self.block_max + rare.max(axis=2)
+        places, cosines, ids = np.full((n, k), -1, np.int64), np.zeros((n, k)), np.full((n, k), _NO_ID)
         for b in np.argsort(-bound.max(axis=0), kind="stable"):
             top, kth = bound[:, b], cosines[:, -1]
             # a block whose bound ties with the k-th best can only win by a smaller id
             row = np.flatnonzero((top > kth) | ((top == kth) & (top > 0) & (self.least_id[b] < ids[:, -1])))
             if not len(row):
                 continue
-            _, mine, theirs = np.intersect1d(cols, self.block_terms[b], assume_unique=True, return_indices=True)
-            got = np.round(q[np.ix_(row, mine)] @ self.block_weights[b][theirs], 9)
-            here = np.arange(got.shape[1]) + b * size
-            if without is not None:
-                got[without[row][:, None] == here] = 0.0
-            reach = got.max(axis=1) >= np.maximum(kth[row], 1e-9)
+            here = np.arange(b * size, (b + 1) * size)
+            got = q[row] @ self.dense[:, here[0] : here[-1] + 1].astype(float) + rare[row, b]
+            reach = got.max(axis=1) >= np.maximum(kth[row], 1.0)
             row, got = row[reach], got[reach]
             if not len(row):
                 continue
             p = np.hstack([places[row], np.where(got > 0, here, -1)])
             c = np.hstack([cosines[row], np.maximum(got, 0.0)])
-            i = np.hstack([ids[row], np.where(got > 0, self.ids[here], _NO_ID)])
+            i = np.hstack([ids[row], np.where(got > 0, self.ids[np.minimum(here, len(self.ids) - 1)], _NO_ID)])
             best = np.lexsort((i, -c), axis=-1)[:, :k]
             places[row], cosines[row], ids[row] = (np.take_along_axis(x, best, axis=1) for x in (p, c, i))
         return places, cosines
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What :meth:`search` finds for one query, without the missing."""
-        places, cosines = self.search([(term, weight)])
-        return places[places >= 0], cosines[places >= 0]
-
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> np.ndarray:
         a = self.settings.smooth
         return ((cosines * self.toxic[places]).sum(axis=1) + a * self.rate) / (cosines.sum(axis=1) + a)
@@ -232,76 +204,116 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return knots, np.maximum.accumulate(levels)
 
 
-def build(vocab: np.ndarray, base: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], s: Settings = PRODUCTION) -> Model:
-    """A model over ``examples`` (id, toxic, terms, tf)."""
-    n = len(examples)
-    df = np.zeros(len(vocab))
-    for _, _, term, _ in examples:
-        df[term] += 1
-    idf = np.log((1 + n) / (1 + df)) + 1
-    bare = [t for _, t, term, _ in examples if not len(term)]
-    some = [x for x in examples if len(x[2])]
-    total = sum(x[1] for x in examples) / n if n else 0.0
-    m = Model(vocab, base, idf, np.zeros(0, np.int64), np.zeros(0), settings=s)
-    m.bare = (sum(bare) + 2 * min(total, 0.1)) / (len(bare) + 2) if n else 0.0
-    if not some:
+def strength(toxic: np.ndarray, doc: np.ndarray, term: np.ndarray, terms: int, s: Settings) -> np.ndarray:
+    """What the examples' classes say of each term."""
+    n, bad = len(toxic), toxic.sum()
+    df = np.bincount(term, minlength=terms)
+    if not 0 < bad < n:
+        return np.full(terms, s.floor)
+    in_bad = np.bincount(term, weights=toxic[doc], minlength=terms)
+    spread = df / n * (1 - df / n) * (1 / bad + 1 / (n - bad))
+    z = (in_bad / bad - (df - in_bad) / (n - bad)) / np.sqrt(np.where(spread > 0, spread, np.inf))
+    return s.floor + np.maximum(0.0, z - s.z)
+
+
+def build(hashes: np.ndarray, weight: np.ndarray, ids: np.ndarray, toxic: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, s: Settings = PRODUCTION) -> Model:
+    """A model over examples ``ids``; (doc, term, tf), by doc and term, are their counted terms."""
+    n = len(ids)
+    has = np.bincount(doc, minlength=n) > 0
+    m = Model(hashes, weight, ids[has], toxic[has].astype(float), s)
+    if n:
+        m.bare = float((toxic[~has].sum() + min(toxic.mean(), 0.1)) / ((~has).sum() + 2))  # towards half the rate: nothing speaks against the text
+    if not has.any():
+        m.ids = m.ids[:0]
         return m
-    made = [(x[0], x[1], x[2], m.weights(x[2], x[3])) for x in some]
+    doc = (np.cumsum(has) - 1)[doc]
+    n = len(m.ids)
+    w = m.weights(doc, term, tf, n)
     # blocks of alike examples: by their heaviest terms
-    made.sort(key=lambda x: (tuple(x[2][np.argsort(-x[3], kind="stable")[:4]].tolist()), x[0]))
-    m.ids, m.toxic = np.array([x[0] for x in made], np.int64), np.array([x[1] for x in made], np.float64)
+    order = np.lexsort((term, -w, doc))
+    begin = np.searchsorted(doc, np.arange(n))
+    rank = np.arange(len(doc)) - begin[doc]
+    heaviest = np.full((4, n), -1, np.int64)
+    for j in range(4):
+        heaviest[j, doc[rank == j]] = term[order][rank == j]
+    at = np.lexsort((m.ids, *heaviest[::-1]))
+    new = np.empty(n, np.int64)
+    new[at] = np.arange(n)
+    m.ids, m.toxic, doc = m.ids[at], m.toxic[at], new[doc]
     m.rate = float(m.toxic.mean())
-    blocks = -(-len(made) // s.block)
-    m.block_max = np.zeros((len(vocab), blocks), np.float64)
-    for b in range(blocks):
-        part = made[b * s.block : (b + 1) * s.block]
-        terms = np.unique(np.concatenate([x[2] for x in part]))
-        dense = np.zeros((len(terms), len(part)))
-        for j, x in enumerate(part):
-            dense[np.searchsorted(terms, x[2]), j] = x[3]
-        m.block_terms.append(terms)
-        m.block_weights.append(dense)
-        m.block_max[terms, b] = dense.max(axis=1)
-    m.least_id = np.minimum.reduceat(m.ids, np.arange(0, len(made), s.block))
-    votes = m.vote(*m.search([(x[2], x[3]) for x in made], without=np.arange(len(made))))
+    order = np.lexsort((doc, term))
+    doc, term, w = doc[order], term[order], w[order]
+    df = np.bincount(term, minlength=len(hashes))
+    frequent = df * s.frequent > n
+    m.place = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
+    blocks = -(-n // s.block)
+    m.dense = np.zeros((int(frequent.sum()), blocks * s.block), np.int32)
+    often = frequent[term]
+    m.dense[m.place[term[often]], doc[often]] = w[often]
+    m.block_max = m.dense.reshape(len(m.dense), blocks, s.block).max(axis=2, initial=0).astype(float)
+    m.first = np.concatenate([[0], np.cumsum(np.where(frequent, 0, df))])
+    m.posted, m.posted_weight = doc[~often].astype(np.int32), w[~often].astype(np.int32)
+    m.least_id = np.minimum.reduceat(m.ids, np.arange(0, n, s.block))
+    order = np.lexsort((term, doc))
+    votes = m.vote(*m.search(doc[order], term[order], w[order], n, without=np.arange(n)))
     m.knots, m.levels = _isotonic(votes, m.toxic)
     return m
 
 
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for block in kernel.blocks(b["text"], 1 << 20):
+            f, doc = _features(block)
+            doc, f, tf = _counted(doc, f)
+            cut = pa.array(np.searchsorted(doc, np.arange(len(block) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(v)) for v in (f.view(np.int64), tf.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*(b[c].slice(block.first, len(block)) for c in ("doc_id", "toxic")), *lists], ["doc_id", "toxic", "term", "tf"])
+
+
+def _document_counts(shared):
+    """Documents that hold each term of the vocabulary: one row a term and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary(shared.value)
+        df = np.zeros(len(v.hashes), np.int64)
+        for b in batches:
+            for _, _, _, term, _ in v.vectors(b["text"]):
+                df += np.bincount(term, minlength=len(df))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["term", "df"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, s: Settings = PRODUCTION) -> Model:
     """A model of the labelled documents; ``learn``: a condition on doc_id."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows if learn is None else rows.where(learn)
     rows = rows.groupBy("doc_id").agg((F.max("toxic") >= 1).cast("int").alias("toxic"))
-    rows = rows.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(s.examples)
-    own = docs.select(F.col("doc_id").alias("__d"), "text")
-    own = own.join(F.broadcast(rows), own["__d"] == F.col("doc_id")).select("doc_id", "text", "toxic")  # at most ``examples`` ids
-    own = materialise(own.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")), "tox-examples")
-    n, toxic = own.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not n or not toxic or toxic == n:
-        return build(np.zeros(0, np.uint64), np.zeros(0, np.uint64), [(0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64))] if n and not toxic else [], s)
-    counts = own.mapInArrow(_term_counts, "f long, made_of long, n long, t long").groupBy("f", "made_of").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    p, share = F.col("n") / n, F.col("t") / toxic - (F.col("n") - F.col("t")) / (n - toxic)
-    z = share / F.sqrt(p * (1 - p) * (1 / toxic + 1 / (n - toxic)))
-    chosen = counts.where((F.col("n") >= s.least_df) & (p < 1)).withColumn("z", z).where(F.col("z") >= s.z).orderBy(F.col("z").desc(), "f").limit(s.terms)
-    picked = chosen.select("f", "made_of").toArrow()
-    vocab, base = (np.unique(picked[c].to_numpy().view(np.uint64)) for c in ("f", "made_of"))
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, base))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            terms: list = [[]] * b.num_rows
-            tfs: list = [[]] * b.num_rows
-            for first, doc, term, tf in _vectors(b["text"], *shared.value):
-                cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
-                for d, t, f in zip(doc[cut] if len(doc) else [], np.split(term, cut[1:]), np.split(tf, cut[1:]), strict=False):
-                    terms[first + d], tfs[first + d] = t, f
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array(terms, pa.list_(pa.int64())), pa.array(tfs, pa.list_(pa.int64()))], ["doc_id", "toxic", "term", "tf"])
-
-    got = own.mapInArrow(vectors, "doc_id long, toxic int, term array<long>, tf array<long>").orderBy("doc_id").toArrow()
-    examples = [(i, t, np.array(a, np.int64), np.array(f, np.int64)) for i, t, a, f in zip(*(got[c].to_pylist() for c in got.column_names), strict=True)]
-    return build(vocab, base, examples, s)
+    text = docs.select(F.col("doc_id").alias("__d"), "text")
+    # labelled rows whose document is in ``docs``, then the bounded choice of them
+    held = rows.join(text.select("__d"), F.col("__d") == F.col("doc_id"), "left_semi")
+    chosen = held.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(s.examples)
+    own = text.join(F.broadcast(chosen), F.col("__d") == F.col("doc_id")).groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))  # at most ``examples`` ids
+    got = own.mapInArrow(_example_terms, "doc_id long, toxic int, term array<long>, tf array<int>").orderBy("doc_id").toArrow()
+    n = got.num_rows
+    ids, toxic = got["doc_id"].to_numpy().astype(np.int64), got["toxic"].to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(n), got["term"].combine_chunks().value_lengths().to_numpy() if n else 0)
+    flat = [got[c].combine_chunks().flatten().to_numpy() if n else np.zeros(0, np.int64) for c in ("term", "tf")]
+    hashes, term = np.unique(flat[0].view(np.uint64), return_inverse=True)
+    del got
+    if not len(hashes):
+        return build(hashes, np.zeros(0), ids, toxic, doc, term, flat[1], s)
+    counts = docs.select("text").mapInArrow(_document_counts(spark.sparkContext.broadcast(hashes)), "term int, df long")
+    counts = counts.groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row for each term of the examples
+    df = np.zeros(len(hashes))
+    df[counts["term"].to_numpy()] = counts["df"].to_numpy()
+    idf = np.log((1 + docs.count()) / (1 + df)) + 1
+    order = np.lexsort((term, doc))
+    doc, term, tf = doc[order], term[order], flat[1][order]
+    return build(hashes, idf * strength(toxic, doc, term, len(hashes), s), ids, toxic, doc, term, tf, s)
 
 
 _EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("toxic", T.IntegerType())]))
@@ -317,25 +329,21 @@ def score(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        known: dict[bytes, tuple[float, list]] = {}
+        v = Vocabulary(m.hashes) if len(m.ids) else None
         for b in batches:
-            scores, shown = np.full(b.num_rows, m.bare), [[] for _ in range(b.num_rows)]
-            for first, doc, term, tf in _vectors(b["text"], m.vocab, m.base) if len(m.ids) else ():
+            scores, places, cosines = np.full(b.num_rows, m.bare), np.full((b.num_rows, evidence), -1), np.zeros((b.num_rows, evidence))
+            for first, n, doc, term, tf in v.vectors(b["text"]) if v else ():
                 if not len(doc):
                     continue
-                cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                vectors = list(zip(np.split(term, cut[1:]), np.split(tf, cut[1:]), strict=True))
-                keys = [t.tobytes() + f.tobytes() for t, f in vectors]
-                if len(known) > 50_000:
-                    known.clear()
-                new = {key: v for key, v in zip(keys, vectors, strict=True) if key not in known}
-                if new:
-                    places, cosines = m.search([(t, m.weights(t, f)) for t, f in new.values()])
-                    for key, value, p, c in zip(new, m.calibrated(m.vote(places, cosines)), places, cosines, strict=True):
-                        known[key] = (float(value), [{"doc_id": int(m.ids[x]), "cosine": float(y), "toxic": int(m.toxic[x])} for x, y in zip(p[:evidence], c[:evidence], strict=True) if x >= 0])
-                for d, key in zip(doc[cut], keys, strict=True):
-                    scores[first + d], shown[first + d] = known[key]
-            yield pa.RecordBatch.from_arrays([*[b[c] for c in names], pa.array(scores), pa.array(shown, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))], [*names, "score", "evidence"])
+                row, doc = np.unique(doc, return_inverse=True)
+                p, c = m.search(doc, term, m.weights(doc, term, tf, len(row)), len(row))
+                scores[first + row] = m.calibrated(m.vote(p, c))
+                places[first + row], cosines[first + row] = p[:, :evidence], c[:, :evidence]
+            found = places >= 0
+            cut = pa.array(np.concatenate([[0], np.cumsum(found.sum(axis=1))]).astype(np.int32))
+            of = places[found]
+            shown = pa.StructArray.from_arrays([pa.array(m.ids[of]), pa.array(cosines[found]), pa.array(m.toxic[of].astype(np.int32))], ["doc_id", "cosine", "toxic"])
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in names], pa.array(scores), pa.ListArray.from_arrays(cut, shown)], [*names, "score", "evidence"])
 
     return docs.mapInArrow(run, schema)
 
