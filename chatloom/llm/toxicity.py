@@ -45,13 +45,12 @@ THRESHOLD = 0.3
 GROUP = 64
 SCALE = float(1 << 26)
 PREFIXES = (4, 5, 6)
-_LAST_BITS = 1 << 22
 _NO_ID = np.iinfo(np.int64).max
 
 
 @dataclass(frozen=True)
 class Settings:
-    examples: int = 3_000
+    examples: int = 2_000
     z: float = 4.5
     floor: float = 0.1
     k: int = 25
@@ -91,25 +90,38 @@ def _counted(doc: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return doc[first], f[first], np.diff(np.append(first, len(f)))
 
 
-@dataclass
 class Vocabulary:
-    hashes: np.ndarray  #: sorted
-    some: np.ndarray = field(init=False)
-
-    def __post_init__(self) -> None:
-        # most other hashes are told apart by their last bits
-        self.some = np.zeros(_LAST_BITS, bool)
-        self.some[self.hashes & kernel.U64(_LAST_BITS - 1)] = True
+    """Places of terms among sorted ``hashes``, by a chained table over their last bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, n = hashes, len(hashes)
+        self.mask = kernel.U64((1 << max(4, n.bit_length() + 1)) - 1)
+        slot = hashes & self.mask
+        order = np.argsort(slot, kind="stable")
+        self.head, self.next = np.full(int(self.mask) + 1, -1, np.int32), np.full(n, -1, np.int32)
+        same = slot[order][1:] == slot[order][:-1]
+        self.next[order[:-1][same]] = order[1:][same]
+        begins = order[np.concatenate([[True], ~same])] if n else order
+        self.head[slot[begins]] = begins
+
+    def places(self, f: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 for others."""
+        out = self.head[f & self.mask]
+        left = np.flatnonzero(out >= 0)
+        while len(left):
+            left = left[self.hashes[out[left]] != f[left]]
+            out[left] = self.next[out[left]]
+            left = left[out[left] >= 0]
+        return out
 
     def vectors(self, texts) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """Per block: first row, rows, and (doc, place of a term, tf) by doc and place."""
         for block in kernel.blocks(texts, 1 << 20):
             f, doc = _features(block)
-            maybe = np.flatnonzero(self.some[f & kernel.U64(_LAST_BITS - 1)])
-            f, doc = f[maybe], doc[maybe]
-            at = np.searchsorted(self.hashes, f)
-            same = self.hashes[np.minimum(at, len(self.hashes) - 1)] == f
-            yield block.first, len(block), *_counted(doc[same], at[same])
+            at = self.places(f)
+            known = at >= 0
+            key, tf = np.unique(doc[known] * np.int64(len(self.hashes)) + at[known], return_counts=True)
+            yield block.first, len(block), *np.divmod(key, len(self.hashes)), tf
 
 
 @dataclass
