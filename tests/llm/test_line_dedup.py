@@ -22,24 +22,54 @@ def _docs(seed):
     return docs
 
 
+def _compare(spark, docs, settings=L.PRODUCTION):
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    sig = {(r.doc_id, r.text): r.sig for r in df.withColumn("sig", L._sig()).collect()}
+    want = L.brute_force([(d, sig[d, t], t) for d, t in docs], settings)
+    got = L.dedup(df, settings).collect()
+    left = sorted((str(d), want[d, sig[d, t]] or "", len((t or "").split())) for d, t in docs)
+    assert sorted((str(r.doc_id), r.text or "", r.n_units) for r in got) == left
+    assert all(r.n_units - r.n_deleted == len((r.text or "").split()) for r in got)
+    return got
+
+
 def test_equals_brute_force(spark):
     for seed in range(2):
-        docs = _docs(seed)
-        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-        sig = {(r.doc_id, r.text): r.sig for r in df.withColumn("sig", L._sig()).collect()}
-        want = L.brute_force([(d, sig[d, t], t) for d, t in docs])
-        got = L.dedup(df).collect()
-        assert len(got) == len(docs)
-        left = {}
-        for d, t in docs:
-            words = (t or "").split()
-            dead = set(want[d, sig[d, t]])
-            left.setdefault(d, []).append((len(words), len(dead), [w for i, w in enumerate(words) if i not in dead]))
-        for r in got:
-            assert (r.n_units, r.n_deleted, (r.text or "").split()) in left[r.doc_id]
+        got = _compare(spark, _docs(seed))
         assert sum(r.n_deleted for r in got) > 500
 
 
+def test_small_chunks_and_shards_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choice(["la", "Le", "lo", "x y z"]) for _ in range(rng.choice([1, 1, 2, 30])))
+    some = [line() for _ in range(12)]
+    docs = [(rng.randrange(40), "\n".join(rng.choice(some) for _ in range(rng.randrange(14)))) for _ in range(90)]
+    docs += [(None, "\n".join(some)), (None, None), (7, ""), *[(i, "\r\n".join(some[:5])) for i in range(100, 130)]]
+    docs.append((500, " ".join(some[i % 12] for i in range(6000))))
+    docs.append((501, "\n".join(some * 3)))
+    monkeypatch.setattr(L, "SHARD", 50)
+    got = _compare(spark, docs)
+    assert sum(r.n_deleted for r in got) > 2000
+
+
+def test_passage_thrice_in_a_later_document(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    got = {r.doc_id: r.n_deleted for r in _compare(spark, [(1, passage), (2, " ".join([passage] * 3)), (3, "a b c " + " ".join(["q%d" % i for i in range(70)] * 2))])}
+    assert got == {1: 0, 2: 180, 3: 70}
+
+
+def test_no_long_run_of_lines_is_left_twice(spark):
+    rng = random.Random(9)
+    lines = [f"l{i} " * rng.randrange(1, 5) for i in range(40)]
+    docs = []
+    for i in range(60):
+        a = rng.randrange(30)
+        docs.append((i, "\n".join([f"own {i} {j}" for j in range(3)] + lines[a : a + rng.randrange(1, 8)] + [f"end {i}"])))
+    got = [r.text.split("\n") for r in _compare(spark, docs)]
+    runs = [tuple(t[i : i + 3]) for t in got for i in range(len(t) - 2)]
+    assert len(runs) == len(set(runs))
+
+
 def test_clean_rows_stay_and_columns_pass(spark):
     df = spark.createDataFrame([(1, "a b\nc", "m", 1), (2, None, None, 2)], "doc_id long, text string, marks string, n_deleted int")
     out = {r.doc_id: r for r in L.dedup(df).collect()}
