@@ -24,6 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all executors share; a local one where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         app = spark.sparkContext.applicationId
         if app not in _own_dir:
@@ -77,8 +79,18 @@ def discard(written: DataFrame) -> None:
     delete(written.sparkSession, written._chatloom_path)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, which holds a few times that.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once a session; their Python workers then need no shared folder."""
+    """Send this package's code to the executors, once a session; their Python workers then need no shared folder.
+
+    Arrow batches are cut at ``BATCH_BYTES``, unless the session says a smaller number.
+    """
+    if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
