@@ -100,6 +100,8 @@ def blocks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator
             yield Block(done + at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
             at = end
         done += n
+    # a worker lives on after its task, and should not keep what one batch has needed
+    pa.default_memory_pool().release_unused()
 
 
 @dataclass
