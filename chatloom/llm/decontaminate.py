@@ -1,8 +1,9 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is one Arrow batch of documents.  Its words become symbols of the
-benchmark's vocabulary; a word that the benchmark lacks can't be in an occurrence,
-so it ends a run, and runs shorter than the shortest phrase are left out.  Each
+Words of a batch of documents become symbols of the benchmark's vocabulary; a word
+that the benchmark lacks can't be in an occurrence, so it ends a run, and runs shorter
+than the shortest phrase are left out.  A shard is a bounded number of words of such
+runs; a run that is longer by itself is cut into pieces that overlap by a phrase.  Each
 run ends with a terminator of its own, smaller than all words and ordered by
 position.  Over this text the shard has a suffix array (prefix doubling, in which
 only unresolved groups are sorted again), its Burrows-Wheeler transform in a
@@ -41,6 +42,8 @@ WINDOW = 10
 BLOCK_CHARS = 4 << 20
 #: Every so manieth position of a run is sampled, from its first on.
 SAMPLE = 8
+#: Words of a shard.
+SHARD = 1 << 20
 
 
 @dataclass
@@ -118,43 +121,76 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+class Bits:
+    """A bit vector with counts of ones before every 64th bit."""
+
+    def __init__(self, bit: np.ndarray):
+        padded = np.zeros(len(bit) // 64 * 64 + 64, bool)
+        padded[: len(bit)] = bit
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+        ones = np.cumsum(np.bitwise_count(self.words), dtype=np.int64)
+        self.before = np.concatenate([[0], ones[:-1]])
+        self.total = int(ones[-1])
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word, bit = at >> 6, (at & 63).astype(np.uint64)
+        return self.before[word] + np.bitwise_count(self.words[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 class WaveletMatrix:
-    """Ranks of symbols in a sequence, by the prefix counts of one bit plane a level."""
+    """Ranks of symbols in a sequence, by one bit vector a level."""
 
     def __init__(self, seq: np.ndarray, most: int):
         self.bits = max(1, int(most).bit_length())
-        self.ones, self.zeros = [], []
+        self.planes, self.zeros = [], []
         for level in range(self.bits - 1, -1, -1):
-            bit = (seq >> level) & 1
-            count = np.zeros(len(seq) + 1, np.int32)
-            np.cumsum(bit, out=count[1:])
-            self.ones.append(count)
-            self.zeros.append(len(seq) - int(count[-1]))
-            seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
+            bit = ((seq >> level) & 1).astype(bool)
+            self.planes.append(Bits(bit))
+            self.zeros.append(len(seq) - self.planes[-1].total)
+            seq = np.concatenate([seq[~bit], seq[bit]])
 
     def rank(self, symbol: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
         """How often each symbol stands before each end."""
         at, ends = np.zeros(len(symbol), np.int64), [e.astype(np.int64) for e in ends]
-        for i, (count, zeros) in enumerate(zip(self.ones, self.zeros, strict=True)):
+        for i, (plane, zeros) in enumerate(zip(self.planes, self.zeros, strict=True)):
             one = ((symbol >> (self.bits - 1 - i)) & 1).astype(bool)
-            step = lambda x: np.where(one, zeros + count[x], x - count[x])  # noqa: B023, E731
+
+            def step(x: np.ndarray) -> np.ndarray:
+                ones = plane.rank(x)  # noqa: B023
+                return np.where(one, zeros + ones, x - ones)  # noqa: B023
+
             at, ends = step(at), [step(e) for e in ends]
         return [e - at for e in ends]
 
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        """The symbol at each place."""
+        out = np.zeros(len(at), np.int64)
+        for plane, zeros in zip(self.planes, self.zeros, strict=True):
+            one, ones = plane[at], plane.rank(at)
+            out = 2 * out + one
+            at = np.where(one, zeros + ones, at - ones)
+        return out
+
 
 class FMIndex:
+    """Holds the transformed text as bit vectors and the sampled positions only."""
+
     def __init__(self, text: np.ndarray, sampled: np.ndarray, most: int):
         """``text``: symbols and zeros; ``sampled``: which positions are; the first of each run must be."""
         order = suffix_array(text)
-        self.bwt = text[order - 1]
+        self.size = len(text)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=most + 1))])
-        self.wavelet = WaveletMatrix(self.bwt, most)
-        self.is_sampled = sampled[order]
-        self.position = order
+        self.wavelet = WaveletMatrix(text[order - 1], most)
+        self.is_sampled = Bits(sampled[order])
+        self.position = order[sampled[order]]
 
     def find(self, rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges of suffixes that begin with each right-aligned row of symbols."""
-        lo, hi = np.zeros(len(rows), np.int64), np.full(len(rows), len(self.bwt), np.int64)
+        lo, hi = np.zeros(len(rows), np.int64), np.full(len(rows), self.size, np.int64)
         width = rows.shape[1]
         live = np.arange(len(rows))
         for j in range(width):
@@ -173,9 +209,9 @@ class FMIndex:
         while len(left):
             hit = self.is_sampled[row[left]]
             done = left[hit]
-            out[done] = self.position[row[done]] + steps[done]
+            out[done] = self.position[self.is_sampled.rank(row[done])] + steps[done]
             left = left[~hit]
-            c = self.bwt[row[left]]
+            c = self.wavelet[row[left]]
             row[left] = self.first[c] + self.wavelet.rank(c, row[left])[0]
             steps[left] += 1
         return out
@@ -193,6 +229,44 @@ class Hits:
     items: dict[int, set[str | None]]
 
 
+def _pieces(first: np.ndarray, size: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``SHARD`` words at most; pieces of a longer one overlap, so that no phrase is cut."""
+    step = SHARD - overlap
+    n = np.maximum(1, -(-(size - overlap) // step))
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(first, n) + inside * step, np.minimum(SHARD, np.repeat(size, n) - inside * step)
+
+
+def _shards(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of runs with about ``SHARD`` words."""
+    at, total = 0, np.concatenate([[0], np.cumsum(size)])
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + SHARD, side="right")) - 1)
+        yield at, end
+        at = end
+
+
+def _occurrences(symbol: np.ndarray, run_first: np.ndarray, size: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """(word, phrase) of every occurrence in some runs of words, by an index of their own."""
+    place = np.cumsum(size + 1) - (size + 1)
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    origin = np.repeat(run_first, size) + inside
+    at = np.repeat(place, size) + inside
+    text = np.zeros(int(size.sum()) + len(size), np.int32)
+    text[at] = symbol[origin]
+    word_at = np.full(len(text), -1, np.int64)
+    word_at[at] = origin
+    sampled = np.zeros(len(text), bool)
+    sampled[at[inside % SAMPLE == 0]] = True
+    index = FMIndex(text, sampled, len(phrases.vocab))
+    lo, hi = index.find(phrases.rows, phrases.length)
+    times = hi - lo
+    found = np.flatnonzero(times)
+    phrase = np.repeat(found, times[found])
+    row = np.repeat(lo[found], times[found]) + np.arange(len(phrase)) - np.repeat(np.cumsum(times[found]) - times[found], times[found])
+    return word_at[index.locate(row)], phrase
+
+
 def search_shard(texts: pa.ChunkedArray | pa.Array, phrases: Phrases | None) -> Hits:
     starts, ends, symbols, counts = [], [], [], []
     for block in kernel.blocks(texts):
@@ -221,28 +295,11 @@ def search_shard(texts: pa.ChunkedArray | pa.Array, phrases: Phrases | None) ->
     stops = known & ~(np.concatenate([known[1:], [False]]) & np.concatenate([same[1:], [False]]))
     run_end = np.flatnonzero(stops) + 1
     long = run_end - run_first >= phrases.shortest
-    run_first, size = run_first[long], (run_end - run_first)[long]
-    if not len(size):
+    run_first, size = _pieces(run_first[long], (run_end - run_first)[long], phrases.rows.shape[1] - 1)
+    found = [_occurrences(symbol, run_first[a:z], size[a:z], phrases) for a, z in _shards(size)]
+    word, phrase = (np.concatenate([f[i] for f in found] or [none]) for i in range(2))
+    if not len(word):
         return hits
-    place = np.cumsum(size + 1) - (size + 1)
-    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    origin = np.repeat(run_first, size) + inside
-    at = np.repeat(place, size) + inside
-    text = np.zeros(int(size.sum()) + len(size), np.int32)
-    text[at] = symbol[origin]
-    word_at = np.full(len(text), -1, np.int64)
-    word_at[at] = origin
-    sampled = np.zeros(len(text), bool)
-    sampled[at[inside % SAMPLE == 0]] = True
-    index = FMIndex(text, sampled, len(phrases.vocab))
-    lo, hi = index.find(phrases.rows, phrases.length)
-    times = hi - lo
-    found = np.flatnonzero(times)
-    if not len(found):
-        return hits
-    phrase = np.repeat(found, times[found])
-    row = np.repeat(lo[found], times[found]) + np.arange(len(phrase)) - np.repeat(np.cumsum(times[found]) - times[found], times[found])
-    word = word_at[index.locate(row)]
     cover = np.zeros(len(symbol) + 1, np.int64)
     np.add.at(cover, word, 1)
     np.add.at(cover, word + phrases.length[phrase], -1)
@@ -280,8 +337,11 @@ def _hit_words(text: str, spans: list[tuple[int, int]]) -> int:
     return int(((at >= 0) & (w.start < np.array([e for _, e in spans])[np.maximum(at, 0)])).sum())
 
 
-def _pass(shared, names: list[str], again: bool):
-    """One block of phrases against all documents; ``again``: add to what earlier blocks have found."""
+def _pass(shared, names: list[str], again: bool, cut: dict[str, str] | None = None):
+    """One block of phrases against all documents; ``again``: add to what earlier blocks have found.
+
+    With ``cut`` the spans are cut out of the texts, and only the columns ``names`` leave, under what it names them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
@@ -300,6 +360,10 @@ def _pass(shared, names: list[str], again: bool):
                         spans[i] = _merged(spans[i] + [(x["start"], x["end"]) for x in old])
                         hit[i] = _hit_words(texts[i].as_py(), spans[i])
                     items[i] = sorted({*items[i], *named})
+            if cut is not None:
+                texts = _without(texts, spans)
+                yield pa.RecordBatch.from_arrays([texts if c == "text" else b[c] for c in names], [cut.get(c, c) for c in names])
+                continue
             cols = [b[c] for c in names]
             cols += [pa.array(hits.words.astype(np.int64)), pa.array(hit, pa.int64())]
             cols.append(pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
@@ -309,6 +373,21 @@ def _pass(shared, names: list[str], again: bool):
     return run
 
 
+def _without(texts: pa.Array, spans: list[list[tuple[int, int]]]) -> pa.Array:
+    """Texts without their byte spans."""
+    if not any(spans):
+        return texts
+    values = texts.to_pylist()
+    for i, found in enumerate(spans):
+        if found:
+            raw, at, kept = values[i].encode(), 0, []
+            for s, e in found:
+                kept.append(raw[at:s])
+                at = e
+            values[i] = b"".join([*kept, raw[at:]]).decode()
+    return pa.array(values, texts.type)
+
+
 def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> Iterator[Phrases]:
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -319,40 +398,29 @@ def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, block_chars: int =
             yield made
 
 
+def _searched(docs: DataFrame, benchmark: DataFrame, cut: dict[str, str] | None, window: int, block_chars: int) -> DataFrame:
+    """``docs`` with what the blocks of phrases find, one after another; with ``cut`` the last one's pass cuts it out."""
+    spark, names = docs.sparkSession, docs.columns
+    ship(spark)
+    schema = T.StructType([*docs.schema.fields, *FOUND])
+    last = schema if cut is None else T.StructType([T.StructField(cut.get(f.name, f.name), f.dataType, f.nullable) for f in docs.schema.fields])
+    blocks, again = phrase_blocks(benchmark, window, block_chars), False
+    phrases, following = next(blocks, None), next(blocks, None)
+    while following is not None:
+        docs = materialise(docs.mapInArrow(_pass(spark.sparkContext.broadcast(phrases), names, again), schema), "decon-pass")
+        phrases, following, again = following, next(blocks, None), True
+    return docs.mapInArrow(_pass(spark.sparkContext.broadcast(phrases), names, again, cut), last)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` with n_words, n_hit, spans (bytes of the text, merged) and items; columns of these names are replaced."""
-    spark = docs.sparkSession
-    ship(spark)
-    out = docs.drop(*(f.name for f in FOUND))
-    names = out.columns
-    schema = T.StructType([*out.schema.fields, *FOUND])
-    blocks = phrase_blocks(benchmark, window, block_chars)
-    out = out.mapInArrow(_pass(spark.sparkContext.broadcast(next(blocks, None)), names, False), schema)
-    for phrases in blocks:
-        out = materialise(out, "decon-pass").mapInArrow(_pass(spark.sparkContext.broadcast(phrases), names, True), schema)
-    return out
+    return _searched(docs.drop(*(f.name for f in FOUND)), benchmark, None, window, block_chars)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with every hit span cut out of its text; other columns and untouched rows stay as they are."""
-    names = docs.columns
-    clashing = {f.name: f"__own_{f.name}" for f in FOUND if f.name in names}
-    found = find(docs.withColumnsRenamed(clashing), benchmark, **options)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b["text"].to_pylist()
-            for i, spans in enumerate(b["spans"].to_pylist()):
-                if spans:
-                    raw, at, kept = texts[i].encode(), 0, []
-                    for s in spans:
-                        kept.append(raw[at : s["start"]])
-                        at = s["end"]
-                    texts[i] = b"".join([*kept, raw[at:]]).decode()
-            cols = [pa.array(texts, b.schema.field("text").type) if c == "text" else b[clashing.get(c, c)] for c in names]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    return found.mapInArrow(cut, docs.schema)
+    clashing = {f.name: f"__own_{f.name}" for f in FOUND if f.name in docs.columns}
+    return _searched(docs.withColumnsRenamed(clashing), benchmark, {v: k for k, v in clashing.items()}, window, block_chars)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ class Settings:
 LINES, WORDS = Settings("line", 3, 2), Settings("word", 50, 25)
 PRODUCTION = (LINES, WORDS)
 #: Entries of a chunk of documents, and of a shard.
-CHUNK, SHARD = 400_000, 1_000_000
+CHUNK, SHARD = 200_000, 400_000
 #: Kinds of windows: an earlier document has it; its own document has it earlier; the first of such.
 ELSEWHERE, OWN, FIRST = range(3)
 _BLOB = "shard int, bucket int, blob binary"

@@ -73,3 +73,16 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
     assert [r.n_hit for r in D.find(one, b).collect()] == [0]
     assert isinstance(D.compile_phrases(pa.table({"item_id": [1], "text": ["-"]})), type(None))
+
+
+def test_long_runs_are_cut_into_pieces(spark, monkeypatch):
+    docs, items = _texts(7)
+    docs.append((300, " ".join(random.Random(8).choice(["the", "of", "an"]) for _ in range(20_000)) + " " + items[-4][1]))
+    want = sorted(D.brute_force(docs, items), key=str)
+    for shard in (24, 1000):
+        monkeypatch.setattr(D, "SHARD", shard)
+        phrases = D.compile_phrases(pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items]}))
+        hits = D.search_shard(pa.array([t for _, t in docs], pa.string()), phrases)
+        named = [sorted(x for x in hits.items.get(i, ()) if x is not None) for i in range(len(docs))]
+        got = [(d, int(w), int(h), len(n)) for (d, _), w, h, n in zip(docs, hits.words, hits.hit, named, strict=True)]
+        assert sorted(got, key=str) == [w[:4] for w in want]
