@@ -31,18 +31,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm import kernel
 from chatloom.llm.blobs import pack, unpack
 from chatloom.llm.graph import components
+from chatloom.llm.skew import salted_join
 from chatloom.runtime import materialise, ship, table
 
 BINS, BANDS = 128, 32
 #: Classes, and shingles, of a block of a cluster.
 BLOCK_CLASSES, BLOCK_SHINGLES = 2_000, 4_000_000
 PERCENT = 80
+#: Tasks over which rows of one bucket, cluster or class are dealt in a join.
+SALTS = 8
 
 _SEARCH = np.argsort(kernel.mix64(np.arange(BINS * BINS, dtype=np.uint64) + kernel.U64(12345)).reshape(BINS, BINS), axis=1)
 _SHIFT = kernel.U64(64 - (BINS - 1).bit_length())
@@ -172,6 +175,11 @@ def _solve(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
+def _row_key(sig: str = "sig") -> dict[str, Column]:
+    """Columns without nulls that tell rows apart by id (null last) and text."""
+    return {"__k0": F.col("doc_id").isNull(), "__k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__k2": F.col(sig)}
+
+
 def link(docs: DataFrame, size: int = 4) -> DataFrame:
     """doc_id, sig (a hash of the text), n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
     return _linked(docs, size).drop("component")
@@ -183,25 +191,24 @@ def _linked(docs: DataFrame, size: int) -> DataFrame:
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("sig"))
     signed = materialise(docs.mapInArrow(_signed(size), "doc_id long, sig long, n_shingles long, digest binary, node long, bands array<long>"), "near-signed")
-    classes = signed.where(F.col("n_shingles") > 0).groupBy("digest", "node", "n_shingles", "bands").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("text_of"), F.count("*").alias("rows"))
+    # a class is found again by the id and text of its least row
+    row = F.struct(*[c.alias(n) for n, c in _row_key().items()])
+    classes = signed.where(F.col("n_shingles") > 0).groupBy("digest", "node", "n_shingles", "bands").agg(F.min(row).alias("row"), F.min("doc_id").alias("rep"))
     classes = materialise(classes, "near-classes")
 
     entries = classes.select("node", F.explode("bands").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1).select("key", "hub")
-    stars = entries.join(hubs, "key").where(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = salted_join(entries, hubs, ["key"], "inner", SALTS).where(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     clusters = components(stars)
 
-    members = classes.join(clusters, "node").select("node", "rep", "text_of", "n_shingles", F.col("label").alias("cluster"))
+    members = classes.join(clusters.hint("merge"), "node").select("node", "row", "n_shingles", F.col("label").alias("cluster"))
     members = materialise(members, "near-members")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    members = members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster").select("cluster", "blocks", "node", "rep", "text_of")
-    # never a broadcast, however few the members: their number grows with the input
-    rows = docs.join(members.hint("merge"), docs["doc_id"] == F.col("rep")).select("cluster", "blocks", "node", "text")
-    # classes without an id are found by text; one row of each text will do
-    lone = docs.where(F.col("doc_id").isNull()).groupBy("sig").agg(F.first("text").alias("text"))
-    lone = lone.join(members.where(F.col("rep").isNull()).hint("merge"), lone["sig"] == F.col("text_of"))
-    rows = rows.unionByName(lone.select("cluster", "blocks", "node", "text"))
+    members = salted_join(members, sizes.select("cluster", blocks.alias("blocks")), ["cluster"], "inner", SALTS)
+    # equal rows are one before they meet; never a broadcast, however few the members: their number grows with the input
+    texts = docs.select(*[c.alias(n) for n, c in _row_key().items()], "text").groupBy(*_row_key()).agg(F.first("text").alias("text"))
+    rows = texts.join(members.select("cluster", "blocks", "node", "row.*").hint("merge"), list(_row_key())).select("cluster", "blocks", "node", "text")
     sets = rows.mapInArrow(_sets(size), "cluster long, blocks int, node long, shingles binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -209,11 +216,11 @@ def _linked(docs: DataFrame, size: int) -> DataFrame:
     links = sets.groupBy("cluster", "low", "high").applyInArrow(_solve, "a long, b long")
     linked = components(links)
 
-    named = classes.select("digest", "node", "rep").join(linked, "node", "left")
+    named = classes.select("digest", "node", "rep").join(linked.hint("merge"), "node", "left")
     least = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("rep").alias("least"))
-    named = named.join(least, "label", "left").select("digest", F.coalesce("least", "rep").alias("component_id"), F.coalesce("label", "node").alias("component"))
+    named = salted_join(named, least, ["label"], "left", SALTS).select("digest", F.coalesce("least", "rep").alias("component_id"), F.coalesce("label", "node").alias("component"))
     named = materialise(named, "near-components")
-    out = signed.select("doc_id", "sig", "n_shingles", "digest").join(named, "digest", "left")
+    out = salted_join(signed.select("doc_id", "sig", "n_shingles", "digest"), named, ["digest"], "left", SALTS)
     return out.select("doc_id", "sig", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -226,15 +233,13 @@ def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
 
     Rows with an empty set are in no component; of those with equal id and text one stays.
     """
-    keys = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))]
-    names = ["__k0", "__k1", "__k2"]
-    linked = _linked(docs, size).select("component", *[k.alias(n) for k, n in zip([*keys, F.col("sig")], names, strict=True)])
+    names = list(_row_key())
+    linked = _linked(docs, size).select("component", *[c.alias(n) for n, c in _row_key().items()])
     kept = linked.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct(*names)).alias("least")).select("least.*")
     kept = kept.unionByName(linked.where(F.col("component").isNull()).select(*names).distinct())
-    rows = docs.withColumns(dict(zip(names, [*keys, F.xxhash64("text")], strict=True)))
-    # the window finds rows where the join has put them
-    first = F.row_number().over(Window.partitionBy(*names).orderBy(*names))
-    return rows.join(kept.hint("merge"), names).withColumn("__n", first).where(F.col("__n") == 1).select(*docs.columns)
+    # rows of equal id and text are one before they meet
+    rows = docs.withColumn("__k2", F.xxhash64("text")).withColumns({n: c for n, c in _row_key("__k2").items() if n != "__k2"}).dropDuplicates(names)
+    return rows.join(kept.hint("merge"), names).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
