@@ -4,20 +4,24 @@ Vectors become integers, floor(256 * x).  One more coordinate, sqrt(M^2 - |x|^2)
 with M the largest norm, turns the largest inner product into the smallest
 Euclidean distance, which obeys the triangle inequality.  The index keys each
 vector by its nearest pivot and its distance to that pivot; range partitioning on
-this key gives tasks sorted annuli.  A block of queries searches the annuli of its
-own pivots first, which bounds every query's k-th best score.  Then all annuli are
-expanded by their lower bound |d(q, p) - d(x, p)|; those beyond a query's bound are
-never multiplied.  Bounds are loosened by a relative 1e-9 against rounding, and
-scores are exact integers.
+this key gives parts of sorted annuli.  Each query first goes to the one part whose
+bound is best, which gives its k-th best score there.  Then it goes to every part
+whose lower bound |d(q, p) - d(x, p)| can still beat that score; inside a part annuli
+are expanded from the best bound on, until no query of the batch can gain.  Bounds are
+loosened by a relative 1e-9 against rounding, and scores are exact integers.
+
+The index is read twice, however many queries there are: a task holds one part of
+``PART`` vectors and lets the queries that were sent to it pass by in batches.  Parts
+are repeated for every ``QUERIES`` queries, so that no task has more of them.
 
 Only pivots come from a bounded sample (``sample`` vectors of smallest hash); every
-vector is indexed, and recall is 1 by construction.  Queries are searched in blocks
-of ``block`` queries: what a task holds of them is bounded, however many there are.
+vector is indexed, and recall is 1 by construction.  What is broadcast is the pivots and
+the ranges of the parts, a few numbers for each ``PART`` vectors.
 
 Cases: vectors that are null, hold null or non-finite components, and rows without
 an id take no part; shorter vectors count as padded with zeros; rows with equal ids
-are candidates each, but never of a query of their id, and equal query rows are one
-query if their vectors are equal, else the smallest vector stands; ties go to the
+are candidates each, but never of a query of their id; query rows with equal ids and
+different vectors are a query each, equal query rows are one; ties go to the
 smaller id; an empty table gives no row; scores beyond 64 bits are held at their ends;
 extra columns do not matter.
 """
@@ -32,14 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatloom.runtime import materialise, ship, shuffle_partitions, table
+from chatloom.runtime import materialise, ship, table
 
 SCALE = 256.0
 PIVOTS = 64
 SAMPLE = 4096
-BLOCK = 2048
-#: Vectors of an annulus that are bounded and multiplied together.
-ANNULUS = 256
+#: Vectors of a part, and queries that one copy of it serves.
+PART, QUERIES = 32_768, 100_000
+#: Queries of a batch; vectors of an annulus that are bounded and multiplied together.
+BLOCK, ANNULUS = 512, 256
 _BIG = 2**53
 
 
@@ -73,20 +78,6 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-@dataclass
-class Block:
-    """Some queries and the pivots; ``dist[q, p]`` is the distance of query q to pivot p in the lifted space."""
-
-    ids: np.ndarray
-    vecs: np.ndarray
-    dist: np.ndarray
-    own: np.ndarray
-    norm2: np.ndarray
-    top2: float
-    floor: np.ndarray  #: a score that at least k candidates of each query reach
-    k: int
-
-
 def lifted(vecs: np.ndarray, top2: float) -> np.ndarray:
     norm2 = np.einsum("ij,ij->i", vecs, vecs)
     return np.hstack([vecs, np.sqrt(np.maximum(0.0, top2 - norm2))[:, None]])
@@ -97,57 +88,118 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, d2))
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
+@dataclass
+class Space:
+    """What bounds are made of: pivots in the lifted space, the largest squared norm, and parts' (part, pivot, least, largest distance)."""
 
-def search(block: Block, batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], own_cells: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Best candidates of each query among annuli (pivot, dist, id, vec), rows sorted by pivot and distance."""
-    ids = [np.zeros(0, np.int64)] * len(block.ids)
-    scores = [np.zeros(0, np.int64)] * len(block.ids)
-    floor = block.floor.copy()
-    for pivot, dist, vid, vec in batches:
-        cuts = np.flatnonzero(np.diff(pivot)) + 1
-        for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(pivot)]]), strict=True):
-            for a in range(int(lo), int(hi), ANNULUS):
-                b = min(int(hi), a + ANNULUS)
-                p = int(pivot[a])
-                if own_cells:
-                    near = np.flatnonzero(block.own == p)
+    dims: int
+    top2: float
+    pivots: np.ndarray
+    part: np.ndarray = None
+    pivot: np.ndarray = None
+    low: np.ndarray = None
+    high: np.ndarray = None
+
+    def bounds(self, vecs: np.ndarray, pivot: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Scores that each query can't exceed in each annulus."""
+        norm2 = np.einsum("ij,ij->i", vecs, vecs)[:, None]
+        d = distances(np.hstack([vecs, np.zeros((len(vecs), 1))]), self.pivots)[:, pivot]
+        gap = np.maximum(0.0, np.maximum(low - d, d - high))
+        # score = (top2 + |q|^2 - distance^2) / 2; rounding is given room
+        return (self.top2 + norm2 - gap**2) / 2 + 1e-9 * (self.top2 + norm2 + 1.0)
+
+
+class Part:
+    """Vectors sorted by pivot and distance, as annuli of ``ANNULUS`` vectors at most."""
+
+    def __init__(self, pivot: np.ndarray, dist: np.ndarray, ids: np.ndarray, vecs: np.ndarray):
+        cells = np.concatenate([[0], np.flatnonzero(np.diff(pivot)) + 1, [len(pivot)]])
+        cuts = [(a, min(int(z), a + ANNULUS)) for s, z in zip(cells[:-1], cells[1:], strict=True) for a in range(int(s), int(z), ANNULUS)] if len(pivot) else []
+        self.begin, self.end = (np.array([c[i] for c in cuts], np.int64) for i in range(2))
+        self.pivot, self.low, self.high = pivot[self.begin], dist[self.begin], dist[self.end - 1]
+        self.ids, self.vecs = ids, vecs
+
+    def search(self, space: Space, ids: np.ndarray, vecs: np.ndarray, floor: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(id, score) of each query's k best vectors of at least its floor."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+        floor = floor.copy()
+        bound = space.bounds(vecs, self.pivot, self.low, self.high)
+        for i in np.argsort(-bound.max(axis=0, initial=-np.inf), kind="stable"):
+            near = np.flatnonzero(bound[:, i] >= floor)
+            if not len(near):
+                if bound[:, i].max() < floor.min():
+                    break
+                continue
+            a, b = self.begin[i], self.end[i]
+            got = products(vecs[near], self.vecs[a:b])
+            reach = got.max(axis=1) >= floor[near]
+            for q, row in zip(near[reach], got[reach], strict=True):
+                keep = np.flatnonzero((row >= floor[q]) & (self.ids[a:b] != ids[q]))
+                if not len(keep):
+                    continue
+                v, s = np.concatenate([found[q][0], self.ids[a:b][keep]]), np.concatenate([found[q][1], row[keep]])
+                best = np.lexsort((v, -s))[:k]
+                found[q] = v[best], s[best]
+                if len(best) == k:
+                    floor[q] = max(floor[q], s[best][-1])
+        return found
+
+
+_SENT = "cell long, kind int, id long, sig long, floor long, vec array<double>, pivot int, dist double"
+_FOUND = "query_id long, sig long, vec_id long, score long"
+
+
+def _route(shared, everywhere: bool, salts: int):
+    """Queries to the part of the best bound, or to all that can reach their floor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space: Space = shared.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(lo, BLOCK)
+                bound = space.bounds(matrix(b["vec"], space.dims), space.pivot, space.low, space.high)
+                if everywhere:
+                    row, at = np.nonzero(bound >= b["floor"].to_numpy()[:, None])
+                    pairs = np.unique(np.stack([row, space.part[at]], axis=1), axis=0)
                 else:
-                    d = block.dist[:, p]
-                    gap = np.maximum(0.0, np.maximum(dist[a] - d, d - dist[b - 1]))
-                    # score = (top2 + |q|^2 - distance^2) / 2 is at most this; rounding is given room
-                    slack = 1e-9 * (block.top2 + block.norm2 + 1.0)
-                    near = np.flatnonzero((block.top2 + block.norm2 - gap**2) / 2 + slack >= floor)
-                if not len(near):
+                    pairs = np.stack([np.arange(len(bound)), space.part[bound.argmax(axis=1)]], axis=1)
+                salt = (b["sig"].to_numpy().view(np.uint64) % np.uint64(salts)).astype(np.int64)
+                sent = b.take(pa.array(pairs[:, 0]))
+                n = len(pairs)
+                cols = [pa.array(pairs[:, 1] * salts + salt[pairs[:, 0]]), pa.array(np.ones(n, np.int32)), *(sent[c] for c in ("id", "sig", "floor", "vec")), pa.nulls(n, pa.int32()), pa.nulls(n, pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, ["cell", "kind", "id", "sig", "floor", "vec", "pivot", "dist"])
+
+    return run
+
+
+def _searcher(shared, k: int):
+    """Rows by cell, a part's vectors before its queries: the part is held, queries pass by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space: Space = shared.value
+        now, held, part = None, [], None
+        for b in batches:
+            cell, kind = b["cell"].to_numpy(), b["kind"].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(cell) != 0) | (np.diff(kind) != 0)) + 1, [len(cell)]])
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if z == a:
                     continue
-                got = products(block.vecs[near], vec[a:b])
-                reach = got.max(axis=1) >= floor[near]
-                for q, row in zip(near[reach], got[reach], strict=True):
-                    keep = np.flatnonzero((row >= floor[q]) & (vid[a:b] != block.ids[q]))
-                    if not len(keep):
-                        continue
-                    i, s = np.concatenate([ids[q], vid[a:b][keep]]), np.concatenate([scores[q], row[keep]])
-                    best = _best(i, s, block.k)
-                    ids[q], scores[q] = i[best], s[best]
-                    if len(best) == block.k:
-                        floor[q] = max(floor[q], s[best][-1])
-    return {q: (ids[q], scores[q]) for q in range(len(ids)) if len(ids[q])}
-
-
-def _searcher(shared, dims: int, own_cells: bool):
-    def run(batches):
-        block = shared.value
-
-        def arrays():
-            for b in batches:
-                yield b["pivot"].to_numpy(), b["dist"].to_numpy(), b["vec_id"].to_numpy(), matrix(b["vec"], dims)
-
-        found = search(block, arrays(), own_cells)
-        if found:
-            q = np.repeat([int(block.ids[i]) for i in found], [len(v[0]) for v in found.values()]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([v[0] for v in found.values()])), pa.array(np.concatenate([v[1] for v in found.values()]))], ["query_id", "vec_id", "score"])
+                if cell[a] != now:
+                    now, held, part = cell[a], [], None
+                if kind[a] == 0:
+                    x = b.slice(a, z - a)
+                    held.append((x["pivot"].to_numpy(), x["dist"].to_numpy(), x["id"].to_numpy(), matrix(x["vec"], space.dims)))
+                    continue
+                if part is None:
+                    part = Part(*(np.concatenate(v) for v in zip(*held, strict=True)))
+                    held = []
+                for lo in range(a, z, BLOCK):
+                    q = b.slice(lo, min(BLOCK, z - lo))
+                    ids, sig = q["id"].to_numpy(), q["sig"].to_numpy()
+                    found = part.search(space, ids, matrix(q["vec"], space.dims), q["floor"].to_numpy(), k)
+                    n = [len(v) for v, _ in found]
+                    cols = [np.repeat(ids, n), np.repeat(sig, n), *(np.concatenate([f[i] for f in found]) for i in range(2))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "sig", "vec_id", "score"])
 
     return run
 
@@ -168,67 +220,56 @@ def _pivots(vectors: DataFrame, dims: int, top2: float, count: int, sample: int)
     return x[taken]
 
 
-def index(vectors: DataFrame, dims: int, top2: float, pivots: np.ndarray, parts: int) -> DataFrame:
-    """vec_id, vec, pivot, dist of every vector, in range partitions sorted by pivot and distance."""
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(pivots)  # PIVOTS rows at most
+def index(vectors: DataFrame, space: Space, parts: int) -> DataFrame:
+    """part, id, vec, pivot, dist of every vector; a part is a range of (pivot, distance)."""
+    shared = vectors.sparkSession.sparkContext.broadcast(space)  # PIVOTS rows at most
 
     def key(batches):
         for b in batches:
-            d = distances(lifted(matrix(b["vec"], dims), top2), shared.value)
+            d = distances(lifted(matrix(b["vec"], shared.value.dims), shared.value.top2), shared.value.pivots)
             nearest = d.argmin(axis=1) if len(d) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b["vec_id"], b["vec"], pa.array(nearest.astype(np.int32)), pa.array(d[np.arange(len(d)), nearest])], ["vec_id", "vec", "pivot", "dist"])
+            yield pa.RecordBatch.from_arrays([b["vec_id"], b["vec"], pa.array(nearest.astype(np.int32)), pa.array(d[np.arange(len(d)), nearest])], ["id", "vec", "pivot", "dist"])
 
-    keyed = vectors.mapInArrow(key, "vec_id long, vec array<double>, pivot int, dist double")
-    keyed = keyed.repartitionByRange(parts, "pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id")
-    return materialise(keyed, "topk-index")
+    keyed = vectors.select("vec_id", "vec").mapInArrow(key, "id long, vec array<double>, pivot int, dist double")
+    return materialise(keyed.repartitionByRange(parts, "pivot", "dist", "id").withColumn("part", F.spark_partition_id().cast("long")), "topk-index")
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, sample: int = SAMPLE, part: int = PART) -> DataFrame:
     """query_id, rank, vec_id, score: for the rows of ``vectors`` (vec_id, embedding) under ``is_query`` the k best others."""
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("vec"))
     rows = materialise(rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()), "topk-vectors")
     norm2 = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    dims, top2, n = rows.agg(F.max(F.size("vec")), F.max(norm2), F.count("*")).first()
-    schema = "query_id long, vec_id long, score long"
-    if not n:
-        return _ranked(spark.createDataFrame([], schema), k)
+    dims, top2, n, asked = rows.agg(F.max(F.size("vec")), F.max(norm2), F.count("*"), F.count_if(is_query)).first()
+    if not n or not asked:
+        return _ranked(spark.createDataFrame([], _FOUND), k)
     dims, top2 = max(1, dims), float(top2)
-    spread = _pivots(rows, dims, top2, pivots, sample)
-    parts = shuffle_partitions(spark)
-    indexed = index(rows, dims, top2, spread, parts)
-
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    # blocks of about ``block`` queries, dealt by hash
-    blocks = max(1, -(-queries.count() // block))
-    queries = materialise(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "topk-queries")
-    found = []
-    for number in range(blocks):
-        got = queries.where(F.col("block") == number).orderBy("vec_id").toArrow()
-        if not got.num_rows:
-            continue
-        vecs = matrix(got["vec"], dims)
-        lift = np.hstack([vecs, np.zeros((len(vecs), 1))])
-        dist = distances(lift, spread)
-        own = dist.argmin(axis=1)
-        q = Block(got["vec_id"].to_numpy(), vecs, dist, own, np.einsum("ij,ij->i", vecs, vecs), top2, np.full(len(vecs), -(2**63), np.int64), k)
-        first = indexed.mapInArrow(_searcher(spark.sparkContext.broadcast(q), dims, True), schema)
-        near = _ranked(first, k).where(F.col("rank") == k).select("query_id", "score").toArrow()  # a row per query of the block at most
-        at = np.searchsorted(q.ids, near["query_id"].to_numpy())
-        q.floor[at] = near["score"].to_numpy()
-        found.append(materialise(indexed.mapInArrow(_searcher(spark.sparkContext.broadcast(q), dims, False), schema), f"topk-found{number}"))
-    if not found:
-        return _ranked(spark.createDataFrame([], schema), k)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return _ranked(out, k)
+    space = Space(dims, top2, _pivots(rows, dims, top2, pivots, sample))
+    indexed = index(rows, space, -(-n // part))
+    ranges = indexed.groupBy("part", "pivot").agg(F.min("dist").alias("low"), F.max("dist").alias("high")).orderBy("part", "pivot").toArrow()
+    space.part, space.pivot, space.low, space.high = (ranges[c].to_numpy() for c in ("part", "pivot", "low", "high"))
+    shared = spark.sparkContext.broadcast(space)
+
+    salts = -(-asked // QUERIES)
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    held = indexed.withColumn("salt", salt).select((F.col("part") * salts + F.col("salt")).alias("cell"), F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("sig"), F.lit(0).cast("long").alias("floor"), "vec", "pivot", "dist")
+    queries = rows.where(is_query).select(F.col("vec_id").alias("id"), F.xxhash64("vec").alias("sig"), "vec").groupBy("id", "sig").agg(F.min("vec").alias("vec"))
+
+    def searched(asking: DataFrame, everywhere: bool) -> DataFrame:
+        sent = asking.select("id", "sig", "floor", "vec").mapInArrow(_route(shared, everywhere, salts), _SENT)
+        both = held.unionByName(sent).repartition("cell").sortWithinPartitions("cell", "kind", "pivot", "dist", "id", "sig")
+        return both.mapInArrow(_searcher(shared, k), _FOUND)
+
+    lowest = F.lit(-(2**63)).cast("long")
+    first = searched(queries.withColumn("floor", lowest), False)
+    kth = first.groupBy(F.col("query_id").alias("id"), "sig").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).drop("n")
+    floored = queries.join(kth.hint("merge"), ["id", "sig"], "left").withColumn("floor", F.coalesce("floor", lowest))
+    return _ranked(searched(materialise(floored, "topk-queries"), True), k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id", "sig").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -242,11 +283,13 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (
+  SELECT DISTINCT vec_id, vec FROM v WHERE vec_id % 50 = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_dot_product(q.vec, v.vec) AS BIGINT) AS score
-  FROM v AS q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.vec_id AS query_id, q.vec AS vec, v.vec_id AS vec_id, CAST(list_dot_product(q.vec, v.vec) AS BIGINT) AS score
+  FROM q JOIN v ON v.vec_id <> q.vec_id
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+  SELECT *, row_number() OVER (PARTITION BY query_id, vec ORDER BY score DESC, vec_id) AS rank FROM scored
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """

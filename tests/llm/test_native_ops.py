@@ -124,7 +124,7 @@ def test_topk_equals_brute_force(spark):
     vecs = [(i, rng.normal(size=8).round(3).tolist()) for i in range(300)]
     vecs += [(400 + i, vecs[7][1]) for i in range(20)] + [(500, None), (501, [1.0, None]), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (510, [0.5, 0.5]), (None, [1.0] * 8)]
     df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").withColumn("rank", F.lit(0))
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, pivots=9, block=3).collect())
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, pivots=9, part=40).collect())
     good = {i: [int(np.floor(256 * x)) for x in v] + [0] * (8 - len(v)) for i, v in vecs if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     want = []
     for q in sorted(good):
@@ -133,3 +133,20 @@ def test_topk_equals_brute_force(spark):
             want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
     assert got == want
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_topk_with_hot_vectors_and_equal_ids(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    same = rng.normal(size=4).tolist()
+    vecs = [(i, same if i % 3 == 0 else rng.normal(size=4).tolist()) for i in range(240)] + [(50, [1.0, 0.0, 0.0, 0.0]), (100, same), (100, same)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").withColumn("query_id", F.lit("own"))
+    ints = [(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v in vecs]
+    want = []
+    for q, v in sorted({x for x in ints if x[0] % 50 == 0}):
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ints if i != q)[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    for asked in (100_000, 2):
+        monkeypatch.setattr(topk, "QUERIES", asked)
+        got = topk.top_k(df, F.col("vec_id") % 50 == 0, pivots=5, part=30).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+    assert len(topk.top_k(df.limit(3), F.col("vec_id") % 50 == 0).collect()) == 2
