@@ -1,22 +1,26 @@
 """Hierarchical Pitman-Yor language model over words.
 
-Every word and document start is a context with a restaurant of its own; all share
-one parent, whose base is uniform over the vocabulary and one unknown token.  A
-context's customers are the words that followed it in training text; its tables
-are customers of the parent.  Seatings are sampled by Gibbs: given the rest, the
+Three levels: every word and the document start is a context with a restaurant of its
+own; contexts whose words end alike (a class: a hash of the last two bytes, 63
+of them, and the start) share a parent restaurant; the classes share the root, whose base
+is uniform over the vocabulary and one unknown token.  A context's customers are the
+words that followed it in training text, and a restaurant's tables are customers of
+its parent.  Seatings are sampled by Gibbs: given the rest, the
 number of tables of a word in a restaurant is drawn from its exact conditional,
 which sums over all seatings of its customers (generalised Stirling numbers: a table of
 them up to ``EXACT`` customers, above it contour integrals over all numbers of tables
 within ``TAIL`` of the mode's log weight).  A sweep takes each restaurant's words in two halves,
-holding the other half and the parent's predictive fixed.  After ``burn`` sweeps the
-parent is seated anew from the sampled tables, and ``samples`` further sweeps each
-give a predictive; their average scores the text.
-
-Restaurants are dealt to shards by hash, those of the most frequent words (found on
-a bounded sample of documents; this only decides placement) by context and word, so
-that no shard holds a hot context; their totals are summed over shards.  Counts
-travel as blobs of numbers, one for each chunk of documents and shard; the parent's
-words are ranges of hashes, and each exchange with it names every word of a shard
+holding the other half and the parent's predictive fixed; the other tables of a hot context
+are those at the begin of a phase.  After ``burn`` sweeps, for which each word has one
+table in a parent, the parents are seated anew from the sampled tables, and ``samples``
+further sweeps each give a predictive; their average scores the text.  The draw of a
+context's word comes from a hash of both, so scores do not depend on partitions.
+
+Restaurants are dealt to shards by hash, as many as keep a shard below ``shard`` tokens.
+Hot contexts, by a count of all tokens, are dealt by context and word, so
+that no shard holds one; their totals are summed over shards.  Counts
+travel as blobs of numbers, one for each chunk of documents and shard; the parents'
+words are ranges of hashes, and each exchange with them names every word and class of a shard
 once.  All counts cover all training text, and every text is scored whole.
 
 Cases: null and empty texts consist of one end token; rows with equal texts and ids
@@ -39,11 +43,15 @@ from chatloom.llm.blobs import pack, unpack
 from chatloom.runtime import discard, materialise, ship, shuffle_partitions, table
 
 U64 = kernel.U64
-START, END = kernel.mix64(np.array([101, 102], np.uint64))
+#: The last bits of a token are its class as a context; a document's start has one of its own.
+CLASSES = 64
+_CLASS = U64(CLASSES - 1)
+START, END = kernel.mix64(np.array([101, 102], np.uint64)) & ~_CLASS | np.array([CLASSES - 1, 0], np.uint64)
 EXACT = 192
 TAIL, REACH, STEP, KNOTS = 32.0, 8.0, 0.25, 16
-HOT_SAMPLE, HOT_WORDS = 2_048, 256
-STATE, REPLY, SEEN, WORDS, DOCS = range(5)
+#: Bins of contexts, by their first bits, that are counted to find the hot ones.
+BINS = 1 << 16
+STATE, REPLY, SEEN, WORDS, DOCS, SEATED = range(6)
 _ROW = "kind int, shard int, unit long, blob binary"
 
 
@@ -52,7 +60,10 @@ class Settings:
     burn: int = 2
     samples: int = 2
     theta: float = 1.0
+    d_class: float = 0.6
+    d_root: float = 0.5
     seed: int = 7
+    shard: int = 1_000_000  #: tokens
 
 
 PRODUCTION = Settings()
@@ -63,17 +74,31 @@ class Totals:
     """What every task needs: a few numbers, and those of the hot contexts."""
 
     shards: int
-    hot: np.ndarray
+    bins: np.ndarray  #: whether contexts of a bin are hot
     settings: Settings
     d: float = 0.5
-    d_root: float = 0.5
     vocab: int = 0
     tokens: int = 0
-    customers: np.ndarray = None  #: of the parent, by sample
-    tables: np.ndarray = None
-    hot_c: np.ndarray = None  #: customers and (by sample) tables of hot contexts over all shards
+    class_c: np.ndarray = None  #: customers and tables of classes and the root, by sample
+    class_t: np.ndarray = None
+    root_c: np.ndarray = None
+    root_t: np.ndarray = None
+    hot: np.ndarray = None  #: hot contexts, sorted; their customers and (by sample) tables over all shards
+    hot_c: np.ndarray = None
     hot_t: np.ndarray = None
 
+    def is_hot(self, u: np.ndarray) -> np.ndarray:
+        return self.bins[(u >> U64(48)).astype(np.int64)]
+
+    def hot_totals(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables (by sample) of contexts that are hot; 0 of such as have none."""
+        at = np.searchsorted(self.hot, u)
+        found = np.zeros(len(u), bool)
+        found[at < len(self.hot)] = self.hot[at[at < len(self.hot)]] == u[at < len(self.hot)]
+        c, t = np.zeros(len(u), np.int64), np.zeros((len(self.hot_t), len(u)), np.int64)
+        c[found], t[:, found] = self.hot_c[at[found]], self.hot_t[:, at[found]]
+        return c, t
+
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -176,7 +201,7 @@ def _band(c: np.ndarray, low: np.ndarray, high: np.ndarray, a: np.ndarray, p: np
     return t, weights
 
 
-def _resample_many(c: np.ndarray, rest: np.ndarray, p: np.ndarray, theta: float, d: float, rng: np.random.Generator) -> np.ndarray:
+def _resample_many(c: np.ndarray, rest: np.ndarray, p: np.ndarray, theta: float, d: float, draws: np.ndarray) -> np.ndarray:
     """As ``resample``, for numbers of customers without a row of Stirling numbers."""
     out = np.ones(len(c), np.int64)
     a = rest + theta / d
@@ -205,14 +230,17 @@ def _resample_many(c: np.ndarray, rest: np.ndarray, p: np.ndarray, theta: float,
         low[i], high[i] = np.where(below, np.maximum(1, low[i] - more), low[i]), np.where(above, np.minimum(c[i], high[i] + more), high[i])
         wide = below | above
         chance = np.cumsum(np.exp(weights - best[:, None]), axis=1)
-        draw = (chance <= (rng.random(len(i)) * chance[:, -1])[:, None]).sum(axis=1)
+        draw = (chance <= (draws[i] * chance[:, -1])[:, None]).sum(axis=1)
         out[i[~wide]] = t[np.arange(len(i)), draw][~wide]
         left = np.concatenate([i[wide], left])
     return out
 
 
-def resample(c: np.ndarray, rest: np.ndarray, p: np.ndarray, theta: float, d: float, log_s: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables of words with ``c`` customers in restaurants with ``rest`` other tables; ``p``: the parent's predictive."""
+def resample(c: np.ndarray, rest: np.ndarray, p: np.ndarray, theta: float, d: float, log_s: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Numbers of tables of words with ``c`` customers in restaurants with ``rest`` other tables; ``p``: the parent's predictive.
+
+    ``draws``: a uniform number for each word.
+    """
     out = np.minimum(c, 1)
     for cc in np.unique(c[(c > 1) & (c < len(log_s))]):
         which = np.flatnonzero(c == cc)
@@ -220,18 +248,23 @@ def resample(c: np.ndarray, rest: np.ndarray, p: np.ndarray, theta: float, d: fl
             i = which[at : at + max(1, 500_000 // int(cc))]
             step = np.log((theta + d * (rest[i, None] + np.arange(cc))) * p[i, None])
             logit = np.cumsum(step, axis=1) + log_s[cc, 1 : cc + 1]
-            out[i] = (logit + rng.gumbel(size=logit.shape)).argmax(axis=1) + 1
+            chance = np.cumsum(np.exp(logit - logit.max(axis=1)[:, None]), axis=1)
+            out[i] = (chance <= (draws[i] * chance[:, -1])[:, None]).sum(axis=1) + 1
     i = np.flatnonzero(c >= len(log_s))
-    out[i] = _resample_many(c[i], rest[i], p[i], theta, d, rng)
+    out[i] = _resample_many(c[i], rest[i], p[i], theta, d, draws[i])
     return out
 
 
+def uniform(key: np.ndarray, *salt: int) -> np.ndarray:
+    """A number from 0 to below 1 for each key."""
+    for x in salt:
+        key = kernel.mix64(key ^ kernel.mix64(np.array([x], np.uint64)))
+    return (key >> U64(11)).astype(np.float64) * 2.0**-53
+
+
 def _shard(u: np.ndarray, w: np.ndarray, totals: Totals) -> np.ndarray:
     x = kernel.mix64(u)
-    if len(totals.hot):
-        hot = totals.hot[np.minimum(np.searchsorted(totals.hot, u), len(totals.hot) - 1)] == u
-        x = np.where(hot, kernel.mix64(x ^ w), x)
-    return _range(x, totals.shards)
+    return _range(np.where(totals.is_hot(u), kernel.mix64(x ^ w), x), totals.shards)
 
 
 def _range(x: np.ndarray, shards: int) -> np.ndarray:
@@ -243,8 +276,10 @@ def tokens(block: kernel.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, token, doc) of each token: a document's words, then an end."""
     w = kernel.words(block)
     n = len(block)
+    low = kernel.lowered(block.data).astype(np.uint64)
+    ending = low[w.end - 1] + U64(256) * np.where(w.end - w.start > 1, low[w.end - 2], U64(0))
     token = np.empty(len(w.hash) + n, np.uint64)
-    token[np.arange(len(w.hash)) + w.doc] = w.hash
+    token[np.arange(len(w.hash)) + w.doc] = w.hash & ~_CLASS | kernel.mix64(ending) % U64(CLASSES - 1)
     ends = w.first[1:] + np.arange(n)
     token[ends] = END
     context = np.concatenate([[START], token[:-1]]) if n else token
@@ -252,21 +287,33 @@ def tokens(block: kernel.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context, token, np.repeat(np.arange(n), np.diff(w.first) + 1)
 
 
+def coded(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A word under the class of its context."""
+    return w & ~_CLASS | u & _CLASS
+
+
+def _distinct(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct pair, and which of them each pair is."""
+    key = kernel.mix64(u ^ kernel.mix64(w))
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    place = np.empty(len(key), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
+
+
 def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if not len(x) or x.max() < 256 else np.uint16 if x.max() < 65536 else np.uint32)
 
 
 def _types(u: np.ndarray, w: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
-    """Pairs in order of context and word, as arrays of few bytes: contexts, words, how many pairs of each context, places of words."""
+    """Pairs in order of contexts, as arrays of few bytes: contexts, words, how many pairs of each context, places of words."""
     first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
     words, place = np.unique(w, return_inverse=True)
     return {"u": u[first], "n": _small(np.diff(np.append(first, len(u)))), "w": words, "i": _small(place), "c": _small(count)}
 
 
-def _pairs(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(x["u"], x["n"]), x["w"][x["i"].astype(np.int64)]
-
-
 def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "shard", "unit", "blob"])
@@ -284,9 +331,10 @@ def _emit(shared, scoring: bool):
         """Per chunk: its rows; contexts and words of its blocks; and counts, or (pair, doc, times)."""
         left, right, held_by, rows = [], [], [], None
         size = 0
-        for block in kernel.blocks(b["text"], 1 << 20):
+        for block in kernel.blocks(b["text"]):
             u, w, doc = tokens(block)
-            _, first, place = np.unique(kernel.mix64(u ^ kernel.mix64(w)), return_index=True, return_inverse=True)
+            w = coded(u, w)
+            first, place = _distinct(u, w)
             left.append(u[first])
             right.append(w[first])
             start = block.first if rows is None else rows.start
@@ -311,10 +359,11 @@ def _emit(shared, scoring: bool):
             for part, left, right, held_by in prepared(b, held):
                 sizes = np.cumsum([0, *map(len, left)])
                 u, w = np.concatenate(left), np.concatenate(right)
-                _, first, place = np.unique(kernel.mix64(u ^ kernel.mix64(w)), return_index=True, return_inverse=True)
+                first, place = _distinct(u, w)
                 u, w = u[first], w[first]
                 shard = _shard(u, w, totals)
-                order = np.lexsort((w, u, shard))
+                order = np.argsort(u)
+                order = order[np.argsort(_small(shard[order]), kind="stable")]
                 cuts = np.searchsorted(shard[order], np.arange(totals.shards + 1))
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
@@ -339,7 +388,7 @@ def _emit(shared, scoring: bool):
                     for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                         if z > a:
                             rows.append((STATE, s, 0, pack(**_types(u[a:z], w[a:z], count[a:z]))))
-                    words, c = _sum_by(w[count > 0], count[count > 0])
+                    words, c = _sum_by(w[count > 0] & ~_CLASS, count[count > 0])
                     cuts = np.searchsorted(_range(words, totals.shards), np.arange(totals.shards + 1))
                     rows += [(WORDS, s, 0, pack(w=words[a:z], c=_small(c[a:z]))) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
                 if rows:
@@ -362,11 +411,16 @@ def _state_row(kind: int, shard: int, blob: bytes, x: int, y: int, hot: bytes) -
     return pa.table({n: pa.array([v], k) for n, v, k in zip(names, (kind, shard, blob, x, y, hot), kinds, strict=True)})
 
 
-def _hot_part(u: np.ndarray, c: np.ndarray, t: np.ndarray, hot: np.ndarray) -> bytes:
-    """Of the hot contexts that a shard has: place, customers, tables by sample."""
-    at = np.searchsorted(hot, u)
-    here = np.flatnonzero(hot[np.minimum(at, len(hot) - 1)] == u) if len(hot) else np.zeros(0, np.int64)
-    return pack(at=at[here], c=c[here], t=np.ascontiguousarray(t[:, here]).ravel())
+def _hot_part(u: np.ndarray, c: np.ndarray, t: np.ndarray, totals: Totals) -> bytes:
+    """Of the hot contexts that a shard has: context, customers, tables by sample."""
+    here = np.flatnonzero(totals.is_hot(u))
+    return pack(u=u[here], c=c[here], t=np.ascontiguousarray(t[:, here]).ravel())
+
+
+def _keys(parts: list[dict[str, np.ndarray]], contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Pairs of blobs as numbers: place of the context, then of the word."""
+    found = [np.repeat(np.searchsorted(contexts, p["u"]), p["n"]) * len(words) + np.searchsorted(words, p["w"])[p["i"]] for p in parts]
+    return np.concatenate(found)
 
 
 def _merge(shared):
@@ -379,20 +433,19 @@ def _merge(shared):
         if kind == WORDS:
             w, c = _sum_by(np.concatenate([p["w"] for p in parts]), np.concatenate([p["c"] for p in parts]))
             return _state_row(WORDS, shard, pack(w=w, c=c.astype(np.uint64)), int(c.sum()), len(w), b"")
-        vocab = np.unique(np.concatenate([p["w"] for p in parts]))
-        pairs = [(*_pairs(p), p["c"]) for p in parts]
-        u, w, c = (np.concatenate([p[i] for p in pairs]) for i in range(3))
-        u, w, c = u[c > 0], w[c > 0], c[c > 0]
-        order = np.lexsort((w, u))
-        u, w, c = u[order], w[order], c[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])])) if len(u) else np.zeros(0, np.int64)
+        vocab, contexts = (np.unique(np.concatenate([p[k] for p in parts])) for k in ("w", "u"))
+        key, c = _keys(parts, contexts, vocab), np.concatenate([p["c"] for p in parts]).astype(np.int64)
+        key, c = key[c > 0], c[c > 0]
+        order = np.argsort(key)
+        key, c = key[order], c[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         c = np.add.reduceat(c, first) if len(first) else c
-        u, w = u[first], w[first]
-        contexts, n = np.unique(u, return_counts=True)
-        ones = np.ones(len(u), np.int64)
+        at, i = np.divmod(key[first], max(1, len(vocab)))
+        here, n = np.unique(at, return_counts=True)
+        contexts = contexts[here]
         cu = np.add.reduceat(c, np.cumsum(n) - n) if len(n) else n
-        blob = pack(s=np.array([1]), vocab=vocab, u=contexts, n=_small(n), i=np.searchsorted(vocab, w).astype(np.uint32), c=_small(c), t=_small(ones))
-        return _state_row(STATE, shard, blob, int((c == 1).sum()), int((c == 2).sum()), _hot_part(contexts, cu, n[None].astype(np.int64), totals.hot))
+        blob = pack(s=np.array([1]), vocab=vocab, u=contexts, n=_small(n), i=i.astype(np.uint32), c=_small(c), t=_small(np.ones(len(c), np.int64)))
+        return _state_row(STATE, shard, blob, int((c == 1).sum()), int((c == 2).sum()), _hot_part(contexts, cu, n[None].astype(np.int64), totals))
 
     return run
 
@@ -403,7 +456,7 @@ def _tables(x: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def _ask(shared):
-    """A state's words and their tables, to the parent's shards."""
+    """A state's words under their classes, and their tables, to the parents' shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: Totals = shared.value
@@ -419,59 +472,91 @@ def _ask(shared):
     return run
 
 
-_PARENT_ROW = "shard int, blob binary, ask binary, c array<long>, t array<long>"
+_PARENT_ROW = "shard int, blob binary, ask binary, sums array<long>"
 
 
-def _seat_parent(shared):
-    """A range of the parent's words: customers and sampled tables, and who asked for which."""
+def _predictive(c: np.ndarray, t: np.ndarray, d: float, theta: float, all_c: np.ndarray, all_t: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    return (c - d * t + (theta + d * all_t) * parent) / (theta + all_c)
+
+
+def _root(x: dict[str, np.ndarray], totals: Totals) -> np.ndarray:
+    """The root's predictive of a shard's words, by sample."""
+    s = totals.settings
+    c, t = (x[k].reshape(len(totals.root_c), -1) for k in ("c0", "t0"))
+    return _predictive(c, t, s.d_root, s.theta, totals.root_c[:, None], totals.root_t[:, None], np.full((1, 1), 1.0 / (totals.vocab + 1)))
+
+
+def _seat_parent(shared, phase: int):
+    """A range of words: customers and tables of the classes' restaurants and of the root, and who asked for which.
+
+    In phase 0 every word has one table; later ones draw, given the state of the phase before.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         totals: Totals = shared.value
         s = totals.settings
-        shard = t["shard"][0].as_py()
-        asked, counted = [], []
+        asked, counted, before = [], [], None
         for kind, unit, blob in zip(t["kind"].to_pylist(), t["unit"].to_pylist(), t["blob"], strict=True):
-            (counted if kind == WORDS else asked).append((unit, unpack(blob.as_py())))
+            if kind == SEATED:
+                before = unpack(blob.as_py())
+            else:
+                (counted if kind == WORDS else asked).append((unit, unpack(blob.as_py())))
         asked.sort(key=lambda a: a[0])
-        words = np.unique(np.concatenate([x["w"] for _, x in asked + counted]))
+        codes = np.unique(np.concatenate([x["w"] for _, x in asked] or [np.zeros(0, np.uint64)]))
+        words = np.unique(np.concatenate([codes & ~_CLASS, *(x["w"] for _, x in counted)]))
+        of, group = np.searchsorted(words, codes & ~_CLASS), (codes & _CLASS).astype(np.int64)
         samples = len(asked[0][1]["t"]) // len(asked[0][1]["w"]) if asked else 1
-        customers, places = np.zeros((samples, len(words)), np.int64), []
+        customers, places = np.zeros((samples, len(codes)), np.int64), []
         for _, x in asked:
-            at = np.searchsorted(words, x["w"])
+            at = np.searchsorted(codes, x["w"])
             customers[:, at] += x["t"].reshape(samples, -1).astype(np.int64)
             places.append(at)
         count = np.zeros(len(words), np.int64)
         for _, x in counted:
             count[np.searchsorted(words, x["w"])] = x["c"]
-        log_s = stirling(totals.d_root)
-        rng = np.random.default_rng([s.seed, 1, shard, samples])
-        base = np.full(len(words), 1.0 / (totals.vocab + 1))
-        tables = np.stack([resample(c, totals.vocab - np.minimum(c, 1).astype(float), base, s.theta, totals.d_root, log_s, rng) for c in customers])
+        tables, guests, seats = np.minimum(customers, 1), np.zeros((samples, len(words)), np.int64), np.zeros((samples, len(words)), np.int64)
+        if before is not None:
+            root = _root(before, totals)
+            old1, old0 = (before[k].reshape(len(root), -1).astype(np.int64) for k in ("t1", "t0"))
+            log_1, log_0 = stirling(s.d_class), stirling(s.d_root)
+        for i in range(samples):
+            j = 0 if before is None else min(i, len(root) - 1)
+            if before is not None:
+                rest = totals.class_t[j][group] - old1[j]
+                tables[i] = resample(customers[i], rest.astype(float), root[j][of], s.theta, s.d_class, log_1, uniform(codes, s.seed, 1, phase, i))
+            guests[i] = np.bincount(of, weights=tables[i], minlength=len(words))
+            seats[i] = np.minimum(guests[i], 1)
+            if before is not None:
+                base = np.full(len(words), 1.0 / (totals.vocab + 1))
+                seats[i] = resample(guests[i], (totals.root_t[j] - old0[j]).astype(float), base, s.theta, s.d_root, log_0, uniform(words, s.seed, 2, phase, i))
         ask = pack(who=np.array([a[0] for a in asked], np.int64), n=np.array([len(p) for p in places], np.int64), at=np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.uint32))
-        blob = pack(c=customers.ravel(), t=tables.ravel().astype(np.int64), n=count)
-        return pa.table({"shard": pa.array([shard], pa.int32()), "blob": [blob], "ask": [ask], "c": [customers.sum(axis=1).tolist()], "t": [tables.sum(axis=1).tolist()]})
+        blob = pack(w=codes, of=of.astype(np.uint32), c1=customers.ravel(), t1=tables.ravel(), c0=guests.ravel(), t0=seats.ravel(), n=count)
+        by_class = [np.bincount(group, weights=v, minlength=CLASSES) for v in (*customers, *tables)]
+        sums = np.concatenate([*by_class, guests.sum(axis=1), seats.sum(axis=1)]).astype(np.int64)
+        return pa.table({"shard": t["shard"][:1].cast(pa.int32()), "blob": [blob], "ask": [ask], "sums": [sums.tolist()]})
 
     return run
 
 
 def _answer(shared):
-    """The parent's predictive of the words that each state asked for, by sample, and their training counts."""
+    """The parents' predictive of the words that each state asked for, by sample, and their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: Totals = shared.value
-        theta = totals.settings.theta
+        s = totals.settings
         for b in batches:
             for shard, blob, ask in zip(b["shard"].to_pylist(), b["blob"], b["ask"], strict=True):
                 x, q = unpack(blob.as_py()), unpack(ask.as_py())
-                samples = len(totals.customers)
-                c, t = x["c"].reshape(samples, -1), x["t"].reshape(samples, -1)
-                base = (theta + totals.d_root * totals.tables) / (totals.vocab + 1)
-                p = (c - totals.d_root * t + base[:, None]) / (theta + totals.customers)[:, None]
+                samples = len(totals.root_c)
+                c, t = (x[k].reshape(samples, -1) for k in ("c1", "t1"))
+                group = (x["w"] & _CLASS).astype(np.int64)
+                p = _predictive(c, t, s.d_class, s.theta, totals.class_c[:, group], totals.class_t[:, group], _root(x, totals)[:, x["of"]])
+                n = x["n"][x["of"]]
                 rows, at = [], 0
-                for who, n in zip(q["who"].tolist(), q["n"].tolist(), strict=True):
-                    i = q["at"][at : at + n]
-                    at += n
-                    rows.append((REPLY, who, shard, pack(p=p[:, i].astype(np.float32).ravel(), n=_small(x["n"][i]))))
+                for who, size in zip(q["who"].tolist(), q["n"].tolist(), strict=True):
+                    i = q["at"][at : at + size]
+                    at += size
+                    rows.append((REPLY, who, shard, pack(p=p[:, i].astype(np.float32).ravel(), n=_small(n[i]))))
                 if rows:
                     yield _rows(rows)
 
@@ -487,45 +572,36 @@ def _received(t: pa.Table, samples: int) -> tuple[dict[str, np.ndarray], np.ndar
     return state, p, np.concatenate([r["n"].astype(np.int64) for r in replies] or [np.zeros(0, np.int64)])
 
 
-def _elsewhere(u: np.ndarray, own_c: np.ndarray, own_t: np.ndarray, totals: Totals) -> tuple[np.ndarray, np.ndarray]:
-    """Customers and tables (by sample) that hot contexts have in other shards."""
-    c, t = np.zeros(len(u), np.int64), np.zeros((len(own_t), len(u)), np.int64)
-    if len(totals.hot):
-        at = np.minimum(np.searchsorted(totals.hot, u), len(totals.hot) - 1)
-        hot = totals.hot[at] == u
-        c[hot] = totals.hot_c[at[hot]] - own_c[hot]
-        t[:, hot] = totals.hot_t[:, at[hot]] - own_t[:, hot]
-    return c, t
-
-
-def _sweep(shared, sweeps: int, keep: int):
+def _sweep(shared, sweeps: int, keep: int, phase: int):
     """``sweeps`` Gibbs sweeps over a shard's restaurants; the last ``keep`` states are kept."""
 
     def run(t: pa.Table) -> pa.Table:
         totals: Totals = shared.value
         s = totals.settings
-        shard = t["shard"][0].as_py()
         x, p, _ = _received(t, 1)
         c, n = x["c"].astype(np.int64), x["n"].astype(np.int64)
-        first = np.cumsum(n) - n
-        now, of = _tables(x)[-1].copy(), np.repeat(np.arange(len(n)), n)
+        first, of = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        start = _tables(x)[-1]
+        now = start.copy()
         total = lambda v: np.add.reduceat(v, first) if len(first) else v
-        _, other = _elsewhere(x["u"], total(c), total(now)[None], totals)
-        rng = np.random.default_rng([s.seed, 2, shard, sweeps, keep])
+        hot = totals.is_hot(x["u"])
+        fixed = totals.hot_totals(x["u"])[1][-1]
         log_s, kept = stirling(totals.d), []
         word = p[0][x["i"].astype(np.int64)]
-        half = rng.random(len(c)) < 0.5
+        key = kernel.mix64(np.repeat(x["u"], n) ^ kernel.mix64(x["vocab"][x["i"].astype(np.int64)]))
+        half = uniform(key, s.seed, 3) < 0.5
         for turn in range(sweeps):
+            draws = uniform(key, s.seed, 4, phase, turn)
             for part in (half, ~half):
                 i = np.flatnonzero(part & (c > 1))  # one customer has one table
-                rest = (total(now) + other[0])[of[i]] - now[i]
-                now[i] = resample(c[i], rest.astype(float), word[i], s.theta, totals.d, log_s, rng)
+                rest = np.where(hot[of[i]], fixed[of[i]] - start[i], total(now)[of[i]] - now[i])
+                now[i] = resample(c[i], rest.astype(float), word[i], s.theta, totals.d, log_s, draws[i])
             if turn >= sweeps - keep:
                 kept.append(now.copy())
         tables = np.stack(kept)
         sums = np.stack([total(v) for v in tables])
         blob = pack(s=np.array([keep]), vocab=x["vocab"], u=x["u"], n=x["n"], i=x["i"], c=x["c"], t=_small(tables.ravel()))
-        return _state_row(STATE, shard, blob, 0, 0, _hot_part(x["u"], total(c), sums, totals.hot))
+        return _state_row(STATE, t["shard"][0].as_py(), blob, 0, 0, _hot_part(x["u"], total(c), sums, totals))
 
     return run
 
@@ -535,56 +611,48 @@ def _score(shared):
 
     def run(t: pa.Table) -> pa.Table:
         totals: Totals = shared.value
-        theta, d, samples = totals.settings.theta, totals.d, len(totals.customers)
+        theta, d, samples = totals.settings.theta, totals.d, len(totals.root_c)
         shard = t["shard"][0].as_py()
         kinds, units = t["kind"].to_pylist(), t["unit"].to_pylist()
         rows = [(DOCS, shard, units[i], t["blob"][i].as_py()) for i, k in enumerate(kinds) if k == DOCS]
         x, p, count = _received(t, samples)
         if x is not None:
             c, n = x["c"].astype(np.int64), x["n"].astype(np.int64)
-            first = np.cumsum(n) - n
-            tables = _tables(x)
+            first, tables = np.cumsum(n) - n, _tables(x)
             total = lambda v: np.add.reduceat(v, first) if len(first) else v
             cu, tu = total(c), np.stack([total(v) for v in tables])
-            more_c, more_t = _elsewhere(x["u"], cu, tu, totals)
-            cu, tu = cu + more_c, tu + more_t
-            pair = kernel.mix64(np.repeat(x["u"], n) ^ kernel.mix64(x["vocab"][x["i"].astype(np.int64)]))
-            order = np.argsort(pair)
-            pair = pair[order]
+            pair = np.repeat(np.arange(len(n)), n) * len(x["vocab"]) + x["i"]
         for i, k in enumerate(kinds):
             if k != SEEN:
                 continue
             y = unpack(t["blob"][i].as_py())
-            u, w = _pairs(y)
-            place = np.searchsorted(x["vocab"], w)
+            # contexts first, then their pairs
+            at = np.minimum(np.searchsorted(x["u"], y["u"]), max(0, len(x["u"]) - 1))
+            known = x["u"][at] == y["u"] if len(x["u"]) else np.zeros(len(y["u"]), bool)
+            customers, own_tables = np.zeros(len(at), np.int64), np.zeros((samples, len(at)), np.int64)
+            customers[known], own_tables[:, known] = cu[at[known]], tu[:, at[known]]
+            hot = totals.is_hot(y["u"])
+            customers[hot], own_tables[:, hot] = totals.hot_totals(y["u"][hot])
+            spread = np.repeat(np.arange(len(at)), y["n"])
+            place = np.searchsorted(x["vocab"], y["w"])[y["i"]]
             back = p[:, place]
-            at = np.minimum(np.searchsorted(x["u"], u), max(0, len(x["u"]) - 1))
-            if len(x["u"]):
-                known = x["u"][at] == u
-                customers = np.where(known, cu[at], 0)
-                own_tables = np.where(known, tu[:, at], 0)
-                key = kernel.mix64(u ^ kernel.mix64(w))
+            own = np.zeros(back.shape)
+            if len(pair):
+                key = at[spread] * len(x["vocab"]) + place
                 j = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
-                seen = pair[j] == key
-                own = np.where(seen, c[order[j]] - d * tables[:, order[j]], 0.0)
-                prob = np.where(customers > 0, (own + (theta + d * own_tables) * back) / (theta + customers), back)
-            else:
-                prob = back
-            if len(totals.hot) and totals.hot_c is not None:
-                # a hot context may have customers in other shards only
-                h = np.minimum(np.searchsorted(totals.hot, u), len(totals.hot) - 1)
-                lone = (totals.hot[h] == u) & (x["u"][at] != u if len(x["u"]) else True) & (totals.hot_c[h] > 0)
-                if lone.any():
-                    prob[:, lone] = (theta + d * totals.hot_t[:, h[lone]]) * back[:, lone] / (theta + totals.hot_c[h[lone]])
+                seen = known[spread] & (pair[j] == key)
+                own[:, seen] = c[j[seen]] - d * tables[:, j[seen]]
+            many = customers[spread]
+            prob = np.where(many > 0, (own + (theta + d * own_tables[:, spread]) * back) / (theta + many), back)
             score = np.log10(prob.mean(axis=0))
-            docs_of = y["c"].astype(np.int64)
-            times = y["k"].astype(np.int64)
-            which = np.repeat(np.arange(len(u)), docs_of)
-            docs = y["doc"].astype(np.int64)
-            size = int(docs.max()) + 1
-            seen_w = count[place]
-            sums = [np.bincount(docs, weights=v, minlength=size) for v in (times * score[which], times * np.log10(seen_w[which] + 1.0), times * (seen_w[which] > 0), times, times * (u[which] == START))]
-            rows.append((SEEN, shard, units[i], pack(score=sums[0], base=sums[1], known=sums[2], n=sums[3], rows=sums[4])))
+            which = np.repeat(np.arange(len(spread)), y["c"])
+            docs, doc = np.unique(y["doc"], return_inverse=True)
+            times, seen_w = y["k"].astype(np.int64), count[place]
+            starts = (y["u"] == START)[spread]
+            per_pair = (score, np.log10(seen_w + 1.0), seen_w > 0, np.ones(len(spread)), starts)
+            sums = [np.bincount(doc, weights=times * v[which], minlength=len(docs)) for v in per_pair]
+            whole = dict(zip(("known", "n", "rows"), (_small(v.astype(np.int64)) for v in sums[2:]), strict=True))
+            rows.append((SEEN, shard, units[i], pack(doc=docs, score=sums[0], base=sums[1], **whole)))
         return pa.Table.from_batches([_rows(rows)])
 
     return run
@@ -600,7 +668,7 @@ def _finish(shared):
         for kind, _, x in parts:
             if kind == SEEN:
                 for k, v in sums.items():
-                    v[: len(x[k])] += x[k]
+                    v[x["doc"]] += x[k]
         # chunks that are equal meet here: each document then counts as often as it starts
         times = np.maximum(1, sums.pop("rows")).astype(np.int64)
         one = {k: np.repeat(v / times, times) for k, v in sums.items()}
@@ -612,29 +680,42 @@ def _finish(shared):
     return run
 
 
-def _hot_words(docs: DataFrame) -> np.ndarray:
-    """Contexts that are frequent in a bounded sample; only where their counts are kept depends on this."""
+def _bin_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts of each bin: one row a bin and task."""
+    total = np.zeros(BINS, np.int64)
+    for b in batches:
+        for block in kernel.blocks(b["text"]):
+            total += np.bincount((tokens(block)[0] >> U64(48)).astype(np.int64), minlength=BINS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bin", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block in kernel.blocks(b["text"]):
-                u, n = np.unique(tokens(block)[0], return_counts=True)
-                some = n > n.sum() / 2000
-                yield pa.RecordBatch.from_arrays([pa.array(u[some].view(np.int64)), pa.array(n[some])], ["u", "n"])
 
-    got = docs.select("text").limit(HOT_SAMPLE).mapInArrow(count, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
-    got = got.orderBy(F.col("n").desc(), "u").limit(HOT_WORDS).toArrow()
-    return np.unique(np.concatenate([got["u"].to_numpy().view(np.uint64), [START]]))
+def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for blob in b["hot"]:
+            x = unpack(blob.as_py())
+            samples = len(x["t"]) // max(1, len(x["u"]))
+            for i in range(samples):
+                cols = [x["u"].view(np.int64), np.full(len(x["u"]), i, np.int32), x["c"], x["t"].reshape(samples, -1)[i]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["u", "sample", "c", "t"])
 
 
 def _add_hot(totals: Totals, state: DataFrame, samples: int) -> None:
-    """Hot contexts' totals: a few numbers from each shard."""
+    """Hot contexts' totals over all shards: a row for each of them and sample."""
+    rows = state.where(F.col("kind") == STATE).select("hot").mapInArrow(_hot_rows, "u long, sample int, c long, t long")
+    got = rows.groupBy("u", "sample").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).toArrow()
+    u, sample = got["u"].to_numpy().view(np.uint64), got["sample"].to_numpy()
+    totals.hot, at = np.unique(u, return_inverse=True)
     totals.hot_c, totals.hot_t = np.zeros(len(totals.hot), np.int64), np.zeros((samples, len(totals.hot)), np.int64)
-    for row in state.where(F.col("kind") == STATE).select("hot").toLocalIterator():
-        x = unpack(row.hot)
-        np.add.at(totals.hot_c, x["at"], x["c"])
-        if len(x["at"]):
-            totals.hot_t[:, x["at"]] += x["t"].reshape(samples, -1)
+    totals.hot_c[at], totals.hot_t[sample, at] = got["c"].to_numpy(), got["t"].to_numpy()
+
+
+def _totals(rows: DataFrame, s: Settings) -> Totals:
+    counts = rows.select("text").mapInArrow(_bin_counts, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # BINS rows at most
+    n, total = counts["n"].to_numpy(), int(counts["n"].to_numpy().sum())
+    bins = np.zeros(BINS, bool)
+    bins[counts["bin"].to_numpy()[n > max(s.shard // 4, 8 * total // BINS)]] = True
+    return Totals(max(shuffle_partitions(rows.sparkSession), -(-total // s.shard)), bins, s)
 
 
 def score(docs: DataFrame, is_held_out: Column, s: Settings = PRODUCTION) -> DataFrame:
@@ -643,7 +724,7 @@ def score(docs: DataFrame, is_held_out: Column, s: Settings = PRODUCTION) -> Dat
     ship(spark)
     share = spark.sparkContext.broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", is_held_out.alias("held_out"), F.xxhash64("doc_id", "text").alias("sig"))
-    totals = Totals(shuffle_partitions(spark), _hot_words(docs), s)
+    totals = _totals(rows, s)
 
     blobs = rows.mapInArrow(_emit(share(totals), False), _ROW)
     merged = materialise(blobs.groupBy("kind", "shard").applyInArrow(_merge(share(totals)), _STATE_ROW), "lm-state")
@@ -655,31 +736,39 @@ def score(docs: DataFrame, is_held_out: Column, s: Settings = PRODUCTION) -> Dat
         totals.d = float(np.clip(sums[STATE].x / (sums[STATE].x + 2 * sums[STATE].y), 0.1, 0.9))
     state, old = merged.where(F.col("kind") == STATE), [merged]
     _add_hot(totals, state, 1)
+    seated = None
 
-    def parent(now: DataFrame, tag: str) -> DataFrame:
-        """Replies of the parent, seated anew from the tables of ``now``."""
+    def parent(now: DataFrame, phase: int, samples: int) -> DataFrame:
+        """Replies of the parents, seated anew from the tables of ``now``."""
+        nonlocal seated
         asked = now.mapInArrow(_ask(share(totals)), _ROW).unionByName(words)
-        seated = materialise(asked.groupBy("shard").applyInArrow(_seat_parent(share(totals)), _PARENT_ROW), f"lm-parent-{tag}")
-        got = seated.select("c", "t").toArrow()  # a few numbers from each shard
-        # shards without customers have one sample's zeros
-        most = max([len(c) for c in got["c"].to_pylist()], default=1)
-        c, t = (np.array([v if len(v) == most else [0] * most for v in got[k].to_pylist()] or [[0]]).sum(axis=0) for k in ("c", "t"))
-        totals.customers, totals.tables = c.astype(float), t.astype(float)
+        if seated is not None:
+            asked = asked.unionByName(seated.select(F.lit(SEATED).alias("kind"), "shard", F.lit(0).cast("long").alias("unit"), "blob"))
+        seated = materialise(asked.groupBy("shard").applyInArrow(_seat_parent(share(totals), phase), _PARENT_ROW), f"lm-parent-{phase}")
+        got = seated.select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).toArrow()  # some numbers for each class and sample
+        v = np.zeros(samples * 2 * (CLASSES + 1))
+        # shards without words have one sample's zeros
+        inside = got["at"].to_numpy() < len(v)
+        v[got["at"].to_numpy()[inside]] = got["v"].to_numpy()[inside]
+        split = samples * CLASSES
+        totals.class_c, totals.class_t = v[:split].reshape(samples, CLASSES), v[split : 2 * split].reshape(samples, CLASSES)
+        totals.root_c, totals.root_t = v[2 * split : 2 * split + samples], v[2 * split + samples :]
         old.append(seated)
         return seated.mapInArrow(_answer(share(totals)), _ROW)
 
     def rows_of(now: DataFrame) -> DataFrame:
         return now.select("kind", "shard", F.lit(0).cast("long").alias("unit"), "blob")
 
-    for tag, sweeps, keep in (("burn", s.burn, 1), ("sample", s.samples, s.samples)):
-        both = rows_of(state).unionByName(parent(state, tag))
-        state = materialise(both.groupBy("shard").applyInArrow(_sweep(share(totals), sweeps, keep), _STATE_ROW), f"lm-{tag}")
+    for phase, sweeps, keep in ((0, s.burn, 1), (1, s.samples, s.samples)):
+        both = rows_of(state).unionByName(parent(state, phase, 1))
+        state = materialise(both.groupBy("shard").applyInArrow(_sweep(share(totals), sweeps, keep, phase), _STATE_ROW), f"lm-swept-{phase}")
         for done in old:
-            discard(done)
-        old[:] = [state]
+            if done is not seated:
+                discard(done)
+        old[:] = [state, seated]
         _add_hot(totals, state, keep)
     seen = rows.mapInArrow(_emit(share(totals), True), _ROW)
-    everything = rows_of(state).unionByName(parent(state, "final")).unionByName(seen)
+    everything = rows_of(state).unionByName(parent(state, 2, s.samples)).unionByName(seen)
     parts = everything.groupBy("shard").applyInArrow(_score(share(totals)), _ROW)
     return parts.groupBy("unit").applyInArrow(_finish(share(totals)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
