@@ -60,7 +60,7 @@ class Settings:
     burn: int = 2
     samples: int = 2
     theta: float = 1.0
-    d_class: float = 0.6
+    d_class: float = 0.8
     d_root: float = 0.5
     seed: int = 7
     shard: int = 1_000_000  #: tokens
