@@ -63,7 +63,7 @@ class Settings:
     d_class: float = 0.8
     d_root: float = 0.5
     seed: int = 7
-    shard: int = 1_000_000  #: tokens
+    shard: int = 1_500_000  #: tokens
 
 
 PRODUCTION = Settings()
@@ -287,9 +287,36 @@ def tokens(block: kernel.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context, token, np.repeat(np.arange(n), np.diff(w.first) + 1)
 
 
-def coded(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """A word under the class of its context."""
-    return w & ~_CLASS | u & _CLASS
+class Codes:
+    """Words of a shard under the classes of their contexts: a code is a word whose last bits are the class."""
+
+    def __init__(self, words: np.ndarray, mask: np.ndarray):
+        """``mask``: a bit for each class under which the word stands."""
+        self.words, self.mask = words, mask
+        n = np.bitwise_count(mask).astype(np.int64)
+        self.first = np.cumsum(n) - n
+        self.size = int(n.sum())
+
+    @classmethod
+    def of_pairs(cls, words: np.ndarray, word: np.ndarray, group: np.ndarray) -> Codes:
+        here = np.zeros((len(words), CLASSES), bool)
+        here[word, group] = True
+        return cls(words, np.packbits(here, axis=1, bitorder="little").view(np.uint64).ravel())
+
+    @classmethod
+    def of_codes(cls, codes: np.ndarray) -> Codes:
+        plain = codes & ~_CLASS
+        words = plain[np.concatenate([[True], plain[1:] != plain[:-1]])[: len(plain)]]
+        return cls.of_pairs(words, np.searchsorted(words, plain), (codes & _CLASS).astype(np.int64))
+
+    def place(self, word: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Which code a word (its place) under a class is."""
+        return self.first[word] + np.bitwise_count(self.mask[word] & ((U64(1) << group.astype(np.uint64)) - U64(1)))
+
+    def codes(self) -> np.ndarray:
+        bits = np.unpackbits(self.mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        word, group = np.nonzero(bits)
+        return self.words[word] | group.astype(np.uint64)
 
 
 def _distinct(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,7 +360,7 @@ def _emit(shared, scoring: bool):
         size = 0
         for block in kernel.blocks(b["text"]):
             u, w, doc = tokens(block)
-            w = coded(u, w)
+            w = w & ~_CLASS
             first, place = _distinct(u, w)
             left.append(u[first])
             right.append(w[first])
@@ -388,7 +415,7 @@ def _emit(shared, scoring: bool):
                     for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                         if z > a:
                             rows.append((STATE, s, 0, pack(**_types(u[a:z], w[a:z], count[a:z]))))
-                    words, c = _sum_by(w[count > 0] & ~_CLASS, count[count > 0])
+                    words, c = _sum_by(w[count > 0], count[count > 0])
                     cuts = np.searchsorted(_range(words, totals.shards), np.arange(totals.shards + 1))
                     rows += [(WORDS, s, 0, pack(w=words[a:z], c=_small(c[a:z]))) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
                 if rows:
@@ -417,12 +444,6 @@ def _hot_part(u: np.ndarray, c: np.ndarray, t: np.ndarray, totals: Totals) -> by
     return pack(u=u[here], c=c[here], t=np.ascontiguousarray(t[:, here]).ravel())
 
 
-def _keys(parts: list[dict[str, np.ndarray]], contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Pairs of blobs as numbers: place of the context, then of the word."""
-    found = [np.repeat(np.searchsorted(contexts, p["u"]), p["n"]) * len(words) + np.searchsorted(words, p["w"])[p["i"]] for p in parts]
-    return np.concatenate(found)
-
-
 def _merge(shared):
     """Training blobs of a shard as its restaurants (tables: one for each pair), or as its words' counts."""
 
@@ -433,8 +454,13 @@ def _merge(shared):
         if kind == WORDS:
             w, c = _sum_by(np.concatenate([p["w"] for p in parts]), np.concatenate([p["c"] for p in parts]))
             return _state_row(WORDS, shard, pack(w=w, c=c.astype(np.uint64)), int(c.sum()), len(w), b"")
-        vocab, contexts = (np.unique(np.concatenate([p[k] for p in parts])) for k in ("w", "u"))
-        key, c = _keys(parts, contexts, vocab), np.concatenate([p["c"] for p in parts]).astype(np.int64)
+        words, contexts = (np.unique(np.concatenate([p[k] for p in parts])) for k in ("w", "u"))
+        of = np.concatenate([np.repeat(np.searchsorted(contexts, p["u"]), p["n"]) for p in parts])
+        word = np.concatenate([np.searchsorted(words, p["w"])[p["i"]] for p in parts])
+        group = (contexts & _CLASS).astype(np.int64)[of]
+        coder = Codes.of_pairs(words, word, group)
+        vocab = coder.codes()
+        key, c = of * len(vocab) + coder.place(word, group), np.concatenate([p["c"] for p in parts]).astype(np.int64)
         key, c = key[c > 0], c[c > 0]
         order = np.argsort(key)
         key, c = key[order], c[order]
@@ -622,6 +648,7 @@ def _score(shared):
             total = lambda v: np.add.reduceat(v, first) if len(first) else v
             cu, tu = total(c), np.stack([total(v) for v in tables])
             pair = np.repeat(np.arange(len(n)), n) * len(x["vocab"]) + x["i"]
+            coder = Codes.of_codes(x["vocab"])
         for i, k in enumerate(kinds):
             if k != SEEN:
                 continue
@@ -634,7 +661,7 @@ def _score(shared):
             hot = totals.is_hot(y["u"])
             customers[hot], own_tables[:, hot] = totals.hot_totals(y["u"][hot])
             spread = np.repeat(np.arange(len(at)), y["n"])
-            place = np.searchsorted(x["vocab"], y["w"])[y["i"]]
+            place = coder.place(np.searchsorted(coder.words, y["w"])[y["i"]], (y["u"] & _CLASS)[spread])
             back = p[:, place]
             own = np.zeros(back.shape)
             if len(pair):
