@@ -319,17 +319,6 @@ class Codes:
         return self.words[word] | group.astype(np.uint64)
 
 
-def _distinct(u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One place of each distinct pair, and which of them each pair is."""
-    key = kernel.mix64(u ^ kernel.mix64(w))
-    order = np.argsort(key)
-    key = key[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-    place = np.empty(len(key), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return order[new], place
-
-
 def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if not len(x) or x.max() < 256 else np.uint16 if x.max() < 65536 else np.uint32)
 
@@ -346,80 +335,63 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "shard", "unit", "blob"])
 
 
-#: Bytes of text in a chunk, whose pairs are named once for each shard.
-CHUNK = 4 << 20
+#: Bytes of text in a chunk, whose words are named once for each shard.
+CHUNK = 12 << 20
 
 
-def _emit(shared, scoring: bool):
-    """Blobs of pairs by shard. For training: counts of training text (0 for pairs of other text) and its words' counts.
-    For scoring: the documents of each pair, and the chunk's documents."""
+def _emit(shared):
+    """Blobs of a chunk's pairs by shard, with the documents of each; its words' counts in training text; and its documents."""
 
-    def prepared(b: pa.RecordBatch, held: np.ndarray) -> Iterator[tuple[slice, list, list, list]]:
-        """Per chunk: its rows; contexts and words of its blocks; and counts, or (pair, doc, times)."""
-        left, right, held_by, rows = [], [], [], None
-        size = 0
+    def chunks(b: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Rows, and the tokens and documents of these."""
+        start, size, token, doc = 0, 0, [], []
         for block in kernel.blocks(b["text"]):
-            u, w, doc = tokens(block)
-            w = w & ~_CLASS
-            first, place = _distinct(u, w)
-            left.append(u[first])
-            right.append(w[first])
-            start = block.first if rows is None else rows.start
-            rows = slice(start, block.first + len(block))
-            if scoring:
-                key, times = np.unique(place * len(block) + doc, return_counts=True)
-                held_by.append((key // len(block), (key % len(block) + block.first - start).astype(np.int32), times.astype(np.int32)))
-            else:
-                trained = ~held[block.first : block.first + len(block)][doc]
-                held_by.append(np.bincount(place[trained], minlength=len(first)))
+            _, w, d = tokens(block)
+            token.append(w)
+            doc.append((d + (block.first - start)).astype(np.int32))
             size += len(block.data)
-            if size >= CHUNK:
-                yield rows, left, right, held_by
-                left, right, held_by, rows, size = [], [], [], None, 0
-        if rows is not None:
-            yield rows, left, right, held_by
+            if size >= CHUNK or block.first + len(block) == b.num_rows:
+                end = block.first + len(block)
+                yield slice(start, end), np.concatenate(token), np.concatenate(doc)
+                start, size, token, doc = end, 0, [], []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: Totals = shared.value
         for b in batches:
-            held = b["held_out"].to_numpy(zero_copy_only=False)
-            for part, left, right, held_by in prepared(b, held):
-                sizes = np.cumsum([0, *map(len, left)])
-                u, w = np.concatenate(left), np.concatenate(right)
-                first, place = _distinct(u, w)
-                u, w = u[first], w[first]
+            held_all = b["held_out"].to_numpy(zero_copy_only=False)
+            for part, token, doc in chunks(b):
+                held, rows = held_all[part], []
+                known, at = np.unique(np.concatenate([token, [START]]), return_inverse=True)
+                start_at, at = at[-1], at[:-1]
+                context = np.concatenate([[start_at], at[:-1]])
+                context[np.concatenate([[True], doc[1:] != doc[:-1]])] = start_at
+                pair, place = np.unique(context * len(known) + at, return_inverse=True)
+                seen, times = np.unique(place * np.int64(len(held)) + doc, return_counts=True)
+                of, doc_of = np.divmod(seen, len(held))
+                u, w = (known[x] for x in np.divmod(pair, len(known)))
+                w = w & ~_CLASS
+                # by shard, in order of contexts and words
                 shard = _shard(u, w, totals)
-                order = np.argsort(u)
-                order = order[np.argsort(_small(shard[order]), kind="stable")]
+                order = np.argsort(_small(shard), kind="stable")
                 cuts = np.searchsorted(shard[order], np.arange(totals.shards + 1))
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                u, w, rank = u[order], w[order], rank[place]
-                rows = []
-                if scoring:
-                    ids = b["doc_id"].slice(part.start, part.stop - part.start)
-                    sig = b["sig"].to_numpy()[part].view(np.uint64)
-                    unit = int(kernel.mix64(sig ^ kernel.mix64(np.arange(len(sig), dtype=np.uint64))).view(np.int64).sum())
-                    named = pack(id=ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null=np.asarray(ids.is_null()), held=held[part])
-                    rows.append((DOCS, unit % totals.shards, unit, named))
-                    pair = np.concatenate([rank[sizes[i] + p] for i, (p, _, _) in enumerate(held_by)])
-                    by = np.argsort(pair, kind="stable")
-                    of, times = (np.concatenate([h[j] for h in held_by])[by] for j in (1, 2))
-                    at = np.searchsorted(pair[by], cuts)
-                    docs_of = np.bincount(pair, minlength=len(u))
-                    for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                        if z > a:
-                            rows.append((SEEN, s, unit, pack(**_types(u[a:z], w[a:z], docs_of[a:z]), doc=_small(of[at[s] : at[s + 1]]), k=_small(times[at[s] : at[s + 1]]))))
-                else:
-                    count = np.bincount(rank, weights=np.concatenate(held_by), minlength=len(u)).astype(np.int64)
-                    for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                        if z > a:
-                            rows.append((STATE, s, 0, pack(**_types(u[a:z], w[a:z], count[a:z]))))
-                    words, c = _sum_by(w[count > 0], count[count > 0])
-                    cuts = np.searchsorted(_range(words, totals.shards), np.arange(totals.shards + 1))
-                    rows += [(WORDS, s, 0, pack(w=words[a:z], c=_small(c[a:z]))) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
-                if rows:
-                    yield _rows(rows)
+                docs_of = np.bincount(of, minlength=len(pair))
+                begin = np.cumsum(docs_of) - docs_of
+                ids = b["doc_id"].slice(part.start, len(held))
+                sig = b["sig"].to_numpy()[part].view(np.uint64)
+                unit = int(kernel.mix64(sig ^ kernel.mix64(np.arange(len(sig), dtype=np.uint64))).view(np.int64).sum())
+                rows.append((DOCS, unit % totals.shards, unit, pack(id=ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null=np.asarray(ids.is_null()), held=held)))
+                for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if z > a:
+                        mine = order[a:z]
+                        n = docs_of[mine]
+                        i = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                        rows.append((SEEN, s, unit, pack(**_types(u[mine], w[mine], n), doc=_small(doc_of[i]), k=_small(times[i]), held=np.packbits(held))))
+                trained = at[~held[doc]]
+                c = np.bincount(trained, minlength=len(known))
+                words, c = known[c > 0] & ~_CLASS, c[c > 0]
+                cuts = np.searchsorted(_range(words, totals.shards), np.arange(totals.shards + 1))
+                rows += [(WORDS, s, 0, pack(w=words[a:z], c=_small(c[a:z]))) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
+                yield _rows(rows)
 
     return run
 
@@ -429,13 +401,13 @@ def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return names, *(np.bincount(place, weights=v, minlength=len(names)).astype(np.int64) for v in values)
 
 
-_STATE_ROW = "kind int, shard int, blob binary, x long, y long, hot binary"
+_STATE_ROW = "kind int, shard int, unit long, blob binary, x long, y long, hot binary"
 
 
-def _state_row(kind: int, shard: int, blob: bytes, x: int, y: int, hot: bytes) -> pa.Table:
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-    names = ("kind", "shard", "blob", "x", "y", "hot")
-    return pa.table({n: pa.array([v], k) for n, v, k in zip(names, (kind, shard, blob, x, y, hot), kinds, strict=True)})
+def _state_rows(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+    names = ("kind", "shard", "unit", "blob", "x", "y", "hot")
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
 
 def _hot_part(u: np.ndarray, c: np.ndarray, t: np.ndarray, totals: Totals) -> bytes:
@@ -445,33 +417,42 @@ def _hot_part(u: np.ndarray, c: np.ndarray, t: np.ndarray, totals: Totals) -> by
 
 
 def _merge(shared):
-    """Training blobs of a shard as its restaurants (tables: one for each pair), or as its words' counts."""
+    """A shard's blobs as its restaurants (tables: one for each pair) and, for each unit, documents by pair; or as its words' counts.
+
+    Pairs that only held-out text has are kept, without customers, so that a pair's place says all when texts are scored.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         totals: Totals = shared.value
         kind, shard = t["kind"][0].as_py(), t["shard"][0].as_py()
+        units = t["unit"].to_pylist()
+        if kind == DOCS:
+            return _state_rows([(DOCS, shard, unit, b.as_py(), 0, 0, b"") for unit, b in zip(units, t["blob"], strict=True)])
         parts = [unpack(b.as_py()) for b in t["blob"]]
         if kind == WORDS:
             w, c = _sum_by(np.concatenate([p["w"] for p in parts]), np.concatenate([p["c"] for p in parts]))
-            return _state_row(WORDS, shard, pack(w=w, c=c.astype(np.uint64)), int(c.sum()), len(w), b"")
+            return _state_rows([(WORDS, shard, 0, pack(w=w, c=c.astype(np.uint64)), int(c.sum()), len(w), b"")])
         words, contexts = (np.unique(np.concatenate([p[k] for p in parts])) for k in ("w", "u"))
         of = np.concatenate([np.repeat(np.searchsorted(contexts, p["u"]), p["n"]) for p in parts])
         word = np.concatenate([np.searchsorted(words, p["w"])[p["i"]] for p in parts])
         group = (contexts & _CLASS).astype(np.int64)[of]
         coder = Codes.of_pairs(words, word, group)
         vocab = coder.codes()
-        key, c = of * len(vocab) + coder.place(word, group), np.concatenate([p["c"] for p in parts]).astype(np.int64)
-        key, c = key[c > 0], c[c > 0]
-        order = np.argsort(key)
-        key, c = key[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        c = np.add.reduceat(c, first) if len(first) else c
-        at, i = np.divmod(key[first], max(1, len(vocab)))
+        key, place = np.unique(of * len(vocab) + coder.place(word, group), return_inverse=True)
+        c, rows, base = np.zeros(len(key), np.int64), [], 0
+        for unit, p in zip(units, parts, strict=True):
+            mine = place[base : base + len(p["i"])]
+            base += len(mine)
+            trained = np.where(np.unpackbits(p["held"])[p["doc"]], 0, p["k"])
+            which = np.repeat(np.arange(len(mine)), p["c"])
+            c[mine] += np.bincount(which, weights=trained, minlength=len(mine)).astype(np.int64)
+            rows.append((SEEN, shard, unit, pack(at=mine.astype(np.uint32), c=p["c"], doc=p["doc"], k=p["k"]), 0, 0, b""))
+        at, i = np.divmod(key, len(vocab))
         here, n = np.unique(at, return_counts=True)
-        contexts = contexts[here]
-        cu = np.add.reduceat(c, np.cumsum(n) - n) if len(n) else n
-        blob = pack(s=np.array([1]), vocab=vocab, u=contexts, n=_small(n), i=i.astype(np.uint32), c=_small(c), t=_small(np.ones(len(c), np.int64)))
-        return _state_row(STATE, shard, blob, int((c == 1).sum()), int((c == 2).sum()), _hot_part(contexts, cu, n[None].astype(np.int64), totals))
+        contexts, first, tables = contexts[here], np.cumsum(n) - n, np.minimum(c, 1)
+        blob = pack(s=np.array([1]), vocab=vocab, u=contexts, n=_small(n), i=i.astype(np.uint32), c=_small(c), t=_small(tables))
+        hot = _hot_part(contexts, np.add.reduceat(c, first), np.add.reduceat(tables, first)[None], totals)
+        return _state_rows([(STATE, shard, 0, blob, int((c == 1).sum()), int((c == 2).sum()), hot), *rows])
 
     return run
 
@@ -627,7 +608,7 @@ def _sweep(shared, sweeps: int, keep: int, phase: int):
         tables = np.stack(kept)
         sums = np.stack([total(v) for v in tables])
         blob = pack(s=np.array([keep]), vocab=x["vocab"], u=x["u"], n=x["n"], i=x["i"], c=x["c"], t=_small(tables.ravel()))
-        return _state_row(STATE, t["shard"][0].as_py(), blob, 0, 0, _hot_part(x["u"], total(c), sums, totals))
+        return _state_rows([(STATE, t["shard"][0].as_py(), 0, blob, 0, 0, _hot_part(x["u"], total(c), sums, totals))])
 
     return run
 
@@ -644,42 +625,28 @@ def _score(shared):
         x, p, count = _received(t, samples)
         if x is not None:
             c, n = x["c"].astype(np.int64), x["n"].astype(np.int64)
-            first, tables = np.cumsum(n) - n, _tables(x)
-            total = lambda v: np.add.reduceat(v, first) if len(first) else v
-            cu, tu = total(c), np.stack([total(v) for v in tables])
-            pair = np.repeat(np.arange(len(n)), n) * len(x["vocab"]) + x["i"]
-            coder = Codes.of_codes(x["vocab"])
-        for i, k in enumerate(kinds):
-            if k != SEEN:
+            first, of, tables = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n), _tables(x)
+            customers, own_tables = np.add.reduceat(c, first), np.stack([np.add.reduceat(v, first) for v in tables])
+            hot = totals.is_hot(x["u"])
+            customers[hot], own_tables[:, hot] = totals.hot_totals(x["u"][hot])
+            i = x["i"].astype(np.int64)
+            prob = np.zeros(len(i))
+            for j in range(samples):
+                back = p[j][i]
+                own = c - d * tables[j]  # 0 of a pair without customers
+                prob += np.where(customers[of] > 0, (own + (theta + d * own_tables[j][of]) * back) / (theta + customers[of]), back)
+            score, seen_w = np.log10(prob / samples), count[i]
+            base, known, starts = np.log10(seen_w + 1.0), seen_w > 0, (x["u"] == START)[of]
+        for unit, kind, b in zip(units, kinds, t["blob"], strict=True):
+            if kind != SEEN:
                 continue
-            y = unpack(t["blob"][i].as_py())
-            # contexts first, then their pairs
-            at = np.minimum(np.searchsorted(x["u"], y["u"]), max(0, len(x["u"]) - 1))
-            known = x["u"][at] == y["u"] if len(x["u"]) else np.zeros(len(y["u"]), bool)
-            customers, own_tables = np.zeros(len(at), np.int64), np.zeros((samples, len(at)), np.int64)
-            customers[known], own_tables[:, known] = cu[at[known]], tu[:, at[known]]
-            hot = totals.is_hot(y["u"])
-            customers[hot], own_tables[:, hot] = totals.hot_totals(y["u"][hot])
-            spread = np.repeat(np.arange(len(at)), y["n"])
-            place = coder.place(np.searchsorted(coder.words, y["w"])[y["i"]], (y["u"] & _CLASS)[spread])
-            back = p[:, place]
-            own = np.zeros(back.shape)
-            if len(pair):
-                key = at[spread] * len(x["vocab"]) + place
-                j = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
-                seen = known[spread] & (pair[j] == key)
-                own[:, seen] = c[j[seen]] - d * tables[:, j[seen]]
-            many = customers[spread]
-            prob = np.where(many > 0, (own + (theta + d * own_tables[:, spread]) * back) / (theta + many), back)
-            score = np.log10(prob.mean(axis=0))
-            which = np.repeat(np.arange(len(spread)), y["c"])
+            y = unpack(b.as_py())
+            pair = np.repeat(y["at"].astype(np.int64), y["c"])
             docs, doc = np.unique(y["doc"], return_inverse=True)
-            times, seen_w = y["k"].astype(np.int64), count[place]
-            starts = (y["u"] == START)[spread]
-            per_pair = (score, np.log10(seen_w + 1.0), seen_w > 0, np.ones(len(spread)), starts)
-            sums = [np.bincount(doc, weights=times * v[which], minlength=len(docs)) for v in per_pair]
+            times = y["k"].astype(np.int64)
+            sums = [np.bincount(doc, weights=times * v, minlength=len(docs)) for v in (score[pair], base[pair], known[pair], 1, starts[pair])]
             whole = dict(zip(("known", "n", "rows"), (_small(v.astype(np.int64)) for v in sums[2:]), strict=True))
-            rows.append((SEEN, shard, units[i], pack(doc=docs, score=sums[0], base=sums[1], **whole)))
+            rows.append((SEEN, shard, unit, pack(doc=docs, score=sums[0], base=sums[1], **whole)))
         return pa.Table.from_batches([_rows(rows)])
 
     return run
@@ -753,15 +720,19 @@ def score(docs: DataFrame, is_held_out: Column, s: Settings = PRODUCTION) -> Dat
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", is_held_out.alias("held_out"), F.xxhash64("doc_id", "text").alias("sig"))
     totals = _totals(rows, s)
 
-    blobs = rows.mapInArrow(_emit(share(totals), False), _ROW)
-    merged = materialise(blobs.groupBy("kind", "shard").applyInArrow(_merge(share(totals)), _STATE_ROW), "lm-state")
-    words = materialise(merged.where(F.col("kind") == WORDS).select("kind", "shard", F.lit(0).cast("long").alias("unit"), "blob"), "lm-words")
+    blobs = rows.mapInArrow(_emit(share(totals)), _ROW)
+    merged = materialise(blobs.groupBy("kind", "shard").applyInArrow(_merge(share(totals)), _STATE_ROW), "lm-merged")
+
+    def rows_of(now: DataFrame) -> DataFrame:
+        return now.select("kind", "shard", "unit", "blob")
+
+    words = rows_of(merged.where(F.col("kind") == WORDS))
     sums = {r.kind: r for r in merged.groupBy("kind").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}
     if WORDS in sums:
         totals.tokens, totals.vocab = sums[WORDS].x, sums[WORDS].y
     if STATE in sums and sums[STATE].x:
         totals.d = float(np.clip(sums[STATE].x / (sums[STATE].x + 2 * sums[STATE].y), 0.1, 0.9))
-    state, old = merged.where(F.col("kind") == STATE), [merged]
+    state, old = merged.where(F.col("kind") == STATE), []
     _add_hot(totals, state, 1)
     seated = None
 
@@ -783,9 +754,6 @@ def score(docs: DataFrame, is_held_out: Column, s: Settings = PRODUCTION) -> Dat
         old.append(seated)
         return seated.mapInArrow(_answer(share(totals)), _ROW)
 
-    def rows_of(now: DataFrame) -> DataFrame:
-        return now.select("kind", "shard", F.lit(0).cast("long").alias("unit"), "blob")
-
     for phase, sweeps, keep in ((0, s.burn, 1), (1, s.samples, s.samples)):
         both = rows_of(state).unionByName(parent(state, phase, 1))
         state = materialise(both.groupBy("shard").applyInArrow(_sweep(share(totals), sweeps, keep, phase), _STATE_ROW), f"lm-swept-{phase}")
@@ -794,7 +762,7 @@ def score(docs: DataFrame, is_held_out: Column, s: Settings = PRODUCTION) -> Dat
                 discard(done)
         old[:] = [state, seated]
         _add_hot(totals, state, keep)
-    seen = rows.mapInArrow(_emit(share(totals), True), _ROW)
+    seen = rows_of(merged.where(F.col("kind").isin(SEEN, DOCS)))
     everything = rows_of(state).unionByName(parent(state, 2, s.samples)).unionByName(seen)
     parts = everything.groupBy("shard").applyInArrow(_score(share(totals)), _ROW)
     return parts.groupBy("unit").applyInArrow(_finish(share(totals)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
