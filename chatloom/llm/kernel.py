@@ -7,6 +7,7 @@ identified by 64-bit polynomial hashes over randomised bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -20,6 +21,15 @@ U64 = np.uint64
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def tidy() -> None:
+    """Give free memory back: a worker lives on after its task, and should not keep what one batch or group has needed."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values (splitmix64)."""
     x = np.asarray(x, dtype=U64)
@@ -100,8 +110,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator
             yield Block(done + at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
             at = end
         done += n
-    # a worker lives on after its task, and should not keep what one batch has needed
-    pa.default_memory_pool().release_unused()
+    tidy()
 
 
 @dataclass

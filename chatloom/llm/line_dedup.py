@@ -337,6 +337,7 @@ def dedup(docs: DataFrame, s: Settings | tuple[Settings, ...] = PRODUCTION) -> D
             if len(rows) < len(blobs):
                 x = _gather([b for k, b in zip(bucket, blobs, strict=True) if k < 0])
                 rows += _per_bucket(*reduce(x), x["names"], shards)
+            kernel.tidy()
             return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
         blobs = source.mapInArrow(_emit(passes, shards, around), _BLOB)

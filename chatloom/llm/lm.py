@@ -63,7 +63,7 @@ class Settings:
     d_class: float = 0.8
     d_root: float = 0.5
     seed: int = 7
-    shard: int = 1_500_000  #: tokens
+    shard: int = 1_000_000  #: tokens
 
 
 PRODUCTION = Settings()
@@ -396,6 +396,17 @@ def _emit(shared):
     return run
 
 
+def _tidied(run):
+    """A function of a group that leaves no free memory with the worker."""
+
+    def then_tidy(t: pa.Table) -> pa.Table:
+        out = run(t)
+        kernel.tidy()
+        return out
+
+    return then_tidy
+
+
 def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     names, place = np.unique(key, return_inverse=True)
     return names, *(np.bincount(place, weights=v, minlength=len(names)).astype(np.int64) for v in values)
@@ -454,7 +465,7 @@ def _merge(shared):
         hot = _hot_part(contexts, np.add.reduceat(c, first), np.add.reduceat(tables, first)[None], totals)
         return _state_rows([(STATE, shard, 0, blob, int((c == 1).sum()), int((c == 2).sum()), hot), *rows])
 
-    return run
+    return _tidied(run)
 
 
 def _tables(x: dict[str, np.ndarray]) -> np.ndarray:
@@ -542,7 +553,7 @@ def _seat_parent(shared, phase: int):
         sums = np.concatenate([*by_class, guests.sum(axis=1), seats.sum(axis=1)]).astype(np.int64)
         return pa.table({"shard": t["shard"][:1].cast(pa.int32()), "blob": [blob], "ask": [ask], "sums": [sums.tolist()]})
 
-    return run
+    return _tidied(run)
 
 
 def _answer(shared):
@@ -610,7 +621,7 @@ def _sweep(shared, sweeps: int, keep: int, phase: int):
         blob = pack(s=np.array([keep]), vocab=x["vocab"], u=x["u"], n=x["n"], i=x["i"], c=x["c"], t=_small(tables.ravel()))
         return _state_rows([(STATE, t["shard"][0].as_py(), 0, blob, 0, 0, _hot_part(x["u"], total(c), sums, totals))])
 
-    return run
+    return _tidied(run)
 
 
 def _score(shared):
@@ -649,7 +660,7 @@ def _score(shared):
             rows.append((SEEN, shard, unit, pack(doc=docs, score=sums[0], base=sums[1], **whole)))
         return pa.Table.from_batches([_rows(rows)])
 
-    return run
+    return _tidied(run)
 
 
 def _finish(shared):

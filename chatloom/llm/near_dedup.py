@@ -172,6 +172,7 @@ def _solve(t: pa.Table) -> pa.Table:
     nodes, place = np.unique(t["node"].to_numpy(), return_index=True)  # rows of one class are equal
     sets = [unpack(t["shingles"][int(i)].as_py())["h"] for i in place]
     edges = forest(nodes, t["own"].to_numpy()[place], sets)
+    kernel.tidy()
     return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
 
