@@ -62,21 +62,24 @@ def tidy_shuffles(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to shared storage and read again: lineage ends here, and lost executors cost nothing that is done."""
+def materialise(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """``df`` written to shared storage and read again: lineage ends here, and lost executors cost nothing that is done.
+
+    ``by``: a column of few values, each of which gets a folder of its own.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chatloom/{uuid.uuid4().hex}-{tag}"
     with tidy_shuffles(spark):
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     _remove_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._chatloom_path = path
     return out
 
 
-def discard(written: DataFrame) -> None:
-    """Delete what :func:`materialise` wrote, when nothing will read it again."""
-    delete(written.sparkSession, written._chatloom_path)
+def discard(written: DataFrame, part: str | None = None) -> None:
+    """Delete what :func:`materialise` wrote, or one ``column=value`` of it, when nothing will read it again."""
+    delete(written.sparkSession, f"{written._chatloom_path}/{part}" if part else written._chatloom_path)
 
 
 #: Bytes of an Arrow batch on its way to a Python worker, which holds a few times that.
