@@ -547,7 +547,7 @@ def _seat_parent(shared, phase: int):
             if before is not None:
                 base = np.full(len(words), 1.0 / (totals.vocab + 1))
                 seats[i] = resample(guests[i], (totals.root_t[j] - old0[j]).astype(float), base, s.theta, s.d_root, log_0, uniform(words, s.seed, 2, phase, i))
-        ask = pack(who=np.array([a[0] for a in asked], np.int64), n=np.array([len(p) for p in places], np.int64), at=np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.uint32))
+        ask = pack(who=np.array([a[0] for a in asked], np.int64), n=np.array([len(p) for p in places], np.int64), step=np.diff(np.concatenate([*places, np.zeros(0, np.int64)]), prepend=0).astype(np.int32))
         blob = pack(w=codes, of=of.astype(np.uint32), c1=customers.ravel(), t1=tables.ravel(), c0=guests.ravel(), t0=seats.ravel(), n=count)
         by_class = [np.bincount(group, weights=v, minlength=CLASSES) for v in (*customers, *tables)]
         sums = np.concatenate([*by_class, guests.sum(axis=1), seats.sum(axis=1)]).astype(np.int64)
@@ -569,10 +569,10 @@ def _answer(shared):
                 c, t = (x[k].reshape(samples, -1) for k in ("c1", "t1"))
                 group = (x["w"] & _CLASS).astype(np.int64)
                 p = _predictive(c, t, s.d_class, s.theta, totals.class_c[:, group], totals.class_t[:, group], _root(x, totals)[:, x["of"]])
-                n = x["n"][x["of"]]
+                n, places = x["n"][x["of"]], np.cumsum(q["step"], dtype=np.int64)
                 rows, at = [], 0
                 for who, size in zip(q["who"].tolist(), q["n"].tolist(), strict=True):
-                    i = q["at"][at : at + size]
+                    i = places[at : at + size]
                     at += size
                     rows.append((REPLY, who, shard, pack(p=p[:, i].astype(np.float32).ravel(), n=_small(n[i]))))
                 if rows:
@@ -732,13 +732,13 @@ def score(docs: DataFrame, is_held_out: Column, s: Settings = PRODUCTION) -> Dat
     totals = _totals(rows, s)
 
     blobs = rows.mapInArrow(_emit(share(totals)), _ROW)
-    merged = materialise(blobs.groupBy("kind", "shard").applyInArrow(_merge(share(totals)), _STATE_ROW), "lm-merged")
+    merged = materialise(blobs.groupBy("kind", "shard").applyInArrow(_merge(share(totals)), _STATE_ROW), "lm-merged", by="kind")
 
     def rows_of(now: DataFrame) -> DataFrame:
         return now.select("kind", "shard", "unit", "blob")
 
     words = rows_of(merged.where(F.col("kind") == WORDS))
-    sums = {r.kind: r for r in merged.groupBy("kind").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}
+    sums = {r.kind: r for r in merged.where(F.col("kind").isin(STATE, WORDS)).groupBy("kind").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).collect()}
     if WORDS in sums:
         totals.tokens, totals.vocab = sums[WORDS].x, sums[WORDS].y
     if STATE in sums and sums[STATE].x:
@@ -768,6 +768,8 @@ def score(docs: DataFrame, is_held_out: Column, s: Settings = PRODUCTION) -> Dat
     for phase, sweeps, keep in ((0, s.burn, 1), (1, s.samples, s.samples)):
         both = rows_of(state).unionByName(parent(state, phase, 1))
         state = materialise(both.groupBy("shard").applyInArrow(_sweep(share(totals), sweeps, keep, phase), _STATE_ROW), f"lm-swept-{phase}")
+        if not phase:
+            discard(merged, f"kind={STATE}")
         for done in old:
             if done is not seated:
                 discard(done)
