@@ -556,8 +556,8 @@ def _seat_parent(shared, phase: int):
     return _tidied(run)
 
 
-def _answer(shared):
-    """The parents' predictive of the words that each state asked for, by sample, and their training counts."""
+def _answer(shared, counts: bool):
+    """The parents' predictive of the words that each state asked for, by sample, and with ``counts`` their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: Totals = shared.value
@@ -574,7 +574,7 @@ def _answer(shared):
                 for who, size in zip(q["who"].tolist(), q["n"].tolist(), strict=True):
                     i = places[at : at + size]
                     at += size
-                    rows.append((REPLY, who, shard, pack(p=p[:, i].astype(np.float32).ravel(), n=_small(n[i]))))
+                    rows.append((REPLY, who, shard, pack(p=p[:, i].astype(np.float32).ravel(), **({"n": _small(n[i])} if counts else {}))))
                 if rows:
                     yield _rows(rows)
 
@@ -587,7 +587,7 @@ def _received(t: pa.Table, samples: int) -> tuple[dict[str, np.ndarray], np.ndar
     state = next((unpack(t["blob"][i].as_py()) for i, k in enumerate(kinds) if k == STATE), None)
     replies = [unpack(t["blob"][i].as_py()) for _, i in sorted((units[i], i) for i, k in enumerate(kinds) if k == REPLY)]
     p = np.concatenate([r["p"].reshape(samples, -1) for r in replies], axis=1).astype(np.float64) if replies else np.zeros((samples, 0))
-    return state, p, np.concatenate([r["n"].astype(np.int64) for r in replies] or [np.zeros(0, np.int64)])
+    return state, p, np.concatenate([r["n"].astype(np.int64) for r in replies if "n" in r] or [np.zeros(0, np.int64)])
 
 
 def _sweep(shared, sweeps: int, keep: int, phase: int):
@@ -743,17 +743,19 @@ def score(docs: DataFrame, is_held_out: Column, s: Settings = PRODUCTION) -> Dat
         totals.tokens, totals.vocab = sums[WORDS].x, sums[WORDS].y
     if STATE in sums and sums[STATE].x:
         totals.d = float(np.clip(sums[STATE].x / (sums[STATE].x + 2 * sums[STATE].y), 0.1, 0.9))
-    state, old = merged.where(F.col("kind") == STATE), []
+    state = merged.where(F.col("kind") == STATE)
     _add_hot(totals, state, 1)
     seated = None
 
     def parent(now: DataFrame, phase: int, samples: int) -> DataFrame:
         """Replies of the parents, seated anew from the tables of ``now``."""
         nonlocal seated
-        asked = now.mapInArrow(_ask(share(totals)), _ROW).unionByName(words)
-        if seated is not None:
-            asked = asked.unionByName(seated.select(F.lit(SEATED).alias("kind"), "shard", F.lit(0).cast("long").alias("unit"), "blob"))
+        asked, before = now.mapInArrow(_ask(share(totals)), _ROW).unionByName(words), seated
+        if before is not None:
+            asked = asked.unionByName(before.select(F.lit(SEATED).alias("kind"), "shard", F.lit(0).cast("long").alias("unit"), "blob"))
         seated = materialise(asked.groupBy("shard").applyInArrow(_seat_parent(share(totals), phase), _PARENT_ROW), f"lm-parent-{phase}")
+        if before is not None:
+            discard(before)
         got = seated.select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).toArrow()  # some numbers for each class and sample
         v = np.zeros(samples * 2 * (CLASSES + 1))
         # shards without words have one sample's zeros
@@ -762,18 +764,13 @@ def score(docs: DataFrame, is_held_out: Column, s: Settings = PRODUCTION) -> Dat
         split = samples * CLASSES
         totals.class_c, totals.class_t = v[:split].reshape(samples, CLASSES), v[split : 2 * split].reshape(samples, CLASSES)
         totals.root_c, totals.root_t = v[2 * split : 2 * split + samples], v[2 * split + samples :]
-        old.append(seated)
-        return seated.mapInArrow(_answer(share(totals)), _ROW)
+        return seated.mapInArrow(_answer(share(totals), phase == 2), _ROW)
 
     for phase, sweeps, keep in ((0, s.burn, 1), (1, s.samples, s.samples)):
         both = rows_of(state).unionByName(parent(state, phase, 1))
-        state = materialise(both.groupBy("shard").applyInArrow(_sweep(share(totals), sweeps, keep, phase), _STATE_ROW), f"lm-swept-{phase}")
-        if not phase:
-            discard(merged, f"kind={STATE}")
-        for done in old:
-            if done is not seated:
-                discard(done)
-        old[:] = [state, seated]
+        swept = materialise(both.groupBy("shard").applyInArrow(_sweep(share(totals), sweeps, keep, phase), _STATE_ROW), f"lm-swept-{phase}")
+        discard(*((state,) if phase else (merged, f"kind={STATE}")))
+        state = swept
         _add_hot(totals, state, keep)
     seen = rows_of(merged.where(F.col("kind").isin(SEEN, DOCS)))
     everything = rows_of(state).unionByName(parent(state, 2, s.samples)).unionByName(seen)
