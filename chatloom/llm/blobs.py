@@ -13,7 +13,7 @@ _local: dict = {}
 
 def _codec():
     if not _local:
-        _local["c"], _local["d"] = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        _local["c"], _local["d"] = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
     return _local["c"], _local["d"]
 
 

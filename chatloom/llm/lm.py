@@ -63,7 +63,7 @@ class Settings:
     d_class: float = 0.8
     d_root: float = 0.5
     seed: int = 7
-    shard: int = 1_000_000  #: tokens
+    shard: int = 2_000_000  #: tokens
 
 
 PRODUCTION = Settings()
