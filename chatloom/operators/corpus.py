@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import ngrams, words
+from chatloom.operators.ranking import rank_all
+from chatloom.runtime import materialise
 
 
 def by_language(df: DataFrame, language: str = "English", column: str = "language", ignore_case: bool = False) -> DataFrame:
@@ -25,20 +27,39 @@ def gram_rows(df: DataFrame, key: str, text: str, n: int = 7) -> DataFrame:
     return ws.select("id", F.explode(ngrams(F.col("ws"), n)).alias("ng"))
 
 
-def hot_ngrams(grams: DataFrame, threshold: int) -> DataFrame:
-    """ng, n of the n-grams of ``grams`` (id, ng) that occur more than ``threshold`` times.
+#: Hashes of eight bytes that a join may broadcast; more are joined by sorting.
+BROADCAST_HASHES = 2_000_000
+
 
-    Eight-byte hashes are counted first; strings travel only for hashes that are frequent, and are counted exactly.
+def hot_grams(grams: DataFrame, threshold: int) -> DataFrame:
+    """Rows of ``grams`` (id, ng) whose n-gram may occur more than ``threshold`` times: its eight-byte hash does.
+
+    Only hashes are shuffled, counted before the shuffle; strings stay where they are made, and only frequent ones leave.
     """
     hashed = grams.withColumn("h", F.xxhash64("ng"))
-    often = hashed.groupBy("h").agg(F.count("*").alias("hn")).where(F.col("hn") > threshold).select("h")
-    return hashed.join(often, "h", "left_semi").groupBy("ng").agg(F.count("*").alias("n")).where(F.col("n") > threshold)
+    often = materialise(hashed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > threshold).select("h"), "hot-hashes")
+    side = F.broadcast(often) if often.count() <= BROADCAST_HASHES else often
+    return hashed.join(side, "h", "left_semi").select("id", "ng")
+
+
+def _counted(grams: DataFrame, threshold: int) -> DataFrame:
+    return grams.groupBy("ng").agg(F.count("*").alias("n")).where(F.col("n") > threshold)
+
+
+def hot_ngrams(grams: DataFrame, threshold: int) -> DataFrame:
+    """ng, n of the n-grams of ``grams`` (id, ng) that occur more than ``threshold`` times."""
+    return _counted(hot_grams(grams, threshold), threshold)
 
 
 def mark_repetitive(df: DataFrame, key: str, text: str, n: int = 7, threshold: int = 100) -> DataFrame:
-    """``df`` with ``kept``: false if any n-gram of the text occurs more than ``threshold`` times in all texts, repeats counted."""
-    grams = gram_rows(df, key, text, n)
-    gone = grams.join(hot_ngrams(grams, threshold), "ng", "left_semi").select(F.col("id").alias("__id")).distinct()
+    """``df`` with ``kept``: false if any n-gram of the text occurs more than ``threshold`` times in all texts, repeats counted.
+
+    An n-gram's holders are reduced to distinct (id, n-gram) with their numbers first, so that a hot n-gram costs a row for each text.
+    """
+    held = hot_grams(gram_rows(df, key, text, n), threshold).groupBy("ng", "id").agg(F.count("*").alias("times"))
+    held = materialise(held, "hot-grams")
+    hot = held.groupBy("ng").agg(F.sum("times").alias("n")).where(F.col("n") > threshold).select("ng")
+    gone = held.join(hot, "ng", "left_semi").select(F.col("id").alias("__id")).distinct()
     return df.join(gone, df[key] == gone["__id"], "left").withColumn("kept", F.col("__id").isNull()).drop("__id")
 
 
@@ -47,15 +68,20 @@ def user_key(ip: Column, country: Column) -> Column:
 
 
 def split_users(users: DataFrame, user: str, stratum: str, train: float = 0.89, val: float = 0.05, test: float = 0.06, seed: int = 42) -> DataFrame:
-    """One row per distinct (user, stratum) with its split: in each stratum users in hash order, cut at floor(train n) and floor(val n) more."""
+    """One row per distinct (user, stratum) with its split: in each stratum users in hash order, cut at floor(train n) and floor(val n) more.
+
+    Places come from a sort by range over all strata: no stratum is one task.
+    """
     if abs(train + val + test - 1.0) > 1e-9:
         raise ValueError("the ratios must sum to 1")
     each = users.select(user, stratum).distinct()
-    order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.col(user).cast("string"), F.lit(f":{seed}")).cast("binary")), F.col(user))
-    n = F.count("*").over(Window.partitionBy(stratum))
-    a, b = F.floor(n * F.lit(float(train))), F.floor(n * F.lit(float(val)))
-    place = F.row_number().over(order) - 1
-    return each.withColumn("split", F.when(place < a, "train").when(place < a + b, "val").otherwise("test"))
+    by = F.md5(F.concat(F.col(user).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    ranked = materialise(rank_all(each.withColumn("__h", by), [stratum, "__h", user]), "split-ranks")
+    sizes = ranked.groupBy(stratum).agg(F.count("*").alias("__n"), F.min("rank").alias("__first")).withColumnRenamed(stratum, "__s")
+    ranked = ranked.join(sizes, ranked[stratum].eqNullSafe(F.col("__s")))
+    a, b = F.floor(F.col("__n") * F.lit(float(train))), F.floor(F.col("__n") * F.lit(float(val)))
+    place = F.col("rank") - F.col("__first")
+    return ranked.select(user, stratum, F.when(place < a, "train").when(place < a + b, "val").otherwise("test").alias("split"))
 
 
 def split_rows(df: DataFrame, user: str, stratum: str, forced: DataFrame | None = None, key: str | None = None, **ratios) -> DataFrame:
@@ -85,8 +111,62 @@ def last_per_key(df: DataFrame, key: str, order: str, columns: list[str]) -> Dat
     return last.select(key, "r.*")
 
 
-def with_cached(tasks: DataFrame, cache: DataFrame, key: str, defaults: dict) -> DataFrame:
-    """All tasks with their cached values, defaults where there are none, and ``missing``."""
-    found = cache.withColumn("__hit", F.lit(True))
-    out = tasks.join(found, key, "left").withColumn("missing", F.col("__hit").isNull()).drop("__hit")
+def with_cached(tasks: DataFrame, cache: DataFrame, key: str, defaults: dict, order: str | None = None) -> DataFrame:
+    """All tasks with their cached values, defaults where there are none, and ``missing``.
+
+    Of several cached rows of a key the last by ``order`` counts (any one of them without an order); rows of other keys are left out.
+    """
+    columns = [c for c in cache.columns if c not in (key, order)]
+    cache = last_per_key(cache, key, order, columns) if order else cache.dropDuplicates([key])
+    out = tasks.join(cache.withColumn("__hit", F.lit(True)), key, "left").withColumn("missing", F.col("__hit").isNull()).drop("__hit")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
+def missing_count(joined: DataFrame) -> DataFrame:
+    """How many tasks had nothing cached."""
+    return joined.agg(F.count_if("missing").alias("n_missing"))
+
+
+def distinct_ids(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key).where(F.col(key).isNotNull()).distinct()
+
+
+def id_overlap(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """key, side ("both", "only1", "only2") of the distinct ids of two tables; raises nothing, see :func:`require_common`."""
+    a, b = distinct_ids(first, key).withColumn("__a", F.lit(True)), distinct_ids(second, key).withColumn("__b", F.lit(True))
+    side = F.when(F.col("__b").isNull(), "only1").when(F.col("__a").isNull(), "only2").otherwise("both")
+    return a.join(b, key, "full_outer").select(key, side.alias("side"))
+
+
+def common_ids(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Ids of both tables in ascending order; an error if there are none."""
+    both = distinct_ids(first, key).join(distinct_ids(second, key), key, "left_semi")
+    if both.isEmpty():
+        raise ValueError(f"no {key} is in both tables")
+    return both.orderBy(key)
+
+
+def union_all(*parts: DataFrame) -> DataFrame:
+    """Rows of all parts, columns by name; a column that a part lacks is null there."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def zipped(left: Column, right: Column) -> Column:
+    """Pairs (left, right) of two arrays by place, as many as the shorter one has."""
+    both = F.transform(left, lambda x, i: F.struct(x.alias("left"), F.get(right, i).alias("right")))
+    return F.slice(both, F.lit(1), F.least(F.size(left), F.size(right)))
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in a given order."""
+    if not order:
+        raise ValueError("the first rows of what order?")
+    return df.orderBy(*order).limit(n)
+
+
+def assigned(df: DataFrame, key: str, ports: int) -> DataFrame:
+    """``key``, ``port``: rows in order of key in turn to the port with the fewest, the lowest on ties."""
+    return rank_all(df.select(key), [key]).select(key, F.pmod(F.col("rank") - 1, F.lit(ports)).cast("int").alias("port"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.operators.judging import FENCED, STRAY, WIDEST
+
 
 def verdicts(text: Column, n_items: Column) -> Column:
     """Booleans of a judge's answer, or null if it can't be used.
@@ -13,10 +15,10 @@ def verdicts(text: Column, n_items: Column) -> Column:
     JSON, stray backslashes are doubled. Every element must be an object whose ``satisfied`` is a
     boolean or says true or false; an empty array is right only for an empty checklist.
     """
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\[.*?\])\s*```", 1)
-    wide = F.regexp_extract(text, r"(?s)\[.*\]", 0)
+    fenced = F.regexp_extract(text, f"(?s){FENCED}", 1)
+    wide = F.regexp_extract(text, f"(?s){WIDEST}", 0)
     raw = F.when(fenced != "", fenced).when(wide != "", wide).otherwise(text)
-    fixed = F.regexp_replace(raw, r'\\(?!["\\/bfnrtu])', r"\\\\")
+    fixed = F.regexp_replace(raw, STRAY, r"\\\\")
     found = F.coalesce(F.try_parse_json(raw), F.try_parse_json(fixed)).try_cast("array<variant>")
 
     def satisfied(e: Column) -> Column:
@@ -86,3 +88,13 @@ def pairwise_summary(rows: DataFrame) -> DataFrame:
 def pairwise_by_tag(rows: DataFrame) -> DataFrame:
     s = rows.where(F.col("outcome").isin("win", "tie", "loss")).groupBy("tag").agg(*_counts(), F.count("*").alias("n"))
     return s.withColumn("win_rate", F.round(F.col("wins") / F.col("n") * 100, 2))
+
+
+def by_rate(tags: DataFrame) -> DataFrame:
+    """Categories (tag, rate, ...) by falling rate, then by name."""
+    return tags.orderBy(F.col("rate").desc(), "tag")
+
+
+def satisfied(verdicts: Column) -> Column:
+    """How many items of a record are satisfied, null if the judge failed."""
+    return F.size(F.filter(verdicts, lambda v: v["satisfied"])).cast("long")

@@ -1,46 +1,136 @@
-"""Model calls as pluggable batch functions with retries; a stub answers offline."""
+"""Model calls as pluggable batch functions with retries; stubs answer offline.
+
+A client is made once per partition and gets a batch of prompts and the number of the attempt. For each prompt it gives an
+answer (a text, or a :class:`Reply` with the tokens that it used), nothing, or the exception that befell it; an exception that it
+raises befalls the whole batch.
+"""
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatloom.runtime import ship
 
-Client = Callable[[list[str]], list[str | None]]
+
+@dataclass(frozen=True)
+class Reply:
+    text: str | None
+    prompt_tokens: int | None = None
+    completion_tokens: int | None = None
+
+
+class Rejected(Exception):
+    """A request that will never be answered, as the service says: it is not sent again."""
+
+
+Client = Callable[..., list]
+#: Fixed value: what stands for a response that could not be had.
+FALLBACK = "Failed to generate response."
+_USAGE = [T.StructField("prompt_tokens", T.LongType()), T.StructField("completion_tokens", T.LongType()), T.StructField("total_tokens", T.LongType())]
+
+
+def route(model: Column) -> Column:
+    """Which client serves a model, by its name's begin in lower case; others go to a server of one's own."""
+    name = F.lower(model)
+    return F.when(name.startswith("claude"), "claude").when(name.startswith("gpt"), "gpt").when(name.startswith("gemini"), "gemini").otherwise("local")
+
+
+def is_hosted(model: Column) -> Column:
+    return route(model) != "local"
 
 
-def call(rows: DataFrame, prompt: str, answer: str, client: Callable[[], Client], attempts: int = 4, wait: float = 0.0) -> DataFrame:
-    """``rows`` with ``answer`` and ``status`` ("ok" or "failed"): one client per partition, a batch at a time.
+def _pause(wait: float, n: int, jitter: float, rng: random.Random) -> None:
+    if wait or jitter:
+        time.sleep(wait * 2**n + rng.uniform(0, jitter))
 
-    Empty answers are asked for again, at most ``attempts`` times; an exception waits ``wait * 2**n`` first.
+
+def call(
+    rows: DataFrame, prompt: str, answer: str, client: Callable[[], Client], attempts: int = 4, wait: float = 0.0, jitter: float = 0.0,
+    fallback: str | None = None, usage: bool = False, strict: bool = False, check: Callable[[str], bool] | None = None,
+) -> DataFrame:
+    """``rows`` with ``answer``, ``status`` ("ok" or "failed") and ``error``; with ``usage`` also three token counts.
+
+    Empty answers, and such as ``check`` refuses, are asked for again at once, at most ``attempts`` times in all; after an exception
+    a pause of ``wait * 2**n`` and a random part of ``jitter`` comes first, and :class:`Rejected` ends a row. What has no answer then gets
+    ``fallback``, and the last exception's text as ``error``; ``strict`` raises it instead. Token counts are those of the last reply.
     """
     ship(rows.sparkSession)
     names = rows.columns
-    schema = T.StructType([*rows.schema.fields, T.StructField(answer, T.StringType()), T.StructField("status", T.StringType())])
+    made = [T.StructField(answer, T.StringType()), T.StructField("status", T.StringType()), T.StructField("error", T.StringType()), *(_USAGE if usage else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask = client()
+        ask, rng = client(), random.Random(0)
+        numbered = ask.__code__.co_argcount > 1 if hasattr(ask, "__code__") else False
         for b in batches:
             texts = b[prompt].to_pylist()
             got: list[str | None] = [None] * len(texts)
+            used: list[Reply] = [Reply(None)] * len(texts)
+            errors: list[str | None] = [None] * len(texts)
+            over = [False] * len(texts)
             for n in range(attempts):
-                left = [i for i, a in enumerate(got) if not a]
+                left = [i for i, a in enumerate(got) if not a and not over[i]]
                 if not left:
                     break
+                asked = [texts[i] for i in left]
                 try:
-                    for i, a in zip(left, ask([texts[i] for i in left]), strict=True):
-                        got[i] = a
-                except Exception:  # noqa: BLE001  any client error is retried, then reported as failed
-                    time.sleep(wait * 2**n)
+                    replies = ask(asked, n) if numbered else ask(asked)
+                except Exception as e:  # noqa: BLE001  reported with each row below
+                    replies = [e] * len(left)
+                failed = False
+                for i, r in zip(left, replies, strict=True):
+                    if isinstance(r, Exception):
+                        failed, errors[i], over[i] = True, f"{type(r).__name__}: {r}", isinstance(r, Rejected)
+                        continue
+                    used[i] = r if isinstance(r, Reply) else Reply(r)
+                    text = used[i].text
+                    got[i] = text if text and (check is None or check(text)) else None
+                if failed and n + 1 < attempts:
+                    _pause(wait, n, jitter, rng)
+            if strict and not all(got):
+                i = next(i for i, a in enumerate(got) if not a)
+                raise RuntimeError(f"no answer after {attempts} attempts: {errors[i] or 'it was empty'}")
             status = ["ok" if a else "failed" for a in got]
-            yield pa.RecordBatch.from_arrays([*[b[c] for c in names], pa.array([a or None for a in got], pa.string()), pa.array(status)], [*names, answer, "status"])
+            cols = [pa.array([a or fallback for a in got], pa.string()), pa.array(status), pa.array([None if a else e for a, e in zip(got, errors, strict=True)], pa.string())]
+            if usage:
+                total = [None if u.prompt_tokens is None or u.completion_tokens is None else u.prompt_tokens + u.completion_tokens for u in used]
+                cols += [pa.array([u.prompt_tokens for u in used], pa.int64()), pa.array([u.completion_tokens for u in used], pa.int64()), pa.array(total, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in names], *cols], [*names, *(f.name for f in made)])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *made]))
+
+
+def respond(rows: DataFrame, prompt: str, client: Callable[[], Client], attempts: int = 8, **options) -> DataFrame:
+    """Responses with token counts; a fixed text where there is none."""
+    return call(rows, prompt, "response", client, attempts, fallback=FALLBACK, usage=True, **options)
+
+
+Checker = Callable[[Column], tuple[Column, Column]]
+_CHECKERS: dict[str, Checker] = {}
+
+
+def register_checker(name: str, checker: Checker) -> None:
+    """A safety checker: of a text column it makes (is it safe, a report)."""
+    _CHECKERS[name] = checker
+
 
-    return rows.mapInArrow(run, schema)
+def safety_checks(rows: DataFrame, text: str, enabled: list[str]) -> DataFrame:
+    """``rows`` once for each enabled checker, with ``checker``, ``is_safe`` and ``report``."""
+    unknown = [n for n in enabled if n not in _CHECKERS]
+    if unknown:
+        raise KeyError(f"no safety checker {unknown[0]!r}")
+    made = []
+    for name in enabled:
+        safe, report = _CHECKERS[name](F.col(text))
+        made.append(F.struct(F.lit(name).alias("checker"), safe.alias("is_safe"), report.cast("string").alias("report")))
+    return rows.withColumn("__c", F.explode(F.array(*made))).select(*rows.columns, "__c.*")
 
 
 def _stub() -> Client:
@@ -49,4 +139,4 @@ def _stub() -> Client:
 
 def stub_intents(first_turns: DataFrame) -> DataFrame:
     """conv_id, intent, status from the offline client."""
-    return call(first_turns, "text", "intent", _stub).select("conv_id", "intent", "status")
+    return call(first_turns, "text", "intent", _stub, jitter=0.0).select("conv_id", "intent", "status")

@@ -3,20 +3,67 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import strip
-from chatloom.operators.prompts import reject_reason
+from chatloom.operators.prompts import alternates, reject_reason
+from chatloom.operators.ranking import rank_all
+from chatloom.runtime import ship, shuffle_partitions
 
 IGNORED = -100
 END_CONVERSATION = "<|endconversation|>"
-#: Text before and after a message by template family, and the prompt for a user turn.
+#: By template family the begin of a text, text before and after a message, the name of an assistant,
+#: the prompt for a user turn, and what stands before and after the system text.
 FAMILIES = {
-    "header": ("<|start_header_id|>{role}<|end_header_id|>\n\n", "<|eot_id|>", "<|start_header_id|>user<|end_header_id|>\n\n"),
-    "im": ("<|im_start|>{role}\n", "<|im_end|>\n", "<|im_start|>user\n"),
+    "header": ("<|begin_of_text|>", "<|start_header_id|>{role}<|end_header_id|>\n\n", "<|eot_id|>", "assistant", "<|start_header_id|>user<|end_header_id|>\n\n", "", ""),
+    "dated": ("<|begin_of_text|>", "<|start_header_id|>{role}<|end_header_id|>\n\n", "<|eot_id|>", "assistant", None, "Cutting Knowledge Date: December 2023\nToday Date: 26 Jul 2024\n\n", ""),
+    "im": ("", "<|im_start|>{role}\n", "<|im_end|>\n", "assistant", "<|im_start|>user\n", "", ""),
+    "turn": ("<bos>", "<start_of_turn>{role}\n", "<end_of_turn>\n", "model", "<start_of_turn>user\n", "", "\n\n"),
 }
+#: Fixed value: the system text that a conversation without one gets.
+DEFAULT_SYSTEM = {"im": "You are Qwen, created by Alibaba Cloud. You are a helpful assistant."}
+
+
+def _family(family: str) -> tuple:
+    if family not in FAMILIES:
+        raise ValueError(f"no template family {family!r}")
+    return FAMILIES[family]
+
+
+def _head(role: Column, before: str, assistant: str) -> Column:
+    left, right = before.split("{role}")
+    return F.concat(F.lit(left), F.when(role == "assistant", assistant).otherwise(role), F.lit(right))
+
+
+def chat_text(turns: Column, family: str, system: Column | None = None, ask: bool = False) -> Column:
+    """A conversation of user and assistant turns in the template of a family; ``ask``: with the head of an assistant's turn.
+
+    The family "turn" folds the system text into the first user turn, "dated" puts dates before it, "im" has a default for it.
+    "turn" has no text for roles that do not alternate.
+    """
+    bos, before, after, assistant, _, dates, gap = _family(family)
+    # two families trim the texts of turns, and the dated one its system text
+    text = strip if family != "im" else (lambda c: c)
+    if system is None and family in DEFAULT_SYSTEM:
+        system = F.lit(DEFAULT_SYSTEM[family])
+    if family == "dated":
+        system = strip(system) if system is not None else F.lit("")
+    body = F.transform(turns, lambda t: F.concat(_head(t["role"], before, assistant), text(t["text"]), F.lit(after)))
+    if family == "turn" and system is not None:
+        first = F.lit(before.replace("{role}", "user"))
+        folded = F.concat(first, system, F.lit(gap), F.substring(F.get(body, F.lit(0)), len(before.replace("{role}", "user")) + 1, 2**31 - 1))
+        body = F.when(F.size(turns) > 0, F.concat(F.array(folded), F.slice(body, 2, F.greatest(F.size(turns) - 1, F.lit(0))))).otherwise(body)
+    elif system is not None:
+        kept = text(system) if family == "header" else system
+        body = F.concat(F.array(F.concat(_head(F.lit("system"), before, assistant), F.lit(dates), kept, F.lit(after))), body)
+    head = _head(F.lit("assistant"), before, assistant) if ask else F.lit("")
+    whole = F.concat(F.lit(bos), F.array_join(body, ""), head)
+    return F.when(alternates(turns), whole) if family == "turn" else whole
 
 
 def flip_segments(convs: DataFrame, intent: Column, family: str = "im") -> DataFrame:
@@ -24,10 +71,9 @@ def flip_segments(convs: DataFrame, intent: Column, family: str = "im") -> DataF
 
     The header of a user turn follows a turn that is no user's, and is not trained there.
     """
-    if family not in FAMILIES:
-        raise ValueError(f"no template family {family!r}")
-    before, after, ask = FAMILIES[family]
-    left, right = before.split("{role}")
+    bos, before, after, assistant, ask, _, gap = _family(family)
+    if ask is None:
+        raise ValueError(f"the template family {family!r} puts dates before a system text: it can't carry an intent")
     ok = convs.where((reject_reason(F.col("turns")) == 0) & (strip(intent) != ""))
     message = lambda role, text: F.struct(role.alias("role"), strip(text).alias("text"))
     turns = F.concat(
@@ -38,14 +84,71 @@ def flip_segments(convs: DataFrame, intent: Column, family: str = "im") -> DataF
 
     def segment(t: Column, i: Column) -> Column:
         user = t["role"] == "user"
-        own = F.concat(F.lit(left), t["role"], F.lit(right))
+        own = _head(t["role"], before, assistant)
         asked = (i > 0) & (F.get(turns, i - 1)["role"] != "user") & user
         body = F.concat(F.when(asked, F.lit("")).otherwise(own), t["text"], F.lit(after), F.when(user, F.lit("")).otherwise(F.lit(ask)))
-        return F.struct(body.alias("text"), user.alias("trainable"))
+        # a family without system turns opens the first user turn with the intent
+        opening = F.concat(F.lit(bos), F.lit(ask), t["text"], F.lit(gap)) if gap else F.concat(F.lit(bos), body)
+        return F.struct(F.when(i == 0, opening).otherwise(body).alias("text"), user.alias("trainable"))
 
     return ok.select("conv_id", F.transform(turns, segment).alias("segments"))
 
 
+Tokenizer = Callable[[Column], Column]
+
+
+def code_points(texts: Column) -> Column:
+    """The plain tokenizer: ids of an array of texts, which follow one another, are their code points."""
+    return F.transform(texts, lambda t: F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c).cast("long")))
+
+
+def vocabulary(path: str, special: tuple[str, ...] = (END_CONVERSATION,)) -> Tokenizer:
+    """A tokenizer from a vocabulary file of the ``tokenizers`` library that every executor can read, with special tokens added.
+
+    The ids of a text are what it adds to the ids of the texts before it, joined.
+    """
+
+    @F.arrow_udf("array<array<bigint>>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from tokenizers import Tokenizer as Reader
+
+        reader = Reader.from_file(path)
+        reader.add_special_tokens(list(special))
+        if any(reader.token_to_id(t) is None for t in special):
+            raise ValueError("a special token is missing from the vocabulary")
+        for b in batches:
+            out = []
+            for texts in b.to_pylist():
+                done, whole, rows = 0, "", []
+                for t in texts or ():
+                    whole += t
+                    found = reader.encode(whole, add_special_tokens=False).ids
+                    rows.append(found[done:])
+                    done = len(found)
+                out.append(rows)
+            yield pa.array(out, pa.list_(pa.list_(pa.int64())))
+
+    return ids
+
+
+def special_tokens(vocab: list[str], special: tuple[str, ...] = (END_CONVERSATION,)) -> list[str]:
+    """A vocabulary with the special tokens that it lacks at its end; an error if one is there twice then."""
+    out = [*vocab, *(t for t in special if t not in vocab)]
+    if any(out.count(t) != 1 for t in special):
+        raise ValueError("a special token is in the vocabulary twice")
+    return out
+
+
+def training_ids(segments: DataFrame, tokenizer: Tokenizer = code_points, eos: int | None = None) -> DataFrame:
+    """conv_id, input_ids, labels of rows (conv_id, segments): ids of what is not trainable have no label, nor has the end."""
+    ids = tokenizer(F.col("segments.text"))
+    rows = segments.withColumn("__ids", ids)
+    nothing = lambda x: F.array_repeat(F.lit(IGNORED).cast("long"), F.size(x))
+    labels = F.flatten(F.transform("__ids", lambda x, i: F.when(F.get("segments", i)["trainable"], x).otherwise(nothing(x))))
+    end = lambda v: F.array().cast("array<bigint>") if eos is None else F.array(F.lit(v).cast("long"))
+    return rows.select("conv_id", F.concat(F.flatten("__ids"), end(eos)).alias("input_ids"), F.concat(labels, end(IGNORED)).alias("labels"))
+
+
 def label_counts(segments: Column) -> tuple[Column, Column]:
     """Characters of a row and those that are trainable."""
     total = F.aggregate(segments, F.lit(0).cast("long"), lambda a, s: a + F.length(s["text"]))
@@ -68,48 +171,72 @@ def padded(ids: Column, size: int, value: int) -> Column:
     return F.when(F.size(ids) <= size, fill).otherwise(F.raise_error(F.lit(f"a row is longer than {size}")))
 
 
-def greedy_pack(rows: DataFrame, key: str, size: str, chunk: int = 4096, shards: int = 1) -> DataFrame:
+def unmasked(ids: Column) -> Column:
+    """Labels of a sequence that is trained whole."""
+    return ids
+
+
+def padded_row(ids: Column, labels: Column, size: int = 4096, pad: int = 0) -> Column:
+    """(input_ids, attention_mask, labels) filled up to ``size``: pad id, 0, and no label; longer rows are an error."""
+    ones = F.transform(ids, lambda _: F.lit(1).cast("long"))
+    return F.struct(padded(ids, size, pad).alias("input_ids"), padded(ones, size, 0).alias("attention_mask"), padded(labels, size, IGNORED).alias("labels"))
+
+
+def greedy_pack(rows: DataFrame, key: str, size: str, chunk: int = 4096, shards: int | None = 1) -> DataFrame:
     """shard, key, chunk_id of rows that are packed, in order of key: a buffer is closed when the next row would make it ``chunk`` or more.
 
-    The last, open buffer of a shard is dropped. The fold is sequential in a shard; one shard gives the exact single-stream packing.
+    A shard is a range of keys; its rows pass by in order, and its last, open buffer is dropped. One shard is the exact packing
+    of a single stream, in one task of bounded memory; ``shards=None`` takes as many as the session has shuffle partitions.
     """
-    shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int") if shards > 1 else F.lit(0)
-    lists = rows.groupBy(shard.alias("shard")).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(size).cast("long").alias("n")))).alias("rs"))
-    kind = "array<struct<k:bigint,chunk:bigint>>"
+    ship(rows.sparkSession)
+    n = shuffle_partitions(rows.sparkSession) if shards is None else shards
+    rows = rows.select(F.col(key).cast("long").alias("k"), F.col(size).cast("long").alias("n"))
+    dealt = rows.repartition(1).sortWithinPartitions("k") if n == 1 else rows.repartitionByRange(n, "k").sortWithinPartitions("k")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() if n > 1 else 0
+        at, used, held = 0, 0, []
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([shard] * len(held), pa.int32()), pa.array(held, pa.int64()), pa.array([at] * len(held), pa.int64())], ["shard", key, "chunk_id"])
+
+        for b in batches:
+            for k, more in zip(b["k"].to_pylist(), b["n"].to_pylist(), strict=True):
+                if used + more >= chunk:
+                    if held:
+                        yield closed()
+                    at, used, held = at + 1, 0, []
+                held.append(k)
+                used += more
+
+    return dealt.mapInArrow(fold, f"shard int, `{key}` long, chunk_id long")
+
+
+def shuffled_batches(batches: DataFrame, seed: int = 42) -> DataFrame:
+    """batch_no, place: batches in an order that a seed decides."""
+    each = batches.select("batch_no").distinct()
+    by = F.md5(F.concat(F.col("batch_no").cast("string"), F.lit(f":{seed}")).cast("binary"))
+    return rank_all(each.withColumn("__h", by), ["__h", "batch_no"]).select("batch_no", (F.col("rank") - 1).alias("place"))
 
-    def step(acc: Column, r: Column) -> Column:
-        full = acc["used"] + r["n"] >= chunk
-        at = acc["chunk"] + full.cast("long")
-        return F.struct(at.alias("chunk"), F.when(full, r["n"]).otherwise(acc["used"] + r["n"]).alias("used"), F.array_append(acc["out"], F.struct(r["k"].cast("long").alias("k"), at.alias("chunk"))).alias("out"))
 
-    start = F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast(kind).alias("out"))
-    folded = lists.select("shard", F.aggregate("rs", start, step).alias("f"))
-    out = folded.select("shard", F.col("f.chunk").alias("open"), F.explode("f.out").alias("r"))
-    return out.where(F.col("r.chunk") < F.col("open")).select("shard", F.col("r.k").alias(key), F.col("r.chunk").alias("chunk_id"))
+def batched(rows: DataFrame, key: str, size: str, policy: str = "padding", batch: int = 16, chunk: int = 4096, drop_last: bool = True) -> DataFrame:
+    """key, batch_no by a policy: "padding" groups rows of like length, "packing" fills chunks of a fixed size."""
+    if policy == "padding":
+        return length_batches(rows, key, size, batch, drop_last)
+    if policy == "packing":
+        return greedy_pack(rows, key, size, chunk, shards=1).select(key, F.floor(F.col("chunk_id") / batch).cast("long").alias("batch_no"))
+    raise ValueError(f"no batching policy {policy!r}")
 
 
 def length_batches(rows: DataFrame, key: str, size: str, batch: int, drop_last: bool = True) -> DataFrame:
     """key, batch_no: rows by length, then key, in groups of ``batch``. Ranks come from range partitions' offsets, not from one task."""
-    spark = rows.sparkSession
     ranked = rank_all(rows.select(key, size), [size, key])
     n = ranked.count() if drop_last else None
     out = ranked.withColumn("batch_no", F.floor((F.col("rank") - 1) / batch).cast("long"))
     out = out if n is None else out.where(F.col("batch_no") < n // batch)
-    assert spark is out.sparkSession
     return out.select(key, "batch_no")
 
 
-def rank_all(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with a global ``rank`` from 1: sorted by range, numbered in each partition, and moved by the counts before it."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = rows.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id())
-    counts = dealt.groupBy("__p").count()
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    offsets = counts.withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    own = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    return own.join(F.broadcast(offsets), "__p").withColumn("rank", F.col("__n") + F.col("__before")).drop("__p", "__n", "__before")
-
-
 def stripe(batches: DataFrame, ranks: int, rank: int, n_batches: int) -> DataFrame:
     """The batches of one of ``ranks`` workers; a remainder that does not fill all workers is left out."""
     return batches.where((F.col("batch_no") % ranks == rank) & (F.col("batch_no") < n_batches // ranks * ranks))
@@ -133,3 +260,28 @@ def best_so_far(rows: DataFrame, run: str, step: str, loss: str) -> DataFrame:
     """Each step of a run with the best loss before it and whether it improves on that."""
     before = F.min(loss).over(Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("best_before", before).withColumn("improved", F.col("best_before").isNull() | (F.col(loss) < F.col("best_before")))
+
+
+def every_k_steps(rows: DataFrame, step: str, loss: str, k: int) -> DataFrame:
+    """step, perplexity, and whether it is one of each ``k``."""
+    return rows.select(step, F.exp(loss).alias("perplexity"), (F.col(step) % k == 0).alias("kth"))
+
+
+def epoch_means(epochs: DataFrame, run: str, columns: list[str]) -> DataFrame:
+    """Means of a run's epochs, 0 where there is nothing, and the best of each column."""
+    means = [F.coalesce(F.avg(c), F.lit(0.0)).alias(f"avg_{c}") for c in columns]
+    return epochs.groupBy(run).agg(*means, *[F.min(c).alias(f"best_{c}") for c in columns])
+
+
+def tensor_deltas(rows: DataFrame, name: str, first: Column, second: Column, top: int = 10) -> DataFrame:
+    """The ``top`` names of the largest difference, with it and the mean size of the second."""
+    found = rows.groupBy(name).agg(F.round(F.max(F.abs(first - second)), 4).alias("max_delta"), F.round(F.avg(F.abs(second)), 6).alias("mean_abs"))
+    return found.orderBy(F.col("max_delta").desc(), name).limit(top)
+
+
+def corpus_statistics(rows: DataFrame, tokens: str) -> DataFrame:
+    """Rows, tokens, different tokens, longest and mean length of a column of token arrays."""
+    n = F.size(tokens).cast("long")
+    sizes = rows.agg(F.count("*").alias("n_rows"), F.sum(n).alias("n_tokens"), F.max(n).alias("longest"), F.avg(n).alias("mean_length"))
+    kinds = rows.select(F.explode(tokens).alias("t")).agg(F.count_distinct("t").alias("n_kinds"))
+    return sizes.crossJoin(kinds)  # a row each

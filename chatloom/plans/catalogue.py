@@ -106,10 +106,22 @@ def details_last_wins(spark, d):
     return corpus.last_per_key(table(spark, d, "events"), "user_id", "event_id", ["event_id", "event_type"])
 
 
-@_query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, l.doc_id IS NULL AS missing FROM documents d LEFT JOIN labels l USING (doc_id)")
+@_query(
+    """WITH c AS (SELECT doc_id, quality, 0 AS line FROM labels UNION ALL SELECT doc_id, quality + 10, 1 FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT -1 - doc_id, quality, 2 FROM labels),
+l AS (SELECT doc_id, arg_max(quality, line) AS quality FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(l.quality, -1) AS quality, l.doc_id IS NULL AS missing FROM documents d LEFT JOIN l USING (doc_id)"""
+)
 def cache_left_join(spark, d):
-    tasks, cache = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id", "quality")
-    return corpus.with_cached(tasks, cache, "doc_id", {"quality": -1})
+    return _cache_join(spark, d)
+
+
+def _cache_join(spark, d):
+    """Tasks and a cache that has some keys twice and some that are no task's."""
+    labels = table(spark, d, "labels").select("doc_id", "quality")
+    again = labels.where(F.col("doc_id") % 3 == 0).select("doc_id", F.col("quality") + 10, F.lit(1).alias("line"))
+    others = labels.select(-1 - F.col("doc_id"), "quality", F.lit(2).alias("line"))
+    cache = labels.withColumn("line", F.lit(0)).union(again).union(others)
+    return corpus.with_cached(table(spark, d, "documents").select("doc_id"), cache, "doc_id", {"quality": -1}, "line")
 
 
 @_query(
@@ -120,15 +132,27 @@ def format_conversation(spark, d):
     return _convs(spark, d).select("conv_id", prompts.formatted(F.col("turns"), 200).alias("formatted"))
 
 
-@_query(
-    """SELECT conv_id, 'h' || md5(string_agg('<' || role || '>: ' || CASE WHEN role = 'assistant' AND length(text) > 2048 THEN text[1:2048] || ' ...' ELSE text END, chr(10) ORDER BY turn)) AS digest, count(*) AS turns
-FROM conversations GROUP BY conv_id"""
-)
+#: Worked examples, as the prompt's caller would give them.
+_EXAMPLES = (("<user>: hi\n<assistant>: hello", "You are a user chatting with an assistant language model to say hello."), ("<user>: 2 + 2?", "You are a user chatting with an assistant language model to add numbers."))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _intent_sql() -> str:
+    head = "\n".join(prompts.INTENT_HEAD)
+    for i, (conversation, intent) in enumerate(_EXAMPLES, 1):
+        head += f"\nExample {i}:\n\nConversation History:\n{conversation}\n\nIntent Summary:\n{intent}\n"
+    body = "string_agg('<' || role || '>: ' || CASE WHEN role = 'assistant' AND length(text) > 2048 THEN text[1:2048] || ' ...' ELSE text END, chr(10) ORDER BY turn)"
+    before, after = f"{head}\n{prompts.INTENT_ASK}\n\n", f"\n\n{prompts.INTENT_TAIL}"
+    return f"SELECT conv_id, 'h' || md5({_quoted(before)} || {body} || {_quoted(after)}) AS digest, count(*) AS turns FROM conversations GROUP BY conv_id"
+
+
+@_query(_intent_sql())
 def intent_prompt(spark, d):
-    rows = _convs(spark, d).withColumn("prompt", prompts.intent_prompt(F.col("turns")))
-    # the conversation's part of the prompt, between fixed texts
-    body = F.regexp_extract("prompt", rf"(?s){prompts.INTENT_ASK}\n\n(.*)\n\n{prompts.INTENT_TAIL}$", 1)
-    return rows.select("conv_id", F.concat(F.lit("h"), F.md5(body.cast("binary"))).alias("digest"), F.size("turns").cast("long").alias("turns"))
+    rows = _convs(spark, d).withColumn("prompt", prompts.intent_prompt(F.col("turns"), _EXAMPLES))
+    return rows.select("conv_id", F.concat(F.lit("h"), F.md5(F.col("prompt").cast("binary"))).alias("digest"), F.size("turns").cast("long").alias("turns"))
 
 
 _LAST = """l AS (SELECT conv_id, max(turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)"""
@@ -189,22 +213,18 @@ def spacing_fix(spark, d):
 
 @_query("SELECT a.conv_id, a.turn, md5(a.text) AS input, md5(b.text) AS target FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant' AND a.text <> '' AND b.text <> ''")
 def pair_explode(spark, d):
-    pairs = F.filter(F.transform("turns", lambda t, i: F.struct(t.alias("a"), F.get("turns", i + 1).alias("b"))), lambda p: (p["a"]["role"] == "user") & (p["b"]["role"] == "assistant") & (p["b"]["turn"] == p["a"]["turn"] + 1))
-    rows = _convs(spark, d).select("conv_id", F.explode(pairs).alias("p")).where((F.col("p.a.text") != "") & (F.col("p.b.text") != ""))
-    return rows.select("conv_id", F.col("p.a.turn").alias("turn"), F.md5(F.col("p.a.text").cast("binary")).alias("input"), F.md5(F.col("p.b.text").cast("binary")).alias("target"))
+    rows = prompts.replies(_convs(spark, d))
+    return rows.select("conv_id", "turn", *[F.md5(F.col(c).cast("binary")).alias(c) for c in ("input", "target")])
 
 
 @_query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= floor(count(*) OVER () / 20) THEN 'eval' ELSE 'train' END AS part FROM documents")
 def head_tail_split(spark, d):
-    docs = table(spark, d, "documents").select("doc_id")
-    n = docs.agg(F.count("*").alias("n"))
-    ranked = training.rank_all(docs, ["doc_id"]).crossJoin(F.broadcast(n))  # one row
-    return ranked.select("doc_id", F.when(F.col("rank") <= F.floor(F.col("n") / 20), "eval").otherwise("train").alias("part"))
+    return prompts.head_and_tail(table(spark, d, "documents"), "doc_id")
 
 
 @_query("SELECT doc_id, CASE WHEN toxic = 0 THEN 'safe' ELSE 'unsafe' END AS label FROM labels")
 def label_recode(spark, d):
-    return table(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 0, "safe").otherwise("unsafe").alias("label"))
+    return table(spark, d, "labels").select("doc_id", prompts.recoded(F.col("toxic")).alias("label"))
 
 
 @_query(
@@ -251,7 +271,16 @@ def pad_bucket_4096(spark, d):
     return rows.select("doc_id", F.when(F.col("ids").isNotNull(), n).alias("n"), "too_long")
 
 
-@_query()
+@_query(
+    r"""WITH a AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '```json' || chr(10) || '[{"item": 1, "satisfied": ' || CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END || '}]' || chr(10) || '```'
+  WHEN 1 THEN 'so [{"satisfied": "TRUE", "reasoning": "a \d b"}, {"satisfied": false}] it is' WHEN 2 THEN '[{"satisfied": 1}]' WHEN 3 THEN 'no answer' ELSE '[]' END AS t FROM labels),
+r AS (SELECT doc_id, coalesce(nullif(regexp_extract(t, '(?s)```(?:json)?\s*(\[.*?\])\s*```', 1), ''), nullif(regexp_extract(t, '(?s)\[.*\]', 0), ''), t) AS raw FROM a),
+j AS (SELECT doc_id, CASE WHEN json_valid(raw) THEN raw ELSE regexp_replace(raw, '\\([^"\\/bfnrtu])', '\\\\\1', 'g') END AS x FROM r),
+e AS (SELECT doc_id, CASE WHEN json_valid(x) AND json_type(x) = 'ARRAY' THEN list_transform(json_extract(x, '$[*]'), lambda v: CASE
+  WHEN json_type(v, '$.satisfied') = 'BOOLEAN' THEN json_extract_string(v, '$.satisfied') = 'true'
+  WHEN json_type(v, '$.satisfied') = 'VARCHAR' AND lower(json_extract_string(v, '$.satisfied')) IN ('true', 'false') THEN lower(json_extract_string(v, '$.satisfied')) = 'true' END) END AS b FROM j)
+SELECT doc_id, CASE WHEN len(b) > 0 AND len(list_filter(b, lambda v: v IS NULL)) = 0 THEN len(b) END AS n, CASE WHEN len(b) > 0 AND len(list_filter(b, lambda v: v IS NULL)) = 0 THEN len(list_filter(b, lambda v: v)) END AS n_satisfied FROM e"""
+)
 def verdict_parse(spark, d):
     s = F.col("toxic")
     answer = (
@@ -260,7 +289,7 @@ def verdict_parse(spark, d):
         .when(F.col("doc_id") % 5 == 2, F.lit('[{"satisfied": 1}]')).when(F.col("doc_id") % 5 == 3, F.lit("no answer")).otherwise(F.lit("[]"))
     )
     rows = table(spark, d, "labels").select("doc_id", evaluation.verdicts(answer, F.lit(1)).alias("v"))
-    return rows.select("doc_id", F.size("v").alias("n"), F.size(F.filter("v", lambda x: x)).alias("n_satisfied"))
+    return rows.select("doc_id", F.size("v").cast("long").alias("n"), F.size(F.filter("v", lambda x: x)).cast("long").alias("n_satisfied"))
 
 
 def _details(spark, d, column, limit, skip=None):
@@ -311,10 +340,13 @@ def satisfaction_by_tag_all(spark, d):
     return evaluation.by_tag(_details(spark, d, "l_discount", 0.05))
 
 
-@_query("SELECT CAST(coalesce(sum(nullif(l_quantity, 1)), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(l_suppkey), 0) AS BIGINT) AS completion_tokens FROM lineitem")
+_USAGE = {"gen_prompt_tokens": "nullif(l_quantity, 1)", "gen_completion_tokens": "l_suppkey", "gen_total_tokens": "l_quantity + l_suppkey", "judge_prompt_tokens": "l_partkey", "judge_completion_tokens": "CASE WHEN l_partkey < 0 THEN 1 END", "judge_total_tokens": "l_partkey + l_linenumber"}
+
+
+@_query(f"SELECT {', '.join(f'CAST(coalesce(sum({x}), 0) AS BIGINT) AS {n}' for n, x in _USAGE.items())} FROM lineitem")
 def token_usage(spark, d):
-    rows = table(spark, d, "lineitem").select(F.nullif("l_quantity", F.lit(1.0)).alias("prompt_tokens"), F.col("l_suppkey").alias("completion_tokens"))
-    return evaluation.usage(rows, ["prompt_tokens", "completion_tokens"])
+    rows = table(spark, d, "lineitem").select(*[F.expr(x).alias(n) for n, x in _USAGE.items()])
+    return evaluation.usage(rows, list(_USAGE))
 
 
 _OUT = f"""x AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, coalesce(nullif(a.tag, ''), nullif(b.tag, ''), 'unknown') AS tag, a.n_satisfied AS n1, b.n_satisfied AS n2,
@@ -371,10 +403,10 @@ def rank_stripe(spark, d):
     return training.stripe(training.length_batches(docs, "doc_id", "n_chars", 16), 4, 1, docs.count() // 16)
 
 
-@_query("SELECT round(sum(value * (event_id % 97)) / sum(event_id % 97), 6) AS loss, CAST(sum(event_id % 97) AS BIGINT) AS tokens FROM events")
+@_query("WITH m AS (SELECT sum(value / 100 * (event_id % 97)) / sum(event_id % 97) AS loss, CAST(sum(event_id % 97) AS BIGINT) AS tokens FROM events) SELECT round(loss, 8) AS loss, round(exp(loss), 8) AS perplexity, tokens FROM m")
 def weighted_loss(spark, d):
-    rows = table(spark, d, "events").withColumn("tokens", F.col("event_id") % 97)
-    return training.weighted_loss(rows, "value", "tokens").select(F.round("loss", 6).alias("loss"), "tokens")
+    rows = table(spark, d, "events").select((F.col("value") / 100).alias("loss"), (F.col("event_id") % 97).alias("tokens"))
+    return training.weighted_loss(rows, "loss", "tokens").select(F.round("loss", 8).alias("loss"), F.round("perplexity", 8).alias("perplexity"), "tokens")
 
 
 @_query("WITH b AS (SELECT event_id, value, min(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM events) SELECT event_id, best_before, best_before IS NULL OR value < best_before AS improved FROM b")
@@ -394,14 +426,13 @@ def perplexity_every_k_steps(spark, d):
 
 @_query("SELECT event_id, round(exp(value / 100), 6) AS perplexity, event_id % 50 = 0 AS kth FROM events")
 def perplexity_by_step(spark, d):
-    return table(spark, d, "events").select("event_id", F.round(F.exp(F.col("value") / 100), 6).alias("perplexity"), (F.col("event_id") % 50 == 0).alias("kth"))
+    rows = training.every_k_steps(table(spark, d, "events").withColumn("loss", F.col("value") / 100), "event_id", "loss", 50)
+    return rows.withColumn("perplexity", F.round("perplexity", 6))
 
 
 @_query("SELECT l_partkey, round(max(abs(l_extendedprice - l_quantity)), 4) AS max_delta, round(avg(abs(l_quantity)), 6) AS mean_abs FROM lineitem GROUP BY l_partkey ORDER BY max_delta DESC, l_partkey LIMIT 10")
 def topk_delta(spark, d):
-    delta = F.round(F.max(F.abs(F.col("l_extendedprice") - F.col("l_quantity"))), 4)
-    rows = table(spark, d, "lineitem").groupBy("l_partkey").agg(delta.alias("max_delta"), F.round(F.avg(F.abs("l_quantity")), 6).alias("mean_abs"))
-    return rows.orderBy(F.col("max_delta").desc(), "l_partkey").limit(10)
+    return training.tensor_deltas(table(spark, d, "lineitem"), "l_partkey", F.col("l_extendedprice"), F.col("l_quantity"))
 
 
 @_query(
@@ -417,11 +448,20 @@ def flip_labels(spark, d):
     return segments.select("conv_id", training.label_counts(F.col("segments"))[1].alias("trainable"))
 
 
-@_query("SELECT conv_id, CAST(sum(length(text) + CASE WHEN turn % 2 = 0 THEN 6 ELSE 7 END) + 2 * (count(*) - 1) AS BIGINT) AS body_chars FROM conversations GROUP BY conv_id")
+_CATEGORIES = [("Violent Crimes", "Speech that helps with violence."), ("Hate", "Speech that demeans."), ("Self-Harm", "Speech that helps with self-harm."), ("Privacy", "Private facts about persons.")]
+
+
+def _safety_sql() -> str:
+    listed = "\n".join(f"S{i}: {n}\n{t}" for i, (n, t) in enumerate(_CATEGORIES, 1))
+    head = prompts.SAFETY_TASK.replace("{agent}", "Agent") + prompts.SAFETY_LIST.replace("{listed}", listed)
+    body = "string_agg(CASE WHEN i % 2 = 0 THEN 'User: ' ELSE 'Agent: ' END || text, chr(10) || chr(10) ORDER BY i)"
+    return f"WITH {_PLACED} SELECT conv_id, 'h' || md5({_quoted(head)} || {body} || {_quoted(prompts.SAFETY_ASK.replace('{agent}', 'Agent'))}) AS digest FROM p GROUP BY conv_id"
+
+
+@_query(_safety_sql())
 def safety_prompt(spark, d):
-    made = prompts.safety_prompt(F.col("turns"), [("Violent Crimes", "")])
-    fixed = prompts.safety_prompt(F.array().cast("array<struct<turn:bigint,role:string,text:string>>"), [("Violent Crimes", "")])
-    return _convs(spark, d).select("conv_id", (F.length(made) - F.length(fixed)).cast("long").alias("body_chars"))
+    made = prompts.safety_prompt(F.col("turns"), _CATEGORIES, "Agent", with_policy=True)
+    return _convs(spark, d).select("conv_id", F.concat(F.lit("h"), F.md5(made.cast("binary"))).alias("digest"))
 
 
 @_query("SELECT doc_id, array_to_string(list_sort(list_transform(list_distinct(list_filter([doc_id % 3, doc_id % 5, 9], lambda x: x IN (1, 2, 4))), lambda x: 'S' || CASE x WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END)), ',') AS codes FROM labels")
@@ -445,3 +485,6 @@ def corpus_preprocess(spark, d):
     first = corpus.first_user_turns(table(spark, d, "conversations"))
     kept = corpus.mark_repetitive(first, "conv_id", "text").where("kept").withColumn("stratum", F.col("conv_id") % 50)
     return corpus.split_stats(corpus.split_rows(kept, "conv_id", "stratum"))
+
+
+from chatloom.plans import model_queries  # noqa: E402,F401  adds its queries to those above

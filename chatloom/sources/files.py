@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,31 @@ TRAINING_ROW = "input_ids array<bigint>, labels array<bigint>"
 SPLITS = {"train": "train", "validation": "val", "test": "test"}
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a folder was written to its end."""
+    return exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
+def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    """The rows that ``path`` (Parquet) holds; where it was not written to its end they are computed, written there and read again."""
+    if not finished(spark, path):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def unless_finished(spark: SparkSession, path: str, write: Callable[[str], None]) -> bool:
+    """Call ``write(path)`` unless its output is there; whether it was called."""
+    if finished(spark, path):
+        return False
+    write(path)
+    return True
+
+
 def tolerant_jsonl(spark: SparkSession, path: str, schema: str | StructType = CONVERSATION) -> DataFrame:
     """Rows of the lines that parse; others are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -34,6 +60,9 @@ def csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
 
 def last_line_per_key(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
     """Keyed detail lines of small files: blank lines are skipped and the last line of a key wins."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    # a file's lines are numbered in the task that reads it: such files are small
     lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
     rows = lines.where(F.trim("text") != "").select("line", F.from_json("text", schema, {"mode": "FAILFAST"}).alias("r"))
     return rows.groupBy(F.col(f"r.{key}").alias("__k")).agg(F.max_by("r", "line").alias("r")).select("r.*")
@@ -58,6 +87,51 @@ def write_stats(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_report(details: DataFrame, summary: DataFrame, path: str) -> None:
+    """A judge's report: details as JSON lines, and one row of rates."""
+    details.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/details")
+    write_stats(summary, f"{path}/summary")
+
+
+METRICS = ("train_step_loss", "train_epoch_loss", "train_step_perplexity", "train_epoch_perplexity", "val_step_loss", "val_epoch_loss", "val_step_perplexity", "val_epoch_perplexity")
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """Rows (metric, step, value) of a training run as one JSON object of lists."""
+    lists = metrics.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("step", "value"))).alias("v"))
+    by_name = lists.agg(F.map_from_entries(F.collect_list(F.struct("metric", F.col("v.value")))).alias("m"))
+    none = F.array().cast("array<double>")
+    write_stats(by_name.select(*[F.coalesce(F.try_element_at("m", F.lit(n)), none).alias(n) for n in METRICS]), path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """metric, step, value of such a file; an error if it is no JSON object."""
+    schema = ", ".join(f"{n} array<double>" for n in METRICS)
+    text = spark.read.option("wholetext", True).text(path)
+    rows = text.select(F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("m"))
+    if rows.where(F.col("m").isNull() | F.col("m._bad").isNotNull()).limit(1).count():
+        raise ValueError(f"{path} holds no metrics in JSON")
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"m.{n}").alias("v")) for n in METRICS])).alias("r"))
+    return long.select("r.metric", F.posexplode("r.v").alias("step", "value"))
+
+
+def first_lines(spark: SparkSession, path: str, rows: int, order: str, schema: str | StructType = CONVERSATION) -> DataFrame:
+    """The first rows, in order of a column, of strict JSON lines."""
+    return strict_jsonl(spark, path, schema).orderBy(order).limit(rows)
+
+
+def from_file(path: str, function: str = "get_dataset") -> Callable[..., DataFrame]:
+    """A source's function out of a Python file; an error if the file or the function is not there."""
+    spec = importlib.util.spec_from_file_location("source_plugin", path)
+    if spec is None:
+        raise ValueError(f"{path} is no Python file")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    if not hasattr(module, function):
+        raise AttributeError(f"{path} has no function {function}")
+    return getattr(module, function)
+
+
 def write_pairs(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
@@ -78,3 +152,6 @@ def load(spark: SparkSession, name: str, config: dict, split: str) -> DataFrame:
 
 register("training_rows", lambda spark, config, split: spark.read.schema(TRAINING_ROW).json(f"{config['path']}/{split}.jsonl").where(F.size("input_ids") <= config.get("max_length", 4096)))
 register("parquet", lambda spark, config, split: spark.read.parquet(f"{config['path']}/{split}"))
+register("dialogue_summaries", lambda spark, config, split: spark.read.parquet(f"{config['path']}/{split}").select("id", "dialogue", "summary"))
+register("toxicity_chat", lambda spark, config, split: spark.read.parquet(f"{config['path']}/{split}").select("conv_id", "user_input", F.col("toxicity").cast("int").alias("toxicity"), "openai_moderation"))
+register("plugin", lambda spark, config, split: from_file(config["file"], config.get("function", "get_dataset"))(spark, config, split))
