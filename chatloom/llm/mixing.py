@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.skew import sized_join
+from chatloom.llm.skew import salted_join
 from chatloom.runtime import materialise, table
 
 WEIGHTS = (5, 2, 1)
@@ -103,7 +103,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_C
     entries = materialise(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "mix-entries")
     sizes = entries.groupBy("source").agg(F.count("*").alias("entries"), F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     wanted = materialise(targets(sizes, weights, most), "mix-targets")
-    each = sized_join(entries, wanted, ["source"])
+    each = salted_join(entries, wanted, ["source"])
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     each = each.withColumn("whole", F.floor(copies).cast("long")).withColumn("sum_r", (copies - F.floor(copies)) * F.col("rows"))
     each = each.withColumn("sure", F.floor("sum_r").cast("long")).withColumn("r", F.col("sum_r") - F.floor("sum_r"))
@@ -130,7 +130,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_C
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return sized_join(out, wanted.drop("entries"), ["source"])
+    return salted_join(out, wanted.drop("entries"), ["source"])
 
 
 def per_row(planned: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 #: Parts of the linking method.
 IDENTIFIER = r"""(?i)(?:client_?id|access_?id|account|username|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{6,}"""
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,80}[0-9])(?=[0-9+/_-]{0,80}[A-Za-z])[A-Za-z0-9+/_-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}"
 ENDPOINT = r"""(?i)(?:https?://|host["']?\x20*[:=]\x20*["']?)[^\x00-\x20"'<>]{4,}"""
 SCOPE = 200
 _FEW = 512

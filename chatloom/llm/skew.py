@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a written table up to which a join may broadcast it; every caller's rows are a few short columns.
-BROADCAST_ROWS = 10_000
-
-
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 16) -> DataFrame:
     """``big`` with ``small`` on ``keys`` (equal, or both null); each key's rows of ``big`` are dealt over ``salts`` tasks.
 
@@ -22,15 +18,3 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     for k, other in names.items():
         on = on & left[k].eqNullSafe(F.col(other))
     return left.join(right.hint("merge"), on, how).drop("__salt_l", "__salt_r", *names.values())
-
-
-def sized_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", salts: int = 16) -> DataFrame:
-    """As :func:`salted_join`, but ``small``, already written, is broadcast if a count finds it short enough."""
-    if small.count() > BROADCAST_ROWS:
-        return salted_join(big, small, keys, how, salts)
-    names = {k: f"__key_{i}" for i, k in enumerate(keys)}
-    right = F.broadcast(small.withColumnsRenamed(names))
-    on = F.lit(True)
-    for k, other in names.items():
-        on = on & big[k].eqNullSafe(F.col(other))
-    return big.join(right, on, how).drop(*names.values())

@@ -150,3 +150,19 @@ def test_topk_with_hot_vectors_and_equal_ids(spark, monkeypatch):
         got = topk.top_k(df, F.col("vec_id") % 50 == 0, pivots=5, part=30).collect()
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
     assert len(topk.top_k(df.limit(3), F.col("vec_id") % 50 == 0).collect()) == 2
+
+
+def test_url_filter_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    hosts = ["a.example.com", "b.example.com", "c.example.net", "d.example.org", "e.test"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'en', 'de', 'es', 'fr'])}/{rng.randrange(100)}{rng.choice(['', '/', '.html'])}" for _ in range(260)]
+    urls += [f"https://a.example.com/en/x/{'/'.join('yz'[rng.randrange(2)] for _ in range(rng.randrange(9)))}" for _ in range(30)]
+    urls += [f"http://c.example.net/u/name{i}/p" for i in range(45)] + ["http://a.example.com/" + "/".join(["s"] * 40), None, "", "x://", "http://e.test/abc123ef-99"] + urls[:5]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("template", F.lit("own")).repartition(3)
+    got = sorted(url_filter.judge(df).collect(), key=lambda r: r.page_id)
+    want = url_filter.brute_force(urls)
+    assert [(r.host, r.path, r.verdict, r.template, round(r.purity, 9)) for r in got] == want
+    undecided = {r.verdict for r in got if r.rule is None}
+    assert undecided == {"allow", "block"} and all(r.evidence.segments is not None for r in got if r.rule is None and r.verdict == "block")
