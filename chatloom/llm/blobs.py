@@ -8,16 +8,17 @@ import struct
 import numpy as np
 import zstandard
 
-_local: dict = {}
+#: One compressor a process and level, and a decompressor.
+_codecs: dict = {}
 
 
-def _codec():
-    if not _local:
-        _local["c"], _local["d"] = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-    return _local["c"], _local["d"]
+def _codec(level: int):
+    if level not in _codecs:
+        _codecs[level] = zstandard.ZstdCompressor(level=level) if level else zstandard.ZstdDecompressor()
+    return _codecs[level]
 
 
-def pack(**arrays: np.ndarray) -> bytes:
+def pack(level_: int = 1, **arrays: np.ndarray) -> bytes:
     """Arrays under their names; sorted unsigned integers are kept as differences, byte plane by byte plane."""
     head, body = [], []
     for name, a in arrays.items():
@@ -27,11 +28,11 @@ def pack(**arrays: np.ndarray) -> bytes:
         body.append(b.view(np.uint8).reshape(-1, b.dtype.itemsize).T.tobytes() if b.size else b"")
         head.append([name, a.dtype.str, int(a.size), int(delta)])
     h = json.dumps(head).encode()
-    return _codec()[0].compress(struct.pack("<I", len(h)) + h + b"".join(body))
+    return _codec(level_).compress(struct.pack("<I", len(h)) + h + b"".join(body))
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray]:
-    raw = _codec()[1].decompress(bytes(blob))
+    raw = _codec(0).decompress(bytes(blob))
     (n,) = struct.unpack_from("<I", raw)
     at, out = 4 + n, {}
     for name, kind, size, delta in json.loads(raw[4:at]):

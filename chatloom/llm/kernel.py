@@ -163,13 +163,13 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.
     return mix64(h ^ (end - start).astype(U64))
 
 
-def words(block: Block, byte_class: np.ndarray = NOT_SPACE) -> Words:
-    """Words of A-Z lower-cased texts, as maximal runs of ``byte_class``."""
-    low = lowered(block.data)
+def words(block: Block, byte_class: np.ndarray = NOT_SPACE, sums: tuple[np.ndarray, np.ndarray] | None = None, hashed: bool = True) -> Words:
+    """Words of A-Z lower-cased texts, as maximal runs of ``byte_class``; ``sums``: the lowered bytes and their running sums, if known."""
+    low, run = sums if sums else (lowered(block.data), None)
     start, end = spans(block, byte_class[low])
     first = np.searchsorted(start, block.offsets)
     doc = np.repeat(np.arange(len(block)), np.diff(first))
-    return Words(start, end, range_hashes(low, start, end), doc, first)
+    return Words(start, end, range_hashes(low, start, end, run) if hashed else np.zeros(0, U64), doc, first)
 
 
 def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -54,14 +54,14 @@ class Settings:
         """Shingles in a run."""
         return self.run - self.gram + 1
 
-    def units(self, block: kernel.Block) -> kernel.Words:
-        return kernel.words(block, kernel.NOT_SPACE if self.unit == "word" else _NOT_NEWLINE)
+    def units(self, block: kernel.Block, **options) -> kernel.Words:
+        return kernel.words(block, kernel.NOT_SPACE if self.unit == "word" else _NOT_NEWLINE, **options)
 
 
 LINES, WORDS = Settings("line", 3, 2), Settings("word", 50, 25)
 PRODUCTION = (LINES, WORDS)
 #: Entries of a chunk of documents, and of a shard.
-CHUNK, SHARD = 200_000, 400_000
+CHUNK, SHARD = 400_000, 600_000
 #: Kinds of windows: an earlier document has it; its own document has it earlier; the first of such.
 ELSEWHERE, OWN, FIRST = range(3)
 _BLOB = "shard int, bucket int, blob binary"
@@ -182,8 +182,10 @@ def _emit(passes: tuple[Settings, ...], shards: int, around: bool):
                 made = []
                 if around:
                     marked = [np.frombuffer(m.as_py(), np.uint32).astype(np.int64) for m in b["__marks"].slice(block.first, len(block))]
+                low = kernel.lowered(block.data)
+                sums = low, kernel.running(low)
                 for i, s in enumerate(passes):
-                    w = s.units(block)
+                    w = s.units(block, sums=sums)
                     h, doc, at = near_windows(w, s, [m[m % 2 == i] // 2 for m in marked]) if around else fingerprints(w, s)
                     # passes have hashes of their own
                     made.append((kernel.mix64(h + kernel.U64(i)), doc, 2 * at + i))
@@ -283,10 +285,10 @@ def _cut(passes: tuple[Settings, ...], names: list[str]):
             marks, texts = b["__marks"], b["text"]
             new: dict[int, str] = {}
             for block in kernel.blocks(texts):
-                words = kernel.words(block)
+                words = kernel.words(block, hashed=False)
                 units[block.first : block.first + len(block)] = np.diff(words.first)
                 rows = [i for i in range(len(block)) if marks[block.first + i].is_valid]
-                made = [s.units(block) for s in passes] if rows else []
+                made = [words if s.unit == "word" else s.units(block, hashed=False) for s in passes] if rows else []
                 for i in rows:
                     row, end, spans = block.first + i, int(block.offsets[i + 1]), []
                     m = np.frombuffer(marks[row].as_py(), np.uint32).astype(np.int64)

@@ -63,7 +63,7 @@ class Settings:
     d_class: float = 0.8
     d_root: float = 0.5
     seed: int = 7
-    shard: int = 2_000_000  #: tokens
+    shard: int = 1_500_000  #: tokens
 
 
 PRODUCTION = Settings()
@@ -361,13 +361,17 @@ def _emit(shared):
             held_all = b["held_out"].to_numpy(zero_copy_only=False)
             for part, token, doc in chunks(b):
                 held, rows = held_all[part], []
-                known, at = np.unique(np.concatenate([token, [START]]), return_inverse=True)
-                start_at, at = at[-1], at[:-1]
-                context = np.concatenate([[start_at], at[:-1]])
+                known, at = np.unique(np.append(token, START), return_inverse=True)
+                at = at.astype(np.int32)
+                context = np.append(at[-1:], at[:-2])
+                at, start_at = at[:-1], at[-1]
                 context[np.concatenate([[True], doc[1:] != doc[:-1]])] = start_at
-                pair, place = np.unique(context * len(known) + at, return_inverse=True)
+                trained = np.bincount(at[~held[doc]], minlength=len(known))
+                pair, place = np.unique(context * np.int64(len(known)) + at, return_inverse=True)
+                del token, at, context
                 seen, times = np.unique(place * np.int64(len(held)) + doc, return_counts=True)
                 of, doc_of = np.divmod(seen, len(held))
+                del place, seen
                 u, w = (known[x] for x in np.divmod(pair, len(known)))
                 w = w & ~_CLASS
                 # by shard, in order of contexts and words
@@ -385,12 +389,12 @@ def _emit(shared):
                         mine = order[a:z]
                         n = docs_of[mine]
                         i = np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                        rows.append((SEEN, s, unit, pack(**_types(u[mine], w[mine], n), doc=_small(doc_of[i]), k=_small(times[i]), held=np.packbits(held))))
-                trained = at[~held[doc]]
-                c = np.bincount(trained, minlength=len(known))
-                words, c = known[c > 0] & ~_CLASS, c[c > 0]
+                        rows.append((SEEN, s, unit, pack(3, **_types(u[mine], w[mine], n), doc=_small(doc_of[i]), k=_small(times[i]), held=np.packbits(held))))
+                words, c = known[trained > 0] & ~_CLASS, trained[trained > 0]
                 cuts = np.searchsorted(_range(words, totals.shards), np.arange(totals.shards + 1))
                 rows += [(WORDS, s, 0, pack(w=words[a:z], c=_small(c[a:z]))) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
+                del known, pair, u, w, order, of, doc_of, times
+                kernel.tidy()
                 yield _rows(rows)
 
     return run
@@ -449,7 +453,9 @@ def _merge(shared):
         group = (contexts & _CLASS).astype(np.int64)[of]
         coder = Codes.of_pairs(words, word, group)
         vocab = coder.codes()
-        key, place = np.unique(of * len(vocab) + coder.place(word, group), return_inverse=True)
+        key = of * len(vocab) + coder.place(word, group)
+        del of, word, group, coder, words
+        key, place = np.unique(key, return_inverse=True)
         c, rows, base = np.zeros(len(key), np.int64), [], 0
         for unit, p in zip(units, parts, strict=True):
             mine = place[base : base + len(p["i"])]
@@ -457,7 +463,7 @@ def _merge(shared):
             trained = np.where(np.unpackbits(p["held"])[p["doc"]], 0, p["k"])
             which = np.repeat(np.arange(len(mine)), p["c"])
             c[mine] += np.bincount(which, weights=trained, minlength=len(mine)).astype(np.int64)
-            rows.append((SEEN, shard, unit, pack(at=mine.astype(np.uint32), c=p["c"], doc=p["doc"], k=p["k"]), 0, 0, b""))
+            rows.append((SEEN, shard, unit, pack(3, at=mine.astype(np.uint32), c=p["c"], doc=p["doc"], k=p["k"]), 0, 0, b""))
         at, i = np.divmod(key, len(vocab))
         here, n = np.unique(at, return_counts=True)
         contexts, first, tables = contexts[here], np.cumsum(n) - n, np.minimum(c, 1)
@@ -486,6 +492,7 @@ def _ask(shared):
                 rows = [(STATE, s, shard, pack(w=x["vocab"][a:z], t=_small(sums[:, a:z].ravel()))) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
                 if rows:
                     yield _rows(rows)
+                kernel.tidy()
 
     return run
 
@@ -577,6 +584,7 @@ def _answer(shared, counts: bool):
                     rows.append((REPLY, who, shard, pack(p=p[:, i].astype(np.float32).ravel(), **({"n": _small(n[i])} if counts else {}))))
                 if rows:
                     yield _rows(rows)
+                kernel.tidy()
 
     return run
 
@@ -682,7 +690,7 @@ def _finish(shared):
         ids = pa.array(np.repeat(docs["id"], times), pa.int64(), mask=np.repeat(docs["null"], times))
         return pa.table({"doc_id": ids, "held_out": pa.array(np.repeat(docs["held"], times).astype(bool)), "n_tokens": length, "n_known": np.rint(one["known"]).astype(np.int64), "train_tokens": np.full(len(length), totals.tokens, np.int64), "base_score": base, "score": one["score"]})
 
-    return run
+    return _tidied(run)
 
 
 def _bin_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
