@@ -343,8 +343,8 @@ def dedup(docs: DataFrame, s: Settings | tuple[Settings, ...] = PRODUCTION) -> D
             return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
         blobs = source.mapInArrow(_emit(passes, shards, around), _BLOB)
-        marks = blobs.groupBy("shard").applyInArrow(by_bucket, _BUCKET)
-        return materialise(marks.groupBy("bucket").applyInArrow(_by_document, _MARKS), tag)
+        marks = blobs.repartition(shards, "shard").groupBy("shard").applyInArrow(by_bucket, _BUCKET)
+        return materialise(marks.repartition(shards, "bucket").groupBy("bucket").applyInArrow(_by_document, _MARKS), tag)
 
     def joined(left: DataFrame, marks: DataFrame, how: str) -> DataFrame:
         on = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (_sig() == F.col("__s"))

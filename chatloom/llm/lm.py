@@ -739,8 +739,12 @@ def score(docs: DataFrame, is_held_out: Column, s: Settings = PRODUCTION) -> Dat
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", is_held_out.alias("held_out"), F.xxhash64("doc_id", "text").alias("sig"))
     totals = _totals(rows, s)
 
+    def dealt(df: DataFrame) -> DataFrame:
+        """As many tasks as shards, whatever the session's number of shuffle partitions."""
+        return df.repartition(totals.shards, "shard")
+
     blobs = rows.mapInArrow(_emit(share(totals)), _ROW)
-    merged = materialise(blobs.groupBy("kind", "shard").applyInArrow(_merge(share(totals)), _STATE_ROW), "lm-merged", by="kind")
+    merged = materialise(dealt(blobs).groupBy("kind", "shard").applyInArrow(_merge(share(totals)), _STATE_ROW), "lm-merged", by="kind")
 
     def rows_of(now: DataFrame) -> DataFrame:
         return now.select("kind", "shard", "unit", "blob")
@@ -761,7 +765,7 @@ def score(docs: DataFrame, is_held_out: Column, s: Settings = PRODUCTION) -> Dat
         asked, before = now.mapInArrow(_ask(share(totals)), _ROW).unionByName(words), seated
         if before is not None:
             asked = asked.unionByName(before.select(F.lit(SEATED).alias("kind"), "shard", F.lit(0).cast("long").alias("unit"), "blob"))
-        seated = materialise(asked.groupBy("shard").applyInArrow(_seat_parent(share(totals), phase), _PARENT_ROW), f"lm-parent-{phase}")
+        seated = materialise(dealt(asked).groupBy("shard").applyInArrow(_seat_parent(share(totals), phase), _PARENT_ROW), f"lm-parent-{phase}")
         if before is not None:
             discard(before)
         got = seated.select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).toArrow()  # some numbers for each class and sample
@@ -776,13 +780,13 @@ def score(docs: DataFrame, is_held_out: Column, s: Settings = PRODUCTION) -> Dat
 
     for phase, sweeps, keep in ((0, s.burn, 1), (1, s.samples, s.samples)):
         both = rows_of(state).unionByName(parent(state, phase, 1))
-        swept = materialise(both.groupBy("shard").applyInArrow(_sweep(share(totals), sweeps, keep, phase), _STATE_ROW), f"lm-swept-{phase}")
+        swept = materialise(dealt(both).groupBy("shard").applyInArrow(_sweep(share(totals), sweeps, keep, phase), _STATE_ROW), f"lm-swept-{phase}")
         discard(*((state,) if phase else (merged, f"kind={STATE}")))
         state = swept
         _add_hot(totals, state, keep)
     seen = rows_of(merged.where(F.col("kind").isin(SEEN, DOCS)))
     everything = rows_of(state).unionByName(parent(state, 2, s.samples)).unionByName(seen)
-    parts = everything.groupBy("shard").applyInArrow(_score(share(totals)), _ROW)
+    parts = dealt(everything).groupBy("shard").applyInArrow(_score(share(totals)), _ROW)
     return parts.groupBy("unit").applyInArrow(_finish(share(totals)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
