@@ -53,7 +53,7 @@ class Settings:
     examples: int = 2_000
     z: float = 4.5
     floor: float = 0.1
-    k: int = 25
+    k: int = 15
     block: int = 64
     smooth: float = 0.5
     frequent: int = 8  #: terms in more than one of so many examples have weights in blocks, not postings
