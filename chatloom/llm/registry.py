@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatloom.llm import chat_format, decontaminate, line_dedup, lm, mixing, near_dedup, secrets, topk, toxicity, url_filter, vector_codes
+from chatloom.llm import chat_format, decontaminate, language, line_dedup, lm, mixing, near_dedup, secrets, topk, toxicity, url_filter, vector_codes
 
 QUERIES = {
     "op1_url_template_filter": url_filter.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pitman_yor_scores": lm.query,
     "op9_mix_sources": mixing.query,
     "op10_exact_topk": topk.query,
+    "op11_crf_language": language.query,
     "op13_yinyang_codes": vector_codes.query,
 }
 
