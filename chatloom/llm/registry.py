@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatloom.llm import chat_format, decontaminate, language, line_dedup, lm, mixing, near_dedup, secrets, topk, toxicity, url_filter, vector_codes
+from chatloom.llm import chat_format, decontaminate, language, line_dedup, lm, mixing, near_dedup, secrets, spelling, topk, toxicity, url_filter, vector_codes
 
 QUERIES = {
     "op1_url_template_filter": url_filter.query,
@@ -16,11 +16,13 @@ QUERIES = {
     "op9_mix_sources": mixing.query,
     "op10_exact_topk": topk.query,
     "op11_crf_language": language.query,
+    "op12_wildcard_spelling": spelling.query,
     "op13_yinyang_codes": vector_codes.query,
 }
 
 ORACLES = {
     "op4_chat_prefix_target": chat_format.ORACLE,
     "op10_exact_topk": topk.ORACLE,
+    "op12_wildcard_spelling": spelling.ORACLE,
     "op13_yinyang_codes": vector_codes.ORACLE,
 }
