@@ -134,7 +134,7 @@ def safety_checks(rows: DataFrame, text: str, enabled: list[str]) -> DataFrame:
 
 
 def _stub() -> Client:
-    return lambda texts: [f"You are a user chatting with an assistant language model to {t[:40]}" for t in texts]
+    return lambda texts: [f"You are a user chatting with an assistant language model to {t}" for t in texts]
 
 
 def stub_intents(first_turns: DataFrame) -> DataFrame:

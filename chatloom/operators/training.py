@@ -6,14 +6,13 @@ import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import strip
 from chatloom.operators.prompts import alternates, reject_reason
 from chatloom.operators.ranking import rank_all
-from chatloom.runtime import ship, shuffle_partitions
+from chatloom.operators.scan import fold_ranges, running_before
 
 IGNORED = -100
 END_CONVERSATION = "<|endconversation|>"
@@ -182,34 +181,14 @@ def padded_row(ids: Column, labels: Column, size: int = 4096, pad: int = 0) -> C
     return F.struct(padded(ids, size, pad).alias("input_ids"), padded(ones, size, 0).alias("attention_mask"), padded(labels, size, IGNORED).alias("labels"))
 
 
-def greedy_pack(rows: DataFrame, key: str, size: str, chunk: int = 4096, shards: int | None = 1) -> DataFrame:
-    """shard, key, chunk_id of rows that are packed, in order of key: a buffer is closed when the next row would make it ``chunk`` or more.
+def greedy_pack(rows: DataFrame, key: str, size: str, chunk: int = 4096, drop_last: bool = True, partitions: int | None = None) -> DataFrame:
+    """key, chunk_id of rows that are packed, in order of key: a buffer is closed when the next row would make it ``chunk`` or more.
 
-    A shard is a range of keys; its rows pass by in order, and its last, open buffer is dropped. One shard is the exact packing
-    of a single stream, in one task of bounded memory; ``shards=None`` takes as many as the session has shuffle partitions.
+    This is the packing of one stream, at any number of ``partitions``. The last, open buffer is dropped, unless ``drop_last`` is off.
+    Rows of equal key follow by size; a null size is 0; a row of ``chunk`` or more has a buffer of its own.
     """
-    ship(rows.sparkSession)
-    n = shuffle_partitions(rows.sparkSession) if shards is None else shards
-    rows = rows.select(F.col(key).cast("long").alias("k"), F.col(size).cast("long").alias("n"))
-    dealt = rows.repartition(1).sortWithinPartitions("k") if n == 1 else rows.repartitionByRange(n, "k").sortWithinPartitions("k")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() if n > 1 else 0
-        at, used, held = 0, 0, []
-
-        def closed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([shard] * len(held), pa.int32()), pa.array(held, pa.int64()), pa.array([at] * len(held), pa.int64())], ["shard", key, "chunk_id"])
-
-        for b in batches:
-            for k, more in zip(b["k"].to_pylist(), b["n"].to_pylist(), strict=True):
-                if used + more >= chunk:
-                    if held:
-                        yield closed()
-                    at, used, held = at + 1, 0, []
-                held.append(k)
-                used += more
-
-    return dealt.mapInArrow(fold, f"shard int, `{key}` long, chunk_id long")
+    out, closed = fold_ranges(rows, key, size, chunk, partitions)
+    return out.where(F.col("chunk_id") < closed) if drop_last else out
 
 
 def shuffled_batches(batches: DataFrame, seed: int = 42) -> DataFrame:
@@ -220,11 +199,16 @@ def shuffled_batches(batches: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def batched(rows: DataFrame, key: str, size: str, policy: str = "padding", batch: int = 16, chunk: int = 4096, drop_last: bool = True) -> DataFrame:
-    """key, batch_no by a policy: "padding" groups rows of like length, "packing" fills chunks of a fixed size."""
+    """key, batch_no by a policy: "padding" groups rows of like length, "packing" fills chunks of a fixed size, ``batch`` of them a batch.
+
+    ``drop_last`` drops a last batch that is not full; the packing's open buffer always goes.
+    """
     if policy == "padding":
         return length_batches(rows, key, size, batch, drop_last)
     if policy == "packing":
-        return greedy_pack(rows, key, size, chunk, shards=1).select(key, F.floor(F.col("chunk_id") / batch).cast("long").alias("batch_no"))
+        out, closed = fold_ranges(rows, key, size, chunk)
+        most = closed // batch * batch if drop_last else closed
+        return out.where(F.col("chunk_id") < most).select(key, F.floor(F.col("chunk_id") / batch).cast("long").alias("batch_no"))
     raise ValueError(f"no batching policy {policy!r}")
 
 
@@ -242,12 +226,11 @@ def stripe(batches: DataFrame, ranks: int, rank: int, n_batches: int) -> DataFra
     return batches.where((F.col("batch_no") % ranks == rank) & (F.col("batch_no") < n_batches // ranks * ranks))
 
 
-def learning_rates(spark: SparkSession, total: int, warmup: int, peak: float = 2e-5, low: float = 2e-6) -> DataFrame:
-    """step, lr: linear warm-up, cosine decay, floor."""
-    s = F.col("step")
-    cosine = F.lit(low) + F.lit(peak - low) * 0.5 * (1 + F.cos(F.lit(math.pi) * (s - warmup) / max(1, total - warmup)))
-    lr = F.when(s < warmup, F.lit(peak) * (s + 1) / max(1, warmup)).when(s < total, cosine).otherwise(F.lit(low))
-    return spark.range(total + 2).select(F.col("id").alias("step")).withColumn("lr", lr)
+def learning_rate(step: Column, total: int | Column, warmup: int, peak: float = 2e-5, low: float = 2e-6) -> Column:
+    """Linear warm-up, cosine decay until ``total`` steps, then the floor."""
+    total = F.lit(total) if isinstance(total, int) else total
+    cosine = F.lit(low) + F.lit(peak - low) * 0.5 * (1 + F.cos(F.lit(math.pi) * (step - warmup) / F.greatest(F.lit(1), total - warmup)))
+    return F.when(step < warmup, F.lit(peak) * (step + 1) / max(1, warmup)).when(step < total, cosine).otherwise(F.lit(low))
 
 
 def weighted_loss(rows: DataFrame, loss: str, tokens: str) -> DataFrame:
@@ -256,14 +239,15 @@ def weighted_loss(rows: DataFrame, loss: str, tokens: str) -> DataFrame:
     return rows.agg(mean.alias("loss"), F.exp(mean).alias("perplexity"), F.sum(tokens).alias("tokens"))
 
 
-def best_so_far(rows: DataFrame, run: str, step: str, loss: str) -> DataFrame:
-    """Each step of a run with the best loss before it and whether it improves on that."""
-    before = F.min(loss).over(Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("best_before", before).withColumn("improved", F.col("best_before").isNull() | (F.col(loss) < F.col("best_before")))
+def best_so_far(rows: DataFrame, run: str, step: str, loss: str, partitions: int | None = None) -> DataFrame:
+    """Each step of a run with the best loss before it and whether it improves on that. A run may have all rows."""
+    out = running_before(rows, run, [step], "best_before", F.col(loss), F.min, F.least, partitions)
+    return out.withColumn("improved", F.col("best_before").isNull() | (F.col(loss) < F.col("best_before")))
 
 
-def every_k_steps(rows: DataFrame, step: str, loss: str, k: int) -> DataFrame:
-    """step, perplexity, and whether it is one of each ``k``."""
+def every_k_steps(rows: DataFrame, step: str, loss: str, k: int, most: int | None = None) -> DataFrame:
+    """step, perplexity, and whether it is one of each ``k``; with ``most`` a run stops before the step of that number."""
+    rows = rows if most is None else rows.where(F.col(step) < most)
     return rows.select(step, F.exp(loss).alias("perplexity"), (F.col(step) % k == 0).alias("kth"))
 
 

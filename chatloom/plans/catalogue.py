@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chatloom.functions.text import fix_spacing, words
 from chatloom.operators import corpus, evaluation, prompts, training
 from chatloom.operators.model_calls import stub_intents
+from chatloom.operators.ranking import rank_all
 from chatloom.runtime import table
 
 QUERIES: dict = {}
@@ -238,13 +239,8 @@ def category_argmax(spark, d):
     return table(spark, d, "documents").select("doc_id", prompts.category_code(scores).alias("code"))
 
 
-@_query(f"WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{WS_SQL}'), lambda x: x <> '')) AS n FROM documents) SELECT doc_id, n, n AS mask_sum FROM w WHERE n <= 512")
-def length_filter_and_mask(spark, d):
-    return _masked(spark, d, 512)
-
-
 @_query(f"WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '{WS_SQL}'), lambda x: x <> '')) AS n FROM documents) SELECT doc_id, n, n AS mask_sum FROM w WHERE n <= 4096")
-def length_filter_and_mask_4096(spark, d):
+def length_filter_and_mask(spark, d):
     return _masked(spark, d, 4096)
 
 
@@ -255,15 +251,8 @@ def _masked(spark, d, most):
     return rows.select("doc_id", F.size("input_ids").cast("long").alias("n"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("mask_sum"))
 
 
-@_query("SELECT doc_id, length(text) AS n FROM documents WHERE length(text) <= 300")
-def pad_bucket(spark, d):
-    ids = F.transform(F.split("text", ""), lambda c: F.length(c).cast("long"))
-    rows = table(spark, d, "documents").where(F.length("text") <= 300).select("doc_id", training.padded(F.when(F.length("text") > 0, ids).otherwise(F.array().cast("array<bigint>")), 300, -1).alias("ids"))
-    return rows.select("doc_id", F.size(F.filter("ids", lambda x: x >= 0)).cast("long").alias("n"))
-
-
 @_query("SELECT doc_id, CASE WHEN length(text) <= 4096 THEN length(text) END AS n, length(text) > 4096 AS too_long FROM documents")
-def pad_bucket_4096(spark, d):
+def pad_bucket(spark, d):
     fits = F.length("text") <= 4096
     ids = F.transform(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)), lambda c: F.length(c).cast("long"))
     rows = table(spark, d, "documents").select("doc_id", F.when(fits, training.padded(ids, 4096, -1)).alias("ids"), (~fits).alias("too_long"))
@@ -314,29 +303,16 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey)"""
 _ONE, _TWO = _details_sql("l_discount", 0.05, 7), _details_sql("l_tax", 0.04, 11)
 
 
-@_query(
-    f"""SELECT count(*) AS n_tasks, count(*) FILTER (n_satisfied IS NULL) AS n_failed, count(n_satisfied) AS n_valid, round(avg(n_satisfied / n_items) * 100, 2) AS macro_rate,
-round(sum(n_satisfied) / sum(n_items) FILTER (n_satisfied IS NOT NULL) * 100, 2) AS micro_rate FROM {_ONE}"""
-)
-def satisfaction_summary(spark, d):
-    return evaluation.summary(_details(spark, d, "l_discount", 0.05, 7))
-
-
-@_query(f"SELECT tag, round(avg(n_satisfied / n_items) * 100, 2) AS rate, count(*) AS n FROM {_ONE} WHERE n_satisfied IS NOT NULL GROUP BY tag")
-def satisfaction_by_tag(spark, d):
-    return evaluation.by_tag(_details(spark, d, "l_discount", 0.05, 7))
-
-
 @_query(
     f"""SELECT count(*) AS n_tasks, count(*) FILTER (n_satisfied IS NULL) AS n_failed, count(n_satisfied) AS n_valid, round(avg(n_satisfied / n_items) * 100, 2) AS macro_rate,
 round(sum(n_satisfied) / sum(n_items) FILTER (n_satisfied IS NOT NULL) * 100, 2) AS micro_rate FROM {_ALL}"""
 )
-def satisfaction_summary_all(spark, d):
+def satisfaction_summary(spark, d):
     return evaluation.summary(_details(spark, d, "l_discount", 0.05))
 
 
 @_query(f"SELECT tag, round(avg(n_satisfied / n_items) * 100, 2) AS rate, count(*) AS n FROM {_ALL} WHERE n_satisfied IS NOT NULL GROUP BY tag")
-def satisfaction_by_tag_all(spark, d):
+def satisfaction_by_tag(spark, d):
     return evaluation.by_tag(_details(spark, d, "l_discount", 0.05))
 
 
@@ -382,7 +358,7 @@ def pairwise_by_tag(spark, d):
     """WITH RECURSIVE r AS (SELECT conv_id, sum(length(text)) AS n, row_number() OVER (ORDER BY conv_id) AS i FROM conversations GROUP BY conv_id),
 f AS (SELECT i, conv_id, CAST(n AS BIGINT) AS used, CASE WHEN n >= 4096 THEN 1 ELSE 0 END AS chunk FROM r WHERE i = 1
   UNION ALL SELECT r.i, r.conv_id, CAST(CASE WHEN f.used + r.n >= 4096 THEN r.n ELSE f.used + r.n END AS BIGINT), f.chunk + CASE WHEN f.used + r.n >= 4096 THEN 1 ELSE 0 END FROM f JOIN r ON r.i = f.i + 1)
-SELECT 0 AS shard, conv_id, CAST(chunk AS BIGINT) AS chunk_id FROM f WHERE chunk < (SELECT max(chunk) FROM f)"""
+SELECT conv_id, CAST(chunk AS BIGINT) AS chunk_id FROM f WHERE chunk < (SELECT max(chunk) FROM f)"""
 )
 def greedy_pack(spark, d):
     sizes = table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("size"))
@@ -414,14 +390,26 @@ def best_so_far(spark, d):
     return training.best_so_far(table(spark, d, "events"), "event_type", "event_id", "value").select("event_id", "best_before", "improved")
 
 
-@_query("SELECT step, round(CASE WHEN step < 100 THEN 2e-5 * (step + 1) / 100 WHEN step < 1000 THEN 2e-6 + (2e-5 - 2e-6) * 0.5 * (1 + cos(pi() * (step - 100) / 900)) ELSE 2e-6 END, 12) AS lr FROM range(1002) t(step)")
+@_query("WITH b AS (SELECT event_id, value, min(value) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM events) SELECT event_id, best_before, best_before IS NULL OR value < best_before AS improved FROM b")
+def best_of_one_run(spark, d):
+    """All events are one run: its rows are dealt over ranges."""
+    rows = table(spark, d, "events").withColumn("run", F.lit("all"))
+    return training.best_so_far(rows, "run", "event_id", "value").select("event_id", "best_before", "improved")
+
+
+@_query("WITH n AS (SELECT count(*) AS n FROM events), s AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS step, 3 * n // 4 AS n FROM events, n) SELECT event_id, step, round(CASE WHEN step < 100 THEN 2e-5 * (step + 1) / 100 WHEN step < n THEN 2e-6 + (2e-5 - 2e-6) * 0.5 * (1 + cos(pi() * (step - 100) / greatest(1, n - 100))) ELSE 2e-6 END, 12) AS lr FROM s")
 def lr_schedule(spark, d):
-    return training.learning_rates(spark, 1000, 100).select("step", F.round("lr", 12).alias("lr"))
+    """The events in order are the steps; the last quarter of them is at the floor."""
+    steps = rank_all(table(spark, d, "events").select("event_id"), ["event_id"]).withColumn("step", F.col("rank") - 1)
+    return steps.select("event_id", "step", F.round(training.learning_rate(F.col("step"), 3 * steps.count() // 4, 100), 12).alias("lr"))
 
 
-@_query("SELECT event_id, round(exp(value / 100), 6) AS perplexity FROM events WHERE event_id % 50 = 0 AND event_id <= 5000")
+@_query("SELECT event_id, round(exp(value / 100), 6) AS perplexity, event_id % 50 = 0 AS kth FROM events WHERE event_id < (SELECT count(*) // 2 FROM events)")
 def perplexity_every_k_steps(spark, d):
-    return table(spark, d, "events").where((F.col("event_id") % 50 == 0) & (F.col("event_id") <= 5000)).select("event_id", F.round(F.exp(F.col("value") / 100), 6).alias("perplexity"))
+    """A run that stops at half its steps."""
+    events = table(spark, d, "events").withColumn("loss", F.col("value") / 100)
+    rows = training.every_k_steps(events, "event_id", "loss", 50, most=events.count() // 2)
+    return rows.withColumn("perplexity", F.round("perplexity", 6))
 
 
 @_query("SELECT event_id, round(exp(value / 100), 6) AS perplexity, event_id % 50 = 0 AS kth FROM events")
@@ -470,7 +458,7 @@ def safety_target(spark, d):
     return table(spark, d, "labels").select("doc_id", prompts.violated_codes(codes, F.array(*[F.lit(x) for x in (1, 2, 4)])).alias("codes"))
 
 
-@_query("SELECT conv_id, 'ok' AS status, 'You are a user chatting with an assistant language model to ' || arg_min(text, turn)[1:40] AS intent FROM conversations WHERE role = 'user' GROUP BY conv_id")
+@_query("SELECT conv_id, 'ok' AS status, 'You are a user chatting with an assistant language model to ' || arg_min(text, turn) AS intent FROM conversations WHERE role = 'user' GROUP BY conv_id")
 def intent_stub(spark, d):
     return stub_intents(corpus.first_user_turns(table(spark, d, "conversations")))
 

@@ -197,15 +197,18 @@ def chat_templates(spark, d):
     return corpus.union_all(*each)
 
 
-@_query("WITH f AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) <= 4096) SELECT doc_id, CAST(4096 AS BIGINT) AS size, n AS mask_sum, 4096 - n AS n_pad, n - least(n, 5) AS n_labels FROM f")
+@_query("SELECT doc_id, length(text) > 4096 AS too_long, CASE WHEN length(text) <= 4096 THEN 4096 END AS size, CASE WHEN length(text) <= 4096 THEN length(text) END AS mask_sum, CASE WHEN length(text) <= 4096 THEN 4096 - length(text) END AS n_pad, CASE WHEN length(text) <= 4096 THEN length(text) - least(length(text), 5) END AS n_labels FROM documents")
 def padded_rows(spark, d):
+    """Rows that do not fit are flagged."""
     ids = F.get(training.code_points(F.array("text")), F.lit(0))
     labels = F.transform("ids", lambda x, i: F.when(i < 5, F.lit(training.IGNORED).cast("long")).otherwise(x))
-    rows = table(spark, d, "documents").where(F.length("text") <= 4096).select("doc_id", ids.alias("ids"))
-    rows = rows.withColumn("r", training.padded_row(F.col("ids"), labels, 4096, -1))
+    fits = F.size("ids") <= 4096
+    rows = table(spark, d, "documents").select("doc_id", (F.length("text") > 4096).alias("too_long"), ids.alias("ids"))
+    rows = rows.withColumn("r", F.when(fits, training.padded_row(F.col("ids"), labels, 4096, -1)))
     total = F.aggregate("r.attention_mask", F.lit(0).cast("long"), lambda a, x: a + x)
-    pads = F.size(F.filter("r.input_ids", lambda x: x == -1)).cast("long")
-    return rows.select("doc_id", F.size("r.input_ids").cast("long").alias("size"), total.alias("mask_sum"), pads.alias("n_pad"), training.trainable_tokens(F.col("r.labels")).cast("long").alias("n_labels"))
+    pads, size = F.size(F.filter("r.input_ids", lambda x: x == -1)), F.size("r.input_ids")
+    counts = {"size": size, "mask_sum": total, "n_pad": pads, "n_labels": training.trainable_tokens(F.col("r.labels"))}
+    return rows.select("doc_id", "too_long", *[F.when(F.col("r").isNotNull(), c).cast("long").alias(n) for n, c in counts.items()])
 
 
 @_query("SELECT doc_id, length(text) + 6 AS n, least(length(text), 3) AS n_labels FROM documents WHERE text IS NOT NULL")
@@ -222,9 +225,15 @@ def shuffled_batches(spark, d):
     return training.shuffled_batches(training.length_batches(table(spark, d, "documents"), "doc_id", "n_chars", 16))
 
 
-@_query(f"WITH {_BATCH} SELECT doc_id, batch_no FROM k")
+@_query(
+    f"""WITH RECURSIVE {_BATCH}, r AS (SELECT doc_id, n_chars AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+f AS (SELECT i, doc_id, CAST(n AS BIGINT) AS used, CASE WHEN n >= 4096 THEN 1 ELSE 0 END AS chunk FROM r WHERE i = 1
+  UNION ALL SELECT r.i, r.doc_id, CAST(CASE WHEN f.used + r.n >= 4096 THEN r.n ELSE f.used + r.n END AS BIGINT), f.chunk + CASE WHEN f.used + r.n >= 4096 THEN 1 ELSE 0 END FROM f JOIN r ON r.i = f.i + 1)
+SELECT 'padding' AS policy, doc_id, batch_no FROM k UNION ALL SELECT 'packing', doc_id, chunk // 16 FROM f WHERE chunk < (SELECT max(chunk) // 16 * 16 FROM f)"""
+)
 def batching_by_policy(spark, d):
-    return training.batched(table(spark, d, "documents"), "doc_id", "n_chars", "padding", 16)
+    docs = table(spark, d, "documents")
+    return corpus.union_all(*[training.batched(docs, "doc_id", "n_chars", p, 16).withColumn("policy", F.lit(p)) for p in ("padding", "packing")])
 
 
 @_query("SELECT event_type, round(coalesce(avg(value), 0), 6) AS avg_value, min(value) AS best_value, round(coalesce(avg(CASE WHEN event_id < 0 THEN value END), 0), 6) AS avg_nothing FROM events GROUP BY event_type")

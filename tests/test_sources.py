@@ -152,8 +152,8 @@ def test_special_tokens_and_policies(spark):
     assert {r.k: r.batch_no for r in training.batched(df, "k", "n", "packing", batch=2, chunk=7).collect()} == {i: i // 2 // 2 for i in range(8)}
     with pytest.raises(ValueError):
         training.batched(df, "k", "n", "other")
-    spread = training.greedy_pack(df, "k", "n", 7, shards=3).collect()
-    assert len({(r.shard, r.chunk_id) for r in spread}) >= 2
+    kept = training.batched(df, "k", "n", "packing", batch=3, chunk=7, drop_last=False)
+    assert {r.k: r.batch_no for r in kept.collect()} == {i: i // 2 // 3 for i in range(8)}
 
 
 def test_doubled_cache_rows_and_empty_overlap(spark):
