@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import importlib.util
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from chatloom.runtime import materialise, ship
+
 TURN = "struct<role:string,content:string>"
 CONVERSATION = f"conversation_id string, conversation_hash string, language string, hashed_ip string, country string, timestamp timestamp, conversation array<{TURN}>"
 TRAINING_ROW = "input_ids array<bigint>, labels array<bigint>"
@@ -58,14 +62,21 @@ def csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def placed_lines(spark: SparkSession, path: str | list[str], column: str = "text") -> DataFrame:
+    """Lines of text files with their ``place``: file, where its split begins, and an ordinal that rises inside the split.
+
+    Places of one file rise with its lines, however many splits and tasks it has.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ordinal"))
+    return spark.read.text(path).select(place.alias("place"), F.col("value").alias(column))
+
+
 def last_line_per_key(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
-    """Keyed detail lines of small files: blank lines are skipped and the last line of a key wins."""
+    """Keyed detail lines: blank lines are skipped and the last line of a key wins; the lines of a later file, by path, come later."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    # a file's lines are numbered in the task that reads it: such files are small
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    rows = lines.where(F.trim("text") != "").select("line", F.from_json("text", schema, {"mode": "FAILFAST"}).alias("r"))
-    return rows.groupBy(F.col(f"r.{key}").alias("__k")).agg(F.max_by("r", "line").alias("r")).select("r.*")
+    rows = placed_lines(spark, path).where(F.trim("text") != "").select("place", F.from_json("text", schema, {"mode": "FAILFAST"}).alias("r"))
+    return rows.groupBy(F.col(f"r.{key}").alias("__k")).agg(F.max_by("r", "place").alias("r")).select("r.*")
 
 
 def finished_keys(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
@@ -115,9 +126,63 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return long.select("r.metric", F.posexplode("r.v").alias("step", "value"))
 
 
-def first_lines(spark: SparkSession, path: str, rows: int, order: str, schema: str | StructType = CONVERSATION) -> DataFrame:
-    """The first rows, in order of a column, of strict JSON lines."""
-    return strict_jsonl(spark, path, schema).orderBy(order).limit(rows)
+def files_in_order(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files of a folder or of one file, by path; names that begin with a dot or an underscore are none."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    found = fs.listStatus(at)
+    return sorted((f.getPath().toString(), f.getLen()) for f in found if f.isFile() and f.getPath().getName()[0] not in "._")
+
+
+def _heads(rows: int):
+    """The first ``rows`` lines of each split. A task that has them of its only split reads no further."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had: dict[tuple, int] = {}
+        for b in batches:
+            file, block = (b["place"].field(i) for i in range(2))
+            for split in dict.fromkeys(zip(file.to_pylist(), block.to_pylist(), strict=True)):
+                mine = b.filter(pc.and_(pc.equal(file, split[0]), pc.equal(block, split[1])))
+                left = rows - had.get(split, 0)
+                had[split] = had.get(split, 0) + mine.num_rows
+                if left > 0:
+                    yield mine.slice(0, left)
+            if len(had) == 1 and min(had.values()) >= rows and b["whole"][0].as_py():
+                return
+
+    return run
+
+
+def first_lines(spark: SparkSession, path: str, rows: int, schema: str | StructType = CONVERSATION) -> DataFrame:
+    """The first ``rows`` strict JSON lines of a file, or of a folder's files by path, in that order; blank lines are none.
+
+    Files are taken in growing batches until there are enough lines, so later files are not opened; a split gives at most its first
+    ``rows`` lines, and a large file's tasks stop there. A line that is taken and is no JSON of the schema is an error.
+    """
+    ship(spark)
+    files, at, step, left, taken = files_in_order(spark, path), 0, 1, rows, []
+    large = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    kind = "place struct<file:string,block:bigint,ordinal:bigint>, text string"
+    while at < len(files) and left > 0:
+        # a file of several splits is a batch of its own: each of its tasks has one split
+        several = files[at][1] > large
+        group = files[at : at + (1 if several else step)]
+        group = group[: next((i for i, f in enumerate(group) if i and f[1] > large), len(group))]
+        lines = placed_lines(spark, [f for f, _ in group]).where(F.trim("text") != "")
+        heads = lines.withColumn("whole", F.lit(several)).mapInArrow(_heads(left), f"{kind}, whole boolean").drop("whole")
+        got = materialise(heads.orderBy("place").limit(left), "first-lines")
+        left -= got.count()
+        taken.append(got)
+        at, step = at + len(group), step * 2
+    if not taken:
+        return spark.createDataFrame([], schema)
+    all_ = taken[0]
+    for more in taken[1:]:
+        all_ = all_.unionByName(more)
+    return all_.orderBy("place").select(F.from_json("text", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def from_file(path: str, function: str = "get_dataset") -> Callable[..., DataFrame]:

@@ -21,8 +21,8 @@ def test_tolerant_and_strict_lines(spark, tmp_path):
     with pytest.raises(Exception, match="alformed"):
         files.strict_jsonl(spark, path).collect()
     (tmp_path / "b.jsonl").write_text("\n".join(_line(i) for i in (3, 1, 2)))
-    got = files.first_lines(spark, str(tmp_path / "b.jsonl"), 2, "conversation_id").collect()
-    assert [r.conversation_id for r in got] == ["c1", "c2"] and got[0].conversation[0].content == "hi 1"
+    got = files.first_lines(spark, str(tmp_path / "b.jsonl"), 2).collect()
+    assert [r.conversation_id for r in got] == ["c3", "c1"] and got[1].conversation[0].content == "hi 1"
     assert files.strict_jsonl(spark, str(tmp_path / "b.jsonl"), rows=2).count() == 2
 
 
@@ -34,14 +34,67 @@ def test_last_line_of_a_key_wins_and_a_missing_file_is_an_error(spark, tmp_path)
         files.last_line_per_key(spark, str(tmp_path / "none.jsonl"), "session_id", "session_id string")
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Splits of a few hundred bytes, so that files have several."""
+    keys = {"spark.sql.files.maxPartitionBytes": "400b", "spark.sql.files.openCostInBytes": "1b"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_last_line_wins_across_splits_and_files(spark, tmp_path, small_splits):
+    lines = [{"session_id": f"s{i % 7}", "n": i, "pad": "x" * (i % 40)} for i in range(300)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "b.jsonl").write_text("".join(json.dumps(x) + "\n\n" for x in lines))
+    (tmp_path / "d" / "a.jsonl").write_text("".join(json.dumps({**x, "n": -1, "session_id": k}) + "\n" for x, k in zip(lines[:2], ("s3", "only here"), strict=True)))
+    path = str(tmp_path / "d")
+    assert files.placed_lines(spark, path).rdd.getNumPartitions() > 10
+    got = {r.session_id: r.n for r in files.last_line_per_key(spark, path, "session_id", "session_id string, n int").collect()}
+    assert got == {**{x["session_id"]: x["n"] for x in lines}, "only here": -1}
+    (tmp_path / "d" / "c.jsonl").write_text('{"session_id": "s0", "n": 1000}\n')
+    got = {r.session_id: r.n for r in files.last_line_per_key(spark, path, "session_id", "session_id string, n int").collect()}
+    assert got["s0"] == 1000 and got["s1"] == max(x["n"] for x in lines if x["session_id"] == "s1")
+
+
+def _bytes_read(spark, action):
+    """What ``action`` gives, and the bytes that its tasks read."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.executorList(True).apply(0).totalInputBytes()
+    out = action()
+    return out, store.executorList(True).apply(0).totalInputBytes() - before
+
+
+def test_first_lines_stop_early(spark, tmp_path, small_splits):
+    schema, d = "n int, pad string", tmp_path / "d"
+    d.mkdir()
+    for f in range(12):
+        (d / f"{f:02}.jsonl").write_text("".join(json.dumps({"n": f * 100 + i, "pad": "x" * 50}) + "\n" for i in range(100 if f == 2 else 5)))
+    (d / "12.jsonl").write_text("no json\n" * 2000)
+    every = [*range(5), *range(100, 105), *range(200, 300), *(f * 100 + i for f in range(3, 12) for i in range(5))]
+    for n in (0, 1, 5, 7, 60, 111, len(every)):
+        assert [r.n for r in files.first_lines(spark, str(d), n, schema).collect()] == every[:n]
+    with pytest.raises(Exception, match="alformed"):
+        files.first_lines(spark, str(d), len(every) + 1, schema).collect()
+    few, read = _bytes_read(spark, lambda: files.first_lines(spark, str(d), 7, schema).collect())
+    every_, all_read = _bytes_read(spark, lambda: files.first_lines(spark, str(d), len(every), schema).collect())
+    assert len(few) == 7 and len(every_) == len(every) and 0 < read < all_read / 3 and files.first_lines(spark, str(d / "02.jsonl"), 500, schema).count() == 100
+    with pytest.raises(FileNotFoundError):
+        files.first_lines(spark, str(d / "none"), 1, schema)
+
+
 def test_arrays_and_csv_round_trip(spark, tmp_path):
     (tmp_path / "x.json").write_text('[{"a": 1, "b": "x"}, {"a": 2, "b": null}]')
     assert sorted((r.a, r.b) for r in files.json_array(spark, str(tmp_path / "x.json"), "a int, b string").collect()) == [(1, "x"), (2, None)]
     rows = [("one, \"two\"", "a\nb"), ("é", "c")]
     files.write_pairs(spark.createDataFrame(rows, "input string, target string"), str(tmp_path / "p"))
     assert sorted(map(tuple, files.csv(spark, str(tmp_path / "p"), "input string, target string").collect())) == sorted(rows)
-    both = corpus.union_all(*[files.csv(spark, str(tmp_path / "p"), "input string, target string")] * 2)
-    assert both.count() == 4
+    files.write_pairs(spark.createDataFrame([("other", "x")], "input string, target string"), str(tmp_path / "q"))
+    both = corpus.union_all(*[files.csv(spark, str(tmp_path / x), "input string, target string") for x in ("p", "q")])
+    assert sorted(map(tuple, both.collect())) == sorted([*rows, ("other", "x")])
 
 
 def test_split_sink_append_and_reports(spark, tmp_path):
