@@ -11,7 +11,7 @@ from chatloom.functions.text import words
 from chatloom.operators import corpus, evaluation, judging, model_calls, prompts, safety, training
 from chatloom.plans.catalogue import _ALL, _BATCH, _CATEGORIES, _LAST, _PLACED, _WRONG, WS_SQL, _convs, _details, _query, _quoted
 from chatloom.runtime import shared_dir, table
-from chatloom.sources import files
+from chatloom.sources import files, slices
 
 
 def _digest(column):
@@ -88,6 +88,16 @@ def cached_generations(spark, d):
     return files.cached(spark, path, compute).withColumn("computed", F.lit(len(made)))
 
 
+@_query("SELECT conv_id, 'You are a user chatting with an assistant language model to ' || arg_min(text, turn) AS intent, 4 AS n_commits, 0 AS n_commits_again FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def sliced_intents(spark, d):
+    """Intents in four slices of keys; a second run finds nothing to do."""
+    path = f"{shared_dir(spark)}/chatloom/{uuid.uuid4().hex}-intents"
+    first = corpus.first_user_turns(table(spark, d, "conversations"))
+    n, again = (len(slices.answer_slices(first, "conv_id", path, model_calls.stub_intents, slices=4)) for _ in range(2))
+    rows = slices.read(spark, path, "conv_id long, intent string, status string")
+    return rows.select("conv_id", "intent", F.lit(n).alias("n_commits"), F.lit(again).alias("n_commits_again"))
+
+
 @_query("SELECT count(*) AS n_missing FROM documents ANTI JOIN labels USING (doc_id)")
 def missing_cache_count(spark, d):
     joined = corpus.with_cached(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id", "quality"), "doc_id", {})
