@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import strip
+from chatloom.operators import bpe
 from chatloom.operators.prompts import alternates, reject_reason
 from chatloom.operators.ranking import rank_all
 from chatloom.operators.scan import fold_ranges, running_before
@@ -102,40 +102,8 @@ def code_points(texts: Column) -> Column:
 
 
 def vocabulary(path: str, special: tuple[str, ...] = (END_CONVERSATION,)) -> Tokenizer:
-    """A tokenizer from a vocabulary file of the ``tokenizers`` library that every executor can read, with special tokens added.
-
-    The ids of a text are what it adds to the ids of the texts before it, joined.
-    """
-
-    @F.arrow_udf("array<array<bigint>>")
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from tokenizers import Tokenizer as Reader
-
-        reader = Reader.from_file(path)
-        reader.add_special_tokens(list(special))
-        if any(reader.token_to_id(t) is None for t in special):
-            raise ValueError("a special token is missing from the vocabulary")
-        for b in batches:
-            out = []
-            for texts in b.to_pylist():
-                done, whole, rows = 0, "", []
-                for t in texts or ():
-                    whole += t
-                    found = reader.encode(whole, add_special_tokens=False).ids
-                    rows.append(found[done:])
-                    done = len(found)
-                out.append(rows)
-            yield pa.array(out, pa.list_(pa.list_(pa.int64())))
-
-    return ids
-
-
-def special_tokens(vocab: list[str], special: tuple[str, ...] = (END_CONVERSATION,)) -> list[str]:
-    """A vocabulary with the special tokens that it lacks at its end; an error if one is there twice then."""
-    out = [*vocab, *(t for t in special if t not in vocab)]
-    if any(out.count(t) != 1 for t in special):
-        raise ValueError("a special token is in the vocabulary twice")
-    return out
+    """A tokenizer from a byte-level vocabulary file, with special tokens added; see :mod:`chatloom.operators.bpe`."""
+    return bpe.encoder(bpe.load(SparkSession.active(), path).with_special(special))
 
 
 def training_ids(segments: DataFrame, tokenizer: Tokenizer = code_points, eos: int | None = None) -> DataFrame:

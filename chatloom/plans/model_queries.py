@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import words
-from chatloom.operators import corpus, evaluation, judging, model_calls, prompts, safety, training
+from chatloom.operators import bpe, corpus, evaluation, judging, model_calls, prompts, safety, training
 from chatloom.plans.catalogue import _ALL, _BATCH, _CATEGORIES, _LAST, _PLACED, _WRONG, WS_SQL, _convs, _details, _query, _quoted
 from chatloom.runtime import shared_dir, table
 from chatloom.sources import files, slices
@@ -185,6 +185,33 @@ def flip_token_ids(spark, d):
     return corpus.union_all(*out)
 
 
+#: A small vocabulary: the bytes, and these merges by rank.
+_MERGES = [m.split("+") for m in ("t+h", "th+e", "i+n", "e+r", "a+n", "o+n", "in+g", "e+n", "t+i", "ti+on", "an+d", "c+h", "s+t", "u+n", "un+g", "r+e", "m+en", "men+t", "l+e", " +the")]
+_STOP = "<|stop|>"
+
+
+def _bpe_sql() -> str:
+    hexed = lambda x: x.encode().hex().upper()
+    units = "regexp_replace(hex(encode(p)), '(..)', ' \\1;', 'g')"
+    for a, b in _MERGES:
+        units = f"replace({units}, ' {hexed(a)}; {hexed(b)};', ' {hexed(a)}{hexed(b)};')"
+    known = [*(f"{i:02X}" for i in range(256)), *(hexed(a + b) for a, b in _MERGES)]
+    space = r"\x09-\x0D\x20"
+    return f"""WITH t AS (SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(text, '[{space}]?[^{space}]+|[{space}]+'), lambda p: {units}), '') AS units FROM conversations),
+i AS (SELECT conv_id, turn, list_append(list_transform(list_filter(string_split(units, ' '), lambda u: u <> ''), lambda u: list_position({known}, u[:-2]) - 1), {len(known)}) AS ids FROM t)
+SELECT conv_id, CAST(sum(len(ids)) AS BIGINT) AS n, 'h' || md5(string_agg(array_to_string(ids, ','), ',' ORDER BY turn)) AS digest, 'h' || md5(string_agg(CAST(len(ids) AS VARCHAR), ',' ORDER BY turn)) AS cuts FROM i GROUP BY conv_id"""
+
+
+@_query(_bpe_sql())
+def bpe_ids(spark, d):
+    """Each conversation is encoded once and cut at its turns, which end with a special token."""
+    vocabulary = bpe.Vocabulary.of([(a.encode(), b.encode()) for a, b in _MERGES], (_STOP,), pieces=r"[\x09-\x0D\x20]?[^\x09-\x0D\x20]+|[\x09-\x0D\x20]+")
+    said = F.transform("turns", lambda t: F.concat(F.coalesce(t["text"], F.lit("")), F.lit(_STOP)))
+    rows = _convs(spark, d).select("conv_id", bpe.encoder(vocabulary)(said).alias("ids"))
+    joined = lambda c: _digest(F.array_join(c.cast("array<string>"), ","))
+    return rows.select("conv_id", F.size(F.flatten("ids")).cast("long").alias("n"), joined(F.flatten("ids")).alias("digest"), joined(F.transform("ids", F.size)).alias("cuts"))
+
+
 def _chat_sql() -> str:
     def one(family, system):
         text = "x" if family != "im" else "text"

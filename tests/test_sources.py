@@ -197,10 +197,7 @@ def test_vocabulary_adds_up_to_the_whole_text(spark):
     assert len(got.labels) == len(got.input_ids) and got.labels[0] == training.IGNORED and got.labels[-1] == got.input_ids[-1]
 
 
-def test_special_tokens_and_policies(spark):
-    assert training.special_tokens(["a"]) == ["a", training.END_CONVERSATION] == training.special_tokens(["a", training.END_CONVERSATION])
-    with pytest.raises(ValueError):
-        training.special_tokens([training.END_CONVERSATION] * 2)
+def test_policies(spark):
     df = spark.createDataFrame([(i, 3) for i in range(10)], "k long, n long")
     assert {r.k: r.batch_no for r in training.batched(df, "k", "n", "packing", batch=2, chunk=7).collect()} == {i: i // 2 // 2 for i in range(8)}
     with pytest.raises(ValueError):
