@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import words
-from chatloom.operators import bpe, corpus, evaluation, judging, model_calls, prompts, safety, training
+from chatloom.operators import bpe, corpus, evaluation, judging, model_calls, prompts, safety, templates, training
 from chatloom.plans.catalogue import _ALL, _BATCH, _CATEGORIES, _LAST, _PLACED, _WRONG, WS_SQL, _convs, _details, _query, _quoted
 from chatloom.runtime import shared_dir, table
 from chatloom.sources import files, slices
@@ -234,6 +234,15 @@ def chat_templates(spark, d):
     return corpus.union_all(*each)
 
 
+@_query(f"WITH m AS (SELECT * FROM (VALUES {', '.join(f"('{m}', '{f}')" for m, f in templates.MODELS.items())}) t(model, family)), c AS ({_chat_sql()}) SELECT model, conv_id, digest FROM m JOIN c USING (family)")
+def model_templates(spark, d):
+    """Each model's template, compiled; the system text is the first message."""
+    system = F.array(F.struct(F.lit("system").alias("role"), F.lit("Be brief.").alias("text")))
+    rows = _convs(spark, d).select("conv_id", F.concat(system, F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))).alias("turns"))
+    each = [rows.select(F.lit(m).alias("model"), "conv_id", _digest(templates.model_text(m, F.col("turns"), ask=True)).alias("digest")) for m in templates.MODELS]
+    return corpus.union_all(*each)
+
+
 @_query("SELECT doc_id, length(text) > 4096 AS too_long, CASE WHEN length(text) <= 4096 THEN 4096 END AS size, CASE WHEN length(text) <= 4096 THEN length(text) END AS mask_sum, CASE WHEN length(text) <= 4096 THEN 4096 - length(text) END AS n_pad, CASE WHEN length(text) <= 4096 THEN length(text) - least(length(text), 5) END AS n_labels FROM documents")
 def padded_rows(spark, d):
     """Rows that do not fit are flagged."""
