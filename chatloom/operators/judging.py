@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.operators.model_calls import Client, Reply
+from chatloom.operators.in_flight import answered
+from chatloom.operators.model_calls import Client, Reply, sender
 from chatloom.operators.prompts import numbered
 from chatloom.runtime import ship
 
@@ -105,11 +106,12 @@ def temperature(attempt: int) -> float:
     return 0.3 if attempt else 0.0
 
 
-def judge(rows: DataFrame, prompt: str, n_items: str, client: Callable[[], Client], attempts: int = 8, wait: float = 0.0) -> DataFrame:
+def judge(rows: DataFrame, prompt: str, n_items: str, client: Callable[[], Client], attempts: int = 8, wait: float = 0.0, window: int = 1, ports: list[int] | None = None) -> DataFrame:
     """``rows`` with the judge's verdicts, rates, raw answer and usage; an answer that can't be read is asked for again.
 
-    The client gets prompts and the temperature of the attempt. Token counts and the raw answer are those of the last reply; an
-    exception is followed by a pause of ``wait * (2 n + 0.5)``.
+    The client gets a list of one prompt and the temperature of the attempt; a partition has ``window`` requests in flight at most,
+    on the ``ports`` with the fewest. Token counts and the raw answer are those of the last reply; after an exception the row pauses
+    for ``wait * (2 n + 0.5)``.
     """
     ship(rows.sparkSession)
     names = rows.columns
@@ -118,39 +120,32 @@ def judge(rows: DataFrame, prompt: str, n_items: str, client: Callable[[], Clien
     kind = pa.list_(pa.struct([("item", pa.string()), ("satisfied", pa.bool_()), ("reasoning", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask = client()
-        for b in batches:
-            texts, items = b[prompt].to_pylist(), b[n_items].to_pylist()
-            n = len(texts)
-            found: list[list[dict] | None] = [None] * n
-            last, tries = [Reply("")] * n, [0] * n
-            for attempt in range(attempts):
-                left = [i for i in range(n) if found[i] is None]
-                if not left:
-                    break
-                try:
-                    replies = ask([texts[i] for i in left], temperature(attempt))
-                except Exception as e:  # noqa: BLE001  as if every request had failed
-                    replies = [e] * len(left)
-                failed = False
-                for i, r in zip(left, replies, strict=True):
-                    tries[i] += 1
-                    if isinstance(r, Exception):
-                        failed = True
-                        continue
-                    last[i] = r if isinstance(r, Reply) else Reply(r)
-                    found[i] = read_verdicts(last[i].text or "", items[i])
-                if failed and wait:
-                    time.sleep(wait * (2 * attempt + 0.5))
+        send = sender(client, ports)
+
+        def one(row: tuple) -> tuple[list[dict] | None, Reply, int]:
+            last = Reply("")
+            for n in range(attempts):
+                r = send(row[0], temperature(n))
+                if isinstance(r, Exception):
+                    if wait and n + 1 < attempts:
+                        time.sleep(wait * (2 * n + 0.5))
+                    continue
+                last = r
+                if (found := read_verdicts(r.text or "", row[1])) is not None:
+                    return found, last, n + 1
+            return None, last, attempts
+
+        for b, got in answered(batches, [prompt, n_items], one, window):
+            found, last = [g[0] for g in got], [g[1] for g in got]
             good = [None if f is None else sum(v["satisfied"] for v in f) for f in found]
             size = [None if f is None else len(f) for f in found]
             rate = [None if s is None else g / s if s else 0.0 for g, s in zip(good, size, strict=True)]
             shown = [None if f is None else [{**v, "item": None if v["item"] is None else str(v["item"])} for v in f] for f in found]
             total = [None if r.prompt_tokens is None or r.completion_tokens is None else r.prompt_tokens + r.completion_tokens for r in last]
             cols = [
-                pa.array(shown, kind), pa.array(rate, pa.float64()), pa.array(good, pa.int64()), pa.array(size, pa.int64()), pa.array([r.text or "" for r in last]),
+                pa.array(shown, kind), pa.array(rate, pa.float64()), pa.array(good, pa.int64()), pa.array(size, pa.int64()), pa.array([r.text or "" for r in last], pa.string()),
                 pa.array([r.prompt_tokens for r in last], pa.int64()), pa.array([r.completion_tokens for r in last], pa.int64()), pa.array(total, pa.int64()),
-                pa.array(tries, pa.int64()), pa.array([f is None for f in found]),
+                pa.array([g[2] for g in got], pa.int64()), pa.array([f is None for f in found], pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays([*[b[c] for c in names], *cols], [*names, *(x.split()[0] for x in ("verdicts", "satisfaction_rate", "n_satisfied", "n_total", "raw_output", "prompt_tokens", "completion_tokens", "total_tokens", "attempts", "failed"))])
 

@@ -1,8 +1,8 @@
-"""Model calls as pluggable batch functions with retries; stubs answer offline.
+"""Model calls as pluggable functions with retries, several in flight at once; stubs answer offline.
 
-A client is made once per partition and gets a batch of prompts and the number of the attempt. For each prompt it gives an
-answer (a text, or a :class:`Reply` with the tokens that it used), nothing, or the exception that befell it; an exception that it
-raises befalls the whole batch.
+A client is made once per partition. A request is a list of one prompt and the number of the attempt; with ports, also that which the
+request shall use. For its prompt the client gives an answer (a text, or a :class:`Reply` with the tokens that it used), nothing, or the
+exception that befell it, which it may raise too. With a window of more than one request it is called from several threads.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatloom.operators.in_flight import Ports, answered
 from chatloom.runtime import ship
 
 
@@ -47,59 +48,71 @@ def is_hosted(model: Column) -> Column:
     return route(model) != "local"
 
 
-def _pause(wait: float, n: int, jitter: float, rng: random.Random) -> None:
+def _pause(wait: float, n: int, jitter: float) -> None:
     if wait or jitter:
-        time.sleep(wait * 2**n + rng.uniform(0, jitter))
+        time.sleep(wait * 2**n + random.uniform(0, jitter))
+
+
+def sender(client: Callable[[], Client], ports: list[int] | None) -> Callable[..., Reply | Exception]:
+    """A function that sends one prompt and gives the reply, or the exception that came instead."""
+    ask, free = client(), Ports(ports) if ports else None
+
+    def send(prompt: str, *more) -> Reply | Exception:
+        try:
+            if free is None:
+                (got,) = ask([prompt], *more)
+            else:
+                with free.one() as port:
+                    (got,) = ask([prompt], *more, port)
+        except Exception as e:  # noqa: BLE001  reported with the row
+            return e
+        return got if isinstance(got, Reply | Exception) else Reply(got)
+
+    # a client may take the prompts only
+    takes = getattr(getattr(ask, "__code__", None), "co_argcount", 2)
+    return send if takes > 1 or free else lambda prompt, *_: send(prompt)
 
 
 def call(
     rows: DataFrame, prompt: str, answer: str, client: Callable[[], Client], attempts: int = 4, wait: float = 0.0, jitter: float = 0.0,
-    fallback: str | None = None, usage: bool = False, strict: bool = False, check: Callable[[str], bool] | None = None,
+    fallback: str | None = None, usage: bool = False, strict: bool = False, check: Callable[[str], bool] | None = None, window: int = 1, ports: list[int] | None = None,
 ) -> DataFrame:
     """``rows`` with ``answer``, ``status`` ("ok" or "failed") and ``error``; with ``usage`` also three token counts.
 
-    Empty answers, and such as ``check`` refuses, are asked for again at once, at most ``attempts`` times in all; after an exception
-    a pause of ``wait * 2**n`` and a random part of ``jitter`` comes first, and :class:`Rejected` ends a row. What has no answer then gets
-    ``fallback``, and the last exception's text as ``error``; ``strict`` raises it instead. Token counts are those of the last reply.
+    A partition has ``window`` requests in flight at most, on the ``ports`` with the fewest; answers come in the rows' order.
+    Empty answers, and such as ``check`` refuses, are asked for again at once, at most ``attempts`` times in all; after an exception the
+    row, and no other, pauses for ``wait * 2**n`` and a random part of ``jitter``, and :class:`Rejected` ends it. What has no answer then
+    gets ``fallback``, and the last exception's text as ``error``; ``strict`` raises it instead. Token counts are those of the last reply.
     """
     ship(rows.sparkSession)
     names = rows.columns
     made = [T.StructField(answer, T.StringType()), T.StructField("status", T.StringType()), T.StructField("error", T.StringType()), *(_USAGE if usage else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask, rng = client(), random.Random(0)
-        numbered = ask.__code__.co_argcount > 1 if hasattr(ask, "__code__") else False
-        for b in batches:
-            texts = b[prompt].to_pylist()
-            got: list[str | None] = [None] * len(texts)
-            used: list[Reply] = [Reply(None)] * len(texts)
-            errors: list[str | None] = [None] * len(texts)
-            over = [False] * len(texts)
+        send = sender(client, ports)
+
+        def one(row: tuple) -> tuple[str | None, str | None, Reply]:
+            used, error = Reply(None), None
             for n in range(attempts):
-                left = [i for i, a in enumerate(got) if not a and not over[i]]
-                if not left:
-                    break
-                asked = [texts[i] for i in left]
-                try:
-                    replies = ask(asked, n) if numbered else ask(asked)
-                except Exception as e:  # noqa: BLE001  reported with each row below
-                    replies = [e] * len(left)
-                failed = False
-                for i, r in zip(left, replies, strict=True):
-                    if isinstance(r, Exception):
-                        failed, errors[i], over[i] = True, f"{type(r).__name__}: {r}", isinstance(r, Rejected)
-                        continue
-                    used[i] = r if isinstance(r, Reply) else Reply(r)
-                    text = used[i].text
-                    got[i] = text if text and (check is None or check(text)) else None
-                if failed and n + 1 < attempts:
-                    _pause(wait, n, jitter, rng)
-            if strict and not all(got):
-                i = next(i for i, a in enumerate(got) if not a)
-                raise RuntimeError(f"no answer after {attempts} attempts: {errors[i] or 'it was empty'}")
-            status = ["ok" if a else "failed" for a in got]
-            cols = [pa.array([a or fallback for a in got], pa.string()), pa.array(status), pa.array([None if a else e for a, e in zip(got, errors, strict=True)], pa.string())]
+                r = send(row[0], n)
+                if isinstance(r, Exception):
+                    error = f"{type(r).__name__}: {r}"
+                    if isinstance(r, Rejected):
+                        break
+                    if n + 1 < attempts:
+                        _pause(wait, n, jitter)
+                    continue
+                used = r
+                if r.text and (check is None or check(r.text)):
+                    return r.text, None, used
+            if strict:
+                raise RuntimeError(f"no answer after {attempts} attempts: {error or 'it was empty'}")
+            return None, error, used
+
+        for b, got in answered(batches, [prompt], one, window):
+            cols = [pa.array([a or fallback for a, _, _ in got], pa.string()), pa.array(["ok" if a else "failed" for a, _, _ in got], pa.string()), pa.array([e for _, e, _ in got], pa.string())]
             if usage:
+                used = [u for _, _, u in got]
                 total = [None if u.prompt_tokens is None or u.completion_tokens is None else u.prompt_tokens + u.completion_tokens for u in used]
                 cols += [pa.array([u.prompt_tokens for u in used], pa.int64()), pa.array([u.completion_tokens for u in used], pa.int64()), pa.array(total, pa.int64())]
             yield pa.RecordBatch.from_arrays([*[b[c] for c in names], *cols], [*names, *(f.name for f in made)])
