@@ -132,7 +132,7 @@ def distinct_ids(df: DataFrame, key: str) -> DataFrame:
 
 
 def id_overlap(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
-    """key, side ("both", "only1", "only2") of the distinct ids of two tables; raises nothing, see :func:`require_common`."""
+    """key, side ("both", "only1", "only2") of the distinct ids of two tables; raises nothing, see :func:`common_ids`."""
     a, b = distinct_ids(first, key).withColumn("__a", F.lit(True)), distinct_ids(second, key).withColumn("__b", F.lit(True))
     side = F.when(F.col("__b").isNull(), "only1").when(F.col("__a").isNull(), "only2").otherwise("both")
     return a.join(b, key, "full_outer").select(key, side.alias("side"))

@@ -8,18 +8,37 @@ from pyspark.sql import functions as F
 from chatloom.operators.judging import FENCED, STRAY, WIDEST
 
 
+#: Fixed value: numbers that JSON does not know and the judge's reader takes.
+NO_NUMBER = r"(?<=[:\[,\s])(NaN|-?Infinity)(?=\s*[,\]}])"
+
+
+def strict_array(text: Column) -> Column:
+    """The elements of a text that is one JSON array and nothing else, null if it is not; NaN and infinities count as numbers.
+
+    The parser stops at the end of the first value, so a text is parsed inside an array and inside an object: what follows the value
+    must fit into both, which only a comma does, and then the array has a second element.
+    """
+
+    def whole(t: Column) -> Column:
+        boxed = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))).try_cast("array<variant>")
+        named = F.try_parse_json(F.concat(F.lit('{"a":'), t, F.lit("}")))
+        return F.when((F.size(boxed) == 1) & named.isNotNull(), F.get(boxed, F.lit(0)).try_cast("array<variant>"))
+
+    return F.coalesce(whole(text), whole(F.regexp_replace(text, NO_NUMBER, "null")))
+
+
 def verdicts(text: Column, n_items: Column) -> Column:
-    """Booleans of a judge's answer, or null if it can't be used.
+    """Booleans of a judge's answer, or null if it can't be used; the same as :func:`chatloom.operators.judging.read_verdicts` says.
 
     The first fenced array counts, else the widest bracketed part, else the whole text; if it is no
     JSON, stray backslashes are doubled. Every element must be an object whose ``satisfied`` is a
-    boolean or says true or false; an empty array is right only for an empty checklist.
+    boolean or says true or false; an empty array is right only for an empty checklist. An object with
+    a key twice can't be used here.
     """
     fenced = F.regexp_extract(text, f"(?s){FENCED}", 1)
     wide = F.regexp_extract(text, f"(?s){WIDEST}", 0)
     raw = F.when(fenced != "", fenced).when(wide != "", wide).otherwise(text)
-    fixed = F.regexp_replace(raw, STRAY, r"\\\\")
-    found = F.coalesce(F.try_parse_json(raw), F.try_parse_json(fixed)).try_cast("array<variant>")
+    found = F.coalesce(strict_array(raw), strict_array(F.regexp_replace(raw, STRAY, r"\\\\")))
 
     def satisfied(e: Column) -> Column:
         v = F.try_variant_get(e, "$.satisfied", "variant")
@@ -60,8 +79,13 @@ def usage(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in columns])
 
 
-def outcomes(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
-    """key, tag, n1, n2, outcome for keys of both sides (key, tag, n_satisfied); ``only1`` and ``only2`` mark the others."""
+def outcomes(first: DataFrame, second: DataFrame, key: str, strict: bool = True) -> DataFrame:
+    """key, tag, n1, n2, outcome for keys of both sides (key, tag, n_satisfied); ``only1`` and ``only2`` mark the others.
+
+    No common key is an error, unless ``strict`` is off: it is looked for among the keys alone, up to the first.
+    """
+    if strict and first.select(key).join(second.select(key), key, "left_semi").isEmpty():
+        raise ValueError(f"no {key} is on both sides")
     a = first.select(key, F.col("tag").alias("t1"), F.col("n_satisfied").alias("n1"), F.lit(True).alias("in1"))
     b = second.select(key, F.col("tag").alias("t2"), F.col("n_satisfied").alias("n2"), F.lit(True).alias("in2"))
     both = a.join(b, key, "full_outer")

@@ -78,6 +78,19 @@ def history_and_query(convs: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.slice("turns", F.lit(1), F.col("__at")).alias("history"), F.get("turns", F.col("__at"))["text"].alias("user_query"))
 
 
+def evaluation_tasks(items: DataFrame, key: str = "session_id") -> DataFrame:
+    """key, history, history_list, user_query, checklist and primary_tag (null if there is none) of items with a ``conversation_input``.
+
+    The last user turn is the query, what comes before it the history. An item without a user turn is an error.
+    """
+    turns = F.col("conversation_input")
+    at = F.coalesce(last_user(turns), F.raise_error(F.concat(F.lit("no user turn: "), F.col(key).cast("string"))))
+    before = F.slice(turns, F.lit(1), F.col("__at"))
+    tag = F.col("primary_tag") if "primary_tag" in items.columns else F.lit(None).cast("string")
+    rows = items.withColumn("__at", at)
+    return rows.select(key, history_text(before).alias("history"), before.alias("history_list"), F.get(turns, F.col("__at"))["text"].alias("user_query"), "checklist", tag.alias("primary_tag"))
+
+
 def history_text(history: Column) -> Column:
     lines = F.transform(history, lambda t: F.concat(F.when(t["role"] == "user", "Human: ").otherwise("AI: "), t["text"]))
     return F.when(F.size(history) == 0, F.lit(NO_HISTORY)).otherwise(F.array_join(lines, "\n\n"))
@@ -200,18 +213,33 @@ def is_mild(severities: Column, most: int = 0) -> Column:
     return F.forall(severities, lambda s: s <= most)
 
 
+def _centred(x: Column) -> Column:
+    room = F.lit(10) - F.length(x)
+    left = F.greatest(F.floor(room / 2), F.lit(0)).cast("int")
+    return F.concat(F.repeat(F.lit(" "), left), x, F.repeat(F.lit(" "), F.greatest(room - left, F.lit(0))))
+
+
+def _line(cells: Column) -> Column:
+    return F.concat(F.lit("|"), F.array_join(F.transform(cells, _centred), "|"), F.lit("|\n"))
+
+
 def severity_report(names: list[str], severities: Column) -> Column:
     """A table of two lines, names and levels centred in ten places; empty if all is mild."""
+    levels = F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv])
+    shown = _line(F.transform(severities, lambda s: F.try_element_at(levels, s)))
+    return F.when(is_mild(severities), "").otherwise(F.concat(_line(F.array(*map(F.lit, names))), shown))
 
-    def centred(x: Column) -> Column:
-        room = F.lit(10) - F.length(x)
-        left = F.greatest(F.floor(room / 2), F.lit(0)).cast("int")
-        return F.concat(F.repeat(F.lit(" "), left), x, F.repeat(F.lit(" "), F.greatest(room - left, F.lit(0))))
 
-    levels = F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv])
-    line = lambda cells: F.concat(F.lit("|"), F.array_join(cells, "|"), F.lit("|\n"))
-    head = line(F.transform(F.array(*map(F.lit, names)), centred))
-    return F.when(is_mild(severities), "").otherwise(F.concat(head, line(F.transform(severities, lambda s: centred(F.try_element_at(levels, s))))))
+def class_check(names: list[str], scores: list[Column], fine: str = "none") -> tuple[Column, Column]:
+    """A classifier as (is it safe, a report): safe if the class of the largest score, the first of several, is ``fine``.
+
+    The report names the class and lists all scores, rounded to five places, in a table of two lines; it is empty for what is safe.
+    """
+    values = F.array(*scores)
+    found = F.element_at(F.array(*map(F.lit, names)), F.array_position(values, F.array_max(values)).cast("int"))
+    shown = F.transform(values, lambda v: F.round(v, 5).cast("string"))
+    safe = found == fine
+    return safe, F.when(safe, "").otherwise(F.concat(F.lit("Predicted class: "), found, F.lit("\n"), _line(F.array(*map(F.lit, names))), _line(shown)))
 
 
 def target_prompt(text: Column, user_prompt: Column) -> Column:

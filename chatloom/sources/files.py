@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -186,7 +187,9 @@ def first_lines(spark: SparkSession, path: str, rows: int, schema: str | StructT
 
 
 def from_file(path: str, function: str = "get_dataset") -> Callable[..., DataFrame]:
-    """A source's function out of a Python file; an error if the file or the function is not there."""
+    """A function out of a Python file; an error if the file or the function is not there."""
+    if not Path(path).is_file():
+        raise FileNotFoundError(path)
     spec = importlib.util.spec_from_file_location("source_plugin", path)
     if spec is None:
         raise ValueError(f"{path} is no Python file")

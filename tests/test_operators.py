@@ -1,10 +1,12 @@
+import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import fix_spacing, strip, words
-from chatloom.operators import corpus, evaluation, prompts, training
+from chatloom.operators import corpus, evaluation, judging, prompts, training
 from chatloom.operators.model_calls import call
 from chatloom.plans.catalogue import QUERIES
 
@@ -121,3 +123,43 @@ def test_every_event_and_order_counts(spark, tmp_path):
     whole = QUERIES["satisfaction_summary"](spark, str(tmp_path)).first()
     assert (whole.n_tasks, whole.n_failed, whole.n_valid) == (26, 2, 24)
     assert [r.n for r in QUERIES["satisfaction_by_tag"](spark, str(tmp_path)).collect()] == [24]
+
+
+def _answers(n):
+    """Random JSON, mended and broken in ways that answers are."""
+    rnd = random.Random(9)
+
+    def value(depth):
+        kind = rnd.randrange(9 if depth else 6)
+        if kind < 2:
+            return rnd.choice(["true", "false", "null", "NaN", "-Infinity", "Infinity", "-NaN"])
+        if kind == 2:
+            return rnd.choice(["1", "-2.5e3", "01", "+1", "1.", "0"])
+        if kind < 6:
+            return json.dumps(rnd.choice(["true", "FALSE", "x", "[", "]}", 'a "b" \\d', "NaN, ", "é"]), ensure_ascii=rnd.random() < 0.5)
+        if kind == 6:
+            return "[" + ", ".join(value(depth - 1) for _ in range(rnd.randrange(3))) + "]"
+        return item(depth - 1)
+
+    def item(depth):
+        keys = rnd.sample(["satisfied", "item", "reasoning", "note"], rnd.randint(1, 4))
+        return "{" + ",".join(f'"{k}": ' + (rnd.choice(["true", "false", '"True"', '"no"']) if k == "satisfied" and rnd.random() < 0.9 else value(depth)) for k in keys) + "}"
+
+    out = []
+    for _ in range(n):
+        text = "[" + ", ".join(item(2) if rnd.random() < 0.95 else value(1) for _ in range(rnd.randrange(4))) + "]"
+        for _ in range(rnd.choice([0, 0, 0, 1])):
+            at = rnd.randrange(len(text) + 1)
+            text = text[:at] + rnd.choice(["", "]", "[", "}", "{", ",", '"', "\\", "\\d", " ", "\n", "junk", "NaN"]) + text[at + rnd.randrange(2) :]
+        text = rnd.choice([text, f"```json\n{text}\n```", f"so {text} it is", f"```{text}``` and {text}", text + text, f"{text} [1", f"{text}]", f"{text}}}]", f"{text}, {text}", f"{text}, \"a\": 1"])
+        out.append(text)
+    return [*out, "", "[]", "[1]", "null", "[1] junk", "[[]]", "[{}]", '[{"satisfied": true}] [2]', '[{"satisfied": true}], "a": [1]']
+
+
+def test_both_readers_of_verdicts_agree(spark):
+    answers = _answers(3000)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(answers)], "i int, t string")
+    got = {r.i: r.v for r in rows.select("i", evaluation.verdicts(F.col("t"), F.lit(1)).alias("v")).collect()}
+    read = [judging.read_verdicts(t, 1) for t in answers]
+    wrong = [(t, got[i], r) for i, (t, r) in enumerate(zip(answers, read, strict=True)) if got[i] != (None if r is None else [v["satisfied"] for v in r])]
+    assert wrong == [] and 80 < sum(r is not None for r in read) < 2700
