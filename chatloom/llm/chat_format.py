@@ -7,7 +7,7 @@ that the examples of a conversation hold all its turns.
 
 Cases: null role, text or turn count as empty strings and as a turn before all
 others; turns are ordered by turn, then role, then text, so ties and repeated
-rows keep all rows in a stable order; null conversation ids form one
+rows keep all rows in a stable order; very long texts are taken whole; null conversation ids form one
 conversation; an empty table gives no example; extra columns are ignored.
 """
 

@@ -21,7 +21,8 @@ an entry for each chunk, and no group of copies meets in one task.
 
 Cases: null texts stay null and empty ones empty; documents with fewer units than a
 run stay whole; rows with equal id and text count as one document and are edited alike;
-ties go by the order above; an empty table gives no row; other columns pass through,
+ties go by the order above; very long texts are taken whole, in a block of their own;
+an empty table gives no row; other columns pass through,
 and ``n_units`` (words) and ``n_deleted`` are replaced if there.
 """
 

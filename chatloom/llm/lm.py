@@ -25,7 +25,8 @@ once.  All counts cover all training text, and every text is scored whole.
 
 Cases: null and empty texts consist of one end token; rows with equal texts and ids
 have a score each; rows without an id are learned from; without training text the
-model is uniform; an empty table gives no row; extra columns do not matter.
+model is uniform; very long texts are scored whole, in a block of their own; an empty table
+gives no row; extra columns do not matter.
 """
 
 from __future__ import annotations

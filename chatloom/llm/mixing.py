@@ -13,8 +13,8 @@ partitions.
 
 Cases: null texts and texts without words have size 0 and give 0 words; null
 sources are one source, the last; rows with equal doc_id, source and size are
-counted first and stand for each other, however many; an empty table gives no
-row; extra columns are kept out of the plan and join back in ``mixed``.
+counted first and stand for each other, however many; very long texts are a size
+like others; an empty table gives no row; extra columns are kept out of the plan and join back in ``mixed``.
 
 Only DataFrame functions run here.
 """

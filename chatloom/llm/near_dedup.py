@@ -21,6 +21,7 @@ nothing and are kept; texts of fewer words than a shingle are one shingle; rows
 with equal texts are one class, whatever their ids; rows without an id take part,
 but an id that is null never names a component (one of only such rows has none:
 the query keeps these, ``keep_one`` one of them); rows with equal ids and different texts are judged each;
+very long texts are sets of all their shingles;
 an empty table gives no row; extra columns do not matter.
 """
 
@@ -238,9 +239,10 @@ def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
     linked = _linked(docs, size).select("component", *[c.alias(n) for n, c in _row_key().items()])
     kept = linked.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct(*names)).alias("least")).select("least.*")
     kept = kept.unionByName(linked.where(F.col("component").isNull()).select(*names).distinct())
-    # rows of equal id and text are one before they meet
-    rows = docs.withColumn("__k2", F.xxhash64("text")).withColumns({n: c for n, c in _row_key("__k2").items() if n != "__k2"}).dropDuplicates(names)
-    return rows.join(kept.hint("merge"), names).select(*docs.columns)
+    # rows of equal id and text are one before they meet; columns of one's own may have the key's names
+    own = {n: f"__own{n}" for n in names if n in docs.columns}
+    rows = docs.withColumnsRenamed(own).withColumn("__k2", F.xxhash64("text")).withColumns({n: c for n, c in _row_key("__k2").items() if n != "__k2"}).dropDuplicates(names)
+    return rows.join(kept.hint("merge"), names).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ number of them, whatever the document's length.
 
 Cases: null texts count as empty; equal rows (id and text) are found out once and
 each has its row; rows with equal ids and different texts keep apart by a hash of
-the text; an empty table gives no row; extra columns do not matter.
+the text; very long texts are searched whole; an empty table gives no row; extra columns do not matter.
 
 Only DataFrame functions run here.
 """

@@ -19,7 +19,7 @@ doc_id): that bounds what the driver collects and what is broadcast; all terms o
 these rows are indexed.  All rows and whole texts are scored.  Labels, language,
 source and id are no inputs of a score.
 
-Cases: null and empty texts have no terms and get that rate; rows without an id are
+Cases: null and empty texts have no terms and get that rate; very long texts are scored whole; rows without an id are
 scored, and never learned from; a document with several labels is toxic if one says
 so; ties of cosine go to the smaller id; equal rows get equal scores; without any
 labels every score is 0; an empty table gives no row; other columns pass through, and

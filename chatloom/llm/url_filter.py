@@ -16,8 +16,8 @@ nearest labelled prefix.  Templates of purity at or above ``reject`` are blocked
 
 Cases: a null URL, or one without ``://``, has an empty host and path, no rule, and
 is judged as the other pages without a host are: allowed, for no rule labels any; ties
-and repeated rows are judged alike; an empty table gives no row;
-extra columns do not matter.  Only page ids and URLs are read.
+and repeated rows are judged alike; very long URLs are taken whole, a round for each segment
+of the deepest path; an empty table gives no row; extra columns do not matter.  Only page ids and URLs are read.
 """
 
 from __future__ import annotations

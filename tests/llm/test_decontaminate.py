@@ -86,3 +86,18 @@ def test_long_runs_are_cut_into_pieces(spark, monkeypatch):
         named = [sorted(x for x in hits.items.get(i, ()) if x is not None) for i in range(len(docs))]
         got = [(d, int(w), int(h), len(n)) for (d, _), w, h, n in zip(docs, hits.words, hits.hit, named, strict=True)]
         assert sorted(got, key=str) == [w[:4] for w in want]
+
+
+def test_repeated_items_do_not_fill_a_block(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(7, text)] * 200 + [(i, f"{text} {i} x{i}") for i in range(20)]
+    b = spark.createDataFrame(rows, "item_id long, text string").repartition(3)
+    blocks = list(D.phrase_blocks(b, block_chars=400))
+    one = D.compile_phrases(pa.table({"item_id": [7], "text": [text]}))
+    assert len(blocks) > 3 and all(len(p.__dict__) == len(one.__dict__) for p in blocks)
+    docs = [(1, f"a {text} b"), (2, "w3 w4"), (3, f"{text} 4 x4")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_hit, sorted(map(str, r["items"]))) for r in D.find(d, b, block_chars=400).collect()]
+    want = [(i, n, h) for i, n, h, *_ in D.brute_force(docs, rows)]
+    assert sorted(g[:3] for g in got) == want and next(g[3] for g in got if g[0] == 2) == []
+    assert sorted(len(g[3]) for g in got) == sorted(w[3] for w in D.brute_force(docs, rows))
