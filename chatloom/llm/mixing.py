@@ -149,12 +149,14 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     planned = plan(docs, **options).where((F.col("whole") > 0) | (F.col("more") > 0))
     planned = planned.withColumns(keys(F.col("size"))).select(*names, F.col("whole").alias("__w"), F.col("more").alias("__m"))
-    rows = docs.withColumns(keys(word_count(F.col("text")))).join(planned.hint("merge"), names)
+    # columns of one's own may have the names that are used here
+    own = {n: f"__own{n}" for n in (*names, "__w", "__m", "__n") if n in docs.columns}
+    rows = docs.withColumnsRenamed(own).withColumns(keys(word_count(F.col("text")))).join(planned.hint("merge"), names)
     # equal rows are numbered where the join has put them
     rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("text"))))
     copies = F.col("__w") + (F.col("__n") <= F.col("__m")).cast("long")
     out = rows.withColumns({"copies": copies, "taken": copies * F.col("__k4")})
-    return out.where(F.col("copies") > 0).drop(*names, "__w", "__m", "__n")
+    return out.where(F.col("copies") > 0).drop(*names, "__w", "__m", "__n").withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

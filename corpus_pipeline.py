@@ -4,6 +4,14 @@ Toxic documents go; later repeats of runs of 50 words are cut out; of each group
 near-duplicates one document stays; passages of the benchmark are cut out; the rest
 is mixed to the sources' target weights.  A stage's rows are written and read again
 before the next.  Stages that cut text set ``n_chars`` anew.
+
+Cases, for every stage: null and empty texts are clean, are cut nowhere, are nobody's
+duplicates (of rows equal in id and text one stays) and give 0 words to the mix; very
+long texts are taken whole; rows without an id go through, and no label is theirs; ties
+go by id, then by a hash of the text, so reruns agree; repeated rows are scored and cut
+alike, and one of them is left after the third stage; an empty table gives an empty one
+with the same columns; other columns pass through, whatever their names, but for
+``copies`` and ``taken``, which the last stage sets.
 """
 
 from __future__ import annotations

@@ -32,7 +32,7 @@ def test_lines_and_words(spark):
 
 def test_mix(spark):
     got = mixing.mixed(_docs(spark)).collect()
-    assert all(r.taken == r.copies * len((r.text or "").split()) and r.key == "own key" for r in got) and any(r.doc_id in (1, 2) for r in got)
+    assert all(r.taken == r.copies * len((r.text or "").split()) and r.key == "own key" and r["__k0"] == "own __k0" for r in got) and any(r.doc_id in (1, 2) for r in got)
 
 
 def test_decontamination(spark):
