@@ -86,6 +86,17 @@ def test_first_lines_stop_early(spark, tmp_path, small_splits):
         files.first_lines(spark, str(d / "none"), 1, schema)
 
 
+def test_summaries_and_toxicity_rows(spark, tmp_path):
+    spark.createDataFrame([("1", "a: b", "c", 9)], "id string, dialogue string, summary string, more int").write.parquet(str(tmp_path / "s/val"))
+    assert [tuple(r) for r in files.load(spark, "dialogue_summaries", {"path": str(tmp_path / "s")}, "validation").collect()] == [("1", "a: b", "c")]
+    rows = [("x", "hi", True, "[['hate', 0.5]]", 1), ("y", None, False, "[]", 2)]
+    spark.createDataFrame(rows, "conv_id string, user_input string, toxicity boolean, openai_moderation string, more int").write.parquet(str(tmp_path / "t/test"))
+    got = files.load(spark, "toxicity_chat", {"path": str(tmp_path / "t")}, "test")
+    assert got.columns == ["conv_id", "user_input", "toxicity", "openai_moderation"] and sorted(map(tuple, got.collect())) == [("x", "hi", 1, "[['hate', 0.5]]"), ("y", None, 0, "[]")]
+    coded = got.select("conv_id", prompts.category_code(prompts.scores_of(F.col("openai_moderation"))).alias("c")).collect()
+    assert {r.conv_id: r.c for r in coded} == {"x": "010", "y": None}
+
+
 def test_arrays_and_csv_round_trip(spark, tmp_path):
     (tmp_path / "x.json").write_text('[{"a": 1, "b": "x"}, {"a": 2, "b": null}]')
     assert sorted((r.a, r.b) for r in files.json_array(spark, str(tmp_path / "x.json"), "a int, b string").collect()) == [(1, "x"), (2, None)]
