@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.text import ngrams, words
+from chatloom.functions.text import words
 from chatloom.operators.ranking import rank_all
 from chatloom.runtime import materialise
 
@@ -21,45 +21,55 @@ def first_user_turns(turns: DataFrame) -> DataFrame:
     return turns.where(F.col("role") == "user").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
 
 
-def gram_rows(df: DataFrame, key: str, text: str, n: int = 7) -> DataFrame:
-    """id, ng: every n-gram of lower-cased words of every text."""
-    ws = df.select(F.col(key).alias("id"), words(F.lower(text)).alias("ws"))
-    return ws.select("id", F.explode(ngrams(F.col("ws"), n)).alias("ng"))
+def _cut(df: DataFrame, key: str, text: str) -> DataFrame:
+    """id, t, ws: lower-cased words of every text; equal texts have equal ``t``."""
+    return df.select(F.col(key).alias("id"), F.xxhash64(text).alias("t"), words(F.lower(text)).alias("ws"))
 
 
-#: Hashes of eight bytes that a join may broadcast; more are joined by sorting.
-BROADCAST_HASHES = 2_000_000
+def _frequent_places(cut: DataFrame, n: int, threshold: int) -> DataFrame:
+    """t, places: where in the texts ``t`` n-grams start whose eight-byte hash occurs more than ``threshold`` times.
 
+    A row of fixed size for each n-gram is shuffled once, by its hash, and no string: counts and places read the same shuffle files.
+    """
+    hashes = F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.xxhash64(F.slice("ws", i, n)))
+    rows = cut.where(F.size("ws") >= n).select("t", F.posexplode(hashes).alias("place", "h"))
+    rows = rows.select("t", "h", "place").repartition("h")
+    # both other columns are asked for, so that this reads all that the join reads: else each would have a shuffle of its own
+    often = rows.groupBy("h").agg(F.count("*").alias("n"), F.max("t").alias("t"), F.max("place").alias("place"))
+    often = often.where((F.col("n") > threshold) & F.col("t").isNotNull() & F.col("place").isNotNull()).select("h")
+    held = rows.join(often.hint("merge"), "h")  # one row a hash; a semi join would be moved below the shuffle
+    return materialise(held.groupBy("t").agg(F.collect_set("place").alias("places")), "hot-places")
 
-def hot_grams(grams: DataFrame, threshold: int) -> DataFrame:
-    """Rows of ``grams`` (id, ng) whose n-gram may occur more than ``threshold`` times: its eight-byte hash does.
 
-    Only hashes are shuffled, counted before the shuffle; strings stay where they are made, and only frequent ones leave.
-    """
-    hashed = grams.withColumn("h", F.xxhash64("ng"))
-    often = materialise(hashed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > threshold).select("h"), "hot-hashes")
-    side = F.broadcast(often) if often.count() <= BROADCAST_HASHES else often
-    return hashed.join(side, "h", "left_semi").select("id", "ng")
+def _held(df: DataFrame, key: str, text: str, n: int, threshold: int) -> DataFrame:
+    """id, text, places of the rows of ``df`` that have n-grams which may occur more than ``threshold`` times."""
+    cut = _cut(df.withColumn("__text", F.col(text)), key, "__text")
+    places = _frequent_places(cut, n, threshold)
+    own = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"), F.size(words(F.lower(text))).alias("size"))
+    return own.join(places, "t").select("id", "text", F.filter("places", lambda p: p <= F.col("size") - n).alias("places"))
 
 
-def _counted(grams: DataFrame, threshold: int) -> DataFrame:
-    return grams.groupBy("ng").agg(F.count("*").alias("n")).where(F.col("n") > threshold)
+def _grams_at(held: DataFrame, n: int) -> DataFrame:
+    """id, ng: the n-grams at the places of each text."""
+    held = held.select("id", "places", words(F.lower("text")).alias("ws"))
+    return held.select("id", F.explode(F.transform("places", lambda p: F.array_join(F.slice("ws", p + 1, n), " "))).alias("ng"))
 
 
-def hot_ngrams(grams: DataFrame, threshold: int) -> DataFrame:
-    """ng, n of the n-grams of ``grams`` (id, ng) that occur more than ``threshold`` times."""
-    return _counted(hot_grams(grams, threshold), threshold)
+def hot_ngrams(df: DataFrame, key: str, text: str, n: int = 7, threshold: int = 100) -> DataFrame:
+    """ng, n of the n-grams of lower-cased words that occur more than ``threshold`` times in all texts, repeats counted."""
+    grams = _grams_at(_held(df, key, text, n, threshold), n)
+    return grams.groupBy("ng").agg(F.count("*").alias("n")).where(F.col("n") > threshold)
 
 
 def mark_repetitive(df: DataFrame, key: str, text: str, n: int = 7, threshold: int = 100) -> DataFrame:
     """``df`` with ``kept``: false if any n-gram of the text occurs more than ``threshold`` times in all texts, repeats counted.
 
-    An n-gram's holders are reduced to distinct (id, n-gram) with their numbers first, so that a hot n-gram costs a row for each text.
+    What hashes find is counted by strings: those that are too rare (their hash is another's) tell nothing, and usually there are none.
     """
-    held = hot_grams(gram_rows(df, key, text, n), threshold).groupBy("ng", "id").agg(F.count("*").alias("times"))
-    held = materialise(held, "hot-grams")
-    hot = held.groupBy("ng").agg(F.sum("times").alias("n")).where(F.col("n") > threshold).select("ng")
-    gone = held.join(hot, "ng", "left_semi").select(F.col("id").alias("__id")).distinct()
+    held = _held(df, key, text, n, threshold)
+    rare = materialise(_grams_at(held, n).groupBy("ng").agg(F.count("*").alias("n")).where(F.col("n") <= threshold).select("ng"), "rare-grams")
+    gone = held.where(F.size("places") > 0) if rare.isEmpty() else _grams_at(held, n).join(rare, "ng", "left_anti")
+    gone = gone.select(F.col("id").alias("__id")).distinct()
     return df.join(gone, df[key] == gone["__id"], "left").withColumn("kept", F.col("__id").isNull()).drop("__id")
 
 

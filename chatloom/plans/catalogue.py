@@ -36,7 +36,7 @@ g AS (SELECT doc_id, array_to_string(ws[i:i + 6], ' ') AS ng FROM (SELECT doc_id
 
 @query(f"WITH {_GRAMS} SELECT ng, count(*) AS n FROM g GROUP BY ng HAVING count(*) > 5")
 def ngram_counts(spark, d):
-    return corpus.hot_ngrams(corpus.gram_rows(table(spark, d, "documents"), "doc_id", "text"), 5)
+    return corpus.hot_ngrams(table(spark, d, "documents"), "doc_id", "text", threshold=5)
 
 
 @query(f"WITH {_GRAMS}, hot AS (SELECT ng FROM g GROUP BY ng HAVING count(*) > 2) SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM g SEMI JOIN hot USING (ng)) AS kept FROM documents")
