@@ -14,7 +14,7 @@ def _shuffled(spark) -> int:
     return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
 
 
-@pytest.mark.parametrize("query", ["ngram_dedup"])
+@pytest.mark.parametrize("query", ["ngram_counts", "ngram_dedup"])
 def test_no_string_of_a_frequent_ngram_is_shuffled_by_its_hash(spark, tmp_path, monkeypatch, query):
     """At sizes where frequent hashes are too many for a broadcast: strings would take over 200 bytes an n-gram."""
     monkeypatch.setattr(corpus, "BROADCAST_HASHES", 0, raising=False)
