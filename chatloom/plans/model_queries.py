@@ -234,11 +234,17 @@ def _chat_sql() -> str:
     return f"WITH {PLACED}, s AS (SELECT conv_id, i, role, text, regexp_replace(text, '^{WS_SQL}|{WS_SQL}$', '', 'g') AS x FROM p) " + " UNION ALL ".join(one(f, "'Be brief.'") for f in training.FAMILIES)
 
 
+def _of_each(rows, name, families, texts):
+    """``name``, conv_id, digest: a row for each of ``families`` with its family's text; conversations are read once and each text is made once."""
+    made = rows.select("conv_id", *[_digest(text).alias(f"d_{f}") for f, text in texts.items()])
+    each = F.array(*[F.struct(F.lit(x).alias(name), F.col(f"d_{f}").alias("digest")) for x, f in families.items()])
+    return made.select("conv_id", F.explode(each).alias("e")).select(f"e.{name}", "conv_id", "e.digest")
+
+
 @query(_chat_sql())
 def chat_templates(spark, d):
     rows = conversations(spark, d)
-    each = [rows.select(F.lit(f).alias("family"), "conv_id", _digest(training.chat_text(F.col("turns"), f, F.lit("Be brief."), ask=True)).alias("digest")) for f in training.FAMILIES]
-    return corpus.union_all(*each)
+    return _of_each(rows, "family", {f: f for f in training.FAMILIES}, {f: training.chat_text(F.col("turns"), f, F.lit("Be brief."), ask=True) for f in training.FAMILIES})
 
 
 @query(f"WITH m AS (SELECT * FROM (VALUES {', '.join(f"('{m}', '{f}')" for m, f in templates.MODELS.items())}) t(model, family)), c AS ({_chat_sql()}) SELECT model, conv_id, digest FROM m JOIN c USING (family)")
@@ -246,8 +252,8 @@ def model_templates(spark, d):
     """Each model's template, compiled; the system text is the first message."""
     system = F.array(F.struct(F.lit("system").alias("role"), F.lit("Be brief.").alias("text")))
     rows = conversations(spark, d).select("conv_id", F.concat(system, F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))).alias("turns"))
-    each = [rows.select(F.lit(m).alias("model"), "conv_id", _digest(templates.model_text(m, F.col("turns"), ask=True)).alias("digest")) for m in templates.MODELS]
-    return corpus.union_all(*each)
+    one = {f: m for m, f in templates.MODELS.items()}  # models of a family have one template
+    return _of_each(rows, "model", templates.MODELS, {f: templates.model_text(m, F.col("turns"), ask=True) for f, m in one.items()})
 
 
 @query("SELECT doc_id, length(text) > 4096 AS too_long, CASE WHEN length(text) <= 4096 THEN 4096 END AS size, CASE WHEN length(text) <= 4096 THEN length(text) END AS mask_sum, CASE WHEN length(text) <= 4096 THEN 4096 - length(text) END AS n_pad, CASE WHEN length(text) <= 4096 THEN length(text) - least(length(text), 5) END AS n_labels FROM documents")
