@@ -98,14 +98,14 @@ def _changed(tree: DataFrame, d: int, s: Settings) -> DataFrame:
     )
     shapes = pooled.groupBy("host", "above").agg(F.count("*").alias("shapes"))
     parents = parents.where(F.col("kinds") > 1).join(shapes, ["host", "above"])
-    cells = salted_join(salted_join(parts, pooled, ["host", "above", "below"], "inner"), parents, ["host", "above"], "inner")
-    own = cells.groupBy("host", "above", "seg").agg(F.sum("o").alias("pages"), F.sum("b").alias("b"), F.sum(F.col("a") + F.col("b")).alias("n"))
-    cells = salted_join(cells.drop("b", "a"), own, ["host", "above", "seg"], "inner")
-    # shapes that a branch lacks add what was expected of them: the rest of its pages
-    e = F.col("pages") * F.col("pool") / F.col("all_pages")
-    first = [F.first(c).alias(c) for c in ("pages", "b", "n", "kinds", "all_pages", "all_b", "all_n", "shapes")]
-    nodes = cells.groupBy("host", "above", "seg").agg(F.sum((F.col("o") - e) * (F.col("o") - e) / e - e).alias("x"), *first)
-    chi, free = F.round(F.col("x") + F.col("pages"), 9), F.col("shapes") - 1
+    # a shape's expected pages e are pages * pool / all_pages; the sum of (o - e)^2 / e over all shapes is that of o^2 / e less the pages
+    cells = salted_join(parts, pooled, ["host", "above", "below"], "inner")
+    nodes = cells.groupBy("host", "above", "seg").agg(
+        F.sum(F.col("o") * F.col("o") / F.col("pool")).alias("x"), F.sum("o").alias("pages"), F.sum("b").alias("b"), F.sum(F.col("a") + F.col("b")).alias("n")
+    )
+    nodes = salted_join(nodes, parents, ["host", "above"], "inner")
+    free = F.col("shapes") - 1
+    chi = F.when(free == 0, 0.0).otherwise(F.round(F.col("x") * F.col("all_pages") / F.col("pages") - F.col("pages"), 9))
     similar = chi <= free + s.z * F.sqrt(2 * free)
     p = F.col("all_b") / F.col("all_n")
     alike = F.round(F.abs(F.col("b") - F.col("n") * p), 9) <= F.round(s.z * F.sqrt(F.col("n") * p * (1 - p)), 9)
