@@ -190,3 +190,19 @@ def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         end = np.minimum(at + size, w.first[1:][doc])
         h = (sums[end] - sums[at]) * down[at]
     return mix64(h ^ mix64((end - at).astype(U64))), doc, at
+
+
+def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique(key, return_inverse=True)`` of numbers from 0, by one sort of numbers that hold a key's first bits and its place."""
+    k, n = key.astype(np.uint64, copy=False), len(key)
+    bits = max(1, n.bit_length())
+    drop = max(0, int(k.max()).bit_length() + bits - 64) if n else 0
+    packed = np.sort((k >> np.uint64(drop)) << np.uint64(bits) | np.arange(n, dtype=np.uint64))
+    order = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    ordered = k[order]
+    if drop and (ordered[1:] < ordered[:-1]).any():  # keys that differ in the last bits only
+        return np.unique(key, return_inverse=True)
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[:n]
+    place = np.empty(n, np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new].astype(key.dtype, copy=False), place

@@ -327,7 +327,7 @@ def _small(x: np.ndarray) -> np.ndarray:
 def _types(u: np.ndarray, w: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
     """Pairs in order of contexts, as arrays of few bytes: contexts, words, how many pairs of each context, places of words."""
     first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
-    words, place = np.unique(w, return_inverse=True)
+    words, place = kernel.ranked(w)
     return {"u": u[first], "n": _small(np.diff(np.append(first, len(u)))), "w": words, "i": _small(place), "c": _small(count)}
 
 
@@ -340,6 +340,19 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 CHUNK = 12 << 20
 
 
+def _by_pair(pair: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs in order; of each (pair, document) in order the pair's place, the document and how often it is there."""
+    if len(pair) and int(pair.max()) >= (2**63 - docs) // max(1, docs):  # too large for one number
+        pair, place = kernel.ranked(pair)
+        seen, times = np.unique(place * np.int64(docs) + doc, return_counts=True)
+        return pair, *np.divmod(seen, docs), times
+    seen = np.sort(pair * np.int64(docs) + doc)
+    first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]])[: len(seen)])
+    own, doc_of = np.divmod(seen[first], docs)
+    new = np.concatenate([[True], own[1:] != own[:-1]])[: len(own)]
+    return own[new], np.cumsum(new) - 1, doc_of, np.diff(np.append(first, len(seen)))
+
+
 def _emit(shared):
     """Blobs of a chunk's pairs by shard, with the documents of each; its words' counts in training text; and its documents."""
 
@@ -362,17 +375,15 @@ def _emit(shared):
             held_all = b["held_out"].to_numpy(zero_copy_only=False)
             for part, token, doc in chunks(b):
                 held, rows = held_all[part], []
-                known, at = np.unique(np.append(token, START), return_inverse=True)
+                known, at = kernel.ranked(np.append(token, START))
                 at = at.astype(np.int32)
                 context = np.append(at[-1:], at[:-2])
                 at, start_at = at[:-1], at[-1]
                 context[np.concatenate([[True], doc[1:] != doc[:-1]])] = start_at
                 trained = np.bincount(at[~held[doc]], minlength=len(known))
-                pair, place = np.unique(context * np.int64(len(known)) + at, return_inverse=True)
+                pair = context * np.int64(len(known)) + at
                 del token, at, context
-                seen, times = np.unique(place * np.int64(len(held)) + doc, return_counts=True)
-                of, doc_of = np.divmod(seen, len(held))
-                del place, seen
+                pair, of, doc_of, times = _by_pair(pair, doc, len(held))
                 u, w = (known[x] for x in np.divmod(pair, len(known)))
                 w = w & ~_CLASS
                 # by shard, in order of contexts and words
@@ -456,7 +467,7 @@ def _merge(shared):
         vocab = coder.codes()
         key = of * len(vocab) + coder.place(word, group)
         del of, word, group, coder, words
-        key, place = np.unique(key, return_inverse=True)
+        key, place = kernel.ranked(key)
         c, rows, base = np.zeros(len(key), np.int64), [], 0
         for unit, p in zip(units, parts, strict=True):
             mine = place[base : base + len(p["i"])]
@@ -662,7 +673,8 @@ def _score(shared):
                 continue
             y = unpack(b.as_py())
             pair = np.repeat(y["at"].astype(np.int64), y["c"])
-            docs, doc = np.unique(y["doc"], return_inverse=True)
+            here = np.bincount(y["doc"]) > 0
+            docs, doc = np.flatnonzero(here).astype(y["doc"].dtype), (np.cumsum(here) - 1)[y["doc"]]
             times = y["k"].astype(np.int64)
             sums = [np.bincount(doc, weights=times * v, minlength=len(docs)) for v in (score[pair], base[pair], known[pair], 1, starts[pair])]
             whole = dict(zip(("known", "n", "rows"), (_small(v.astype(np.int64)) for v in sums[2:]), strict=True))
