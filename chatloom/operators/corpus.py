@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import words
+from chatloom.operators.packed import frequent_places
 from chatloom.operators.ranking import rank_all
 from chatloom.runtime import materialise
 
@@ -21,32 +22,35 @@ def first_user_turns(turns: DataFrame) -> DataFrame:
     return turns.where(F.col("role") == "user").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
 
 
-def _cut(df: DataFrame, key: str, text: str) -> DataFrame:
-    """id, t, ws: lower-cased words of every text; equal texts have equal ``t``."""
-    return df.select(F.col(key).alias("id"), F.xxhash64(text).alias("t"), words(F.lower(text)).alias("ws"))
+#: Characters of texts a shard of n-grams: some four million n-grams, twelve million at most.
+SHARD_CHARS = 24_000_000
 
 
-def _frequent_places(cut: DataFrame, n: int, threshold: int) -> DataFrame:
-    """t, places: where in the texts ``t`` n-grams start whose eight-byte hash occurs more than ``threshold`` times.
+def _text_hash(text: str) -> Column:
+    """40 bits; texts that share one share their places, which strings then tell apart."""
+    return F.shiftrightunsigned(F.xxhash64(text), 24)
 
-    A row of fixed size for each n-gram is shuffled once, by its hash, and no string: counts and places read the same shuffle files.
+
+def _frequent_places(df: DataFrame, text: str, n: int, threshold: int) -> DataFrame:
+    """t, places: where in the texts of hash ``t`` n-grams start whose hash occurs more than ``threshold`` times.
+
+    What is shuffled for an n-gram is six bytes of its hash and its share of packed places, once, and no string.
     """
+    chars = df.agg(F.sum(F.length(text).cast("long")).alias("n")).first().n or 0
+    cut = df.select(_text_hash(text).alias("t"), words(F.lower(text)).alias("ws"))
     hashes = F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.xxhash64(F.slice("ws", i, n)))
-    rows = cut.where(F.size("ws") >= n).select("t", F.posexplode(hashes).alias("place", "h"))
-    rows = rows.select("t", "h", "place").repartition("h")
-    # both other columns are asked for, so that this reads all that the join reads: else each would have a shuffle of its own
-    often = rows.groupBy("h").agg(F.count("*").alias("n"), F.max("t").alias("t"), F.max("place").alias("place"))
-    often = often.where((F.col("n") > threshold) & F.col("t").isNotNull() & F.col("place").isNotNull()).select("h")
-    held = rows.join(often.hint("merge"), "h")  # one row a hash; a semi join would be moved below the shuffle
-    return materialise(held.groupBy("t").agg(F.collect_set("place").alias("places")), "hot-places")
+    rows = cut.where(F.size("ws") >= n).select("t", hashes.alias("hs"))
+    return materialise(frequent_places(rows, chars // SHARD_CHARS + 1, threshold), "hot-places")
 
 
 def _held(df: DataFrame, key: str, text: str, n: int, threshold: int) -> DataFrame:
-    """id, text, places of the rows of ``df`` that have n-grams which may occur more than ``threshold`` times."""
-    cut = _cut(df.withColumn("__text", F.col(text)), key, "__text")
-    places = _frequent_places(cut, n, threshold)
-    own = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("t"), F.size(words(F.lower(text))).alias("size"))
-    return own.join(places, "t").select("id", "text", F.filter("places", lambda p: p <= F.col("size") - n).alias("places"))
+    """id, text, places of the rows of ``df`` that have n-grams which may occur more than ``threshold`` times.
+
+    Texts and places meet by sorting at every size: a broadcast would pass all places through the driver.
+    """
+    places = _frequent_places(df, text, n, threshold)
+    own = df.select(F.col(key).alias("id"), F.col(text).alias("text"), _text_hash(text).alias("t"), F.size(words(F.lower(text))).alias("size"))
+    return own.join(places.hint("merge"), "t").select("id", "text", F.filter("places", lambda p: p <= F.col("size") - n).alias("places"))
 
 
 def _grams_at(held: DataFrame, n: int) -> DataFrame:
