@@ -110,11 +110,21 @@ def _counter(threshold: int):
         rows = table.select(["kind", "keys", "ts", "sizes", "gaps"]).to_pylist()
         counted, known, told = ([r for r in rows if r["kind"] == k] for k in (_COUNT, _PLACES, _HASHES))
         keys = _of_low(b"".join(r["keys"] for r in counted), KEY_BYTES)
-        values, inverse, n = np.unique(keys, return_inverse=True, return_counts=True)
-        often = (n > threshold) | np.isin(values, _of_low(b"".join(r["keys"] for r in told), KEY_BYTES))
-        hot = often[inverse]
-        t, place = (a[hot] for a in _where(counted))
-        t, place = (np.concatenate(pair) for pair in zip((t, place), _where(known), strict=True))
+        ordered = np.sort(keys)
+        often = ordered[threshold:][ordered[threshold:] == ordered[: max(0, keys.size - threshold)]]
+        del ordered
+        often = np.unique(np.concatenate([often, _of_low(b"".join(r["keys"] for r in told), KEY_BYTES)]))
+        hot = np.zeros(keys.size, bool)
+        if often.size:
+            hot = often[np.minimum(np.searchsorted(often, keys), often.size - 1)] == keys
+        del keys
+        found, at = [_where(known)], 0
+        for r in counted:  # one by one: most places are dropped
+            t, place = _where([r])
+            mine = hot[at : at + t.size]
+            found.append((t[mine], place[mine]))
+            at += t.size
+        t, place = (np.concatenate(parts) for parts in zip(*found, strict=True))
         order = np.lexsort((place, t))
         t, place = t[order], place[order]
         once = _starts(t, place)
